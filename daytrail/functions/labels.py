@@ -64,9 +64,8 @@ def speed_bucket(kmh: Column) -> Column:
 def azimuth_bucket(deg: Column) -> Column:
     """Eight compass points, each 45 degrees wide and centred on its direction."""
     index = F.pmod(F.floor((deg + 22.5) / 45.0), F.lit(8)).cast("int")
-    return F.coalesce(
-        F.element_at(F.array(*[F.lit(c) for c in COMPASS]), index + 1), F.lit(UNKNOWN)
-    )
+    names = F.array(*[F.lit(c) for c in COMPASS])
+    return F.when(deg.isNull(), F.lit(UNKNOWN)).otherwise(F.element_at(names, index + 1))
 
 
 def weekday_name(dow: Column) -> Column:

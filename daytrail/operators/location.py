@@ -102,8 +102,9 @@ def presence_minutes(
         lead={"_next_us": us},
     )
     gap = (F.col("_next_us") - us) / F.lit(60_000_000.0)
-    minutes = F.least(F.lit(float(PRESENCE_CAP_MIN)), F.greatest(F.lit(0.0), gap))
-    return ahead.withColumn("presence_mins", F.coalesce(minutes, F.lit(0.0))).drop("_next_us")
+    capped = F.least(F.lit(float(PRESENCE_CAP_MIN)), F.greatest(F.lit(0.0), gap))
+    minutes = F.when(gap.isNull(), F.lit(0.0)).otherwise(capped)
+    return ahead.withColumn("presence_mins", minutes).drop("_next_us")
 
 
 def _zone(name: str) -> Column:
