@@ -9,6 +9,7 @@ from daytrail.catalog.registry import segments_query
 from daytrail.functions import dates, labels
 from daytrail.operators import days as day_ops
 from daytrail.operators import location, sequence
+from daytrail.session import cut_lineage
 
 OWNER = ["owner"]
 
@@ -290,7 +291,8 @@ segments_query(
 )
 def _city_groups(s):
     # The report is over everybody's days, so the grouping is global and keyed afterwards.
-    table = days_of(s).withColumnRenamed("day", "_day").withColumn("day", F.struct("owner", "_day"))
+    table = cut_lineage(days_of(s))
+    table = table.withColumnRenamed("day", "_day").withColumn("day", F.struct("owner", "_day"))
     return day_ops.top_city_other(table).select(
         F.col("day.owner").alias("owner"), F.col("day._day").alias("day"), "city_group"
     )
@@ -313,7 +315,7 @@ segments_query(
           CAST(date_diff('day', date_trunc('week', date_trunc('year', day)), date_trunc('week', day)) // 7 AS INTEGER) AS week,
           CAST(isodow(day) - 1 AS INTEGER) AS weekday
         FROM days, q""",
-    lambda s: rounded(day_ops.km_classes(days_of(s))),
+    lambda s: rounded(day_ops.km_classes(cut_lineage(days_of(s)))),
 )
 segments_query(
     "year_fractions",
@@ -346,7 +348,9 @@ MOST = 4  # small, so that days of the test table are thinned
 
 
 def tracks_of(s, most):
-    return sequence.day_tracks(location.day_race_rows(s, OWNER), days_of(s), most, OWNER)
+    # The day table is a stored table in practice.
+    table = cut_lineage(days_of(s))
+    return sequence.day_tracks(location.day_race_rows(s, OWNER), table, most, OWNER)
 
 
 TRACK_NUMBERS = ("lat", "lon", "next_lat", "next_lon")

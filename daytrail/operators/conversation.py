@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daytrail.functions import dates, text
 from daytrail.plans.ordered import hour_chunk, ordered_pass
+from daytrail.plans.ranking import over
 
 # When a follow-up counts as a double text, and when a session ends.
 DOUBLE_TEXT_AFTER_S = 5 * 60
@@ -23,36 +24,70 @@ def conversation_columns(
 ) -> DataFrame:
     """Adds gap, reply delay, double text and session columns along each thread.
 
-    Threads of any length are processed in hourly chunks. ``order`` must be total within a
-    thread; it defaults to ``timestamp`` and ``msg_id``.
+    A thread of any length is worked off in hourly chunks: inside a chunk by windows, between
+    chunks by a table with one row per thread and hour. That row holds the chunk's first and
+    last message and how many sessions open inside it, so one pass yields both the neighbour
+    of a chunk's first message and the running session number. ``order`` must be total within
+    a thread; it defaults to ``timestamp`` and ``msg_id``.
     """
     order = list(order or [F.col("timestamp"), F.col("msg_id")])
-    chunk = hour_chunk(F.col("timestamp"))
+    cut = [*thread_keys, "_chunk"]
     us = dates.epoch_micros(F.col("timestamp"))
-    seen = ordered_pass(
-        messages,
-        keys=thread_keys,
-        order=order,
-        chunk=chunk,
-        lag={"_prev_us": us, "_prev_sender": F.col("sender")},
+    local = over(cut, *order)
+    chunked = messages.withColumns({"_chunk": hour_chunk(F.col("timestamp")), "_us": us})
+    inside = chunked.withColumns(
+        {"_prev_us": F.lag("_us").over(local), "_prev_sender": F.lag("sender").over(local)}
+    )
+
+    def opens(before: Column, now: Column) -> Column:
+        return before.isNull() | ((now - before) / F.lit(1_000_000.0) > SESSION_GAP_S)
+
+    # A chunk's first message counts as an opener here; what it is follows between chunks.
+    inside = inside.withColumn("_opens", opens(F.col("_prev_us"), F.col("_us")).cast("long"))
+    inside = inside.withColumn(
+        "_run", F.sum("_opens").over(local.rowsBetween(Window.unboundedPreceding, 0))
+    )
+
+    place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    across = over(thread_keys, F.col("_chunk"))
+    chunks = (
+        inside.groupBy(*cut)
+        .agg(
+            F.min("_us").alias("_first_us"),
+            F.max("_us").alias("_last_us"),
+            F.max_by("sender", place).alias("_last_sender"),
+            F.sum("_opens").alias("_sessions"),
+        )
+        .withColumns(
+            {
+                "_from_us": F.lag("_last_us").over(across),
+                "_from_sender": F.lag("_last_sender").over(across),
+            }
+        )
+        .withColumn("_fresh", opens(F.col("_from_us"), F.col("_first_us")))
+        .withColumn("_own", F.col("_sessions") - F.when(F.col("_fresh"), 0).otherwise(1))
+        .withColumn(
+            "_base",
+            F.coalesce(F.sum("_own").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        )
+        .select(*cut, "_from_us", "_from_sender", "_fresh", "_base")
+    )
+    joined = inside.join(chunks, cut)
+    head = F.col("_prev_us").isNull()
+    prev_us = F.coalesce("_prev_us", "_from_us")
+    same = F.when(head, F.col("_from_sender") == F.col("sender")).otherwise(
+        F.col("_prev_sender") == F.col("sender")
     )
-    gap = (us - F.col("_prev_us")) / F.lit(1_000_000.0)
-    same = F.col("sender") == F.col("_prev_sender")
-    has_prev = F.col("_prev_us").isNotNull()
-    flagged = seen.withColumns(
-        {
-            "gap_seconds": gap,
-            "reply_delay_seconds": F.when(~same, gap),
-            "is_double_text": F.coalesce(has_prev & same & (gap > DOUBLE_TEXT_AFTER_S), F.lit(False)),
-            "is_session_start": ~has_prev | (gap > SESSION_GAP_S),
-        }
-    ).drop("_prev_us", "_prev_sender")
-    return ordered_pass(
-        flagged,
-        keys=thread_keys,
-        order=order,
-        chunk=chunk,
-        running={"session_id": F.col("is_session_start").cast("int")},
+    gap = (F.col("_us") - prev_us) / F.lit(1_000_000.0)
+    starts = F.when(head, F.col("_fresh")).otherwise(F.col("_opens") == 1)
+    number = F.col("_base") + F.col("_run") - F.when(F.col("_fresh"), 0).otherwise(1)
+    return joined.select(
+        *messages.columns,
+        gap.alias("gap_seconds"),
+        F.when(~same, gap).alias("reply_delay_seconds"),
+        F.coalesce(same & (gap > DOUBLE_TEXT_AFTER_S), F.lit(False)).alias("is_double_text"),
+        starts.alias("is_session_start"),
+        number.alias("session_id"),
     )
 
 

@@ -12,6 +12,7 @@ from daytrail.functions.numbers import count_where, sum_where
 from daytrail.operators.attribution import nearest_site
 from daytrail.plans.ordered import ms_hour_chunk, ordered_pass
 from daytrail.plans.ranking import exact_quantiles, top_k
+from daytrail.session import cut_lineage
 
 # Fixed values.
 AWAY_RADIUS_M = 300.0
@@ -254,12 +255,14 @@ def novel_days(segs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def days(segments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The per-day table, empty days included."""
     segs = day_segments(segments, by)
-    starts = start_positions(segs, by)
     key = [*by, "day"]
+    # Both are far smaller than the segments (a row per person and day, or place) and are
+    # read by several branches.
+    starts = cut_lineage(start_positions(segs, by))
+    places = cut_lineage(known_places(segs, by))
     # The extra anchor only serves the last day's return.
     span = anchors(segs, by, extra=0).select(*key)
     begun = starts.join(span, key, "left_semi")
-    places = known_places(segs, by)
     queries = begun.select(*key, F.col("start_lat").alias("lat"), F.col("start_lon").alias("lon"))
     sites = places.select(*by, F.col("place_id").alias("site_id"), "lat", "lon")
     snapped = nearest_site(queries, sites, "day", by).withColumnRenamed("site_id", "place_id")

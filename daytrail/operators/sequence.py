@@ -185,26 +185,24 @@ def day_keyframes(rows: DataFrame, days: DataFrame, by: Sequence[str] = ()) -> D
     )
 
 
-def _track_pass(frames: DataFrame, by: Sequence[str], **kwargs) -> DataFrame:
-    return ordered_pass(
-        frames,
-        keys=[*by, "day"],
-        order=[F.col("t")],
-        chunk=F.floor(F.col("t") / 60).cast("long"),
-        **kwargs,
-    )
-
-
 def downsample_track(
     frames: DataFrame, most: int = MAX_KEYFRAMES, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Days with more than ``most`` keyframes keep all protected ones and an even stride."""
-    key = [*by, "day"]
+    """Days with more than ``most`` keyframes keep all protected ones and an even stride.
+
+    Keyframes are unique per day and millisecond, which bounds these windows.
+    """
+    day = over([*by, "day"])
     moving = (~F.col("protected")).cast("long")
-    sizes = frames.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("_all"), F.sum(moving).alias("_moving")
+    numbered = frames.withColumns(
+        {
+            "_all": F.count(F.lit(1)).over(day),
+            "_moving": F.sum(moving).over(day),
+            "_j": F.sum(moving).over(
+                over([*by, "day"], F.col("t")).rowsBetween(Window.unboundedPreceding, 0)
+            ),
+        }
     )
-    numbered = _track_pass(frames, by, running={"_j": moving}).join(sizes, key)
     room = F.greatest(F.lit(0), F.lit(most) - (F.col("_all") - F.col("_moving")))
     j, n = F.col("_j") - 1, F.greatest(F.col("_moving"), F.lit(1))
     on_stride = F.floor((j + 1) * room / n) > F.floor(j * room / n)
@@ -219,16 +217,13 @@ def day_tracks(
 ) -> DataFrame:
     """One row per keyframe, with the next one and whether tracking broke in between."""
     frames = downsample_track(day_keyframes(rows, days, by), most, by)
-    linked = _track_pass(
-        frames,
-        by,
-        lead={"next_t": F.col("t"), "next_lat": F.col("lat"), "next_lon": F.col("lon")},
-        lag={"prev_t": F.col("t")},
-    )
+    w = over([*by, "day"], F.col("t"))
+    upcoming = {f"next_{c}": F.lead(c).over(w) for c in ("t", "lat", "lon")}
+    linked = frames.withColumns({**upcoming, "is_first": F.lag("t").over(w).isNull()})
     gap = F.coalesce(F.col("next_t") - F.col("t") > GAP_MINUTES, F.lit(False))
     return linked.select(
         *by, "day", "t", "lat", "lon", "protected", "next_t", "next_lat", "next_lon",
-        F.col("prev_t").isNull().alias("is_first"), gap.alias("gap_after"),
+        "is_first", gap.alias("gap_after"),
     )
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job of this package relies on. All of them can be changed on a
@@ -42,21 +45,32 @@ def build_session(
 
 
 def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared folder named by ``spark.checkpoint.dir``, or one set on the context."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or spark.sparkContext.getCheckpointDir()
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a folder of its own. On a cluster
+    without it there is none: a machine-local folder would be lost with the machine.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if spark.sparkContext.master.startswith("local"):
+        own = tempfile.mkdtemp(prefix="daytrail-")
+        spark.sparkContext.setCheckpointDir(own)
+        return own
+    return None
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the checkpoint folder so later branches read it back.
+    """Writes ``df`` once and reads it back, so that several branches share the result.
 
-    Used where several branches need one costly intermediate. Without a configured
-    folder the plan is returned unchanged: results are the same, only recomputed.
+    The copy is a Parquet table in the checkpoint folder: it survives lost executors, keeps
+    column pruning, and tells Spark its real size when joins are planned. Without a folder
+    the plan is returned unchanged, which gives the same rows by recomputation.
     """
     spark = df.sparkSession
-    named = checkpoint_dir(spark)
-    if not named:
+    folder = checkpoint_dir(spark)
+    if not folder:
         return df
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
-    return df.checkpoint(eager=True)
+    path = f"{folder.rstrip('/')}/daytrail-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
