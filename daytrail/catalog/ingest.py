@@ -1 +1,599 @@
-"""To be filled."""
+"""Raw exports derived from the test tables, read by the same code as real ones."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from daytrail.catalog.movement import distance
+from daytrail.catalog.registry import VIEWS, messages_query, register
+from daytrail.functions import sphere, text
+from daytrail.operators import conversation
+from daytrail.sources import chats, history, timeline
+
+# --- streaming history -----------------------------------------------------------------
+
+PLATFORMS = ["Android OS 9", "Windows 10 (ios emulator)", "iOS 17.1", "OS X 12", "web_player", "cast device", ""]
+CLEANED = ["Android", "Windows", "iOS", "macOS", "Web", "Other", "Other"]
+
+
+def raw_history(spark, sf_dir):
+    """One raw entry per event; every nineteenth is a podcast episode."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    k = F.col("event_id")
+    podcast = k % 19 == 0
+    music = lambda c: F.when(~podcast, c)
+    talk = lambda c: F.when(podcast, c)
+    text_of = lambda prefix, n: F.concat(F.lit(prefix), (k % n).cast("string"))
+    return e.select(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"),
+        F.element_at(F.array(*[F.lit(p) for p in PLATFORMS]), (k % len(PLATFORMS) + 1).cast("int")).alias("platform"),
+        F.floor(F.col("value") * 1000).cast("long").alias("ms_played"),
+        text_of("C", 7).alias("conn_country"),
+        F.lit(None).cast("string").alias("ip_addr"),
+        music(text_of("track_", 97)).alias("master_metadata_track_name"),
+        music(text_of("artist_", 23)).alias("master_metadata_album_artist_name"),
+        music(text_of("album_", 31)).alias("master_metadata_album_album_name"),
+        music(text_of("uri:", 97)).alias("spotify_track_uri"),
+        talk(text_of("episode_", 95)).alias("episode_name"),
+        talk(F.lit("show")).alias("episode_show_name"),
+        talk(text_of("ep:", 95)).alias("spotify_episode_uri"),
+        F.lit("trackdone").alias("reason_start"),
+        F.when(k % 6 == 0, "FwdBtn").when(k % 6 == 1, "endplay").when(k % 6 == 2, None).otherwise("trackdone").alias("reason_end"),
+        (k % 3 == 0).alias("shuffle"),
+        F.lit(None).cast("boolean").alias("skipped"),
+        (k % 11 == 0).alias("offline"),
+        F.lit(None).cast("long").alias("offline_timestamp"),
+        F.when(k % 2 == 0, k % 31 == 0).alias("incognito_mode"),
+    )
+
+
+TITLE = "CASE WHEN event_id % 19 = 0 THEN 'e' || event_id % 95 ELSE event_id % 97 || '|' || event_id % 23 END"
+register(
+    "plays_from_raw",
+    f"""WITH h AS (SELECT *, date_trunc('second', ts) AS t, event_id % 19 = 0 AS pod, {TITLE} AS k FROM events)
+        SELECT t AS timestamp, CAST(t AS DATE) AS date, CAST(FLOOR(value * 1000) AS INTEGER) AS ms_played,
+          CASE WHEN pod THEN 'episode_' || event_id % 95 ELSE 'track_' || event_id % 97 END AS track_name,
+          CASE WHEN pod THEN 'show' ELSE 'artist_' || event_id % 23 END AS artist_name,
+          CASE WHEN NOT pod THEN 'album_' || event_id % 31 END AS album_name,
+          CASE WHEN pod THEN 'ep:' || event_id % 95 ELSE 'uri:' || event_id % 97 END AS track_uri,
+          {PLATFORMS}[event_id % 7 + 1] AS platform, {CLEANED}[event_id % 7 + 1] AS platform_clean,
+          'C' || event_id % 7 AS country, CAST(NULL AS VARCHAR) AS ip_addr, event_id % 6 < 2 AS skipped,
+          event_id % 3 = 0 AS shuffle, event_id % 11 = 0 AS offline, 'trackdone' AS reason_start,
+          CASE event_id % 6 WHEN 0 THEN 'FwdBtn' WHEN 1 THEN 'endplay' WHEN 2 THEN NULL ELSE 'trackdone' END AS reason_end,
+          CASE WHEN pod THEN 'episode_' || event_id % 95 END AS episode_name, CASE WHEN pod THEN 'show' END AS episode_show_name,
+          CASE WHEN pod THEN 'ep:' || event_id % 95 END AS episode_uri, event_id % 62 = 0 AS incognito_mode,
+          CASE WHEN pod THEN 'podcast' ELSE 'track' END AS media_type,
+          CAST(ROW_NUMBER() OVER (PARTITION BY k ORDER BY t) AS INTEGER) AS play_count,
+          ROW_NUMBER() OVER (PARTITION BY k ORDER BY t) = 1 AS is_first_play FROM h""",
+)(lambda spark, d: history.plays_from_raw(raw_history(spark, d)))
+register(
+    "clean_platform",
+    f"SELECT {PLATFORMS}[event_id % 7 + 1] AS platform, {CLEANED}[event_id % 7 + 1] AS platform_clean, COUNT(*) AS entries FROM events GROUP BY 1, 2",
+)(
+    lambda spark, d: raw_history(spark, d)
+    .select("platform", history.clean_platform(F.col("platform")).alias("platform_clean"))
+    .groupBy("platform", "platform_clean")
+    .agg(F.count(F.lit(1)).alias("entries"))
+)
+register(
+    "history_span",
+    """SELECT COUNT(DISTINCT user_id % 5) AS files, COUNT(*) AS entries, MIN(date_trunc('second', ts)) AS first_ts,
+         MAX(date_trunc('second', ts)) AS last_ts FROM events""",
+)(
+    lambda spark, d: history.history_span(
+        spark.read.parquet(f"{d}/events.parquet").select(
+            F.concat(F.lit("history_"), (F.col("user_id") % 5).cast("string"), F.lit(".json")).alias("source_file"),
+            F.date_trunc("second", "ts").cast("timestamp_ntz").alias("ts"),
+        )
+    )
+)
+
+# --- timeline --------------------------------------------------------------------------
+
+
+def geo_text(a, b):
+    """Positions like ``geo:41.203,2.55`` out of two whole numbers of thousandths."""
+    part = lambda c: F.concat(
+        F.floor(c / 1000).cast("string"), F.lit("."), F.lpad((c % 1000).cast("string"), 3, "0")
+    )
+    return F.concat(F.lit("geo:"), part(a), F.lit(","), part(b))
+
+
+def raw_timeline(spark, sf_dir):
+    """One entry per event: visits, activities, paths of three points, and others.
+
+    A fifth of the entries is in UTC only, some positions are malformed.
+    """
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    k = F.col("event_id")
+    lat, lon = 40_000 + (k * 37) % 4000, (k * 91) % 6000
+    here = F.when(k % 71 == 0, F.lit("geo:here")).otherwise(geo_text(lat, lon))
+    there = geo_text(lat + 7, lon + 11)
+    zone = (
+        F.when((k % 5 == 0) | (k < 3), F.lit("Z")).when(k % 5 == 1, F.lit("-05:00")).otherwise(F.lit("+02:00"))
+    )
+    shift = F.when((k % 5 == 0) | (k < 3), 0).when(k % 5 == 1, -5).otherwise(2)
+    at = F.date_trunc("second", "ts").cast("timestamp_ntz")
+
+    def iso(t):
+        return F.concat(
+            F.date_format(F.timestamp_add("HOUR", shift, t), "yyyy-MM-dd'T'HH:mm:ss.SSS"), zone
+        )
+
+    point = lambda p, m: F.struct(p.alias("point"), F.lit(m).alias("durationMinutesOffsetFromStartTime"))
+    visit = F.struct(
+        F.struct(
+            here.alias("placeLocation"),
+            F.concat(F.lit("p_"), (k % 60).cast("string")).alias("placeID"),
+            F.lit("Home").alias("semanticType"),
+        ).alias("topCandidate")
+    )
+    activity = F.struct(
+        here.alias("start"),
+        there.alias("end"),
+        F.when(k % 8 != 1, ((k * 13) % 9000).cast("string")).alias("distanceMeters"),
+        F.struct(F.lit("walking").alias("type")).alias("topCandidate"),
+    )
+    path = F.array(point(geo_text(lat + 20, lon), "10"), point(here, "0"), point(there, "4.5"), point(F.lit("bad"), "2"), point(here, "x"))
+    return e.select(
+        F.col("user_id").alias("owner"),
+        iso(at).alias("startTime"),
+        F.when(k % 13 != 0, iso(F.timestamp_add("MINUTE", F.lit(25), at))).alias("endTime"),
+        F.when(k % 4 == 0, visit).alias("visit"),
+        F.when(k % 4 == 1, activity).alias("activity"),
+        F.when(k % 4 == 2, path).alias("timelinePath"),
+    )
+
+
+TIMELINE = f"""
+  e AS (SELECT user_id AS owner, event_id AS k, date_trunc('second', ts) AS utc,
+          date_trunc('second', ts) + CASE WHEN event_id % 13 = 0 THEN INTERVAL 0 MINUTE ELSE INTERVAL 25 MINUTE END AS utc_end,
+          CASE WHEN event_id % 5 = 0 OR event_id < 3 THEN NULL WHEN event_id % 5 = 1 THEN -300 ELSE 120 END AS own,
+          40 + (event_id * 37) % 4000 / 1000.0 AS lat, (event_id * 91) % 6000 / 1000.0 AS lon, event_id % 71 <> 0 AS good FROM events),
+  o AS (SELECT *, CAST(COALESCE(LAST_VALUE(own IGNORE NULLS) OVER (PARTITION BY owner ORDER BY utc ROWS UNBOUNDED PRECEDING),
+            FIRST_VALUE(own IGNORE NULLS) OVER (PARTITION BY owner ORDER BY utc ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0) AS INTEGER) AS off FROM e),
+  x AS (SELECT o.*, 40 + ((k * 37) % 4000 + 7) / 1000.0 AS lat2, ((k * 91) % 6000 + 11) / 1000.0 AS lon2,
+          40 + ((k * 37) % 4000 + 20) / 1000.0 AS lat3 FROM o),
+  pts AS (SELECT owner, k, utc, utc_end, off, lat AS la, lon AS lo, 0 AS m FROM x WHERE k % 4 = 2 AND good
+          UNION ALL SELECT owner, k, utc, utc_end, off, lat2, lon2, 4 FROM x WHERE k % 4 = 2
+          UNION ALL SELECT owner, k, utc, utc_end, off, lat3, lon, 10 FROM x WHERE k % 4 = 2),
+  leg AS (SELECT *, LEAD(la) OVER w AS la2, LEAD(lo) OVER w AS lo2, LEAD(m) OVER w AS m2 FROM pts WINDOW w AS (PARTITION BY k ORDER BY m)),
+  legs AS (SELECT *, utc + to_minutes(m) AS a, CASE WHEN m2 IS NULL THEN utc_end ELSE utc + to_minutes(m2) END AS b,
+             CASE WHEN m2 IS NOT NULL THEN {distance('la', 'lo', 'la2', 'lo2')} END AS dist FROM leg),
+  seg AS (
+    SELECT owner, utc + to_minutes(off) AS timestamp, utc_end + to_minutes(off) AS end_timestamp, epoch(utc_end - utc)::DOUBLE AS duration_seconds,
+      lat, lon, 'stationary' AS segment_type, NULL::VARCHAR AS activity_type, 'Home' AS semantic_type, 'p_' || k % 60 AS place_id,
+      NULL::DOUBLE AS distance_meters, NULL::DOUBLE AS speed_kmh, NULL::DOUBLE AS azimuth_degrees FROM x WHERE k % 4 = 0 AND good
+    UNION ALL SELECT owner, utc + to_minutes(off), utc_end + to_minutes(off), epoch(utc_end - utc), lat, lon, 'moving', 'walking', NULL, NULL, NULL,
+      CASE WHEN k % 8 <> 1 AND utc_end > utc THEN (k * 13) % 9000 / epoch(utc_end - utc) * 3.6 END,
+      {{bearing_move}} FROM x WHERE k % 4 = 1 AND good
+    UNION ALL SELECT owner, a + to_minutes(off), GREATEST(a, b) + to_minutes(off), GREATEST(0, epoch(b - a)), la, lo, 'moving', NULL, NULL, NULL, dist,
+      CASE WHEN m2 IS NULL THEN 0 ELSE dist / epoch(b - a) * 3.6 END, CASE WHEN m2 IS NOT NULL THEN {{bearing_leg}} END FROM legs)"""
+
+
+def bearing(a, b, c, d):
+    return (
+        f"((degrees(atan2(sin(radians({d} - {b})) * cos(radians({c})), cos(radians({a})) * sin(radians({c}))"
+        f" - sin(radians({a})) * cos(radians({c})) * cos(radians({d} - {b})))) + 360) % 360)"
+    )
+
+
+TIMELINE = TIMELINE.format(
+    bearing_move=bearing("lat", "lon", "lat2", "lon2"), bearing_leg=bearing("la", "lo", "la2", "lo2")
+)
+NUMBERS = ("lat", "lon", "distance_meters", "speed_kmh", "azimuth_degrees")
+SEG_ROUND = ", ".join(f"ROUND({c}, 5)::DOUBLE AS {c}" for c in NUMBERS)
+
+
+def rounded5(df):
+    return df.withColumns({c: F.round(c, 5) for c in NUMBERS})
+
+
+register(
+    "segments_from_timeline",
+    f"""WITH {TIMELINE.strip()} SELECT * REPLACE ({SEG_ROUND}, duration_seconds::DOUBLE AS duration_seconds),
+          CAST(timestamp AS DATE) AS date FROM seg""",
+)(lambda spark, d: rounded5(timeline.segments_from_timeline(raw_timeline(spark, d), ["owner"])))
+register(
+    "stored_segments",
+    f"""WITH {TIMELINE.strip()}, u AS (SELECT DISTINCT * REPLACE ({SEG_ROUND}) FROM seg)
+        SELECT timestamp, segment_type, lat, lon, ROW_NUMBER() OVER (ORDER BY timestamp) - 1 >= 0 AS has_id,
+          CAST(NULL AS VARCHAR) AS country FROM u""",
+)(
+    lambda spark, d: timeline.stored_segments(
+        rounded5(timeline.segments_from_timeline(raw_timeline(spark, d), ["owner"]))
+    ).select("timestamp", "segment_type", "lat", "lon", (F.col("seg_id") >= 0).alias("has_id"), "country")
+)
+register(
+    "segment_ids",
+    f"""WITH {TIMELINE.strip()}, u AS (SELECT DISTINCT * REPLACE ({SEG_ROUND}) FROM seg)
+        SELECT COUNT(*) AS rows, COUNT(*) AS ids, CAST(0 AS BIGINT) AS first_id, COUNT(*) - 1 AS last_id FROM u""",
+)(
+    lambda spark, d: timeline.stored_segments(
+        rounded5(timeline.segments_from_timeline(raw_timeline(spark, d), ["owner"]))
+    ).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.countDistinct("seg_id").alias("ids"),
+        F.min("seg_id").alias("first_id"),
+        F.max("seg_id").alias("last_id"),
+    )
+)
+register(
+    "carried_offsets",
+    f"""WITH {TIMELINE.split('x AS (')[0].strip().rstrip(',')} SELECT owner, epoch_ms(utc) AS start_ms, off AS offset_min FROM o""",
+)(
+    lambda spark, d: timeline.carry_offset(raw_timeline(spark, d), ["owner"]).select(
+        "owner", "start_ms", "offset_min"
+    )
+)
+register(
+    "leg_geometry",
+    f"""SELECT o_orderkey, ROUND({distance('a', 'b', 'c', 'd')}, 4) AS metres, ROUND({bearing('a', 'b', 'c', 'd')}, 6) AS heading,
+          ROUND(CASE WHEN s > 0 THEN o_totalprice / s * 3.6 END, 5) AS kmh
+        FROM (SELECT o_orderkey, o_totalprice, (o_orderkey % 170) - 85.0 AS a, (o_custkey % 350) - 175.0 AS b,
+                (o_orderkey % 97) - 48.5 AS c, (o_custkey % 211) - 105.25 AS d, (o_orderkey % 7) AS s FROM orders)""",
+)(
+    lambda spark, d: spark.read.parquet(f"{d}/orders.parquet")
+    .select(
+        "o_orderkey",
+        "o_totalprice",
+        ((F.col("o_orderkey") % 170) - 85.0).alias("a"),
+        ((F.col("o_custkey") % 350) - 175.0).alias("b"),
+        ((F.col("o_orderkey") % 97) - 48.5).alias("c"),
+        ((F.col("o_custkey") % 211) - 105.25).alias("d"),
+        (F.col("o_orderkey") % 7).alias("s"),
+    )
+    .select(
+        "o_orderkey",
+        F.round(sphere.haversine_m(F.col("a"), F.col("b"), F.col("c"), F.col("d")), 4).alias("metres"),
+        F.round(sphere.bearing_deg(F.col("a"), F.col("b"), F.col("c"), F.col("d")), 6).alias("heading"),
+        F.round(sphere.speed_kmh(F.col("o_totalprice"), F.col("s")), 5).alias("kmh"),
+    )
+)
+
+# --- text ------------------------------------------------------------------------------
+
+WORD = r"[^\s\x0B\x{A0}\x{FEFF}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1680}]+"
+# Every document with two pictographs, so that the count has something to find.
+register(
+    "text_metrics",
+    f"""WITH t AS (SELECT doc_id, text || ' 😆❤' AS text FROM documents)
+        SELECT doc_id, CAST(len(regexp_extract_all(text, '{WORD}')) AS INTEGER) AS words,
+          CAST(length(text) + len(regexp_extract_all(text, '[\\x{{10000}}-\\x{{10FFFF}}]')) AS INTEGER) AS chars,
+          CAST(len(regexp_extract_all(text, '{text.PICTOGRAPHIC}')) AS INTEGER) AS emoji FROM t""",
+)(
+    lambda spark, d: spark.read.parquet(f"{d}/documents.parquet")
+    .select("doc_id", F.concat("text", F.lit(" 😆❤")).alias("text"))
+    .select(
+        "doc_id",
+        text.count_words(F.col("text")).alias("words"),
+        text.utf16_length(F.col("text")).alias("chars"),
+        text.count_emoji(F.col("text")).alias("emoji"),
+    )
+)
+
+
+@register("repaired_texts", "SELECT doc_id, text FROM documents")
+def repaired_texts(spark, sf_dir):
+    """Documents whose UTF-8 bytes were read as Latin-1, repaired."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mangled = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
+    return docs.select("doc_id", text.fix_mojibake(mangled).alias("text"))
+
+
+EXTENSIONS = ["a.JPG", "b.mov?x=1", "c.opus", "d.gif", "e.pdf", "noext", "f.heic"]
+KINDS = ["photo", "video", "voice", "gif", "other", "other", "photo"]
+register(
+    "media_kinds",
+    f"SELECT event_id, {KINDS}[event_id % 7 + 1] AS kind FROM events",
+)(
+    lambda spark, d: spark.read.parquet(f"{d}/events.parquet").select(
+        "event_id",
+        text.media_kind(
+            F.element_at(F.array(*[F.lit(x) for x in EXTENSIONS]), (F.col("event_id") % 7 + 1).cast("int"))
+        ).alias("kind"),
+    )
+)
+
+# --- chat exports ----------------------------------------------------------------------
+# Conversations become threads of three formats. Messages are eleven minutes apart, with a
+# night of silence after every fourth.
+
+START = 1_714_550_400  # 2024-05-01 08:00
+SECOND = "(conv_id * 86400 + turn * 660 + turn // 4 * 36000)"
+
+
+def _turns(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    second = F.col("conv_id") * 86400 + F.col("turn") * 660 + F.floor(F.col("turn") / 4) * 36000
+    return c.withColumn("second", F.lit(START) + second)
+
+
+def meta_files(spark, sf_dir):
+    """Two files per conversation folder, as archives split long threads."""
+    file = F.concat(
+        F.lit("export/your_facebook_activity/messages/inbox/thread"), F.col("conv_id").cast("string"),
+        F.lit("_a1b2c3d4/message_"), (F.col("turn") % 2 + 1).cast("string"), F.lit(".json"),
+    )
+    t = F.col("turn")
+    uri = F.array(F.struct(F.lit("media/x.mp4").alias("uri")))
+    no_uri = F.lit(None).cast("array<struct<uri:string>>")
+    mangled = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
+    message = F.struct(
+        F.col("role").alias("sender_name"),
+        F.when((t % 17 != 16), (F.col("second") * 1000).cast("double")).alias("timestamp_ms"),
+        F.when(t % 5 != 4, mangled).alias("content"),
+        no_uri.alias("photos"),
+        F.when(t % 7 == 3, uri).otherwise(no_uri).alias("videos"),
+        no_uri.alias("audio_files"),
+        no_uri.alias("gifs"),
+        no_uri.alias("files"),
+        F.lit(None).cast("struct<uri:string>").alias("sticker"),
+        F.when(t % 5 == 4, F.struct(F.lit("https://x.y").alias("link"), F.lit(None).cast("string").alias("share_text"))).alias("share"),
+        F.when(t % 3 == 1, F.array(F.struct(F.lit("A").alias("reaction"), F.lit("b").alias("actor")), F.struct(F.lit("B").alias("reaction"), F.lit("b").alias("actor")))).alias("reactions"),
+        (t % 6 == 5).alias("is_unsent"),
+    )
+    rows = _turns(spark, sf_dir).select("conv_id", file.alias("path"), "turn", message.alias("m"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "m"))), lambda x: x["m"])
+    people = F.array(F.struct(F.lit("user").alias("name")), F.struct(F.lit("assistant").alias("name")))
+    return rows.groupBy("conv_id", "path").agg(ordered.alias("messages")).select(
+        "path",
+        F.struct(
+            people.alias("participants"),
+            F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("Title "), F.col("conv_id").cast("string"))).alias("title"),
+            F.when(F.col("conv_id") % 10 == 0, F.lit("RegularGroup")).alias("thread_type"),
+            "messages",
+        ).alias("doc"),
+    )
+
+
+VIEWS["turns"] = f"""
+  SELECT *, make_timestamp(({START} + {SECOND}) * 1000000) AS t FROM conversations"""
+VIEWS["meta"] = """
+  SELECT conv_id, turn, t, role AS sender,
+    CASE WHEN conv_id % 2 = 0 THEN 'Title ' || conv_id ELSE 'thread' || conv_id END AS thread, conv_id % 10 = 0 AS is_group,
+    CASE WHEN turn % 5 = 4 THEN 'https://x.y' ELSE text END AS text,
+    CASE WHEN turn % 7 = 3 THEN 'media' WHEN turn % 5 = 4 THEN 'link' WHEN turn % 6 = 5 THEN 'placeholder' ELSE 'text' END AS msg_type,
+    CASE WHEN turn % 7 = 3 THEN 'video' ELSE 'none' END AS media_kind, turn % 3 = 1 AS reacted, turn % 6 = 5 AS is_unsent
+  FROM turns WHERE turn % 17 <> 16"""
+register(
+    "messages_from_meta",
+    """SELECT 'messenger' AS network, thread, t AS timestamp, sender, text, msg_type, media_kind,
+         CASE WHEN reacted THEN ['A', 'B'] ELSE [] END AS reaction_list, is_unsent, is_group FROM meta""",
+    "turns",
+    "meta",
+)(
+    lambda spark, d: _flat(chats.messages_from_meta(meta_files(spark, d))).select(
+        "network", "thread", "timestamp", "sender", "text", "msg_type", "media_kind", "reaction_list",
+        "is_unsent", "is_group",
+    )
+)
+
+
+def _flat(export):
+    heads = export.threads.select("thread_key", "network", "thread", "is_group", "participants")
+    return export.messages.join(heads, "thread_key")
+
+
+def normalized_files(spark, sf_dir):
+    t = F.col("turn")
+    message = F.struct(
+        F.col("role").alias("senderName"),
+        F.col("text"),
+        (F.col("second") * 1000).cast("double").alias("timestamp"),
+        F.when(t % 4 == 1, F.lit("media")).alias("type"),
+        F.when(t % 4 == 1, F.array(F.struct(F.lit("./media/v.ogg").alias("uri")))).alias("media"),
+        F.lit(None).cast("array<struct<actor:string,reaction:string>>").alias("reactions"),
+        F.lit(None).cast("boolean").alias("isUnsent"),
+    )
+    rows = _turns(spark, sf_dir).select("conv_id", "turn", message.alias("m"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "m"))), lambda x: x["m"])
+    return rows.groupBy("conv_id").agg(ordered.alias("messages")).select(
+        F.concat(F.lit("export/n_"), F.col("conv_id").cast("string"), F.lit(".json")).alias("path"),
+        F.struct(
+            F.array(F.lit("user"), F.lit("assistant")).alias("participants"),
+            F.concat(F.lit("Contact "), F.col("conv_id").cast("string"), F.lit("_7")).alias("threadName"),
+            "messages",
+        ).alias("doc"),
+    )
+
+
+register(
+    "messages_from_normalized",
+    """SELECT 'messenger' AS network, 'Contact ' || conv_id AS thread, t AS timestamp, role AS sender, text,
+         CASE WHEN turn % 4 = 1 THEN 'media' ELSE 'text' END AS msg_type,
+         CASE WHEN turn % 4 = 1 THEN 'voice' ELSE 'none' END AS media_kind, FALSE AS is_unsent, FALSE AS is_group FROM turns""",
+    "turns",
+)(
+    lambda spark, d: _flat(chats.messages_from_normalized(normalized_files(spark, d))).select(
+        "network", "thread", "timestamp", "sender", "text", "msg_type", "media_kind", "is_unsent", "is_group"
+    )
+)
+
+
+def chat_lines(spark, sf_dir, bracketed=False):
+    """Transcripts: one file per conversation, a notice first, texts over several lines.
+
+    Odd conversations write month first, with a late day that settles the order.
+    """
+    turns = _turns(spark, sf_dir)
+    at = F.timestamp_seconds("second").cast("timestamp_ntz")
+    if bracketed:
+        head = F.concat(F.lit("["), F.date_format(at, "dd/MM/yyyy HH:mm:ss"), F.lit("] "), "role", F.lit(": "))
+    else:
+        dash = F.concat(F.date_format(at, "dd/MM/yyyy, HH:mm"), F.lit(" - "), "role", F.lit(": "))
+        american = F.concat(F.date_format(at, "M/d/yy, h:mm a"), F.lit(" - "), "role", F.lit(": "))
+        head = F.when(F.col("conv_id") % 2 == 1, american).otherwise(dash)
+    said = turns.select(
+        "conv_id",
+        F.col("turn").alias("a"),
+        F.posexplode(F.split(F.concat(head, "text"), "\n")).alias("b", "line"),
+    )
+    # A notice with an unmistakable date stands before each transcript.
+    notice_text = F.when(F.col("conv_id") % 2 == 1, F.lit("4/30/24, 9:00 AM - You created this chat")).otherwise(
+        F.lit("30/04/2024, 09:00 - You created this chat")
+    )
+    notices = turns.select("conv_id").distinct().select(
+        "conv_id", F.lit(-1).cast("long").alias("a"), F.lit(0).alias("b"), notice_text.alias("line")
+    )
+    lines = said if bracketed else said.unionByName(notices)
+    path = F.concat(F.lit("drop/WhatsApp Chat with Contact "), F.col("conv_id").cast("string"), F.lit(".txt"))
+    return lines.select(
+        path.alias("path"),
+        F.struct(
+            path.alias("file"),
+            F.floor((F.col("a") + 1) / 4).cast("long").alias("block"),  # several blocks per file
+            (F.col("a") * 100_000 + F.col("b")).cast("long").alias("pos"),
+        ).alias("seq"),
+        "line",
+    )
+
+
+# What folding keeps of a text: lines that are not empty, after the first.
+FOLDED = r"""array_to_string(list_concat([string_split(text, chr(10))[1]],
+  list_filter(string_split(text, chr(10))[2:], lambda l: l <> '')), chr(10))"""
+register(
+    "messages_from_chat_text",
+    f"""SELECT 'whatsapp' AS network, 'Contact ' || conv_id AS thread, date_trunc('minute', t) AS timestamp,
+          role AS sender, {FOLDED} AS text, 'text' AS msg_type, 'none' AS media_kind, FALSE AS is_unsent,
+          COUNT(DISTINCT role) OVER (PARTITION BY conv_id) > 2 AS is_group FROM turns""",
+    "turns",
+)(
+    lambda spark, d: _flat(chats.messages_from_chat_text(chat_lines(spark, d))).select(
+        "network", "thread", "timestamp", "sender", "text", "msg_type", "media_kind", "is_unsent", "is_group"
+    )
+)
+register(
+    "day_order_per_file",
+    """SELECT 'drop/WhatsApp Chat with Contact ' || conv_id || '.txt' AS path, conv_id % 2 = 0 AS day_first
+       FROM (SELECT DISTINCT conv_id FROM conversations)""",
+)(lambda spark, d: chats.infer_day_first(chat_lines(spark, d)))
+register(
+    "bracketed_log",
+    """SELECT 'drop/WhatsApp Chat with Contact ' || conv_id || '.txt' AS path, strftime(t, '%Y-%m-%dT%H:%M:%S') AS datetime,
+         role AS sender, array_to_string(list_transform(string_split(text, chr(10)), lambda l: trim(l)), chr(10)) AS message FROM turns""",
+    "turns",
+)(lambda spark, d: chats.bracketed_log(chat_lines(spark, d, True)).drop("seq"))
+
+MESSAGE_ROWS = f"""
+  {{source}},
+  pc AS (SELECT sender, COUNT(*) AS n FROM src GROUP BY 1),
+  me AS (SELECT sender FROM pc ORDER BY n DESC, sender = 'user' DESC LIMIT 1),
+  w AS (SELECT *, LAG(t) OVER p AS pt, LAG(sender) OVER p AS ps FROM src WINDOW p AS (PARTITION BY conv_id ORDER BY t, turn % 2, turn)),
+  d AS (SELECT *, epoch(t - pt)::DOUBLE AS gap, pt IS NULL OR t - pt > INTERVAL 6 HOUR AS starts FROM w)
+  SELECT t AS timestamp, CAST(t AS DATE) AS date, thread, sender,
+    CASE WHEN is_group THEN thread WHEN 'user' = (FROM me) THEN 'assistant' ELSE 'user' END AS contact, is_group,
+    CASE WHEN sender = (FROM me) THEN 'sent' ELSE 'received' END AS direction, msg_type, media_kind, text,
+    CAST(length(text) + len(regexp_extract_all(text, '[\\x{{{{10000}}}}-\\x{{{{10FFFF}}}}]')) AS INTEGER) AS char_count,
+    CAST(len(regexp_extract_all(text, '{WORD.replace('{', '{{').replace('}', '}}')}')) AS INTEGER) AS word_count,
+    contains(text, '?') AS has_question, CASE WHEN reacted THEN 2 ELSE 0 END AS reaction_count,
+    CASE WHEN reacted THEN 'A,B' ELSE '' END AS reactions, gap AS gap_seconds,
+    CASE WHEN sender <> ps THEN gap END AS reply_delay_seconds, COALESCE(sender = ps AND gap > 300, FALSE) AS is_double_text,
+    starts AS is_session_start,
+    CAST(SUM(starts::INT) OVER (PARTITION BY conv_id ORDER BY t, turn % 2, turn) AS BIGINT) AS session_id FROM d"""
+ROW_COLUMNS = (
+    "timestamp", "date", "thread", "sender", "contact", "is_group", "direction", "msg_type", "media_kind", "text",
+    "char_count", "word_count", "has_question", "reaction_count", "reactions", "gap_seconds",
+    "reply_delay_seconds", "is_double_text", "is_session_start", "session_id",
+)
+
+
+def meta_rows(spark, sf_dir):
+    export = chats.messages_from_meta(meta_files(spark, sf_dir))
+    return conversation.message_rows(export.threads, export.messages)
+
+
+register(
+    "message_rows",
+    "WITH " + MESSAGE_ROWS.format(source="src AS (SELECT * FROM meta)").strip().replace("{{", "{").replace("}}", "}"),
+    "turns",
+    "meta",
+)(lambda spark, d: meta_rows(spark, d).select(*ROW_COLUMNS))
+
+
+@register(
+    "owner_names",
+    """SELECT 'meta-json' AS source_id, sender AS self_name FROM (SELECT sender, COUNT(*) AS n FROM meta GROUP BY 1)
+       ORDER BY n DESC, sender = 'user' DESC LIMIT 1""",
+    "turns",
+    "meta",
+)
+def owner_names(spark, sf_dir):
+    export = chats.messages_from_meta(meta_files(spark, sf_dir))
+    return conversation.owner_names(export.threads, export.messages)
+
+
+@register(
+    "import_report",
+    """SELECT 'messenger' AS network, COUNT(DISTINCT conv_id) AS threads, COUNT(*) AS messages FROM meta
+       UNION ALL SELECT 'whatsapp', COUNT(DISTINCT conv_id), COUNT(*) FROM turns""",
+    "turns",
+    "meta",
+)
+def import_report(spark, sf_dir):
+    both = chats.messages_from_meta(meta_files(spark, sf_dir)).union(
+        chats.messages_from_chat_text(chat_lines(spark, sf_dir))
+    )
+    return chats.import_report(both.threads, both.messages)
+
+
+HEADS = [
+    ("a/messages/inbox/x_123456/message_1.json", "{}", "meta-json"),
+    ("a/message_2.json", '{"sender_name": 1, "timestamp_ms": 2}', "meta-json"),
+    ("a/other.json", '{"sender_name": 1}', None),
+    ("a/t.json", '{"participants": [ "A"], "threadName": "B"}', "normalized-json"),
+    ("a/_chat.txt", "[06/03/2024, 14:32:01] Alice: hello", "whatsapp-text"),
+    ("a/notes.txt", "some prose", None),
+    ("a/WhatsApp Chat with B.txt", "3/6/24, 2:32 PM - B: hi", "whatsapp-text"),
+]
+
+
+@register(
+    "routed_files",
+    "SELECT doc_id, "
+    + "["
+    + ", ".join(f"'{s}'" if s else "NULL" for _, _, s in HEADS)
+    + "][doc_id % 7 + 1] AS source_id FROM documents",
+)
+def routed_files(spark, sf_dir):
+    """Document texts behind heads of every kind of file."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    pick = lambda i: F.element_at(
+        F.array(*[F.lit(h[i]) for h in HEADS]), (F.col("doc_id") % 7 + 1).cast("int")
+    )
+    files = docs.select("doc_id", pick(0).alias("path"), F.concat(pick(1), F.lit("\n"), "text").alias("head"))
+    return chats.route(files).select("doc_id", "source_id")
+
+
+register(
+    "archive_networks",
+    """SELECT source, CASE COUNT(DISTINCT doc_id % 3) FILTER (WHERE doc_id % 3 < 2) WHEN 2 THEN 'unknown' WHEN 1
+         THEN CASE WHEN BOOL_OR(doc_id % 3 = 0) THEN 'instagram' ELSE 'messenger' END ELSE 'unknown' END AS network
+       FROM (SELECT source || CASE WHEN doc_id % 5 = 0 THEN '' ELSE '-' || doc_id END AS source, doc_id FROM documents) GROUP BY 1""",
+)(
+    lambda spark, d: chats.archive_network(
+        spark.read.parquet(f"{d}/documents.parquet").select(
+            F.when(F.col("doc_id") % 5 == 0, F.col("source"))
+            .otherwise(F.concat("source", F.lit("-"), F.col("doc_id").cast("string")))
+            .alias("source"),
+            F.element_at(
+                F.array(F.lit("x/your_instagram_activity/a.json"), F.lit("facebook-me/b.json"), F.lit("c.json")),
+                (F.col("doc_id") % 3 + 1).cast("int"),
+            ).alias("path"),
+        ),
+        ["source"],
+    )
+)
+messages_query(
+    "new_messages",
+    """SELECT msg_id FROM messages WHERE NOT (msg_id % 2 = 0 AND msg_id % 5 <> 0)""",
+    lambda m: chats.new_messages(
+        m.withColumn("text", F.when(F.col("msg_id") % 3 != 0, F.col("text"))),
+        m.filter(F.col("msg_id") % 2 == 0).withColumns(
+            {
+                "text": F.when(F.col("msg_id") % 3 != 0, F.col("text")),
+                "sender": F.when(F.col("msg_id") % 5 == 0, F.lit("else")).otherwise(F.col("sender")),
+            }
+        ),
+    ).select("msg_id"),
+)

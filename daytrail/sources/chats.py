@@ -226,12 +226,13 @@ def _seq(path: Column, pos: Column) -> Column:
     )
 
 
+def no_texts() -> Column:
+    return F.array().cast("array<string>")
+
+
 def _reactions(list_: Column) -> Column:
-    named = F.transform(
-        F.coalesce(list_, F.array().cast("array<struct<reaction:string>>")),
-        lambda r: words.fix_mojibake(F.coalesce(r["reaction"], F.lit(""))),
-    )
-    return F.filter(named, lambda r: r != "")
+    named = F.transform(list_, lambda r: words.fix_mojibake(F.coalesce(r["reaction"], F.lit(""))))
+    return F.coalesce(F.filter(named, lambda r: r != ""), no_texts())
 
 
 def meta_kinds(m: Column) -> Column:
@@ -261,13 +262,10 @@ def messages_from_meta(
 ) -> Export:
     """``files``: ``by``, path, doc (the parsed file). All files of a folder are one thread."""
     docs = files.filter(F.col("doc.messages").isNotNull()).withColumn("thread_key", folder(F.col("path")))
-    people = F.filter(
-        F.transform(
-            F.coalesce("doc.participants", F.array().cast("array<struct<name:string>>")),
-            lambda p: words.fix_mojibake(F.coalesce(p["name"], F.lit(""))),
-        ),
-        lambda n: n != "",
+    names = F.transform(
+        "doc.participants", lambda p: words.fix_mojibake(F.coalesce(p["name"], F.lit("")))
     )
+    people = F.coalesce(F.filter(names, lambda n: n != ""), no_texts())
     kind = F.coalesce(F.col("doc.thread_type"), F.lit(""))
     head = F.struct(
         meta_thread_name(F.col("doc.title"), F.col("path")).alias("thread"),
@@ -306,9 +304,7 @@ def messages_from_meta(
 def messages_from_normalized(files: DataFrame, zone: str = "UTC", by: Sequence[str] = ()) -> Export:
     """``files``: ``by``, path, doc. One file is one thread."""
     docs = files.filter(F.col("doc.messages").isNotNull()).withColumn("thread_key", F.col("path"))
-    people = F.transform(
-        F.coalesce("doc.participants", F.array().cast("array<string>")), words.fix_mojibake
-    )
+    people = F.coalesce(F.transform("doc.participants", words.fix_mojibake), no_texts())
     threads = docs.withColumn("participants", people).select(
         *by,
         F.lit(NORMALIZED).alias("source_id"),
@@ -496,7 +492,7 @@ def messages_from_chat_text(lines: DataFrame, by: Sequence[str] = ()) -> Export:
         "text",
         "k.msg_type",
         "k.media_kind",
-        F.array().cast("array<string>").alias("reaction_list"),
+        no_texts().alias("reaction_list"),
         (F.col("k.msg_type") == "placeholder").alias("is_unsent"),
     )
     return Export(threads, rows)
