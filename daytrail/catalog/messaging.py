@@ -54,11 +54,11 @@ talk_query(
           SUM(CASE direction WHEN 'sent' THEN reaction_count ELSE 0 END)::BIGINT AS reactions_received,
           SUM(CASE direction WHEN 'received' THEN reaction_count ELSE 0 END)::BIGINT AS reactions_given,
           MIN(date) AS first_day, MAX(date) AS last_day,
-          ROUND(MEDIAN(reply_delay_seconds) FILTER (WHERE direction = 'sent' AND {REPLY}), 5) AS my_median_seconds,
-          ROUND(MEDIAN(reply_delay_seconds) FILTER (WHERE direction = 'received' AND {REPLY}), 5) AS their_median_seconds
+          ROUND(MEDIAN(reply_delay_seconds) FILTER (WHERE direction = 'sent' AND {REPLY}), 7) AS my_median_seconds,
+          ROUND(MEDIAN(reply_delay_seconds) FILTER (WHERE direction = 'received' AND {REPLY}), 7) AS their_median_seconds
         FROM talk""",
     lambda m: messages.message_macro_stats(m).withColumns(
-        {c: F.round(c, 5) for c in ("my_median_seconds", "their_median_seconds")}
+        {c: F.round(c, 7) for c in ("my_median_seconds", "their_median_seconds")}
     ),
 )
 MONTHLY = """SELECT CAST(date_trunc('month', timestamp) AS DATE) AS month, contact AS name,
@@ -92,14 +92,14 @@ REPLIES = f"""
   SELECT contact, COUNT(*) AS messages,
     COUNT(*) FILTER (WHERE direction = 'sent' AND {REPLY}) AS my_replies,
     COUNT(*) FILTER (WHERE direction = 'received' AND {REPLY}) AS their_replies,
-    ROUND(MEDIAN(reply_delay_seconds) FILTER (WHERE direction = 'sent' AND {REPLY}), 5) AS my_median_seconds,
-    ROUND(MEDIAN(reply_delay_seconds) FILTER (WHERE direction = 'received' AND {REPLY}), 5) AS their_median_seconds
+    ROUND(MEDIAN(reply_delay_seconds) FILTER (WHERE direction = 'sent' AND {REPLY}), 7) AS my_median_seconds,
+    ROUND(MEDIAN(reply_delay_seconds) FILTER (WHERE direction = 'received' AND {REPLY}), 7) AS their_median_seconds
   FROM talk GROUP BY contact HAVING my_replies >= {{0}} AND their_replies >= {{0}}"""
 
 
 def rounded_replies(m, least):
     return messages.reply_times(m, least).withColumns(
-        {c: F.round(c, 5) for c in ("my_median_seconds", "their_median_seconds")}
+        {c: F.round(c, 7) for c in ("my_median_seconds", "their_median_seconds")}
     )
 
 

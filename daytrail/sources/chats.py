@@ -526,22 +526,83 @@ def bracketed_log(lines: DataFrame) -> DataFrame:
 # --- files -----------------------------------------------------------------------------
 
 
+def plain_path(path: Column) -> Column:
+    """File paths arrive URL-encoded; names are matched as people wrote them."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+LINE_SCHEMA = "path string, seq struct<file:string, block:bigint, pos:bigint>, line string"
+BLOCK_BYTES = 64 * 1024 * 1024
+LINES_PER_BATCH = 20_000
+
+
 def read_lines(spark: SparkSession, paths: str | Sequence[str], glob: str = "*.txt") -> DataFrame:
     """Lines of text files with their place in the file. Large files are split into blocks."""
-    return (
+    path = plain_path(F.col("_metadata.file_path"))
+    listed = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
         .text(paths)
         .select(
-            F.col("_metadata.file_path").alias("path"),
+            path.alias("path"),
             F.struct(
-                F.col("_metadata.file_path").alias("file"),
+                path.alias("file"),
                 F.col("_metadata.file_block_start").alias("block"),
                 F.monotonically_increasing_id().alias("pos"),
             ).alias("seq"),
             F.regexp_replace("value", r"\r$", "").alias("line"),
         )
     )
+    hidden = _underscored_files(spark, paths)
+    return listed.unionByName(_hidden_lines(spark, hidden)) if hidden else listed
+
+
+def _underscored_files(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
+    """Text files whose name begins with an underscore, as phones name a bare transcript.
+
+    Spark's file sources take such files for hidden and skip them. Only names are listed here.
+    """
+    found = []
+    for root in [paths] if isinstance(paths, str) else paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(root)
+        listing = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
+        while listing.hasNext():
+            file = listing.next().getPath()
+            if file.getName().startswith("_") and file.getName().lower().endswith(".txt"):
+                found.append(file.toUri().toString())
+    return found
+
+
+def _hidden_lines(spark: SparkSession, files: Sequence[str]) -> DataFrame:
+    """Lines of the given files, streamed in tasks; one row per file goes in."""
+
+    def stream(batches):
+        import io
+        import urllib.parse
+
+        import pandas as pd
+        from pyarrow import fs
+
+        for batch in batches:
+            for uri in batch["uri"]:
+                name = urllib.parse.unquote(uri)
+                scheme, _, rest = name.partition(":")
+                full = f"{scheme}:///{rest.lstrip('/')}" if scheme == "file" else name
+                system, inner = fs.FileSystem.from_uri(urllib.parse.quote(full, safe="/:"))
+                rows, read = [], 0
+                with system.open_input_stream(inner) as raw:
+                    for n, line in enumerate(io.TextIOWrapper(raw, "utf-8", "replace", newline="\n")):
+                        place = {"file": name, "block": read // BLOCK_BYTES, "pos": n}
+                        rows.append((name, place, line.rstrip("\r\n")))
+                        read += len(line)
+                        if len(rows) == LINES_PER_BATCH:
+                            yield pd.DataFrame(rows, columns=["path", "seq", "line"])
+                            rows = []
+                if rows:
+                    yield pd.DataFrame(rows, columns=["path", "seq", "line"])
+
+    named = spark.createDataFrame([(f,) for f in files], "uri string").repartition(len(files))
+    return named.mapInPandas(stream, LINE_SCHEMA)
 
 
 def _read_documents(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -551,7 +612,7 @@ def _read_documents(spark: SparkSession, paths: str | Sequence[str]) -> DataFram
         .option("pathGlobFilter", "*.json")
         .option("wholetext", True)
         .text(paths)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+        .select(plain_path(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("content"))
     )
 
 
