@@ -19,7 +19,7 @@ from daytrail.functions.numbers import (
     whole,
 )
 from daytrail.plans.filters import DateRange, explorer_where, require
-from daytrail.plans.ranking import top_k
+from daytrail.plans.ranking import small, top_k, with_group_row
 
 
 def top_artists(
@@ -46,13 +46,13 @@ def leading_keys(plays: DataFrame, keys: Sequence[str], limit: int, by: Sequence
 
 
 def keep_leaders(
-    plays: DataFrame, leaders: DataFrame, keys: Sequence[str], by: Sequence[str]
+    plays: DataFrame, keys: Sequence[str], limit: int, by: Sequence[str]
 ) -> DataFrame:
-    """Plays of the leading keys. ``leaders`` holds ``limit`` rows unless grouped."""
-    on = [*by, *keys]
+    """Plays of the leading keys."""
+    leaders = leading_keys(plays, keys, limit, by)
     # Without groups the right side is bounded by the limit; with groups it grows with
     # the number of people and the join strategy is left to Spark.
-    return plays.join(leaders if by else F.broadcast(leaders), on, "left_semi")
+    return plays.join(leaders if by else small(leaders, limit), [*by, *keys], "left_semi")
 
 
 def top_artists_by_month_of_listening(
@@ -63,15 +63,14 @@ def top_artists_by_month_of_listening(
 ) -> DataFrame:
     """Minutes per artist and month since the artist's first listen."""
     base = require(plays, "artist_name", "timestamp", dates_wanted=dates_wanted)
-    leaders = leading_keys(base, ["artist_name"], limit, by)
     # Aggregate to calendar months first; the month of the first listen is then the least.
     monthly = (
-        keep_leaders(base, leaders, ["artist_name"], by)
+        keep_leaders(base, ["artist_name"], limit, by)
         .groupBy(*by, "artist_name", dates.month_number(F.col("timestamp")).alias("_month"))
         .agg(F.sum("ms_played").alias("_ms"))
     )
     first = monthly.groupBy(*by, "artist_name").agg(F.min("_month").alias("_first"))
-    joined = monthly.join(first if by else F.broadcast(first), [*by, "artist_name"])
+    joined = monthly.join(first if by else small(first, limit), [*by, "artist_name"])
     return joined.select(
         *by,
         F.col("artist_name").alias("artist"),
@@ -89,7 +88,7 @@ def artist_months(
     """Hours per artist and calendar month, for all artists or the leading ones."""
     base = require(plays, "artist_name", "date", "ms_played", dates_wanted=dates_wanted)
     if limit:
-        base = keep_leaders(base, leading_keys(base, ["artist_name"], limit, by), ["artist_name"], by)
+        base = keep_leaders(base, ["artist_name"], limit, by)
     return (
         base.groupBy(
             *by,
@@ -143,10 +142,7 @@ def artist_profiles(
     # The newest play per group follows from the artist rows: no second scan.
     newest = core.groupBy(*by).agg(F.max("_last").alias("_newest"))
     best = top_k(core, limit, F.desc("_ms"), F.asc("artist"), by=by)
-    if by:
-        joined = best.join(newest, list(by))
-    else:
-        joined = best.crossJoin(F.broadcast(newest))  # one row
+    joined = with_group_row(best, newest, by)
     n = F.col("play_count").cast("double")
     mean_ms = (
         F.col("_days") * 86_400_000.0 / n + F.col("_secs") * 1000.0 / n + F.col("_micros") / 1000.0 / n

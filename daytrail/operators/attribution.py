@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from daytrail.functions import sphere
 from daytrail.plans.ranking import over
+from daytrail.session import cut_lineage
 
 # Fixed values.
 POSITION_DECIMALS = 4  # about 11 m
@@ -52,7 +53,12 @@ def _zone_cells(zones: DataFrame, pad: float) -> DataFrame:
     )
 
 
-def candidate_zones(positions: DataFrame, zones: DataFrame, pad: float = COAST_BUFFER_DEG) -> DataFrame:
+def candidate_zones(
+    positions: DataFrame,
+    zones: DataFrame,
+    pad: float = COAST_BUFFER_DEG,
+    columns: Sequence[str] = ("level", "country_code", *HIERARCHY),
+) -> DataFrame:
     """Pairs of position and polygon whose padded box holds the position, with edges.
 
     Grid cells make it an equi-join. No broadcast is forced: the cell table and the polygons
@@ -70,17 +76,17 @@ def candidate_zones(positions: DataFrame, zones: DataFrame, pad: float = COAST_B
         .select("lat_k", "lon_k", "zone_id")
     )
     shapes = zones.select(
-        "zone_id", "level", "country_code", *HIERARCHY, sphere.edges_of(F.col("rings")).alias("edges")
+        "zone_id", *columns, sphere.edges_of(F.col("rings")).alias("edges")
     )
     return pairs.join(shapes, "zone_id")
 
 
-def point_in_leaf(positions: DataFrame, zones: DataFrame) -> DataFrame:
-    """The land polygon that contains each position; the lowest id wins."""
-    hits = candidate_zones(positions, zones.filter(F.col("level") != "ocean"), 0.0).filter(
+def containing_zone(positions: DataFrame, zones: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The polygon that contains each position; the lowest id wins."""
+    hits = candidate_zones(positions, zones, 0.0, columns).filter(
         sphere.inside(F.col("edges"), F.col("lon_k"), F.col("lat_k"))
     )
-    zone = F.struct("zone_id", "country_code", *HIERARCHY)
+    zone = F.struct("zone_id", *columns)
     return (
         hits.groupBy("lat_k", "lon_k")
         .agg(F.min_by(zone, "zone_id").alias("z"))
@@ -88,6 +94,12 @@ def point_in_leaf(positions: DataFrame, zones: DataFrame) -> DataFrame:
     )
 
 
+def point_in_leaf(positions: DataFrame, zones: DataFrame) -> DataFrame:
+    """The land polygon that contains each position, with its hierarchy."""
+    land = zones.filter(F.col("level") != "ocean")
+    return containing_zone(positions, land, ["country_code", *HIERARCHY])
+
+
 def coastal_buffer(misses: DataFrame, zones: DataFrame) -> DataFrame:
     """The nearest land polygon within the coastal margin."""
     near = candidate_zones(misses, zones.filter(F.col("level") != "ocean")).withColumn(
@@ -104,13 +116,8 @@ def coastal_buffer(misses: DataFrame, zones: DataFrame) -> DataFrame:
 
 def ocean_fallback(misses: DataFrame, zones: DataFrame) -> DataFrame:
     """The sea that contains each remaining position, as its country."""
-    return (
-        candidate_zones(misses, zones.filter(F.col("level") == "ocean"), 0.0)
-        .filter(sphere.inside(F.col("edges"), F.col("lon_k"), F.col("lat_k")))
-        .groupBy("lat_k", "lon_k")
-        .agg(F.min_by(F.struct("zone_id", "country_code", "country"), "zone_id").alias("z"))
-        .select("lat_k", "lon_k", "z.*")
-    )
+    seas = zones.filter(F.col("level") == "ocean")
+    return containing_zone(misses, seas, ["country_code", "country"])
 
 
 def resolve_zones(positions: DataFrame, zones: DataFrame) -> DataFrame:
@@ -222,6 +229,7 @@ def attribute(segments: DataFrame, zones: DataFrame, cities: DataFrame) -> DataF
 
 FINE_CELL_DEG = 0.05
 COARSE_CELL_DEG = 1.0
+WIDE_CELL_DEG = 30.0
 
 
 def _grid(lat: Column, lon: Column, size: float) -> dict[str, Column]:
@@ -242,9 +250,10 @@ def nearest_site(
 
     ``queries``: ``by``, ``query_key``, lat, lon. ``sites``: ``by``, site_id, lat, lon.
     First the 3 x 3 fine cells around the point: a hit closer than anything outside them can
-    be is final. What is left is compared with occupied one-degree cells only (of which the
-    world has a bounded number): centre and radius of a cell bound its distance from below,
-    any one of its sites from above. Only cells that can hold the answer are opened.
+    be is final. What is left descends a grid, from 72 cells of 30 degrees to one-degree cells
+    to sites. On each level a cell's centre and radius bound the distance of its sites from
+    below, any one of them from above; only cells that can hold the answer are opened. All
+    joins are on cells, and no level pairs a point with more than a fixed number of them.
     """
     fine = _grid(F.col("lat"), F.col("lon"), FINE_CELL_DEG)
     columns = int(round(360 / FINE_CELL_DEG))
@@ -268,8 +277,9 @@ def nearest_site(
         .groupBy(*by, query_key)
         .agg(best.alias("b"))
     )
-    first = queries.join(close, [*by, query_key], "left").select(
-        *by, query_key, "lat", "lon", "b"
+    # A row per query; read by both branches below.
+    first = cut_lineage(
+        queries.join(close, [*by, query_key], "left").select(*by, query_key, "lat", "lon", "b")
     )
     clear = F.col("b.m") < sphere.meridian_clearance_m(F.col("lat"), FINE_CELL_DEG)
     done = first.filter(F.coalesce(clear, F.lit(False))).select(*by, query_key, "b.site_id", "b.m")
@@ -277,44 +287,61 @@ def nearest_site(
         *by, query_key, "lat", "lon", F.col("b.m").alias("m0")
     )
 
-    coarse = _grid(F.col("lat"), F.col("lon"), COARSE_CELL_DEG)
-    celled = sites.select(
+    placed = sites.select(
         *by, "site_id", F.col("lat").alias("slat"), F.col("lon").alias("slon"),
-        *[c.alias(n) for n, c in coarse.items()],
-    ).withColumns(
-        {
-            "clat": (F.col("gy") + 0.5) * COARSE_CELL_DEG - 90.0,
-            "clon": (F.col("gx") + 0.5) * COARSE_CELL_DEG - 180.0,
-        }
-    )
-    cells = celled.groupBy(*by, "gx", "gy", "clat", "clon").agg(
-        F.max(sphere.haversine_m(F.col("clat"), F.col("clon"), F.col("slat"), F.col("slon"))).alias("radius"),
-        F.min(F.struct("slat", "slon")).alias("one"),
-    )
-    pairs = open_.join(cells, list(by)) if by else open_.join(F.broadcast(cells))
-    bounds = pairs.select(
-        *by,
-        query_key,
-        "lat",
-        "lon",
-        "m0",
-        "gx",
-        "gy",
-        (sphere.haversine_m(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon")) - F.col("radius")).alias("at_least"),
-        sphere.haversine_m(F.col("lat"), F.col("lon"), F.col("one.slat"), F.col("one.slon")).alias("at_most"),
-    )
-    reach = bounds.groupBy(*by, query_key).agg(
-        F.min(F.least("at_most", F.coalesce("m0", F.col("at_most")))).alias("reach")
-    )
-    openable = bounds.join(reach, [*by, query_key]).filter(
-        F.col("at_least") <= F.col("reach") + 1e-3
+        _cell_id(F.col("lat"), F.col("lon"), WIDE_CELL_DEG).alias("wide"),
+        _cell_id(F.col("lat"), F.col("lon"), COARSE_CELL_DEG).alias("coarse"),
     )
+    wide_ids = F.sequence(F.lit(0), F.lit(int(180 / WIDE_CELL_DEG * 360 / WIDE_CELL_DEG) - 1))
+    asked = open_.withColumn("wide", F.explode(wide_ids))
+    wide = _promising(asked.join(_cell_summary(placed, [*by, "wide"]), [*by, "wide"]), [*by, query_key])
+    asked = wide.select(*by, query_key, "lat", "lon", "m0", "wide")
+    summary = _cell_summary(placed, [*by, "wide", "coarse"])
+    near = _promising(asked.join(summary, [*by, "wide"]), [*by, query_key])
     far = (
-        openable.select(*by, query_key, "lat", "lon", "gx", "gy")
-        .join(celled.select(*by, "site_id", "slat", "slon", "gx", "gy"), [*by, "gx", "gy"])
+        near.select(*by, query_key, "lat", "lon", "coarse")
+        .join(placed.drop("wide"), [*by, "coarse"])
         .withColumn("m", distance)
         .groupBy(*by, query_key)
         .agg(best.alias("b"))
         .select(*by, query_key, "b.site_id", "b.m")
     )
     return done.unionByName(far)
+
+
+def _cell_id(lat: Column, lon: Column, size: float) -> Column:
+    grid = _grid(lat, lon, size)
+    return (grid["gy"] * F.lit(int(round(360 / size))) + grid["gx"]).cast("int")
+
+
+def _cell_summary(placed: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Per cell: its middle, how far its sites reach from there, and one of them.
+
+    By the triangle inequality a site is at least as far away as the middle less the reach.
+    """
+    size = COARSE_CELL_DEG if key[-1] == "coarse" else WIDE_CELL_DEG
+    columns = int(round(360 / size))
+    cell = F.col(key[-1])
+    centre = {
+        "clat": (F.floor(cell / columns) + 0.5) * size - 90.0,
+        "clon": (cell % columns + 0.5) * size - 180.0,
+    }
+    reach = sphere.haversine_m(F.col("clat"), F.col("clon"), F.col("slat"), F.col("slon"))
+    return (
+        placed.withColumns(centre)
+        .groupBy(*key, "clat", "clon")
+        .agg(F.max(reach).alias("reach"), F.min(F.struct("slat", "slon")).alias("one"))
+    )
+
+
+def _promising(pairs: DataFrame, query: Sequence[str]) -> DataFrame:
+    """Pairs of point and cell that can still hold the nearest site.
+
+    The window is over the cells one point is compared with, of which there are at most 72 on
+    the first level and 900 per opened cell on the second.
+    """
+    here = (F.col("lat"), F.col("lon"))
+    at_least = sphere.haversine_m(*here, F.col("clat"), F.col("clon")) - F.col("reach")
+    at_most = F.least(sphere.haversine_m(*here, F.col("one.slat"), F.col("one.slon")), F.col("m0"))
+    bounded = pairs.withColumns({"_low": at_least, "_high": F.min(at_most).over(over(query))})
+    return bounded.filter(F.col("_low") <= F.col("_high") + 1e-3).drop("_low", "_high")

@@ -18,7 +18,7 @@ from daytrail.plans.filters import (
     require,
     where,
 )
-from daytrail.plans.ranking import over, rank_flag, top_k
+from daytrail.plans.ranking import over, rank_flag, small, top_k
 
 VIEW_KEYS = ("timestamp", "hour_of_day")
 
@@ -28,11 +28,17 @@ def macro_stats(
 ) -> DataFrame:
     """Total minutes, distinct artists and tracks, and the skip rate in percent."""
     base = require(plays, "track_name", "track_uri", dates_wanted=dates_wanted)
-    return base.groupBy(*by).agg(
-        F.coalesce(whole(minutes(F.sum("ms_played"))), F.lit(0)).alias("total_minutes"),
+    # First per artist and track, so that the distinct counts expand few rows.
+    pairs = base.groupBy(*by, "artist_name", "track_uri").agg(
+        F.sum("ms_played").alias("ms"),
+        F.count(F.lit(1)).alias("n"),
+        count_where(F.col("skipped")).alias("skips"),
+    )
+    return pairs.groupBy(*by).agg(
+        F.coalesce(whole(minutes(F.sum("ms"))), F.lit(0)).alias("total_minutes"),
         F.countDistinct("artist_name").alias("unique_artists"),
         F.countDistinct("track_uri").alias("unique_tracks"),
-        half_up(ratio(count_where(F.col("skipped")), F.count(F.lit(1))) * 100.0).alias("skip_rate"),
+        half_up(ratio(F.sum("skips"), F.coalesce(F.sum("n"), F.lit(0))) * 100.0).alias("skip_rate"),
     )
 
 
@@ -40,9 +46,14 @@ def explorer_macro_stats(
     plays: DataFrame, filters: Mapping[str, Any] | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
     """Headline figures of the rows that pass every filter."""
-    return explorer_where(plays, filters or {}).groupBy(*by).agg(
-        F.coalesce(whole(minutes(F.sum("ms_played"))), F.lit(0)).alias("total_minutes"),
-        F.count(F.lit(1)).alias("total_plays"),
+    triples = (
+        explorer_where(plays, filters or {})
+        .groupBy(*by, "artist_name", "album_name", "track_uri")
+        .agg(F.sum("ms_played").alias("ms"), F.count(F.lit(1)).alias("n"))
+    )
+    return triples.groupBy(*by).agg(
+        F.coalesce(whole(minutes(F.sum("ms"))), F.lit(0)).alias("total_minutes"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_plays"),
         F.countDistinct("artist_name").alias("unique_artists"),
         F.countDistinct("album_name").alias("unique_albums"),
         F.countDistinct("track_uri").alias("unique_tracks"),
@@ -102,7 +113,7 @@ def collapse_flow(flow: DataFrame, top: int = 8, by: Sequence[str] = ()) -> Data
         kept = top_k(totals, top, F.desc("_m"), F.asc(side), by=by).select(
             *by, side, F.lit(True).alias("_kept")
         )
-        out = out.join(kept if by else F.broadcast(kept), [*by, side], "left").withColumn(
+        out = out.join(kept if by else small(kept, top), [*by, side], "left").withColumn(
             side, F.when(F.col("_kept"), F.col(side)).otherwise(F.lit(other))
         ).drop("_kept")
     return out.groupBy(*by, "reason_start", "reason_end").agg(F.sum("minutes").alias("minutes"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from daytrail.functions import dates, text
 from daytrail.plans.ordered import hour_chunk, ordered_pass
-from daytrail.plans.ranking import over
+from daytrail.plans.ranking import over, with_group_row
 
 # When a follow-up counts as a double text, and when a session ends.
 DOUBLE_TEXT_AFTER_S = 5 * 60
@@ -72,7 +72,7 @@ def conversation_columns(
         )
         .select(*cut, "_from_us", "_from_sender", "_fresh", "_base")
     )
-    joined = inside.join(chunks, cut)
+    joined = inside.join(chunks, cut, "left")
     head = F.col("_prev_us").isNull()
     prev_us = F.coalesce("_prev_us", "_from_us")
     same = F.when(head, F.col("_from_sender") == F.col("sender")).otherwise(
@@ -137,7 +137,7 @@ def message_rows(
     owners = owner_names(threads, messages, by)
     # All owner names of a person: as many as exports.
     own = owners.groupBy(*person).agg(F.collect_set("self_name").alias("_own"))
-    who = threads.join(own, list(person)) if person else threads.crossJoin(F.broadcast(own))
+    who = with_group_row(threads, own, person)
     others = F.array_except("participants", "_own")
     contact = F.when(F.col("is_group"), F.col("thread")).otherwise(
         F.coalesce(F.get(others, F.lit(0)), F.col("thread"))

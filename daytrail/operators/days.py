@@ -11,7 +11,7 @@ from daytrail.functions import dates, labels, sphere
 from daytrail.functions.numbers import count_where, sum_where
 from daytrail.operators.attribution import nearest_site
 from daytrail.plans.ordered import ms_hour_chunk, ordered_pass
-from daytrail.plans.ranking import exact_quantiles, top_k
+from daytrail.plans.ranking import exact_quantiles, small, top_k, with_group_row
 from daytrail.session import cut_lineage
 
 # Fixed values.
@@ -52,36 +52,38 @@ def known_places(segs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     Labels are counted per value before the winner is picked, so a place visited all the
     time is a handful of rows.
     """
-    visits = segs.filter(F.col("still") & F.col("place_id").isNotNull())
-    first_seen = F.struct("start_ms", "seg_id")
-    counted = (
-        visits.select(
-            *by,
-            "place_id",
-            "start_ms",
-            "seg_id",
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(F.lit(k).alias("kind"), F.col(k).alias("label"))
-                        for k in ("semantic_type", "city", "country")
-                    ]
-                )
-            ),
+    kinds = ("semantic_type", "city", "country")
+    # One row per place and combination of labels; everything else follows from these.
+    combos = (
+        segs.filter(F.col("still") & F.col("place_id").isNotNull())
+        .groupBy(*by, "place_id", *kinds)
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum("lat").alias("lats"),
+            F.sum("lon").alias("lons"),
+            F.min(F.struct("start_ms", "seg_id")).alias("seen"),
         )
+    )
+    labelled = F.array(
+        *[F.struct(F.lit(k).alias("kind"), F.col(k).alias("label")) for k in kinds]
+    )
+    counted = (
+        combos.select(*by, "place_id", "n", "seen", F.inline(labelled))
         .filter(F.col("label").isNotNull())
         .groupBy(*by, "place_id", "kind", "label")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(first_seen).alias("seen"))
+        .agg(F.sum("n").alias("n"), F.min("seen").alias("seen"))
     )
     winner = F.min_by("label", F.struct((-F.col("n")).alias("few"), "seen"))
     modes = (
         counted.groupBy(*by, "place_id", "kind")
         .agg(winner.alias("label"))
         .groupBy(*by, "place_id")
-        .agg(*[F.max(F.when(F.col("kind") == k, F.col("label"))).alias(k) for k in ("semantic_type", "city", "country")])
+        .agg(*[F.max(F.when(F.col("kind") == k, F.col("label"))).alias(k) for k in kinds])
     )
-    centres = visits.groupBy(*by, "place_id").agg(
-        F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.count(F.lit(1)).alias("visits")
+    centres = combos.groupBy(*by, "place_id").agg(
+        (F.sum("lats") / F.sum("n")).alias("lat"),
+        (F.sum("lons") / F.sum("n")).alias("lon"),
+        F.sum("n").alias("visits"),
     )
     joined = centres.join(modes, [*by, "place_id"], "left")
     return joined.select(
@@ -90,7 +92,7 @@ def known_places(segs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         "lat",
         "lon",
         "visits",
-        *[F.coalesce(k, F.lit(labels.UNKNOWN)).alias(k) for k in ("semantic_type", "city", "country")],
+        *[F.coalesce(k, F.lit(labels.UNKNOWN)).alias(k) for k in kinds],
     )
 
 
@@ -352,7 +354,7 @@ def top_city_other(table: DataFrame, top: int = 8, by: Sequence[str] = ()) -> Da
     best = top_k(counts, top, F.desc("_n"), F.asc("start_city"), by=by).select(
         *by, "start_city", F.lit(True).alias("_top")
     )
-    joined = table.join(best if by else F.broadcast(best), [*by, "start_city"], "left")
+    joined = table.join(best if by else small(best, top), [*by, "start_city"], "left")
     return joined.select(
         *by, "day", F.when(F.col("_top"), F.col("start_city")).otherwise(F.lit("Other")).alias("city_group")
     )
@@ -365,7 +367,7 @@ def km_classes(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     cuts = exact_quantiles(
         table, km, {n: (q, km > 0) for n, q in zip(names, KM_QUANTILES, strict=True)}, by=by
     )
-    joined = table.join(cuts, list(by), "left") if by else table.crossJoin(F.broadcast(cuts))
+    joined = with_group_row(table, cuts, by, "left")
     level = F.lit(0)
     for n in names:
         level = level + (km >= F.col(n)).cast("int")

@@ -7,6 +7,8 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from daytrail.plans.ranking import with_group_row
+
 # Fixed values.
 SMALL_SHARE = 0.5 / 360
 OTHER_NAMES = ("Other artists", "Other albums", "Other tracks")
@@ -56,7 +58,7 @@ def bucket_small(
     for depth in range(1, len(levels) + 1):
         parent = [*by, *levels[: depth - 1]]
         here = totals[depth] if depth < len(levels) else leaves.withColumn("_total", F.col(value))
-        joined = here.join(verdict, parent) if parent else here.crossJoin(F.broadcast(verdict))
+        joined = with_group_row(here, verdict, parent)
         is_small = F.col("_total") < F.col("_up") * F.lit(threshold)
         fold = F.coalesce("_fold", F.when(is_small, F.lit(depth - 1)))
         extra = [count, value] if depth == len(levels) else []

@@ -11,7 +11,7 @@ from daytrail.functions import dates, labels
 from daytrail.functions.numbers import half_up, ratio
 from daytrail.plans.filters import require
 from daytrail.plans.ordered import hour_chunk, ordered_pass
-from daytrail.plans.ranking import exact_quantiles
+from daytrail.plans.ranking import exact_quantiles, with_group_row
 
 # Fixed values.
 SPEED_TOP_KMH = 300
@@ -54,9 +54,7 @@ def speed_summary(segments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     speeds = _measured_speeds(segments)
     total = speeds.groupBy(*by).agg(F.count(F.lit(1)).alias("total_legs"))
     median = exact_quantiles(speeds, F.col("speed_kmh"), {"median_kmh": (0.5, None)}, by=by)
-    if by:
-        return total.join(median, list(by), "left")
-    return total.crossJoin(F.broadcast(median))  # one row each
+    return with_group_row(total, median, by, "left")
 
 
 def share_below(histogram: DataFrame, kmh: int, by: Sequence[str] = ()) -> DataFrame:
@@ -205,7 +203,7 @@ def percentile_box(
     lat = exact_quantiles(
         points, F.col("lat"), {"_s": (low, None), "_n": (high, None)}, by=by, interpolate=False
     )
-    both = lon.join(lat, list(by)) if by else lon.crossJoin(F.broadcast(lat))
+    both = with_group_row(lon, lat, by)
     wide, tall = (F.col("_e") - F.col("_w")) * pad, (F.col("_n") - F.col("_s")) * pad
     dx = F.when(wide == 0, F.lit(0.01)).otherwise(wide)
     dy = F.when(tall == 0, F.lit(0.01)).otherwise(tall)

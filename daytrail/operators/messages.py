@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from daytrail.functions import dates, labels
 from daytrail.functions.numbers import count_where, half_up, ratio, sum_where
 from daytrail.plans.filters import require
-from daytrail.plans.ranking import exact_quantiles, over, top_k
+from daytrail.plans.ranking import exact_quantiles, over, small, top_k, with_group_row
 
 
 def sent() -> Column:
@@ -47,26 +47,37 @@ def _reply_medians(messages: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def message_macro_stats(messages: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Sixteen headline figures. A reaction on a message I sent is one I received."""
-    counts = messages.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("total_messages"),
-        count_where(sent()).alias("sent_messages"),
-        count_where(received()).alias("received_messages"),
+    # First per contact, session and day: the distinct counts then expand few rows.
+    ones = messages.groupBy(*by, "contact", "session_id", "date").agg(
+        F.count(F.lit(1)).alias("all"),
+        count_where(sent()).alias("sent"),
+        count_where(received()).alias("received"),
+        F.sum("word_count").alias("words"),
+        F.sum("char_count").alias("chars"),
+        count_where(F.col("media_kind") != "none").alias("media"),
+        count_where(F.col("media_kind") == "voice").alias("voice"),
+        sum_where(F.col("reaction_count"), sent()).alias("got"),
+        sum_where(F.col("reaction_count"), received()).alias("gave"),
+    )
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    counts = ones.groupBy(*by).agg(
+        total("all", "total_messages"),
+        total("sent", "sent_messages"),
+        total("received", "received_messages"),
         F.countDistinct("contact").alias("contacts"),
         F.countDistinct("date").alias("active_days"),
         F.countDistinct("contact", "session_id").alias("conversations"),
-        F.coalesce(F.sum("word_count"), F.lit(0)).alias("words"),
-        F.coalesce(F.sum("char_count"), F.lit(0)).alias("characters"),
-        count_where(F.col("media_kind") != "none").alias("media_messages"),
-        count_where(F.col("media_kind") == "voice").alias("voice_notes"),
-        F.coalesce(sum_where(F.col("reaction_count"), sent()), F.lit(0)).alias("reactions_received"),
-        F.coalesce(sum_where(F.col("reaction_count"), received()), F.lit(0)).alias("reactions_given"),
+        total("words", "words"),
+        total("chars", "characters"),
+        total("media", "media_messages"),
+        total("voice", "voice_notes"),
+        total("got", "reactions_received"),
+        total("gave", "reactions_given"),
         F.min("date").alias("first_day"),
         F.max("date").alias("last_day"),
     )
     medians = _reply_medians(messages, by)
-    if by:
-        return counts.join(medians, list(by), "left")
-    return counts.crossJoin(F.broadcast(medians))  # one row each
+    return with_group_row(counts, medians, by, "left")
 
 
 def monthly_by_contact(messages: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -156,7 +167,7 @@ def top_contact_months(messages: DataFrame, top: int = 15, by: Sequence[str] = (
     totals = monthly.groupBy(*by, "contact").agg(F.sum("messages").alias("_n"))
     leaders = top_k(totals, top, F.desc("_n"), F.asc("contact"), by=by).select(*by, "contact")
     span = monthly.groupBy(*by).agg(F.min("month").alias("_a"), F.max("month").alias("_b"))
-    named = leaders.join(span, list(by)) if by else leaders.crossJoin(F.broadcast(span))
+    named = with_group_row(leaders, span, by)
     grid = named.select(
         *by, "contact", F.explode(F.sequence("_a", "_b", F.expr("INTERVAL '1' MONTH"))).alias("month")
     )
@@ -285,7 +296,7 @@ def reply_quadrant(replies: DataFrame, labelled: int = 12, by: Sequence[str] = (
     marked = top_k(rows, labelled, F.desc("messages"), F.asc("contact"), by=by).select(
         *by, "contact", F.lit(True).alias("labelled")
     )
-    joined = rows.join(marked if by else F.broadcast(marked), [*by, "contact"], "left")
+    joined = rows.join(marked if by else small(marked, labelled), [*by, "contact"], "left")
     return joined.withColumn("labelled", F.coalesce("labelled", F.lit(False)))
 
 

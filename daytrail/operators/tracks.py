@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from daytrail.functions import dates, labels
 from daytrail.functions.numbers import count_where, half_up, hours, minutes, percent, ratio, whole
-from daytrail.operators.artists import keep_leaders, leading_keys
+from daytrail.operators.artists import keep_leaders
 from daytrail.plans.filters import DateRange, require
-from daytrail.plans.ranking import exact_quantiles, top_k
+from daytrail.plans.ranking import exact_quantiles, small, top_k, with_group_row
 
 
 def top_tracks(
@@ -80,10 +80,8 @@ def track_profiles(
     best = top_k(
         tracks, limit, F.desc("play_count"), F.desc("_ms"), F.asc("artist"), F.asc("track"), by=by
     )
-    if by:
-        joined = best.join(artists, [*by, "artist"]).join(newest, list(by))
-    else:
-        joined = artists.join(F.broadcast(best), "artist").crossJoin(F.broadcast(newest))
+    matched = artists.join(best if by else small(best, limit), [*by, "artist"])
+    joined = with_group_row(matched, newest, by)
     plays_made = F.col("play_count")
     return joined.select(
         *by,
@@ -110,7 +108,7 @@ def track_months(
     keys = ["track_name", "artist_name"]
     base = require(plays, *keys, "date", "ms_played", dates_wanted=dates_wanted)
     if limit:
-        base = keep_leaders(base, leading_keys(base, keys, limit, by), keys, by)
+        base = keep_leaders(base, keys, limit, by)
     return (
         base.groupBy(
             *by,

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from daytrail.plans.ranking import over
+from daytrail.plans.ranking import over, with_group_row
 
 # Fixed values.
 KEY_SEPARATOR = "\u001f"
@@ -106,7 +106,7 @@ def log_scale(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     ends = df.groupBy(*by).agg(
         F.ln(F.min(positive)).alias("_lo"), F.ln(F.max(positive)).alias("_hi")
     )
-    joined = df.join(ends, list(by)) if by else df.crossJoin(F.broadcast(ends))  # one row
+    joined = with_group_row(df, ends, by)
     span = F.col("_hi") - F.col("_lo")
     place = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.ln(positive) - F.col("_lo")) / span))
     t = F.when(positive.isNull(), F.lit(-1.0)).when(span > 0, place).otherwise(F.lit(1.0))
@@ -212,9 +212,7 @@ def union_boxes(boxes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         (360.0 - F.col("gap")).alias("span"),
     )
     tightest = candidates.groupBy(*by).agg(F.min("span").alias("_min"))
-    joined = (
-        candidates.join(tightest, list(by)) if by else candidates.crossJoin(F.broadcast(tightest))
-    )
+    joined = with_group_row(candidates, tightest, by)
     centre = F.abs((F.col("west") + F.col("east")) / 2)
     best = (
         joined.filter(F.col("span") <= F.col("_min") * NEAR_TIE)
@@ -222,7 +220,7 @@ def union_boxes(boxes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         .agg(F.min(F.struct(centre.alias("c"), "west", "east")).alias("best"))
     )
     lat = boxes.groupBy(*by).agg(F.min("south").alias("south"), F.max("north").alias("north"))
-    merged = best.join(lat, list(by)) if by else best.crossJoin(F.broadcast(lat))
+    merged = with_group_row(best, lat, by)
     return merged.select(
         *by, F.col("best.west").alias("west"), "south", F.col("best.east").alias("east"), "north"
     )

@@ -30,6 +30,29 @@ def top_k(df: DataFrame, k: int, *order: Column, by: Sequence[str] = ()) -> Data
     return ranked.filter(F.col("_rank") <= k).drop("_rank")
 
 
+# Most rows a table may have to be broadcast outright; report limits stay far below.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast ``df`` when it is known to hold at most ``rows`` rows and that is few."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def with_group_row(
+    df: DataFrame, facts: DataFrame, by: Sequence[str] = (), how: str = "inner"
+) -> DataFrame:
+    """Puts the single row per group of ``facts`` beside every row of the group.
+
+    Without groups ``facts`` has one row, which is read as a scalar subquery: no join.
+    """
+    if by:
+        return df.join(facts, list(by), how)
+    row = facts.select(F.struct(*facts.columns)).scalar()
+    wide = df.withColumn("_facts", row)
+    return wide.select(*df.columns, *[F.col(f"_facts.{c}").alias(c) for c in facts.columns])
+
+
 def rank_flag(df: DataFrame, k: int, name: str, *order: Column, by: Sequence[str] = ()) -> DataFrame:
     """Marks the first ``k`` rows of each group. For already aggregated rows."""
     return df.withColumn(name, F.row_number().over(over(by, *order)) <= k)

@@ -17,6 +17,9 @@ RUNTIME_CONF = {
     # Hot join keys are split at run time, even when that costs one more shuffle.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # In 4.1 a union that claims the partitioning of its inputs can disagree with adaptive
+    # coalescing of one of them, which fails a later join.
+    "spark.sql.unionOutputPartitioning": "false",
 }
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from daytrail.functions import text as words
 from daytrail.operators.conversation import message_index
-from daytrail.plans.ranking import over, top_k
+from daytrail.plans.ranking import over, top_k, with_group_row
 
 # Formats, markers, layouts and field names of the exports.
 PEEK_CHARS = 2048
@@ -276,7 +276,7 @@ def messages_from_meta(
         docs.groupBy(*by, "thread_key").agg(F.min_by(head, "path").alias("h")).select(*by, "thread_key", "h.*")
     )
     service = archive_network(files, by) if networks is None else networks
-    threads = threads.join(service, list(by)) if by else threads.crossJoin(F.broadcast(service))
+    threads = with_group_row(threads, service, by)
     m = F.col("m")
     rows = (
         docs.select(*by, "thread_key", "path", F.posexplode("doc.messages").alias("pos", "m"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from daytrail.functions import sphere
+from daytrail.operators.attribution import containing_zone
 
 # Zone columns, and the feature codes of city parts and abandoned places.
 ZONE_COLUMNS = ("level", "country_code", "country", "region", "department", "arrondissement")
@@ -121,17 +121,12 @@ def assemble_zones(
     mean = lambda axis: F.aggregate(
         ring, F.lit(0.0), lambda acc, p: acc + p[axis]
     ) / F.size(ring)
-    points = split.withColumns({"px": mean("x"), "py": mean("y")})
+    points = split.withColumns({"lon_k": mean("x"), "lat_k": mean("y")})
     holders = department_regions.select(
-        F.col("region").alias("_region"), sphere.edges_of(F.col("rings")).alias("edges")
+        F.xxhash64("region").alias("zone_id"), F.col("region").alias("_region"), "rings"
     )
-    # Both sides are reference tables of a few dozen rows.
-    found = (
-        points.join(F.broadcast(holders), sphere.inside(F.col("edges"), F.col("px"), F.col("py")), "left")
-        .groupBy("department")
-        .agg(F.min("_region").alias("_region"))
-    )
-    parts = split.join(found, "department", "left")
+    found = containing_zone(points.select("lat_k", "lon_k").distinct(), holders, ["_region"])
+    parts = points.join(found.drop("zone_id"), ["lat_k", "lon_k"], "left")
     fixed = {"country_code": F.lit(code), "country": F.lit(name)}
     layers = [
         leaf(world, "region", country_code=F.col("country_code"), country=F.col("_country"), region=F.col("region")),

@@ -97,21 +97,20 @@ def carry_offset(entries: DataFrame, by: Sequence[str] = ()) -> DataFrame:
             "_own": offset_minutes(F.col("startTime")),
         }
     ).filter(F.col("start_ms").isNotNull())
+    # The tie-break keeps entries of one instant in a fixed order. An entry before the first
+    # known offset finds it as the next one, so one pass answers both cases.
     own = own.withColumn("_tie", F.xxhash64(*[F.col(c) for c in entries.columns]))
-    # The tie-break keeps entries of one instant in a fixed order.
     carried = ordered_pass(
         own,
         keys=by,
         order=[F.col("start_ms"), F.col("_tie")],
         chunk=ms_hour_chunk(F.col("start_ms")),
         last={"_seen": F.col("_own")},
+        next_={"_ahead": F.col("_own")},
+    )
+    return carried.withColumn("offset_min", F.coalesce("_seen", "_ahead", F.lit(0))).drop(
+        "_own", "_seen", "_ahead", "_tie"
     )
-    known = own.filter(F.col("_own").isNotNull())
-    first = known.groupBy(*by).agg(F.min_by("_own", F.struct("start_ms", "_tie")).alias("_first"))
-    joined = carried.join(first, list(by), "left") if by else carried.crossJoin(F.broadcast(first))
-    return joined.withColumn(
-        "offset_min", F.coalesce("_own", "_seen", "_first", F.lit(0))
-    ).drop("_own", "_seen", "_first", "_tie")
 
 
 def _local(ms: Column) -> Column:
@@ -120,7 +119,9 @@ def _local(ms: Column) -> Column:
     return F.timestamp_seconds(seconds).cast("timestamp_ntz")
 
 
-def _segment(start: Column, end: Column, lat: Column, lon: Column, **rest: Column) -> list[Column]:
+def _segment(start: Column, end: Column, lat: Column, lon: Column, **rest: Column) -> Column:
+    """One segment as a struct of :data:`SEGMENT_COLUMNS`."""
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
     values = {
         "timestamp": _local(start),
         "date": _local(start).cast("date"),
@@ -128,15 +129,15 @@ def _segment(start: Column, end: Column, lat: Column, lon: Column, **rest: Colum
         "duration_seconds": _seconds(start, end),
         "lat": lat,
         "lon": lon,
-        "activity_type": F.lit(None).cast("string"),
-        "semantic_type": F.lit(None).cast("string"),
-        "place_id": F.lit(None).cast("string"),
-        "distance_meters": F.lit(None).cast("double"),
-        "speed_kmh": F.lit(None).cast("double"),
-        "azimuth_degrees": F.lit(None).cast("double"),
+        "activity_type": text,
+        "semantic_type": text,
+        "place_id": text,
+        "distance_meters": number,
+        "speed_kmh": number,
+        "azimuth_degrees": number,
         **rest,
     }
-    return [values[c].alias(c) for c in SEGMENT_COLUMNS]
+    return F.struct(*[values[c].alias(c) for c in SEGMENT_COLUMNS])
 
 
 def _seconds(start: Column, end: Column) -> Column:
@@ -166,71 +167,76 @@ def path_legs(path: Column) -> Column:
     )
 
 
-def segments_from_timeline(entries: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Visits, activities and path points as flat segments; other entries only carry offsets."""
-    dated = carry_offset(entries, by)
+def _visit_segment() -> Column:
     start, end = F.col("start_ms"), F.col("end_ms")
-
-    place = F.col("visit.topCandidate")
-    visits = dated.filter(F.col("visit").isNotNull()).withColumn(
-        "_g", parse_geo(place["placeLocation"])
-    )
-    visit_rows = visits.filter(F.col("_g").isNotNull()).select(
-        *by,
-        *_segment(
-            start, end, F.col("_g.lat"), F.col("_g.lon"),
-            segment_type=F.lit("stationary"),
-            semantic_type=place["semanticType"],
-            place_id=place["placeID"],
-        ),
+    place, geo = F.col("visit.topCandidate"), F.col("_place")
+    segment = _segment(
+        start, end, geo["lat"], geo["lon"],
+        segment_type=F.lit("stationary"),
+        semantic_type=place["semanticType"],
+        place_id=place["placeID"],
     )
+    return F.when(geo.isNotNull(), F.array(segment))
 
-    no_visit = F.col("visit").isNull()
-    moves = dated.filter(no_visit & F.col("activity").isNotNull()).withColumns(
-        {"_g": parse_geo(F.col("activity.start")), "_h": parse_geo(F.col("activity.end"))}
-    )
-    move_rows = moves.filter(F.col("_g").isNotNull()).select(
-        *by,
-        *_segment(
-            start, end, F.col("_g.lat"), F.col("_g.lon"),
-            segment_type=F.lit("moving"),
-            activity_type=F.col("activity.topCandidate.type"),
-            # The routed length gives a speed, but no distance: paths carry distance.
-            speed_kmh=sphere.speed_kmh(
-                _leading_number(F.col("activity.distanceMeters")), _seconds(start, end)
-            ),
-            azimuth_degrees=sphere.bearing_deg(
-                F.col("_g.lat"), F.col("_g.lon"), F.col("_h.lat"), F.col("_h.lon")
-            ),
-        ),
-    )
 
-    paths = dated.filter(
-        no_visit & F.col("activity").isNull() & F.col("timelinePath").isNotNull()
-    ).select(
-        *by, "start_ms", "end_ms", "offset_min", F.inline(path_legs(F.col("timelinePath")))
+def _activity_segment() -> Column:
+    start, end = F.col("start_ms"), F.col("end_ms")
+    act, geo, goal = F.col("activity"), F.col("_from"), F.col("_to")
+    segment = _segment(
+        start, end, geo["lat"], geo["lon"],
+        segment_type=F.lit("moving"),
+        activity_type=act["topCandidate"]["type"],
+        # The routed length gives a speed, but no distance: paths carry distance.
+        speed_kmh=sphere.speed_kmh(_leading_number(act["distanceMeters"]), _seconds(start, end)),
+        azimuth_degrees=sphere.bearing_deg(geo["lat"], geo["lon"], goal["lat"], goal["lon"]),
     )
-    here, nxt = F.col("here"), F.col("next")
-    at = start + here["off"] * 60_000
-    until = F.when(nxt.isNotNull(), start + nxt["off"] * 60_000).otherwise(end)
-    a, b = here["geo"], nxt["geo"]
-    leg = F.when(nxt.isNotNull(), sphere.haversine_m(a["lat"], a["lon"], b["lat"], b["lon"]))
-    path_rows = paths.select(
-        *by,
-        *_segment(
+    return F.when(geo.isNotNull(), F.array(segment))
+
+
+def _path_segments() -> Column:
+    start, end = F.col("start_ms"), F.col("end_ms")
+
+    def segment(leg: Column) -> Column:
+        here, nxt = leg["here"], leg["next"]
+        goes_on = nxt.isNotNull()
+        at = start + here["off"] * 60_000
+        until = F.when(goes_on, start + nxt["off"] * 60_000).otherwise(end)
+        a, b = here["geo"], nxt["geo"]
+        metres = F.when(goes_on, sphere.haversine_m(a["lat"], a["lon"], b["lat"], b["lon"]))
+        return _segment(
             at, F.greatest(at, until), a["lat"], a["lon"],
             segment_type=F.lit("moving"),
-            distance_meters=leg,
+            distance_meters=metres,
             # The last point is a standstill without heading.
-            speed_kmh=F.when(nxt.isNotNull(), sphere.speed_kmh(leg, _seconds(at, until))).otherwise(
-                F.lit(0.0)
-            ),
+            speed_kmh=F.when(goes_on, sphere.speed_kmh(metres, _seconds(at, until))).otherwise(F.lit(0.0)),
             azimuth_degrees=F.when(
-                nxt.isNotNull(), sphere.bearing_deg(a["lat"], a["lon"], b["lat"], b["lon"])
+                goes_on, sphere.bearing_deg(a["lat"], a["lon"], b["lat"], b["lon"])
             ),
-        ),
+        )
+
+    return F.transform(F.col("_legs"), segment)
+
+
+def segments_from_timeline(entries: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Visits, activities and path points as flat segments; other entries only carry offsets.
+
+    Each entry turns into an array of its segments, so all kinds share one pass.
+    """
+    # Texts are parsed once per entry, then used by several fields.
+    dated = carry_offset(entries, by).withColumns(
+        {
+            "_place": parse_geo(F.col("visit.topCandidate.placeLocation")),
+            "_from": parse_geo(F.col("activity.start")),
+            "_to": parse_geo(F.col("activity.end")),
+            "_legs": path_legs(F.col("timelinePath")),
+        }
+    )
+    segments = (
+        F.when(F.col("visit").isNotNull(), _visit_segment())
+        .when(F.col("activity").isNotNull(), _activity_segment())
+        .when(F.col("timelinePath").isNotNull(), _path_segments())
     )
-    return visit_rows.unionByName(move_rows).unionByName(path_rows)
+    return dated.select(*by, F.inline(segments))
 
 
 def stored_segments(segments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
