@@ -8,6 +8,7 @@ from daytrail.catalog import (  # noqa: F401
     messaging,
     movement,
     selection,
+    streams,
 )
 from daytrail.catalog.registry import ORACLES, QUERIES
 

@@ -18,7 +18,7 @@ from daytrail.plans.filters import (
     require,
     where,
 )
-from daytrail.plans.ranking import over, rank_flag, small, top_k
+from daytrail.plans.ranking import small, top_k, with_group_row
 
 VIEW_KEYS = ("timestamp", "hour_of_day")
 
@@ -131,14 +131,27 @@ def top_n_other(
 
     ``slices`` is an aggregate with one row per label.
     """
-    ranked = rank_flag(slices, top, "_kept", F.desc(value), F.asc(label), by=by)
-    folded = ranked.groupBy(
-        *by,
-        F.when(F.col("_kept"), F.col(label)).otherwise(F.lit(other)).alias(label),
-        (~F.col("_kept")).alias("is_other"),
-    ).agg(F.sum(value).alias(value))
-    return folded.filter(F.col(value) > 0).withColumn(
-        "share", F.col(value) / F.sum(value).over(over(by))
+    kept = top_k(slices, top, F.desc(value), F.asc(label), by=by).select(
+        *by, label, value, F.lit(False).alias("is_other")
+    )
+    # The rest is the total less what was kept, so no task ranks all labels.
+    whole_sum = slices.groupBy(*by).agg(
+        F.sum(value).alias("_total"), F.count(F.lit(1)).alias("_n")
+    )
+    kept_sum = kept.groupBy(*by).agg(F.sum(value).alias("_kept"), F.count(F.lit(1)).alias("_k"))
+    rest = (
+        with_group_row(whole_sum, kept_sum, by)
+        .filter(F.col("_n") > F.col("_k"))
+        .select(
+            *by,
+            F.lit(other).alias(label),
+            (F.col("_total") - F.col("_kept")).alias(value),
+            F.lit(True).alias("is_other"),
+        )
+    )
+    shown = with_group_row(kept.unionByName(rest), whole_sum.select(*by, "_total"), by)
+    return shown.filter(F.col(value) > 0).select(
+        *by, label, "is_other", value, (F.col(value) / F.col("_total")).alias("share")
     )
 
 

@@ -79,7 +79,7 @@ CASE WHEN event_id % 7 <> 0 THEN concat('city_', CAST(event_id % 13 AS STRING))
 """
 
 
-def _items(text: str) -> list[str]:
+def items(text: str) -> list[str]:
     return [line for line in text.strip().splitlines() if line]
 
 
@@ -88,36 +88,36 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).selectExpr(*_items(PLAYS))
+    return _events(spark, sf_dir).selectExpr(*items(PLAYS))
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).selectExpr(*_items(MESSAGES))
+    return _events(spark, sf_dir).selectExpr(*items(MESSAGES))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     add = "timestampadd(SECOND, CAST(FLOOR(value * 60) AS INTEGER), ts)"
     base = SEGMENTS_BASE.replace("{add_seconds}", add)
-    zones = _items(SEGMENT_ZONES)
+    zones = items(SEGMENT_ZONES)
     names = [z.rsplit(" AS ", 1)[1] for z in zones]
-    wide = _events(spark, sf_dir).selectExpr(*_items(base), "event_id", "event_type AS kind")
+    wide = _events(spark, sf_dir).selectExpr(*items(base), "event_id", "event_type AS kind")
     return wide.selectExpr("*", *zones).drop("event_id", "kind").select(
         *[c for c in wide.columns if c not in ("event_id", "kind")], *names
     )
 
 
 def plays_sql() -> str:
-    return "SELECT " + ", ".join(_items(PLAYS)) + " FROM events"
+    return "SELECT " + ", ".join(items(PLAYS)) + " FROM events"
 
 
 def messages_sql() -> str:
-    return "SELECT " + ", ".join(_items(MESSAGES)) + " FROM events"
+    return "SELECT " + ", ".join(items(MESSAGES)) + " FROM events"
 
 
 def segments_sql() -> str:
     add = "ts + to_seconds(CAST(FLOOR(value * 60) AS BIGINT))"
-    base = _items(SEGMENTS_BASE.replace("{add_seconds}", add))
+    base = items(SEGMENTS_BASE.replace("{add_seconds}", add))
     inner = "SELECT event_id, " + ", ".join(base) + " FROM events"
     return (
-        "SELECT * EXCLUDE (event_id), " + ", ".join(_items(SEGMENT_ZONES)) + f" FROM ({inner})"
+        "SELECT * EXCLUDE (event_id), " + ", ".join(items(SEGMENT_ZONES)) + f" FROM ({inner})"
     )

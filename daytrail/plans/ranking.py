@@ -53,11 +53,6 @@ def with_group_row(
     return wide.select(*df.columns, *[F.col(f"_facts.{c}").alias(c) for c in facts.columns])
 
 
-def rank_flag(df: DataFrame, k: int, name: str, *order: Column, by: Sequence[str] = ()) -> DataFrame:
-    """Marks the first ``k`` rows of each group. For already aggregated rows."""
-    return df.withColumn(name, F.row_number().over(over(by, *order)) <= k)
-
-
 def _value_bin(value: Column) -> Column:
     """A coarse bin that grows with the value: about 200 bins per factor e."""
     magnitude = F.floor(F.log1p(F.abs(value)) * 200).cast("long")
