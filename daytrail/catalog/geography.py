@@ -350,3 +350,86 @@ area_query(
         digits=5,
     ),
 )
+
+# --- reference data --------------------------------------------------------------------
+# A gazetteer out of the customers, zone layers out of nations, regions, suppliers, customers.
+
+FEATURE_CODES = ["PPL", "PPLX", "PPLA", "PPLQ", "PPLH"]
+
+
+@register(
+    "clean_cities",
+    f"""WITH g AS (SELECT c_name AS name, c_nationkey AS nk, {FEATURE_CODES}[c_custkey % 5 + 1] AS code,
+           ((c_custkey % 170) || '.' || lpad(CAST(c_custkey * 7919 % 100000 AS VARCHAR), 5, '0'))::DOUBLE AS lat,
+           ((c_custkey % 180) || '.' || lpad(CAST(c_custkey * 104729 % 100000 AS VARCHAR), 5, '0'))::DOUBLE AS lon,
+           CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE c_custkey * 10 END AS population FROM customer)
+        SELECT name, CASE WHEN nk % 2 = 0 THEN substr(n_name, 1, 3) ELSE 'N' || nk END AS country_code,
+          CAST(population AS INTEGER) AS population, FLOOR(lat * 1000 + 0.5) / 1000.0 AS lat, FLOOR(lon * 1000 + 0.5) / 1000.0 AS lon
+        FROM g JOIN nation ON n_nationkey = nk WHERE code IN ('PPL', 'PPLA')""",
+)
+def clean_cities(spark, sf_dir):
+    """Tab-separated gazetteer lines, read like the real file."""
+    k = F.col("c_custkey")
+    text = lambda c: c.cast("string")
+    fraction = lambda prime: F.lpad(text(k * prime % 100_000), 5, "0")
+    fields = [F.lit("")] * 19
+    fields[1] = F.col("c_name")
+    fields[4] = F.concat(text(k % 170), F.lit("."), fraction(7919))
+    fields[5] = F.concat(text(k % 180), F.lit("."), fraction(104_729))
+    fields[7] = F.element_at(F.array(*[F.lit(c) for c in FEATURE_CODES]), (k % 5 + 1).cast("int"))
+    fields[8] = F.concat(F.lit("N"), text(F.col("c_nationkey")))
+    fields[14] = F.when(k % 7 == 0, F.lit("")).otherwise(text(k * 10))
+    lines = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat_ws("\t", *fields).alias("value"))
+    codes = spark.read.parquet(f"{sf_dir}/nation.parquet").filter("n_nationkey % 2 = 0").select(
+        F.concat(F.lit("N"), text(F.col("n_nationkey"))).alias("iso2"),
+        F.substring("n_name", 1, 3).alias("country_code"),
+    )
+    return places.clean_cities(places.split_gazetteer(lines), codes)
+
+
+def _boxed(df, west, south, side):
+    return box_polygons(
+        df.withColumns({"w": west, "s": south, "e": west + side, "n": south + side})
+    ).drop("w", "s", "e", "n")
+
+
+@register(
+    "assembled_zones",
+    """SELECT 'region' AS level, 'N' || s_nationkey AS country_code, n_name AS country, s_name AS region,
+         NULL::VARCHAR AS department, NULL::VARCHAR AS arrondissement
+       FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_nationkey % 2 = 0 AND s_nationkey <> 0
+       UNION ALL SELECT 'country', 'N' || n_nationkey, n_name, NULL, NULL, NULL FROM nation
+         WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey % 2 = 0)
+       UNION ALL SELECT 'department', 'N0', 'Split', (SELECT MIN(r_name) FROM region
+           WHERE c_custkey % 120 + 0.2 >= r_regionkey * 20 AND c_custkey % 120 + 0.2 < r_regionkey * 20 + 20), c_name, NULL
+         FROM customer WHERE c_custkey % 10 <> 0
+       UNION ALL SELECT 'arrondissement', 'N0', 'Split', 'R', c_name, c_name || ' 1' FROM customer WHERE c_custkey % 10 = 0""",
+)
+def assembled_zones(spark, sf_dir):
+    """The leaf layer: suppliers as regions, nations as countries, customers as departments."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    code = lambda c: F.concat(F.lit("N"), F.col(c).cast("string"))
+    x = lambda c, n: (F.col(c) % n).cast("double")
+    regions = read("supplier").filter("s_nationkey % 2 = 0").select(
+        code("s_nationkey").alias("country_code"), F.col("s_name").alias("region"), x("s_suppkey", 100).alias("x")
+    )
+    countries = read("nation").select(
+        code("n_nationkey").alias("country_code"), F.col("n_name").alias("country"), x("n_nationkey", 100).alias("x")
+    )
+    customers = read("customer").select(
+        "c_custkey", F.col("c_name").alias("department"), x("c_custkey", 120).alias("x")
+    )
+    holders = read("region").select(F.col("r_name").alias("region"), (x("r_regionkey", 100) * 20).alias("x"))
+    split = customers.filter("c_custkey % 10 = 0").select(
+        F.lit("R").alias("region"), "department", F.concat("department", F.lit(" 1")).alias("arrondissement"), "x"
+    )
+    at = F.col("x")
+    leaves = places.assemble_zones(
+        _boxed(regions, at, F.lit(0.0), 1.0),
+        _boxed(countries, at, F.lit(10.0), 1.0),
+        _boxed(customers, at, F.lit(50.0), 0.5),
+        _boxed(holders, at, F.lit(40.0), 20.0),
+        _boxed(split, at, F.lit(50.0), 0.5),
+        {"code": "N0", "name": "Split"},
+    )
+    return leaves.select("level", "country_code", "country", "region", "department", "arrondissement")

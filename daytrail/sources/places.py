@@ -63,8 +63,11 @@ def load_cities(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 def read_gazetteer(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Tab-separated gazetteer lines as named columns."""
+    return split_gazetteer(spark.read.text(paths).filter(F.col("value") != ""))
+
+
+def split_gazetteer(lines: DataFrame) -> DataFrame:
     parts = F.split("value", "\t", -1)
-    lines = spark.read.text(paths).filter(F.col("value") != "")
     return lines.select(*[F.get(parts, F.lit(i)).alias(n) for n, i in GAZETTEER_FIELDS.items()])
 
 
