@@ -17,6 +17,7 @@ from daytrail.plans.ranking import exact_quantiles, with_group_row
 SPEED_TOP_KMH = 300
 PRESENCE_CAP_MIN = 24 * 60
 CELL_DECIMALS = 3
+NO_DEGREES = 999.0
 
 
 def monthly_hours(segments: DataFrame, place: str = "country", by: Sequence[str] = ()) -> DataFrame:
@@ -71,9 +72,10 @@ def first_sightings(segments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     The first instant per cell is an aggregate. It is joined back on cell *and* instant, so
     a cell that holds most of the rows (somebody's home) does not become one hot join key.
     """
+    # Points without coordinates share one cell of their own, outside the map.
     cell = {
-        "_clat": F.round("lat", CELL_DECIMALS),
-        "_clon": F.round("lon", CELL_DECIMALS),
+        "_clat": F.coalesce(F.round("lat", CELL_DECIMALS), F.lit(NO_DEGREES)),
+        "_clon": F.coalesce(F.round("lon", CELL_DECIMALS), F.lit(NO_DEGREES)),
     }
     keyed = segments.withColumns(cell)
     firsts = (

@@ -196,6 +196,16 @@ def test_presence(spark):
     assert got == {0: 30, 1: 0, 2: 1440, 3: 1440, 4: 0}
 
 
+def test_first_sightings(spark):
+    rows = [(0, 0, 1.0001, 2.0), (1, 1, 1.0002, 2.0), (2, 2, 1.1, 2.0), (3, 3, None, None), (4, 4, None, None)]
+    df = spark.createDataFrame(
+        [(i, T0 + dt.timedelta(minutes=m), la, lo) for i, m, la, lo in rows],
+        "seg_id int, timestamp timestamp_ntz, lat double, lon double",
+    )
+    got = {r.seg_id: r.is_new for r in location.first_sightings(df).collect()}
+    assert got == {0: True, 1: False, 2: True, 3: True, 4: False}
+
+
 def test_streaks(spark):
     given = ["2024-02-28", "2024-02-29", "2024-03-01", "2024-03-01", "2024-03-05", "2024-03-06", "2024-03-07", None]
     df = spark.createDataFrame([(g,) for g in given], "d string").select(F.col("d").cast("date").alias("date"))
