@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
@@ -47,33 +50,41 @@ def build_session(
     return prepare(builder.getOrCreate())
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
+@functools.cache
+def _own_folder() -> str:
+    """A folder for a local session, removed when Python ends."""
+    own = tempfile.mkdtemp(prefix="daytrail-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return own
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own. On a cluster
-    without it there is none: a machine-local folder would be lost with the machine.
+    A local session without that setting gets a folder of its own, so that the same plan runs
+    everywhere. On a cluster the setting is needed: a machine-local folder would be lost with
+    the machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
-        return named
-    if spark.sparkContext.master.startswith("local"):
-        own = tempfile.mkdtemp(prefix="daytrail-")
-        spark.sparkContext.setCheckpointDir(own)
-        return own
-    return None
+        return named.rstrip("/")
+    if spark.sparkContext.master.partition("[")[0] == "local":
+        return _own_folder()
+    raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+
+
+def new_folder(spark: SparkSession) -> str:
+    """The path of a new folder for written tables under :func:`checkpoint_dir`."""
+    return f"{checkpoint_dir(spark)}/daytrail-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Writes ``df`` once and reads it back, so that several branches share the result.
 
     The copy is a Parquet table in the checkpoint folder: it survives lost executors, keeps
-    column pruning, and tells Spark its real size when joins are planned. Without a folder
-    the plan is returned unchanged, which gives the same rows by recomputation.
+    column pruning, and tells Spark its real size when joins are planned.
     """
     spark = df.sparkSession
-    folder = checkpoint_dir(spark)
-    if not folder:
-        return df
-    path = f"{folder.rstrip('/')}/daytrail-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
