@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daytrail.llm import mixing, sharding
+from daytrail.llm import language, mixing, sharding
 from daytrail.llm.columns import table
 from daytrail.session import new_folder, prepare
 
@@ -24,6 +24,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op2_language")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.learned(docs))
+
+
 @query("op5_slot_sharding")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), new_folder(spark))
