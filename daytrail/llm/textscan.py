@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,15 +50,19 @@ _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _BYTE[65:91] = _BYTE[97:123]
 _BASE = np.uint64(0x5851F42D4C957F2D)  # odd, so it has an inverse modulo 2**64
 _INVERSE = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
-_BLOCK = 1 << 12
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
+@functools.cache
+def _all_powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    return _all_powers(base, max(PIECE, 1 << (int(n) - 1).bit_length()))[:n]
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _PUNCTUATION = np.ones(128, bool)
@@ -94,12 +99,19 @@ class Words:
 
     def _hashes(self, text: np.ndarray) -> np.ndarray:
         # A polynomial over the bytes, read off prefix sums: (P[end] - P[start]) / BASE**start.
-        n = len(text) + 1
-        powers, inverse = _powers(_BASE, n), _powers(_INVERSE, n)
-        prefix = np.zeros(n, np.uint64)
-        np.cumsum(_BYTE[text] * powers[:-1], out=prefix[1:])
-        value = (prefix[self.end] - prefix[self.start]) * inverse[self.start]
-        return mixed(value + (self.end - self.start).astype(np.uint64))
+        # Words of about PIECE bytes at a time, so that a very long text needs no more memory.
+        out = np.empty(len(self.start), np.uint64)
+        cuts = np.searchsorted(self.start, np.arange(PIECE, len(text), PIECE))
+        for i, j in zip([0, *cuts], [*cuts, len(out)], strict=True):
+            if i == j:
+                continue
+            low, high = self.start[i], self.end[j - 1]
+            powers, inverse = _powers(_BASE, high - low), _powers(_INVERSE, high - low)
+            prefix = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(_BYTE[text[low:high]] * powers, out=prefix[1:])
+            begin, end = self.start[i:j] - low, self.end[i:j] - low
+            out[i:j] = mixed((prefix[end] - prefix[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+        return out
 
 
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:
