@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daytrail.llm import language, mixing, ngram_join, sharding
+from daytrail.llm import decontamination, language, mixing, ngram_join, sharding, site_style
 from daytrail.llm.columns import table
 from daytrail.session import new_folder, prepare
 
@@ -24,6 +24,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_decontamination")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op8_site_style")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style.main_text(table(spark, sf_dir, "pages"))
+
+
 @query("op2_language")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -35,7 +45,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                    '[^ 	-]+') AS w
+                                    '[^ 	-
+]+') AS w
   FROM documents),
 s AS (
   SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN []
