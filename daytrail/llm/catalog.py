@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from daytrail.llm import decontamination, language, mixing, ngram_join, sharding, site_style
+from daytrail.llm import decontamination, hamming, language, mixing, ngram_join, sharding, site_style
 from daytrail.llm.columns import table
 from daytrail.session import new_folder, prepare
 
@@ -29,6 +30,25 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query(
+    "op6_hamming_topk",
+    """
+WITH c AS (
+  SELECT vec_id, list_sum(list_transform(range(1, 65), lambda i:
+      CASE WHEN embedding[i] > 0 THEN (1::HUGEINT << (i - 1)::INTEGER) ELSE 0::HUGEINT END))::HUGEINT::UBIGINT AS code
+  FROM embeddings WHERE len(embedding) = 64),
+d AS (
+  SELECT q.vec_id, n.vec_id AS neighbor_id, bit_count(xor(q.code, n.code))::BIGINT AS distance
+  FROM c q CROSS JOIN c n WHERE q.vec_id % 50 = 0)
+SELECT vec_id, CAST(ROW_NUMBER() OVER (PARTITION BY vec_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank,
+  neighbor_id, distance
+FROM d QUALIFY rank <= 10
+""",
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query("op8_site_style")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_style.main_text(table(spark, sf_dir, "pages"))
