@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daytrail.llm import decontamination, hamming, language, mixing, ngram_join, sharding, site_style
+from daytrail.llm import (
+    decontamination,
+    hamming,
+    language,
+    mixing,
+    ngram_join,
+    sharding,
+    site_style,
+    token_ledger,
+)
 from daytrail.llm.columns import table
 from daytrail.session import new_folder, prepare
 
@@ -49,6 +58,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+@query("op7_token_ledger")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ledger.ledger_of_documents(table(spark, sf_dir, "documents"), new_folder(spark))
+
+
 @query("op8_site_style")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_style.main_text(table(spark, sf_dir, "pages"))
