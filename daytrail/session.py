@@ -23,6 +23,8 @@ RUNTIME_CONF = {
     # In 4.1 a union that claims the partitioning of its inputs can disagree with adaptive
     # coalescing of one of them, which fails a later join.
     "spark.sql.unionOutputPartitioning": "false",
+    # Rows go to Python by bytes, not by number, so that long texts do not fill a worker.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 
