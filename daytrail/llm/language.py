@@ -190,7 +190,7 @@ def learned(docs: DataFrame, seed: int = 5) -> Network | None:
         F.col("text"), (F.pmod(hash60(F.col("doc_id")), room) + 1).cast("int"), F.lit(STRETCH)
     )
     rows = (
-        docs.join(chosen.distinct(), "doc_id", "left_semi")
+        docs.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi")  # at most SAMPLE ids
         .where(F.col("text").isNotNull() & F.col("lang").isNotNull())
         .select("lang", stretch.alias("text"))
         .orderBy(F.xxhash64("text"), "text", "lang")
