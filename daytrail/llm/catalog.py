@@ -11,6 +11,7 @@ from daytrail.llm import (
     decontamination,
     hamming,
     language,
+    licenses,
     mixing,
     ngram_join,
     sharding,
@@ -149,3 +150,8 @@ FROM (SELECT *, CASE WHEN upto <= budget OR abs(upto - budget) < abs(upto - toge
 )
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op10_license_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
