@@ -12,6 +12,7 @@ from daytrail.llm import (
     hamming,
     language,
     licenses,
+    line_dedup,
     mixing,
     ngram_join,
     sharding,
@@ -75,6 +76,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.learned(docs))
 
 
+@query("op3_line_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op4_ngram_jaccard",
     r"""
