@@ -312,7 +312,7 @@ area_query(
 )
 area_query(
     "union_of_boxes",
-    f"""WITH b AS (SELECT * FROM key_boxes WHERE zone_key < 'k13'),
+    f"""WITH b AS (SELECT * FROM key_boxes),
         c AS (SELECT ((west % 360) + 360) % 360 AS a, ((west % 360) + 360) % 360 + LEAST(360, GREATEST(0, east - west)) AS z, south, north FROM b),
         p AS (SELECT a, LEAST(z, 360) AS z FROM c UNION ALL SELECT 0, z - 360 FROM c WHERE z > 360),
         r AS (SELECT a, z, MAX(z) OVER (ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM p),
@@ -324,9 +324,7 @@ area_query(
           ROUND((SELECT MAX(north) FROM b), 7) AS north
         FROM f WHERE span <= 1.15 * (SELECT MIN(span) FROM f) ORDER BY ABS((west + east) / 2) LIMIT 1""",
     lambda z: rounded(
-        zones.union_boxes(
-            zones.zone_box_by_key(zones.zone_boxes(z)).filter(F.col("zone_key") < "k13")
-        ),
+        zones.union_boxes(zones.zone_box_by_key(zones.zone_boxes(z))),
         *BOX,
     ),
 )

@@ -178,8 +178,9 @@ talk_query(
 )
 talk_query(
     "sent_share",
-    f"""SELECT contact, messages, sent, received, sent::DOUBLE / messages::DOUBLE AS share
-        FROM ({BALANCE}) ORDER BY messages DESC, contact LIMIT 20""",
+    f"""SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY share DESC, messages DESC, contact) AS INTEGER) AS place
+        FROM (SELECT contact, messages, sent, received, sent::DOUBLE / messages::DOUBLE AS share
+              FROM ({BALANCE}) ORDER BY messages DESC, contact LIMIT 20)""",
     lambda m: messages.sent_share(messages.contact_balance(m)),
 )
 messages_query(

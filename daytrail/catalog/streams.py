@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daytrail.catalog.registry import register
 from daytrail.plans import adapters
-from daytrail.session import checkpoint_dir
+from daytrail.session import new_folder
 from daytrail.streaming import jobs
 
 
@@ -26,13 +24,9 @@ def as_plays(events: DataFrame) -> DataFrame:
     return events.selectExpr(*adapters.items(adapters.PLAYS))
 
 
-def _folder(spark: SparkSession) -> str:
-    return f"{checkpoint_dir(spark)}/daytrail-stream-{uuid.uuid4().hex}"
-
-
 def drained(stream: DataFrame) -> DataFrame:
     """The complete result of a streaming aggregate once its input is used up."""
-    spark, folder = stream.sparkSession, _folder(stream.sparkSession)
+    spark, folder = stream.sparkSession, new_folder(stream.sparkSession)
 
     def save(batch: DataFrame, _id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out")
@@ -49,7 +43,7 @@ def drained(stream: DataFrame) -> DataFrame:
 )
 def stream_appended_messages(spark, sf_dir):
     """Messages appended twice by a stream; the second run finds them all stored."""
-    folder = _folder(spark)
+    folder = new_folder(spark)
     for run in (1, 2):
         stream = as_messages(event_stream(spark, sf_dir))
         jobs.run_available(

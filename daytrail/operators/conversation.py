@@ -135,21 +135,27 @@ def message_rows(
     media_kind, reaction_list, is_unsent. ``person`` separates the people in the tables.
     """
     owners = owner_names(threads, messages, by)
-    # All owner names of a person: as many as exports.
-    own = owners.groupBy(*person).agg(F.collect_set("self_name").alias("_own"))
+    # The owner names of a person: as many as exports. By export in a map, as a join on a constant
+    # format name would be folded into a nested loop.
+    export = F.struct(*by).alias("export")
+    own = owners.groupBy(*person).agg(
+        F.collect_set("self_name").alias("_own"),
+        F.map_from_entries(F.collect_list(F.struct(export, "self_name"))).alias("_names"),
+    )
     who = with_group_row(threads, own, person)
     others = F.array_except("participants", "_own")
     contact = F.when(F.col("is_group"), F.col("thread")).otherwise(
         F.coalesce(F.get(others, F.lit(0)), F.col("thread"))
     )
-    heads = who.join(owners, list(by), "left").select(
-        "thread_key", "network", "thread", "is_group", "self_name", contact.alias("contact")
+    # A thread key is unique within an export of a person.
+    key = list(dict.fromkeys([*person, *by, "thread_key"]))
+    heads = who.withColumns({"contact": contact, "self_name": F.element_at("_names", F.struct(*by))}).select(
+        *key, "network", "thread", "is_group", "self_name", "contact"
     )
-    rows = messages.join(heads, "thread_key")
+    rows = messages.join(heads, key)
     listed = F.col("reaction_list")
     rows = rows.select(
-        *dict.fromkeys([*person, *by]),
-        "thread_key",
+        *key,
         "network",
         "timestamp",
         F.col("timestamp").cast("date").alias("date"),
@@ -172,9 +178,7 @@ def message_rows(
         "is_unsent",
         "seq",
     )
-    return conversation_columns(
-        rows, ["thread_key"], [F.col("timestamp"), F.col("seq")]
-    )
+    return conversation_columns(rows, key, [F.col("timestamp"), F.col("seq")])
 
 
 def message_index(messages: DataFrame, by: Sequence[str] = ()) -> DataFrame:

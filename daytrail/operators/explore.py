@@ -98,26 +98,19 @@ def slices(
     """The ``top`` values of each dimension by ``weight``, the rest as 'Other'.
 
     'Other' appears only when its weight exceeds ``least_other``. The kept values are found
-    with a rank filter that is pushed below the shuffle; the rest is what remains of the
-    dimension's total, so no task holds all values of a dimension.
+    with a rank filter that is pushed below the shuffle. The rest is summed itself, not taken as a
+    difference, in which the rounding of doubles would leave a residue; no task holds all values
+    of a dimension.
     """
     group = [*by, "dimension"]
     kept = top_k(totals, top, F.desc(weight), F.asc("value"), by=group)
-    all_rows = totals.groupBy(*group).agg(
-        *[F.sum(m).alias(m) for m in measures], F.count(F.lit(1)).alias("_n")
-    )
-    kept_rows = kept.groupBy(*group).agg(
-        *[F.sum(m).alias(f"_k_{m}") for m in measures], F.count(F.lit(1)).alias("_k_n")
-    )
+    named = F.struct("value").alias("_value")  # a null value is kept like any other
     rest = (
-        all_rows.join(kept_rows, group)
-        .filter(F.col("_n") > F.col("_k_n"))
-        .select(
-            *group,
-            F.lit("Other").alias("value"),
-            *[(F.col(m) - F.col(f"_k_{m}")).alias(m) for m in measures],
-            F.lit(True).alias("is_other"),
-        )
+        totals.select("*", named)
+        .join(kept.select(*group, named), [*group, "_value"], "left_anti")
+        .groupBy(*group)
+        .agg(*[F.sum(m).alias(m) for m in measures])
+        .select(*group, F.lit("Other").alias("value"), *measures, F.lit(True).alias("is_other"))
         .filter(F.col(weight) > least_other)
     )
     return kept.select(*group, "value", *measures, F.lit(False).alias("is_other")).unionByName(rest)

@@ -142,12 +142,15 @@ def explorer_segment_points(segments: DataFrame, by: Sequence[str] = ()) -> Data
     )
 
 
-def patch_zones(points: DataFrame, segments: DataFrame) -> DataFrame:
-    """Zone columns of attributed segments, put onto already built points by ``seg_id``."""
+def patch_zones(points: DataFrame, segments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Zone columns of attributed segments, put onto already built points by ``seg_id``.
+
+    ``seg_id`` is counted per person, so ``by`` must name the person when there are several.
+    """
     fresh = segments.filter(F.col("timestamp").isNotNull()).select(
-        "seg_id", *[F.col(c).alias(f"_{c}") for c in ZONE_COLUMNS], F.lit(True).alias("_hit")
+        *by, "seg_id", *[F.col(c).alias(f"_{c}") for c in ZONE_COLUMNS], F.lit(True).alias("_hit")
     )
-    joined = points.join(fresh, "seg_id", "left")
+    joined = points.join(fresh, [*by, "seg_id"], "left")
     patched = {
         c: F.when(F.col("_hit"), F.coalesce(F.col(f"_{c}"), F.lit(labels.UNKNOWN))).otherwise(F.col(c))
         for c in ZONE_COLUMNS

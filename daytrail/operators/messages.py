@@ -268,17 +268,14 @@ def half_of_volume(balance: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def sent_share(balance: DataFrame, top: int = 20, by: Sequence[str] = ()) -> DataFrame:
-    """The busiest contacts with the share of messages I sent."""
+    """The busiest contacts with the share of messages I sent, and their place by that share."""
     busy = top_k(
         balance.filter(F.col("messages") > 0), top, F.desc("messages"), F.asc("contact"), by=by
     )
-    return busy.select(
-        *by,
-        "contact",
-        "messages",
-        "sent",
-        "received",
-        ratio(F.col("sent"), F.col("messages")).alias("share"),
+    share = ratio(F.col("sent"), F.col("messages"))
+    place = F.row_number().over(over(by, F.desc("share"), F.desc("messages"), F.asc("contact")))
+    return busy.select(*by, "contact", "messages", "sent", "received", share.alias("share")).withColumn(
+        "place", place  # of at most ``top`` rows
     )
 
 

@@ -7,6 +7,7 @@ text, msg_type, media_kind, reaction_list, is_unsent.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -47,6 +48,9 @@ NORMALIZED_DDL = (
     " media:array<struct<uri:string>>, reactions:array<struct<actor:string, reaction:string>>,"
     " isUnsent:boolean>>"
 )
+# Certainty of a format: archive layout, numbered file, loose file; base and additions of the others.
+ARCHIVE_SCORE, NUMBERED_SCORE, LOOSE_SCORE = 1.0, 0.9, 0.8
+NORMALIZED_SCORE, NORMALIZED_ADD = 0.6, 0.2
 # Invisible direction marks and byte-order marks phones put into transcripts.
 INVISIBLE = r"[\x{200E}\x{200F}\x{202A}-\x{202E}\x{FEFF}]"
 HEADER = (
@@ -55,7 +59,8 @@ HEADER = (
 )
 SENDER = r"(?s)^([^:]{1,60}):\s?(.*)$"
 OMITTED = (
-    r"(?i)<(médias?|media) (omis|omitted)>|(image|video|audio|sticker|GIF) omitted"
+    "<média omis>", "<médias omis>", "<media omis>", "<média omitted>", "<médias omitted>", "<media omitted>",
+    "image omitted", "video omitted", "audio omitted", "sticker omitted", "gif omitted",
 )
 ATTACHED = r"(?i)\(file attached\)|<attached:"
 ATTACHED_KINDS = (
@@ -139,10 +144,10 @@ def score_meta(path: Column, head: Column) -> Column:
     loose = head.contains('"sender_name"') & head.contains('"timestamp_ms"')
     return (
         F.when(~path.rlike(r"(?i)\.json$"), F.lit(0.0))
-        .when(path.rlike(ARCHIVE_LAYOUT), F.lit(1.0))
+        .when(path.rlike(ARCHIVE_LAYOUT), F.lit(ARCHIVE_SCORE))
         .when(~loose, F.lit(0.0))
-        .when(file_name(path).rlike(r"(?i)message_\d+\.json$"), F.lit(0.9))
-        .otherwise(F.lit(0.8))
+        .when(file_name(path).rlike(r"(?i)message_\d+\.json$"), F.lit(NUMBERED_SCORE))
+        .otherwise(F.lit(LOOSE_SCORE))
     )
 
 
@@ -152,9 +157,9 @@ def score_normalized(path: Column, head: Column) -> Column:
     known = path.rlike(r"(?i)\.json$") & (head.contains('"senderName"') | named)
     return F.when(
         known,
-        F.lit(0.6)
-        + F.when(named, F.lit(0.2)).otherwise(F.lit(0.0))
-        + F.when(strings, F.lit(0.2)).otherwise(F.lit(0.0)),
+        F.lit(NORMALIZED_SCORE)
+        + F.when(named, F.lit(NORMALIZED_ADD)).otherwise(F.lit(0.0))
+        + F.when(strings, F.lit(NORMALIZED_ADD)).otherwise(F.lit(0.0)),
     ).otherwise(F.lit(0.0))
 
 
@@ -349,11 +354,14 @@ def classify_chat_text(text: Column) -> Column:
         value = F.lit(media) if isinstance(media, str) else media
         return F.struct(F.lit(kind).alias("msg_type"), value.alias("media_kind"))
 
+    omitted = F.lit(False)
+    for phrase in OMITTED:
+        omitted = omitted | F.lower(text).contains(phrase)
     attached = F.lit(None).cast("string")
     for kind, pattern in reversed(ATTACHED_KINDS):
         attached = F.when(text.rlike(pattern), F.lit(kind)).otherwise(attached)
     return (
-        F.when(text.rlike(OMITTED), pair("media", "other"))
+        F.when(omitted, pair("media", "other"))
         .when(text.rlike(ATTACHED), pair("media", F.coalesce(attached, F.lit("other"))))
         .when(text.rlike(LINK), pair("link", "none"))
         .when(text.rlike(DELETED), pair("placeholder", "none"))
@@ -658,12 +666,13 @@ def read_messages(
     return Import(export, files)
 
 
-def import_report(threads: DataFrame, messages: DataFrame) -> DataFrame:
-    """Threads and messages per service."""
-    counted = messages.groupBy("thread_key").agg(F.count(F.lit(1)).alias("_n"))
+def import_report(threads: DataFrame, messages: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Threads and messages per service. A thread is known by person, format and key."""
+    key = [*by, "source_id", "thread_key"]
+    counted = messages.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
     return (
-        threads.join(counted, "thread_key", "left")
-        .groupBy("network")
+        threads.join(counted, key, "left")
+        .groupBy(*by, "network")
         .agg(
             F.count(F.lit(1)).alias("threads"),
             F.sum(F.coalesce("_n", F.lit(0))).alias("messages"),
@@ -692,18 +701,28 @@ def new_messages(
 
 
 def append_messages(
-    spark: SparkSession, path: str, incoming: DataFrame, dedupe_within: bool = False
+    spark: SparkSession,
+    path: str,
+    incoming: DataFrame,
+    dedupe_within: bool = False,
+    by: Sequence[str] = (),
+    batch: str | None = None,
 ) -> None:
-    """Appends what is new; importing the same archive again changes nothing."""
+    """Appends what is new; importing the same archive again changes nothing.
+
+    Rows lie under the name of their batch. A batch that is sent again, because it broke off half
+    way, is compared with the other batches and written over its own rows.
+    """
+    batch = batch or uuid.uuid4().hex
     rows = incoming.withColumn("month", F.date_format("date", "yyyy-MM"))
     if _exists(spark, path):
         # Only months that occur in the batch can hold twins: partitions are pruned by a join.
-        stored = spark.read.parquet(path).select(*NATURAL_KEY, "text", "month")
+        stored = spark.read.parquet(path).filter(F.col("batch") != batch).select(*by, *NATURAL_KEY, "text", "month")
         months = rows.select("month").distinct()
-        rows = new_messages(rows, stored.join(months, "month", "left_semi"), dedupe_within)
+        rows = new_messages(rows, stored.join(months, "month", "left_semi"), dedupe_within, by)
     elif dedupe_within:
-        rows = rows.dropDuplicates([*NATURAL_KEY, "text"])
-    rows.write.mode("append").partitionBy("month").parquet(path)
+        rows = rows.dropDuplicates([*by, *NATURAL_KEY, "text"])
+    rows.write.mode("overwrite").partitionBy("month").parquet(f"{path}/batch={batch}")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -713,4 +732,4 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def stored_messages(spark: SparkSession, path: str, by: Sequence[str] = ()) -> DataFrame:
     """The message table with a dense index over everything stored."""
-    return message_index(spark.read.parquet(path).drop("month"), by)
+    return message_index(spark.read.parquet(path).drop("month", "batch"), by)

@@ -35,12 +35,13 @@ RAW_SCHEMA = T.StructType(
         T.StructField("incognito_mode", T.BooleanType()),
     ]
 )
-# Checked in this order, so that e.g. "Windows ... ios" is Windows.
+# Checked in this order, so that e.g. "Windows ... ios" is Windows. A text that is
+# just "osx" is macOS as well.
 PLATFORM_MARKS = (
     ("Android", ("android",)),
     ("Windows", ("windows",)),
     ("iOS", ("ios",)),
-    ("macOS", ("osx$", "os x", "macos")),
+    ("macOS", ("os x", "macos")),
     ("Web", ("web", "browser")),
 )
 OTHER_PLATFORM = "Other"
@@ -86,7 +87,9 @@ def clean_platform(raw: Column) -> Column:
     for label, marks in PLATFORM_MARKS:
         cond = F.lit(False)
         for mark in marks:
-            cond = cond | (text == mark[:-1] if mark.endswith("$") else text.contains(mark))
+            cond = cond | text.contains(mark)
+        if label == "macOS":
+            cond = cond | (text == "osx")
         expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
     return expr.otherwise(F.lit(OTHER_PLATFORM))
 
@@ -154,6 +157,9 @@ def plays_from_raw(raw: DataFrame, time_zone: str = "UTC", by: Sequence[str] = (
 
 
 def write_plays(plays: DataFrame, path: str) -> None:
-    """Replaces the plays table: exact duplicates removed, partitioned by year."""
+    """Replaces the plays table: rows equal in all columns once, partitioned by year.
+
+    ``play_count`` is a column, and copies of one play were numbered before, so they stay.
+    """
     unique = plays.distinct().withColumn("year", F.year("date"))
     unique.write.mode("overwrite").partitionBy("year").parquet(path)

@@ -6,6 +6,7 @@ not accept, so event time is cast to TIMESTAMP under a UTC session.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,26 +22,28 @@ SESSION_GAP = "6 hours"
 
 
 def stream_append_messages(
-    incoming: DataFrame, target: str, checkpoint: str, dedupe_within: bool = False
+    incoming: DataFrame, target: str, checkpoint: str, dedupe_within: bool = False, by: Sequence[str] = ()
 ) -> DataStreamWriter:
     """Appends each micro-batch to the message table, leaving out what is stored.
 
-    A batch that is retried after a failure finds its own rows stored and adds nothing.
+    Batches are named after the stream's checkpoint folder and their number, so one that is
+    retried after a failure writes over its own rows.
     """
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
-    def save(batch: DataFrame, _batch_id: int) -> None:
-        append_messages(batch.sparkSession, target, batch, dedupe_within)
+    def save(batch: DataFrame, batch_id: int) -> None:
+        append_messages(batch.sparkSession, target, batch, dedupe_within, by, f"{stream}-{batch_id}")
 
     return (
         incoming.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     )
 
 
-def deduplicated(incoming: DataFrame, delay: str = "1 day") -> DataFrame:
+def deduplicated(incoming: DataFrame, delay: str = "1 day", by: Sequence[str] = ()) -> DataFrame:
     """Drops repeats of the natural key that arrive within ``delay``, keeping state bounded."""
     timed = incoming.withColumn("event_time", F.col("timestamp").cast("timestamp"))
     return timed.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(
-        [*NATURAL_KEY, "text"]
+        [*by, *NATURAL_KEY, "text"]
     )
 
 
@@ -76,10 +79,18 @@ def stream_weekly_volume(
     )
 
 
-def run_available(writer: DataStreamWriter, timeout_s: int = 600) -> None:
-    """Processes everything that is there, then stops."""
+def run_available(writer: DataStreamWriter, timeout_s: float | None = None) -> None:
+    """Processes everything that is there, however long it takes; raises what the stream raised.
+
+    With ``timeout_s`` a stream that is not done by then is stopped and TimeoutError is raised, so
+    that no caller takes a part for the whole.
+    """
     query = writer.trigger(availableNow=True).start()
-    query.awaitTermination(timeout_s)
+    if timeout_s is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_s):
+        query.stop()
+        raise TimeoutError(f"the stream was not done after {timeout_s} seconds")
 
 
 def read_message_stream(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
