@@ -78,13 +78,16 @@ def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         F.lit(0).cast("double").alias("done"),
     )
     for level in range(1, LEVELS + 1):
-        inside = sizes.join(state.select("src", "open"), "src").where(_prefix(level - 1) == F.col("open"))
+        # Joined on the bucket as well, so that a hot source does not meet in one task.
+        inside = sizes if level == 1 else sizes.withColumn("open", _prefix(level - 1)).join(
+            state.select("src", "open"), ["src", "open"]
+        )
         buckets = inside.groupBy("src", _prefix(level).alias("bucket")).agg(
             F.sum("size").alias("words"), F.min("h").alias("low"), F.max("h").alias("high")
         )
         order = Window.partitionBy("src").orderBy("bucket")
         ended = (
-            buckets.join(state, "src")
+            buckets.join(state.select("src", "source_size", "target", "repeats", "budget", "done"), "src")
             .withColumn("upto", F.col("done") + F.sum("words").over(order))
             # The first bucket whose end passes the budget; else the last one.
             .withColumn("past", F.when(F.col("upto") > F.col("budget"), F.col("bucket")))
