@@ -7,6 +7,7 @@ import functools
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +33,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Applies :data:`RUNTIME_CONF` to an existing session."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    # Python workers import this package; where it isn't installed, they find it where we did.
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
     return spark
 
 
