@@ -8,7 +8,7 @@ from daytrail.catalog.movement import distance
 from daytrail.catalog.registry import VIEWS, messages_query, register
 from daytrail.functions import sphere, text
 from daytrail.operators import conversation
-from daytrail.sources import chats, history, timeline
+from daytrail.sources import chats, files, history, timeline
 
 # --- streaming history -----------------------------------------------------------------
 
@@ -88,6 +88,47 @@ register(
     )
 )
 
+
+
+def history_files(spark, sf_dir):
+    """Files of a day and person each. Some values are of odd types, and each file has an element
+    that is no entry."""
+    k = F.col("event_id")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    number = F.floor(F.col("value") * 1000).cast("long").cast("string")
+    entry = F.concat(
+        F.lit('{"ts":"'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit('","ms_played":'),
+        F.when(k % 5 == 0, F.concat(number, F.lit(".0"))).when(k % 11 == 0, F.lit('{"odd":1}')).otherwise(number),
+        F.lit(',"skipped":'), F.when(k % 7 == 0, '"maybe"').when(k % 2 == 0, "true").otherwise("null"),
+        F.lit(',"offline_timestamp":'), F.when(k % 9 == 0, "1.5").otherwise('"x"'),
+        F.lit(',"master_metadata_track_name":"track_'), (k % 97).cast("string"), F.lit('"}'),
+    )
+    day = F.date_format("ts", "yyyy-MM-dd")
+    files = e.groupBy("user_id", day.alias("day")).agg(F.array_join(F.collect_list(entry), ",").alias("entries"))
+    return files.select(
+        F.concat(F.lit("drop/_u"), F.col("user_id").cast("string"), F.lit("/History_"), "day", F.lit(".JSON")).alias("path"),
+        F.concat(F.lit('\ufeff ["no entry", 7, '), "entries", F.lit("]")).alias("content"),
+    )
+
+
+@register(
+    "history_entries",
+    """SELECT 'u' || user_id AS owner, 'History_' || strftime(ts, '%Y-%m-%d') || '.JSON' AS source_file,
+         strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS ts,
+         CASE WHEN event_id % 5 = 0 OR event_id % 11 > 0 THEN CAST(FLOOR(value * 1000) AS BIGINT) END AS ms_played,
+         CASE WHEN event_id % 7 > 0 AND event_id % 2 = 0 THEN TRUE END AS skipped,
+         CASE WHEN event_id % 9 = 0 THEN 1::BIGINT END AS offline_timestamp,
+         'track_' || event_id % 97 AS master_metadata_track_name
+       FROM events""",
+)
+def history_entries(spark, sf_dir):
+    """Entries read from file contents; odd values cost themselves only."""
+    contents, by = files.with_owner(history_files(spark, sf_dir), r"/_(u\d+)/")
+    return history.entries_from_contents(contents, by).select(
+        "owner", "source_file", "ts", "ms_played", "skipped", "offline_timestamp", "master_metadata_track_name"
+    )
+
+
 # --- timeline --------------------------------------------------------------------------
 
 
@@ -189,11 +230,37 @@ def rounded5(df):
     return df.withColumns({c: F.round(c, 5) for c in NUMBERS})
 
 
+TIMELINE_SQL = f"""WITH {TIMELINE.strip()} SELECT * REPLACE ({SEG_ROUND}, duration_seconds::DOUBLE AS duration_seconds),
+          CAST(timestamp AS DATE) AS date FROM seg"""
 register(
     "segments_from_timeline",
-    f"""WITH {TIMELINE.strip()} SELECT * REPLACE ({SEG_ROUND}, duration_seconds::DOUBLE AS duration_seconds),
-          CAST(timestamp AS DATE) AS date FROM seg""",
+    TIMELINE_SQL,
 )(lambda spark, d: rounded5(timeline.segments_from_timeline(raw_timeline(spark, d), ["owner"])))
+
+
+def timeline_files(spark, sf_dir):
+    """The same entries in files of a day, some in an object, each with elements that are odd."""
+    entries = raw_timeline(spark, sf_dir)
+    one = F.to_json(F.struct(*timeline.ENTRY_FIELDS))
+    whole = F.concat(
+        F.lit('[5, "text", {"visit":"x"}, {"timelinePath":{"point":1}},'), F.array_join(F.collect_list(one), ","), F.lit("]")
+    )
+    day = F.substring("startTime", 1, 10)
+    days = entries.groupBy("owner", day.alias("path")).agg(whole.alias("w"))
+    wrapped = F.concat(F.lit('{"semanticSegments": '), "w", F.lit("}"))
+    return days.select(
+        "owner", "path",
+        F.when(F.substring("path", 10, 1) < "5", wrapped).otherwise(F.col("w")).alias("content"),
+    )
+
+
+register("timeline_entries", TIMELINE_SQL)(
+    lambda spark, d: rounded5(
+        timeline.segments_from_timeline(
+            timeline.entries_from_contents(timeline_files(spark, d), ["owner"]), ["owner"]
+        )
+    )
+)
 register(
     "stored_segments",
     f"""WITH {TIMELINE.strip()}, u AS (SELECT DISTINCT * REPLACE ({SEG_ROUND}) FROM seg)

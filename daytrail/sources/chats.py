@@ -17,11 +17,10 @@ from pyspark.sql import types as T
 
 from daytrail.functions import text as words
 from daytrail.operators.conversation import message_index
-from daytrail.plans.ranking import over, top_k, with_group_row
+from daytrail.plans.ranking import over, with_group_row
+from daytrail.sources.files import raw_fields, raw_items, read_contents, read_lines, with_owner
 
 # Formats, markers, layouts and field names of the exports.
-PEEK_CHARS = 2048
-PEEK_LINES = 40
 META, NORMALIZED, CHAT_TEXT = "meta-json", "normalized-json", "whatsapp-text"
 ARCHIVE_LAYOUT = (
     r"(?i)messages/(inbox|e2ee_cutover|archived_threads|filtered_threads|message_requests)"
@@ -51,6 +50,7 @@ NORMALIZED_DDL = (
 # Certainty of a format: archive layout, numbered file, loose file; base and additions of the others.
 ARCHIVE_SCORE, NUMBERED_SCORE, LOOSE_SCORE = 1.0, 0.9, 0.8
 NORMALIZED_SCORE, NORMALIZED_ADD = 0.6, 0.2
+TRANSCRIPT_SCORE, HEADERS_ADD, HEADERS_MOST, NAME_ADD = 0.5, 0.4, 0.3, 0.15
 # Invisible direction marks and byte-order marks phones put into transcripts.
 INVISIBLE = r"[\x{200E}\x{200F}\x{202A}-\x{202E}\x{FEFF}]"
 HEADER = (
@@ -163,24 +163,29 @@ def score_normalized(path: Column, head: Column) -> Column:
     ).otherwise(F.lit(0.0))
 
 
-def score_chat_text(path: Column, head: Column) -> Column:
-    """Share of header lines among the first forty, with a bonus for the usual names."""
-    lines = F.slice(F.split(F.regexp_replace(head, INVISIBLE, ""), r"\r?\n"), 1, PEEK_LINES)
-    headers = F.size(F.filter(lines, lambda line: line.rlike(HEADER)))
+def transcript_score(path: Column, headers: Column, lines: Column) -> Column:
+    """Share of header lines, with a bonus for the usual names; 0 without a header."""
     name = file_name(path)
+    bonus = F.lit(NAME_ADD)
     score = (
-        F.lit(0.5)
-        + F.least(F.lit(0.3), headers / F.greatest(F.lit(1), F.size(lines)) * 0.4)
-        + F.when(name.rlike(r"(?i)^_?chat\.txt$"), F.lit(0.15)).otherwise(F.lit(0.0))
-        + F.when(name.rlike(r"(?i)^WhatsApp Chat"), F.lit(0.15)).otherwise(F.lit(0.0))
+        F.lit(TRANSCRIPT_SCORE)
+        + F.least(F.lit(HEADERS_MOST), headers / F.greatest(F.lit(1), lines) * HEADERS_ADD)
+        + F.when(name.rlike(r"(?i)^_?chat\.txt$"), bonus).otherwise(F.lit(0.0))
+        + F.when(name.rlike(r"(?i)^WhatsApp Chat"), bonus).otherwise(F.lit(0.0))
     )
     readable = path.rlike(r"(?i)\.txt$") & (headers > 0)
     return F.when(readable, F.least(F.lit(1.0), score)).otherwise(F.lit(0.0))
 
 
+def score_chat_text(path: Column, head: Column) -> Column:
+    """:func:`transcript_score` of a text in one value."""
+    lines = F.split(F.regexp_replace(head, INVISIBLE, ""), r"\r?\n")
+    return transcript_score(path, F.size(F.filter(lines, lambda line: line.rlike(HEADER))), F.size(lines))
+
+
 def route(files: DataFrame) -> DataFrame:
     """Adds ``source_id``, the best-scoring format of each (path, head); null when none fits."""
-    path, head = F.col("path"), F.substring("head", 1, PEEK_CHARS)
+    path, head = F.col("path"), F.col("head")
     scored = files.withColumn(
         "_best",
         F.greatest(
@@ -534,134 +539,66 @@ def bracketed_log(lines: DataFrame) -> DataFrame:
 # --- files -----------------------------------------------------------------------------
 
 
-def plain_path(path: Column) -> Column:
-    """File paths arrive URL-encoded; names are matched as people wrote them."""
-    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
-
-
-LINE_SCHEMA = "path string, seq struct<file:string, block:bigint, pos:bigint>, line string"
-BLOCK_BYTES = 64 * 1024 * 1024
-LINES_PER_BATCH = 20_000
-
+@dataclass(frozen=True)
+class Import:
+    export: Export
+    files: DataFrame  # path and recognised source_id of every readable file
 
-def read_lines(spark: SparkSession, paths: str | Sequence[str], glob: str = "*.txt") -> DataFrame:
-    """Lines of text files with their place in the file. Large files are split into blocks."""
-    path = plain_path(F.col("_metadata.file_path"))
-    listed = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
-        .text(paths)
-        .select(
-            path.alias("path"),
-            F.struct(
-                path.alias("file"),
-                F.col("_metadata.file_block_start").alias("block"),
-                F.monotonically_increasing_id().alias("pos"),
-            ).alias("seq"),
-            F.regexp_replace("value", r"\r$", "").alias("line"),
-        )
-    )
-    hidden = _underscored_files(spark, paths)
-    return listed.unionByName(_hidden_lines(spark, hidden)) if hidden else listed
+    def unrecognised(self) -> DataFrame:
+        return self.files.filter(F.col("source_id").isNull())
 
 
-def _underscored_files(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
-    """Text files whose name begins with an underscore, as phones name a bare transcript.
+def json_head(content: Column) -> Column:
+    """What decides the format of a document: its top-level keys, and the keys of its messages.
 
-    Spark's file sources take such files for hidden and skip them. Only names are listed here.
+    Written as a text with the quoted names, so that the scores need not know where it comes from;
+    it covers the whole document, however long its list of participants is.
     """
-    found = []
-    for root in [paths] if isinstance(paths, str) else paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(root)
-        listing = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
-        while listing.hasNext():
-            file = listing.next().getPath()
-            if file.getName().startswith("_") and file.getName().lower().endswith(".txt"):
-                found.append(file.toUri().toString())
-    return found
-
-
-def _hidden_lines(spark: SparkSession, files: Sequence[str]) -> DataFrame:
-    """Lines of the given files, streamed in tasks; one row per file goes in."""
-
-    def stream(batches):
-        import io
-        import urllib.parse
-
-        import pandas as pd
-        from pyarrow import fs
-
-        for batch in batches:
-            for uri in batch["uri"]:
-                name = urllib.parse.unquote(uri)
-                scheme, _, rest = name.partition(":")
-                full = f"{scheme}:///{rest.lstrip('/')}" if scheme == "file" else name
-                system, inner = fs.FileSystem.from_uri(urllib.parse.quote(full, safe="/:"))
-                rows, read = [], 0
-                with system.open_input_stream(inner) as raw:
-                    for n, line in enumerate(io.TextIOWrapper(raw, "utf-8", "replace", newline="\n")):
-                        place = {"file": name, "block": read // BLOCK_BYTES, "pos": n}
-                        rows.append((name, place, line.rstrip("\r\n")))
-                        read += len(line)
-                        if len(rows) == LINES_PER_BATCH:
-                            yield pd.DataFrame(rows, columns=["path", "seq", "line"])
-                            rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=["path", "seq", "line"])
-
-    named = spark.createDataFrame([(f,) for f in files], "uri string").repartition(len(files))
-    return named.mapInPandas(stream, LINE_SCHEMA)
-
-
-def _read_documents(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Whole JSON files: one document is one value, as the format has no split points."""
-    return (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.json")
-        .option("wholetext", True)
-        .text(paths)
-        .select(plain_path(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("content"))
+    fields = raw_fields(content)
+    of_messages = raw_fields(F.get(raw_items(fields["messages"]), F.lit(0)))
+    names = F.concat(
+        F.coalesce(F.map_keys(fields), no_texts()), F.coalesce(F.map_keys(of_messages), no_texts())
     )
+    quoted = F.array_join(F.transform(names, lambda n: F.concat(F.lit('"'), n, F.lit('"'))), " ")
+    strings = F.coalesce(fields["participants"].rlike(r'^\s*\[\s*"'), F.lit(False))
+    return F.concat(quoted, F.when(strings, F.lit(' "participants": ["')).otherwise(F.lit("")))
 
 
-@dataclass(frozen=True)
-class Import:
-    export: Export
-    files: DataFrame  # path and recognised source_id of every readable file
-
-    def unrecognised(self) -> DataFrame:
-        return self.files.filter(F.col("source_id").isNull())
+def transcript_head(lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(``by``, path, headers, lines) of each transcript; whole files count, no line is moved."""
+    clean = F.regexp_replace("line", INVISIBLE, "")
+    return lines.groupBy(*by, "path").agg(
+        F.count_if(clean.rlike(HEADER)).alias("headers"), F.count(F.lit(1)).alias("lines")
+    )
 
 
 def read_messages(
-    spark: SparkSession, paths: str | Sequence[str], zone: str = "UTC"
+    spark: SparkSession, paths: str | Sequence[str], zone: str = "UTC", owner: str | None = None
 ) -> Import:
-    """Reads a drop of files of any mix of services; each file goes to its best format."""
-    documents = _read_documents(spark, paths).withColumn("head", F.substring("content", 1, PEEK_CHARS))
-    json_files = route(documents)
-    lines = read_lines(spark, paths)
-    # The first forty lines of each transcript, found without moving the rest.
-    firsts = top_k(lines, PEEK_LINES, F.col("seq"), by=["path"])
-    heads = firsts.groupBy("path").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]), "\n"
-        ).alias("head")
-    )
-    text_files = route(heads)
-    files = json_files.select("path", "source_id").unionByName(text_files.select("path", "source_id"))
-    network = archive_network(files)
+    """Reads a drop of files of any mix of services; each file goes to its best format.
+
+    ``owner``: a pattern whose group names the person in a path; then all tables have that column,
+    and the network of an archive is decided for each person. It is decided from paths alone.
+    """
+    documents, by = with_owner(read_contents(spark, paths), owner)
+    json_files = route(documents.withColumn("head", json_head(F.col("content"))))
+    lines, _ = with_owner(read_lines(spark, paths), owner)
+    heads = transcript_head(lines, by)
+    score = transcript_score(F.col("path"), F.col("headers"), F.col("lines"))
+    text_files = heads.withColumn("source_id", F.when(score > 0, F.lit(CHAT_TEXT)))
+    named = [*by, "path", "source_id"]
+    files = json_files.select(named).unionByName(text_files.select(named))
+    network = archive_network(json_files.select(*by, "path").unionByName(heads.select(*by, "path")), by)
 
     def parsed(source: str, ddl: str) -> DataFrame:
         doc = F.from_json("content", T.StructType.fromDDL(ddl))
-        return json_files.filter(F.col("source_id") == source).select("path", doc.alias("doc"))
+        return json_files.filter(F.col("source_id") == source).select(*by, "path", doc.alias("doc"))
 
-    chats = lines.join(
-        text_files.filter(F.col("source_id") == CHAT_TEXT).select("path"), "path", "left_semi"
-    )
+    chats = lines.join(text_files.filter(F.col("source_id") == CHAT_TEXT).select("path"), "path", "left_semi")
     export = (
-        messages_from_meta(parsed(META, META_DDL), network, zone)
-        .union(messages_from_normalized(parsed(NORMALIZED, NORMALIZED_DDL), zone))
-        .union(messages_from_chat_text(chats))
+        messages_from_meta(parsed(META, META_DDL), network, zone, by)
+        .union(messages_from_normalized(parsed(NORMALIZED, NORMALIZED_DDL), zone, by))
+        .union(messages_from_chat_text(chats, by))
     )
     return Import(export, files)
 

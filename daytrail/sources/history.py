@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from daytrail.functions import labels
 from daytrail.plans.ordered import hour_chunk, ordered_pass
+from daytrail.sources.files import raw_fields, raw_items, read_contents, typed, with_owner
 
 # The field names of the export.
 RAW_SCHEMA = T.StructType(
@@ -47,27 +48,35 @@ PLATFORM_MARKS = (
 OTHER_PLATFORM = "Other"
 
 
-def read_streaming_history(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Entries of all files; files that are not JSON arrays of entries add nothing."""
-    raw = (
-        spark.read.schema(RAW_SCHEMA)
-        .option("multiLine", True)
-        .option("mode", "DROPMALFORMED")
-        .json(paths)
+def entries_from_contents(contents: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Entries of files (``by``, path, content), with ``source_file``, the name of the file.
+
+    A value of an odd type is read as far as it goes and is null else; an entry stays whatever its
+    other values are. Only an entry without ``ts`` is none. A file that is no array gives nothing.
+    """
+    entry = F.explode(raw_items(F.col("content"))).alias("_entry")
+    fields = contents.select(*by, F.element_at(F.split("path", "/"), -1).alias("source_file"), entry).select(
+        *by, "source_file", raw_fields(F.col("_entry")).alias("_f")
     )
-    return raw.filter(F.col("ts").isNotNull())
+    values = [typed(F.col("_f")[x.name], x.dataType.simpleString()).alias(x.name) for x in RAW_SCHEMA]
+    return fields.select(*by, *values, "source_file").filter(F.col("ts").isNotNull())
+
+
+def unread_files(contents: DataFrame) -> DataFrame:
+    """(path) of the files that are no JSON array."""
+    return contents.filter(raw_items(F.col("content")).isNull()).select("path")
 
 
-def with_source_file(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def read_streaming_history(spark: SparkSession, paths: str | Sequence[str], owner: str | None = None) -> DataFrame:
+    """Entries of all files. ``owner``: a pattern whose group names the person in a path."""
+    files, by = with_owner(read_contents(spark, paths), owner)
+    return entries_from_contents(files, by).drop("source_file")
+
+
+def with_source_file(spark: SparkSession, paths: str | Sequence[str], owner: str | None = None) -> DataFrame:
     """Entries tagged with the name of the file they came from."""
-    raw = (
-        spark.read.schema(RAW_SCHEMA)
-        .option("multiLine", True)
-        .option("mode", "DROPMALFORMED")
-        .json(paths)
-        .select("*", F.col("_metadata.file_name").alias("source_file"))
-    )
-    return raw.filter(F.col("ts").isNotNull()).withColumn("ts", F.col("ts").try_cast("timestamp"))
+    files, by = with_owner(read_contents(spark, paths), owner)
+    return entries_from_contents(files, by).withColumn("ts", F.col("ts").try_cast("timestamp"))
 
 
 def history_span(history: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from daytrail.functions import sphere
 from daytrail.plans.ordered import hour_chunk, ms_hour_chunk, ordered_pass
+from daytrail.sources.files import raw_fields, raw_items, read_contents, with_owner
 
 # The shape of a timeline entry.
 ENTRY_DDL = (
@@ -31,24 +32,27 @@ ZONE_COLUMNS = {
 }
 
 
-def read_timeline(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Entries of a root array, or of ``semanticSegments`` inside a root object."""
-    schema = T.StructType(
-        [
-            *T.StructType.fromDDL(ENTRY_DDL).fields,
-            *T.StructType.fromDDL(f"semanticSegments array<struct<{_as_struct(ENTRY_DDL)}>>").fields,
-        ]
-    )
-    raw = (
-        spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(paths)
-    )
-    own = F.array(F.struct(*ENTRY_FIELDS))
-    return raw.select(F.inline(F.coalesce("semanticSegments", own)))
+def entries_from_contents(contents: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Entries of files (``by``, path, content): a root array, or ``semanticSegments`` of an object.
+
+    Each field is read on its own, so an odd ``visit`` costs that visit and nothing else.
+    """
+    content = F.col("content")
+    inner = raw_fields(F.regexp_replace(content, "^\\x{FEFF}", ""))["semanticSegments"]
+    entry = F.explode(F.coalesce(raw_items(content), raw_items(inner))).alias("_entry")
+    fields = contents.select(*by, entry).select(*by, raw_fields(F.col("_entry")).alias("_f")).filter("_f IS NOT NULL")
+
+    def field(x: T.StructField) -> Column:
+        raw = F.col("_f")[x.name]
+        return (raw if x.dataType == T.StringType() else F.from_json(raw, x.dataType)).alias(x.name)
+
+    return fields.select(*by, *[field(x) for x in T.StructType.fromDDL(ENTRY_DDL)])
 
 
-def _as_struct(ddl: str) -> str:
-    fields = T.StructType.fromDDL(ddl)
-    return ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in fields)
+def read_timeline(spark: SparkSession, paths: str | Sequence[str], owner: str | None = None) -> DataFrame:
+    """Entries of all files. ``owner``: a pattern whose group names the person in a path."""
+    files, by = with_owner(read_contents(spark, paths), owner)
+    return entries_from_contents(files, by)
 
 
 def parse_geo(text: Column) -> Column:
