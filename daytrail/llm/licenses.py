@@ -4,7 +4,8 @@ A paragraph is a line. Its word 1- and 2-grams are hashed to a sparse vector, an
 logistic regression gives probabilities of the licence families and of *unknown*. The regression
 is trained here: on the families' templates (whole, and in parts, since notices come cut and
 joined with other text) and, for *unknown*, on paragraphs of the corpus, a bounded sample by hash
-(``SAMPLE``). A second regression of one variable, fitted on training rows that the first one did
+(``SAMPLE`` paragraphs of
+``SAMPLE_TEXTS`` texts). A second regression of one variable, fitted on training rows that the first one did
 not see, turns the lead of the best family over *unknown* into a calibrated probability; below
 ``KNOWN`` a paragraph is unknown. What is left is compared with the templates of its family: the
 share of its distinct 2-grams that one template has, or of the template's that it has, must reach
@@ -25,9 +26,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from daytrail.plans.ranking import with_group_row
 from daytrail.session import cut_lineage
 
-FEATURES, SAMPLE = 1 << 13, 3000
+FEATURES, SAMPLE, SAMPLE_TEXTS = 1 << 13, 3000, 500
 KNOWN, CONFIRMED = 0.5, 0.6
 UNKNOWN = "unknown"
 
@@ -129,8 +131,11 @@ def training_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
     templates = template_rows(spark)
     names = F.array_distinct(F.flatten(F.collect_list("pairs")))
     known = NGram(n=2, inputCol="words", outputCol="pairs").transform(templates).agg(names.alias("known"))
+    h = F.xxhash64(F.col("text").cast("string"))
+    # Texts by hash, each once; only the hashes of all texts are moved.
+    texts = docs.where("text IS NOT NULL").select(h.alias("h")).distinct().orderBy("h").limit(SAMPLE_TEXTS)
     picked = (
-        paragraphs(docs.select(F.lit(0).alias("row"), "text"))
+        paragraphs(docs.select("text", h.alias("row")).join(F.broadcast(texts.withColumnRenamed("h", "row")), "row", "left_semi"))
         .where(F.size("words") >= 3)
         .select("words", F.xxhash64("words").alias("h"))
         .distinct()
@@ -141,7 +146,7 @@ def training_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
     sample = cut_lineage(picked.select("words").union(plain).coalesce(1))
     pairs = NGram(n=2, inputCol="words", outputCol="pairs").transform(sample)
     looks = F.size(F.array_intersect("pairs", "known")) >= CONFIRMED * F.size("pairs")
-    unknown = pairs.join(F.broadcast(known)).where(~looks).select(F.lit(UNKNOWN).alias("family"), "words")
+    unknown = with_group_row(pairs, known).where(~looks).select(F.lit(UNKNOWN).alias("family"), "words")
     parts = templates.select(
         "family", "words", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("cut")
     ).select(
