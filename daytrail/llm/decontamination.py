@@ -139,7 +139,7 @@ def _matches(text: list[int], item: list[int], free_text: list[bool], free_item:
     """Maximal matches of free words as (length, place in the item, place in the text)."""
     def runs(words: list[int], free: list[bool]):
         hashes = windows(np.array(words, np.int64).view(np.uint64), least).tolist()
-        blocked = np.flatnonzero(~np.array(free))
+        blocked = np.flatnonzero(~np.array(free, bool))
         bad = set((blocked[:, None] - np.arange(least)).ravel().tolist())
         return [(h, i) for i, h in enumerate(hashes) if i not in bad]
 
