@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from daytrail.functions import dates
 from daytrail.plans.ordered import ordered_pass
-from daytrail.plans.ranking import over
+from daytrail.plans.ranking import over, top_k
 
 # Fixed values.
 RACE_TOP = 15
@@ -54,6 +54,10 @@ def race_frames(
     ``monthly`` has month, name and ``value``. Each total is carried forward by exploding the
     months it lasts, so there is no months x names cross join; the rank filter per frame is
     pushed below the shuffle. One name more than ``top`` is kept, as an entrant in waiting.
+
+    Before a month is cut into frames, names that can't show in any of them go: values move
+    linearly, so a name whose higher end lies below the lower ends of ``top`` + 1 others is never
+    among them.
     """
     sums = monthly.groupBy(*by, "month", "name").agg(F.sum(value).alias("v"))
     seen = sums.select(*by, "month").distinct()
@@ -87,12 +91,18 @@ def race_frames(
     a = F.when(F.col("m") < F.col("i"), F.lit(0)).otherwise(F.col("total"))
     b = F.when(F.col("m") == F.col("next_i") - 1, F.col("next_total")).otherwise(F.col("total"))
     all_steps = F.sequence(F.lit(0), F.lit(steps - 1))
-    frames = spans.select(
+    ends = spans.select(*by, "name", "m", "last_i", a.alias("a"), b.alias("b"))
+    low = F.least("a", "b")
+    lowest = top_k(ends, top + 1, F.desc(low), F.asc("name"), by=[*by, "m"]).groupBy(*by, "m").agg(
+        F.when(F.count(F.lit(1)) > top, F.min(low)).alias("bar")
+    )
+    in_sight = ends.join(lowest, [*by, "m"]).filter(F.col("bar").isNull() | (F.greatest("a", "b") >= F.col("bar")))
+    frames = in_sight.select(
         *by,
         "name",
-        F.col("m"),
-        a.alias("a"),
-        b.alias("b"),
+        "m",
+        "a",
+        "b",
         F.explode(F.when(F.col("m") < F.col("last_i"), all_steps).otherwise(F.array(F.lit(0)))).alias("step"),
     ).withColumn("t", F.col("step") / F.lit(float(steps)))
     valued = frames.select(
@@ -114,7 +124,11 @@ def race_frames(
 
 
 def arrival_order(series: DataFrame, key: str, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Position of each series by first active month, then by name."""
+    """Position of each series by first active month, then by name.
+
+    Most names of a table may begin in its first month, so the pass is cut by month and by the
+    first letters of the name.
+    """
     first = (
         series.groupBy(*by, key)
         .agg(F.min(F.when(F.col(value) > 0, F.col("month"))).alias("first_month"))
@@ -124,7 +138,7 @@ def arrival_order(series: DataFrame, key: str, value: str, by: Sequence[str] = (
         first,
         keys=by,
         order=[F.col("first_month"), F.col(key)],
-        chunk=F.unix_date("first_month").cast("long"),
+        chunk=F.struct("first_month", F.substring(F.col(key), 1, 3)),
         running={"position": F.lit(1).cast("long")},
     )
     return numbered.withColumn("position", F.col("position") - 1)
