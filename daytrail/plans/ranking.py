@@ -30,6 +30,8 @@ def top_k(df: DataFrame, k: int, *order: Column, by: Sequence[str] = ()) -> Data
     return ranked.filter(F.col("_rank") <= k).drop("_rank")
 
 
+# Parts of an opened bin of values.
+PARTS = 1024
 # Most rows a table may have to be broadcast outright; report limits stay far below.
 BROADCAST_ROWS = 100_000
 
@@ -71,7 +73,9 @@ def exact_quantiles(
 
     ``wanted`` maps an output name to (probability, condition). Rows are first counted
     per distinct value, then per coarse bin; only the bins that hold a wanted rank are
-    opened again. No task holds all values of a group, however large the group is.
+    opened, cut into ``PARTS`` even parts between their least and largest value, and of these
+    again only those that hold the rank. So values that lie close together, as instants of some
+    years do, are not one task either.
     With ``interpolate=False`` the lower order statistic at ``floor(p * (n - 1))`` is taken.
     """
     names = list(wanted)
@@ -90,7 +94,7 @@ def exact_quantiles(
     )
     before = over(by, F.col("_bin")).rowsBetween(Window.unboundedPreceding, -1)
     bins = counts.groupBy(*by, "_bin").agg(
-        *[F.sum(f"_n_{n}").alias(f"_b_{n}") for n in names]
+        *[F.sum(f"_n_{n}").alias(f"_b_{n}") for n in names], F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
     for n in names:
         bins = bins.withColumn(f"_t_{n}", F.sum(f"_b_{n}").over(over(by)))
@@ -103,11 +107,21 @@ def exact_quantiles(
         lo, hi = F.floor(F.col(f"_pos_{n}")), F.ceil(F.col(f"_pos_{n}"))
         start, end = F.col(f"_p_{n}"), F.col(f"_p_{n}") + F.col(f"_b_{n}")
         hit = hit | ((F.col(f"_t_{n}") > 0) & (start <= hi) & (end > lo))
-    opened = bins.filter(hit).select(
-        *by, "_bin", *[c for n in names for c in (f"_p_{n}", f"_pos_{n}", f"_t_{n}")]
+    facts = [c for n in names for c in (f"_p_{n}", f"_pos_{n}", f"_t_{n}")]
+    opened = bins.filter(hit).select(*by, "_bin", "_lo", "_hi", *facts)
+    # Rounding never turns the order of two values round, so parts are in order too.
+    share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    part = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(share * PARTS), F.lit(PARTS - 1))).otherwise(0)
+    split = counts.join(opened, [*by, "_bin"]).withColumn("_part", part)
+    parts = split.groupBy(*by, "_bin", "_part").agg(
+        *[F.sum(f"_n_{n}").alias(f"_b_{n}") for n in names], *[F.max(c).alias(c) for c in facts]
     )
-    joined = counts.join(opened, [*by, "_bin"])
-    inside = over([*by, "_bin"], F.col("_v"))
+    earlier = over([*by, "_bin"], F.col("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    for n in names:
+        parts = parts.withColumn(f"_p_{n}", F.col(f"_p_{n}") + F.coalesce(F.sum(f"_b_{n}").over(earlier), F.lit(0)))
+    cut = [*by, "_bin", "_part"]
+    joined = split.drop(*facts).join(parts.filter(hit).select(*cut, *facts), cut)
+    inside = over(cut, F.col("_v"))
     aggregates = []
     for n in names:
         end = F.sum(f"_n_{n}").over(inside.rowsBetween(Window.unboundedPreceding, 0))
