@@ -19,6 +19,7 @@ from daytrail.operators import (
     zones,
 )
 from daytrail.plans import adapters
+from daytrail.sources import chats
 from tests.compare import plain
 
 SF = "/root/testdata/sf0.001"
@@ -122,3 +123,57 @@ def test_by_owner(spark, view, name, make):
     columns = [c for c in alone.columns if c != "owner"]
     assert rows_of(grouped.filter(F.col("owner") == 7), columns) == rows_of(alone, columns)
     assert {r.owner for r in grouped.select("owner").distinct().collect()} <= {3, 7}
+
+
+# --- colliding ids and keys of two people ------------------------------------------------
+
+
+def two_threads(spark):
+    """The same thread key in the exports of two people."""
+    threads = spark.createDataFrame(
+        [(o, "t1", "meta-json", "messenger", f"Friend of {o}", [o, f"Friend of {o}"], False) for o in ("ann", "bob")],
+        "owner string, thread_key string, source_id string, network string, thread string,"
+        " participants array<string>, is_group boolean",
+    )
+    said = spark.createDataFrame([(o, "t1", "meta-json", o) for o in ("ann", "bob")], "owner string, thread_key string, source_id string, sender string")
+    messages = said.select(
+        "*", F.lit(0).alias("seq"), F.timestamp_seconds(F.lit(1714550400)).cast("timestamp_ntz").alias("timestamp"),
+        F.lit("hi").alias("text"), F.lit("text").alias("msg_type"), F.lit("none").alias("media_kind"),
+        F.array().cast("array<string>").alias("reaction_list"), F.lit(False).alias("is_unsent"),
+    )
+    return threads, messages
+
+
+def test_rows_and_report_of_colliding_threads(spark):
+    threads, said = two_threads(spark)
+    rows = conversation.message_rows(threads, said, by=["owner", "source_id"], person=BY).collect()
+    assert sorted((r.owner, r.sender, r.direction, r.contact) for r in rows) == [
+        ("ann", "ann", "sent", "Friend of ann"), ("bob", "bob", "sent", "Friend of bob")
+    ]
+    report = chats.import_report(threads, said, BY).collect()
+    assert sorted((r.owner, r.threads, r.messages) for r in report) == [("ann", 1, 1), ("bob", 1, 1)]
+
+
+def test_append_of_two_people(spark, tmp_path):
+    path = str(tmp_path / "messages")
+    rows = spark.createDataFrame(
+        [("group", "messenger", "Carl", "hi")], "thread string, network string, sender string, text string"
+    ).withColumn("timestamp", F.timestamp_seconds(F.lit(1714550400)).cast("timestamp_ntz"))
+    rows = rows.withColumn("date", F.to_date("timestamp"))
+    for owner in ("a", "b", "a"):
+        chats.append_messages(spark, path, rows.withColumn("owner", F.lit(owner)), by=BY)
+    assert sorted(r.owner for r in spark.read.parquet(path).collect()) == ["a", "b"]
+    # A batch that is sent again under its name writes over its own rows.
+    for _ in range(2):
+        chats.append_messages(spark, path, rows.withColumn("owner", F.lit("c")), by=BY, batch="s-1")
+    assert sorted(r.owner for r in spark.read.parquet(path).collect()) == ["a", "b", "c"]
+
+
+def test_patch_of_two_people(spark):
+    zones_ = ", ".join(f"{c} string" for c in location.ZONE_COLUMNS)
+    segments = spark.createDataFrame(
+        [(o, 0, *([o.upper()] * len(location.ZONE_COLUMNS))) for o in ("a", "b")], f"owner string, seg_id long, {zones_}"
+    ).withColumn("timestamp", F.current_timestamp())
+    points = segments.select("owner", "seg_id", *[F.lit("?").alias(c) for c in location.ZONE_COLUMNS])
+    got = location.patch_zones(points, segments, BY).collect()
+    assert sorted((r.owner, r.country) for r in got) == [("a", "A"), ("b", "B")]

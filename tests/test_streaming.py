@@ -1,5 +1,8 @@
 """Streams over files give what the batch operators give."""
 
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from daytrail.operators import behaviour
@@ -60,3 +63,20 @@ def test_deduplicated_stream(spark, tmp_path):
     stream = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 10).parquet(source)
     got = collect_stream(jobs.deduplicated(stream, "40 days"), spark, "unique_messages", "append")
     assert got.select(*NATURAL_KEY, "text").distinct().count() == got.count() == messages.count()
+
+
+def test_a_stream_that_is_not_done_or_fails_raises(spark, tmp_path):
+    messages = adapters.messages(spark, SF)
+    source = staged(messages, str(tmp_path / "in"))
+    stream = jobs.read_message_stream(spark, source, messages)
+
+    def slow(batch, _id):
+        time.sleep(20)
+
+    def broken(batch, _id):
+        raise RuntimeError("no")
+
+    for save, error, limit in ((slow, TimeoutError, 1), (broken, Exception, None)):
+        writer = stream.writeStream.foreachBatch(save).option("checkpointLocation", str(tmp_path / save.__name__))
+        with pytest.raises(error):
+            jobs.run_available(writer, limit)
