@@ -26,9 +26,12 @@ from pyspark.sql import functions as F
 
 from daytrail.llm.columns import hash60
 from daytrail.llm.textscan import utf8
+from daytrail.session import cut_lineage
 
 UNITS, SPAN, WIDTH = 8, 128, 2048
 SAMPLE, STRETCH = 2400, 600
+#: Documents below this score are rejected by :func:`accepted`.
+LEAST_SCORE = 0.5
 STEPS, BATCH, TRAIN_SPAN, RATE = 260, 384, 48, 0.02
 UNKNOWN = "und"
 
@@ -180,11 +183,15 @@ def learned(docs: DataFrame, seed: int = 5) -> Network | None:
         & F.col("lang").isNotNull()
         & F.col("text").rlike(r"\p{L}")
     ).select("doc_id", "lang", hash60(F.col("doc_id")).alias("h"))
-    langs = pool.agg(F.count_distinct("lang")).first()[0]
+    sizes = cut_lineage(pool.groupBy("lang").agg(F.count(F.lit(1)).alias("m")))
+    langs = sizes.count()
     if not langs:
         return None
+    share = max(1, SAMPLE // langs)
+    # Hashes are uniform: below this bar are about twice as many of each language as are taken.
+    low = pool.join(sizes, "lang").where(F.col("h") < 2.0**60 * 2 * (share + 20) / F.col("m"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = pool.withColumn("nth", nth).where(F.col("nth") <= max(1, SAMPLE // langs)).select("doc_id")
+    chosen = low.withColumn("nth", nth).where(F.col("nth") <= share).select("doc_id")
     room = F.greatest(F.length("text") - STRETCH, F.lit(0)) + 1
     stretch = F.substring(
         F.col("text"), (F.pmod(hash60(F.col("doc_id")), room) + 1).cast("int"), F.lit(STRETCH)
@@ -210,17 +217,43 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     if net is None:
         return rows.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
 
+    label = _labeller(net)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(label, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+
+
+def _predict(net: Network, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(label number, score) of each text; score 0 where there is no letter byte."""
+    sums = label_positions(net, *utf8(text))
+    total = sums.sum(axis=1)
+    return sums.argmax(axis=1), np.divide(sums.max(axis=1), total, out=np.zeros(len(total)), where=total > 0)
+
+
+def _labeller(net: Network):
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = label_positions(net, *utf8(batch.column("text")))
-            total = sums.sum(axis=1)
-            best = sums.argmax(axis=1)
-            share = np.divide(sums.max(axis=1), total, out=np.zeros(len(total)), where=total > 0)
-            names = [net.labels[k] if t > 0 else UNKNOWN for k, t in zip(best.tolist(), total.tolist(), strict=True)]
+            best, share = _predict(net, batch.column("text"))
+            names = [net.labels[k] if x > 0 else UNKNOWN for k, x in zip(best.tolist(), share.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(share)],
                 ["doc_id", "held_out", "lang_pred", "score"],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(label, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return label
+
+
+def accepted(docs: DataFrame, net: Network | None, least: float = LEAST_SCORE) -> DataFrame:
+    """Rows of ``docs``, with all their columns, whose language is known with a score of ``least``.
+
+    Texts without a letter go; without a network, all others stay.
+    """
+    letters = docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    if net is None:
+        return letters
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, share = _predict(net, batch.column("text"))
+            yield batch.filter(pa.array(share >= least))
+
+    return letters.mapInArrow(keep, docs.schema)

@@ -342,3 +342,18 @@ def join_documents(docs: DataFrame) -> DataFrame:
     least = grouped.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     own = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return grouped.join(least, "root", "left").select("doc_id", "n_shingles", own.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs``, with all their columns: of each group the document with the smallest id.
+
+    Of equal ids the one with the smallest hash of its text stays, and of rows that are equal in
+    both one; documents without words all stay.
+    """
+    text = F.col("text").cast("string")
+    keyed = docs.select(
+        F.struct("*").alias("row"), F.struct("doc_id", F.xxhash64(text).alias("t")).alias("doc_id"), text.alias("text")
+    )
+    groups = join_documents(keyed.select("doc_id", "text"))
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    return keyed.select("doc_id", "row").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("row.*")
