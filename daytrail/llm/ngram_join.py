@@ -10,9 +10,12 @@ over all documents (each batch reports the shingles that it saw more than once)
 
 *Light and heavy sets.* A set of n may lack n // 10 of its shingles. Small sets give as keys all
 pairs among their n // 10 + 2 first shingles: linked sets share a pair, and a pair is rare. Large
-sets give their n // 10 + 1 first shingles as inverted lists, which are scanned for every set that
-such a large one could link to. The size between them is the one at which both ways cost the same,
-from measured sizes and list lengths (:func:`boundary`).
+sets scan inverted lists of their n // 10 + m first shingles; in the lists are the sets of their
+size and smaller ones, under their n // 19 + m first shingles, since those may lack fewer. Linked
+sets meet on m lists, with m = n // 80 + 1 of the smaller set, so one passage that two documents
+share is not enough; what can still follow the last list they meet on must make up the overlap.
+The size between small and large is the one at which both ways cost least, from measured sizes and
+list lengths (:func:`boundary`).
 
 *Keys to links.* Equal sets are one set with one number, so copies cost nothing. A key that only
 one set has is dropped. Then sets first meet the leader of their keys: each round compares every
@@ -51,6 +54,10 @@ CLASSES = 64
 FILTER_BITS = 1 << 23
 #: Leader rounds end when fewer pairs than this are left for each key of a set.
 PAIRS_PER_KEY = 4
+#: Leaders of a key in a round.
+LEADERS = 2
+#: A further round pays while one set of this many gets a link.
+ROUND_PAYS = 20
 
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -115,8 +122,8 @@ def _survey_rows(kind_no: int, ids: pa.Array, a, n, kind: str) -> pa.RecordBatch
 def boundary(classes: dict[int, int], list_length: float) -> int:
     """The number of tenths up to which sets are small, -1 for none.
 
-    A small set of class d costs (d + 2)(d + 1) / 2 keys; a large one d + 1 keys and as many scans
-    of lists of ``list_length``. Sets up to a tenth smaller than the boundary pay for both.
+    A small set of class d costs (d + 2)(d + 1) / 2 keys; a large one d + d // 8 + 1 keys and as
+    many scans of lists of ``list_length``. Sets up to a tenth smaller than the boundary pay for both.
     """
     def cost(limit: int) -> float:
         total = 0.0
@@ -124,7 +131,7 @@ def boundary(classes: dict[int, int], list_length: float) -> int:
             if d <= limit:
                 total += sets * (d + 2) * (d + 1) / 2
             listed = min(1.0, max(0.0, (10 * d + 10 - 9 * (limit + 1)) / 10))
-            total += sets * listed * (d + 1) * (1 + list_length)
+            total += sets * listed * (d + d // 8 + 1) * (1 + list_length)
         return total
 
     return min(range(-1, CLASSES - 1), key=cost)
@@ -165,12 +172,13 @@ def set_keys(docs: DataFrame, heavy: np.ndarray, counts: np.ndarray, limit: int)
                     continue
                 known.add(number)
                 slack = n // 10
+                listed = slack + slack // 8 + 1
                 if len(heavy):
                     at = np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)
                     weight = np.where(heavy[at] == tokens, counts[at], 0)
-                    order = tokens[np.argsort(weight, kind="stable")[: slack + 2]]
+                    order = tokens[np.argsort(weight, kind="stable")[: listed + 1]]
                 else:
-                    order = tokens[: slack + 2]
+                    order = tokens[: listed + 1]
                 if slack <= limit:
                     i, j = np.triu_indices(min(slack + 2, n), 1)
                     low, high = np.minimum(order[i], order[j]), np.maximum(order[i], order[j])
@@ -179,9 +187,9 @@ def set_keys(docs: DataFrame, heavy: np.ndarray, counts: np.ndarray, limit: int)
                     waiting += len(i)
                 # A set that some large one can link to is in the lists too.
                 if n * 10 >= 9 * (limit + 1) * 10:
-                    keys.append(mixed(order[: slack + 1] ^ np.uint64(0xA24BAED4963EE407)))
-                    numbers.append(number), sizes.append(n), places.append(np.arange(slack + 1, dtype=np.int32))
-                    waiting += slack + 1
+                    keys.append(mixed(order[:listed] ^ np.uint64(0xA24BAED4963EE407)))
+                    numbers.append(number), sizes.append(n), places.append(np.arange(listed, dtype=np.int32))
+                    waiting += listed
                 if waiting > 200_000:
                     yield flush()
                     waiting = 0
@@ -252,56 +260,80 @@ def _sizes_fit(n: Column, m: Column) -> Column:
     return F.least(n, m) * 10 >= F.greatest(n, m) * 9
 
 
-def _enough_room(n: Column, i: Column, m: Column, j: Column) -> Column:
-    """Whether sets of n and m that have a shingle at places i and j can have enough in common."""
-    room = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
-    return (i < 0) | (19 * room >= 9 * (n + m))
+def _lists(n: Column) -> Column:
+    """On how many lists a set of n meets those it links with."""
+    return F.floor(n / 80) + 1
 
 
-def link_groups(keys: DataFrame, sets: DataFrame) -> DataFrame:
+def _in_list(n: Column, pos: Column) -> Column:
+    """Whether a key is one under which others of no smaller size find the set."""
+    return (pos < 0) | (pos < F.floor(n / 19) + _lists(n))
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """(sid, sid2) of the pairs that meet on a pair key, or on lists as links do.
+
+    ``rows``: all keys that a scanning set (sid, n, pos) shares with one in their lists.
+    """
+    on_list = F.col("pos") >= 0
+    n, m = F.min("n"), F.min("n2")
+    meets = F.count_if(on_list)
+    # After the last list they meet on, at most the shorter rest is common.
+    most = meets + F.least(n - F.max("pos") - 1, m - F.max("pos2") - 1)
+    return (
+        rows.where(_sizes_fit(F.col("n"), F.col("n2")))
+        .groupBy("sid", "sid2")
+        .agg(
+            (F.count_if(~on_list) > 0).alias("paired"),
+            ((meets >= _lists(F.least(n, m))) & (19 * most >= 9 * (n + m))).alias("listed"),
+        )
+        .where("paired OR listed")
+    )
+
+
+def link_groups(docs: DataFrame, keys: DataFrame, reps: DataFrame) -> DataFrame:
     """(node, root) of the groups that links make among the sets of ``keys`` (key, sid, n, pos).
 
-    Leader rounds go on while pairs are many and each round rids of a third of them at least.
+    One leader round at least; more while pairs are many and a round still links a fair part of the
+    sets that it compares. Only sets
+    that stand in a pair are fetched: ``reps`` (sid, rep) names a document for each.
     """
-    before = float("inf")
     edges = keys.sparkSession.createDataFrame([], "a long, b long")
     rooted = keys.withColumn("root", F.col("sid"))
+    links = met = 0
     for step in itertools.count():
-        per_root = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
+        per_root = rooted.groupBy("key", "root").agg(
+            F.count(F.lit(1)).alias("m"), F.count_if(_in_list(F.col("n"), F.col("pos"))).alias("listed")
+        )
         open_keys = cut_lineage(
             per_root.groupBy("key")
             .agg(
-                F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("same"),
+                F.sum("m").alias("all"), F.sum("listed").alias("listed"),
                 F.min("root").alias("lo"), F.max("root").alias("hi"),
             )
-            .where("lo < hi")
+            .where("lo < hi AND listed > 0")
         )
-        pairs_left = F.sum(F.col("all").cast("double") * F.col("all") - F.col("same")) / 2
+        pairs_left = F.sum(F.col("all").cast("double") * F.col("listed")) / 2
         left, entries = (x or 0 for x in open_keys.agg(pairs_left, F.sum("all")).first())
-        rooted = cut_lineage(rooted.join(open_keys.select("key"), "key", "left_semi"))
-        last = left <= PAIRS_PER_KEY * entries or left > before * 2 / 3
-        before = left
+        rooted = rooted.join(open_keys.select("key").hint("shuffle_hash"), "key", "left_semi")
+        last = step > 0 and (left <= PAIRS_PER_KEY * entries or links <= met / ROUND_PAYS)
         if last:
-            other = rooted.select("key", *[F.col(c).alias(f"{c}2") for c in ("sid", "n", "pos", "root")])
-            pairs = (
-                rooted.join(other, "key")
-                .where((F.col("sid") < F.col("sid2")) & (F.col("root") != F.col("root2")))
-                .where(_sizes_fit(F.col("n"), F.col("n2")))
-                .where(_enough_room(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2")))
-                .select(F.col("sid").alias("a"), F.col("sid2").alias("b"))
-                .distinct()
+            rooted = cut_lineage(rooted)
+            other = rooted.where(_in_list(F.col("n"), F.col("pos"))).select(
+                "key", *[F.col(c).alias(f"{c}2") for c in ("sid", "n", "pos", "root")]
             )
+            longer = (F.col("n") > F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("sid") < F.col("sid2")))
+            pairs = _met(rooted.join(other, "key").where(longer & (F.col("root") != F.col("root2"))))
         else:
-            turn = F.xxhash64("sid", F.lit(step))
-            leaders = rooted.groupBy("key").agg(*[F.min_by(c, turn).alias(f"{c}2") for c in ("sid", "n", "root")])
-            pairs = (
-                rooted.join(leaders, "key")
-                .where((F.col("root") != F.col("root2")) & _sizes_fit(F.col("n"), F.col("n2")))
-                .groupBy("sid", "sid2").agg(F.count(F.lit(1)).alias("shared"))
-                .groupBy("sid").agg(F.max_by("sid2", F.struct("shared", "sid2")).alias("sid2"))
-                .select(F.col("sid").alias("a"), F.col("sid2").alias("b"))
-            )
-        edges = cut_lineage(edges.union(true_links(pairs, sets)))
+            if step:
+                rooted = cut_lineage(rooted)
+            pairs = _led(rooted, step)
+        pairs = cut_lineage(pairs.select(F.col("sid").alias("a"), F.col("sid2").alias("b")))
+        named = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        sets = cut_lineage(wanted_sets(docs, cut_lineage(named.join(reps, "sid"))))
+        found = cut_lineage(true_links(pairs, sets))
+        links, met = found.count(), sets.count()
+        edges = edges.union(found)
         groups = components(edges)
         if last:
             return groups
@@ -312,6 +344,31 @@ def link_groups(keys: DataFrame, sets: DataFrame) -> DataFrame:
         )
 
 
+def _led(rooted: DataFrame, step: int) -> DataFrame:
+    """(sid, sid2): each set and the one of its keys' leaders that it shares most keys with.
+
+    A key has ``LEADERS`` leaders, the members with the smallest hashes under so many seeds; other
+    seeds in each round. A leader that shares fewer keys than links do is left to the last step.
+    """
+    turns = [F.xxhash64("sid", F.lit(step * LEADERS + i)) for i in range(LEADERS)]
+    columns = ("sid", "n", "root")
+    leaders = rooted.groupBy("key").agg(
+        *[F.min_by(c, turn).alias(f"{c}_{i}") for i, turn in enumerate(turns) for c in columns]
+    )
+    each = F.array_distinct(
+        F.array(*[F.struct(*[F.col(f"{c}_{i}").alias(f"{c}2") for c in columns]) for i in range(LEADERS)])
+    )
+    met = (
+        rooted.join(leaders.select("key", each.alias("leaders")), "key")
+        .select("sid", "n", "root", F.inline("leaders"))
+        .where((F.col("root") != F.col("root2")) & _sizes_fit(F.col("n"), F.col("n2")))
+        .groupBy("sid", "sid2")
+        .agg(F.count(F.lit(1)).alias("shared"), _lists(F.least(F.min("n"), F.min("n2"))).alias("least"))
+        .where("shared >= least")
+    )
+    return met.groupBy("sid").agg(F.max_by("sid2", F.struct("shared", "sid2")).alias("sid2"))
+
+
 def join_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of ``docs``."""
     seen = cut_lineage(survey(docs))
@@ -331,10 +388,10 @@ def join_documents(docs: DataFrame) -> DataFrame:
     spread = seen.where("kind = 2 AND a > 0").agg(others).first()[0]
     limit = boundary({r["d"]: r["count"] for r in classes}, 1 + (spread or 0.0))
     keys = cut_lineage(set_keys(docs, heavy[by_hash], common["n"].to_numpy()[by_hash], limit))
-    shared = keys.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi")
-    keys = cut_lineage(keys.join(shared.select("key"), "key", "left_semi"))
-    wanted = cut_lineage(keys.select("sid").distinct().join(sets.select("sid", "rep"), "sid"))
-    groups = link_groups(keys, cut_lineage(wanted_sets(docs, wanted)))
+    listed = F.count_if(_in_list(F.col("n"), F.col("pos")))
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), listed.alias("listed")).where("m > 1 AND listed > 0")
+    keys = cut_lineage(keys.join(shared.select("key").hint("shuffle_hash"), "key", "left_semi").distinct())
+    groups = link_groups(docs, keys, sets.select("sid", "rep"))
     grouped = cut_lineage(
         found.join(groups.withColumnRenamed("node", "sid"), "sid", "left")
         .withColumn("root", F.coalesce("root", "sid"))
