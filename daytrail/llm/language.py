@@ -30,8 +30,9 @@ from daytrail.session import cut_lineage
 
 UNITS, SPAN, WIDTH = 8, 128, 2048
 SAMPLE, STRETCH = 2400, 600
-#: Documents below this score are rejected by :func:`accepted`.
-LEAST_SCORE = 0.5
+#: Documents below this score are rejected by :func:`accepted`. It is low, as a clean text of a few
+#: words can be good in two languages: only texts that look like no language in particular go.
+LEAST_SCORE = 0.3
 STEPS, BATCH, TRAIN_SPAN, RATE = 260, 384, 48, 0.02
 UNKNOWN = "und"
 
