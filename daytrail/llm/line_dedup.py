@@ -1,17 +1,18 @@
 """Removal of repeated lines by an exact set-similarity join.
 
-A line's set is its distinct lower-cased words. Words are ordered by rarity: word occurrences are
-counted over all texts in ``COUNTERS`` counters that words hash to, and rarer counters come first
-(ties: by hash). A line of n words is indexed under its n - ceil(0.8 n) + 1 first words: lines
-that are alike (Jaccard of ``0.8`` or more) share one of them. Pairs that meet on a word are
-dropped when their lengths, or what can still follow at their places, do not allow 0.8; the others
-are verified on their whole sets.
+A line's set is its distinct runs of five lower-cased words, its tokens; a line of fewer words has
+one token, all its words. Tokens are ordered by rarity: their occurrences are counted over all texts
+in ``COUNTERS`` counters that tokens hash to, and rarer counters come first (ties: by hash). Lines
+are alike from a Jaccard similarity of 0.8 on. A line of n tokens looks for others under its
+n - ceil(0.8 n) + 1 first tokens and is found by no smaller ones under n - ceil(8 n / 9) + 1: lines
+that are alike share one of them. Pairs that meet are dropped when their lengths, or what can still
+follow after the last token they meet on, do not allow 0.8; the others are verified on whole sets.
 
 Lines are ordered by (doc_id, hash of the text, line number). Of equal sets all but the first line
 are removed; so is a first line that is alike to any earlier line, whether that one stays or not.
 
-*Hot words and groups.* Equal sets count once. A word that only one set has is dropped. When pairs
-are many, every set first meets the earliest set of each of its words alone; a set that is alike to
+*Hot tokens and groups.* Equal sets count once. A token that only one set has is dropped. When pairs
+are many, every set first meets the earliest set of each of its tokens alone; a set that is alike to
 it is settled, and only sets that are not meet all earlier ones. So a group of many near copies
 costs about as many pairs as it has lines.
 
@@ -21,6 +22,7 @@ are one document and keep the same lines; null ids come first; other columns are
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,19 +30,50 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daytrail.llm.textscan import Words, mixed, pieces, utf8
+from daytrail.llm.textscan import Words, mixed, pieces, utf8, windows
 from daytrail.session import cut_lineage
 
-#: Counters of word occurrences; 8 bytes each are sent to the tasks.
+WIDTH = 5
+#: Counters of token occurrences; 8 bytes each are sent to the tasks.
 COUNTERS = 1 << 17
 FILTER_BITS = 1 << 23
 PAIRS_PER_KEY = 4
-# A word in a line's set: 6 bits of rarity, 42 of hash. Above them, 16 bits number the line.
+# A token in a line's set: 6 bits of rarity, 42 of hash. Above them, 16 bits number the line.
 _HASH, _WORD, _LINES = 42, 48, 1 << 16
 _LOW = np.uint64((1 << _WORD) - 1)
 
 
-def count_words(docs: DataFrame) -> np.ndarray:
+class Tokens:
+    """Tokens of the lines of neighbouring texts: ``hash`` and ``line`` (number of a line with words).
+
+    ``doc`` and ``place`` say which text and which of its lines, from 0, each of these is.
+    """
+
+    def __init__(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        low, high = int(starts[0]), int(ends.max())
+        words = Words(raw, starts, ends)
+        feeds = np.flatnonzero(raw[low:high] == 10) + low
+        local = np.searchsorted(feeds, words.start) - np.searchsorted(feeds, starts)[words.doc]
+        change = np.ones(len(words.start), bool)
+        change[1:] = (np.diff(words.doc) != 0) | (np.diff(local) != 0)
+        first = np.flatnonzero(change)
+        self.doc, self.place = words.doc[first], local[first]
+        line = np.cumsum(change) - 1
+        size = np.diff(np.append(first, len(line)))
+        runs = windows(words.hash, WIDTH)
+        inside = np.flatnonzero(line[: len(runs)] == line[WIDTH - 1 :]) if len(runs) else np.zeros(0, np.int64)
+        hashes, lines = [runs[inside]], [line[inside]]
+        for width in range(1, WIDTH):
+            short = np.flatnonzero(size == width)
+            hashes.append(windows(words.hash, width)[first[short]] if len(short) else np.zeros(0, np.uint64))
+            lines.append(short)
+        self.hash, self.line = np.concatenate(hashes), np.concatenate(lines)
+
+    def counter(self) -> np.ndarray:
+        return (self.hash & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def count_tokens(docs: DataFrame) -> np.ndarray:
     """Occurrences by counter, over all texts."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
@@ -48,8 +81,7 @@ def count_words(docs: DataFrame) -> np.ndarray:
             raw, starts, ends = utf8(batch.column("text"))
             for i, j in pieces(starts, ends):
                 if ends[i:j].max() > starts[i]:
-                    hashes = Words(raw, starts[i:j], ends[i:j]).hash
-                    counts += np.bincount((hashes & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+                    counts += np.bincount(Tokens(raw, starts[i:j], ends[i:j]).counter(), minlength=COUNTERS)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["counter", "n"])
 
@@ -69,44 +101,36 @@ class LineSets:
     """The sets of the lines of neighbouring texts, found together.
 
     ``doc`` and ``line`` name each line with words, ``number`` its set, ``n`` its size; ``first``
-    bounds its words in ``words``, which are in order of rarity.
+    bounds its tokens in ``tokens``, which are in order of rarity.
     """
 
     def __init__(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np.ndarray):
-        low, high = int(starts[0]), int(ends.max())
-        found = Words(raw, starts, ends)
-        feeds = np.flatnonzero(raw[low:high] == 10) + low
-        # Lines of the piece: each text begins one, each line feed inside a text another.
-        before = np.searchsorted(feeds, starts)
-        local = np.searchsorted(feeds, found.start) - before[found.doc]
-        change = np.ones(len(found.start), bool)
-        change[1:] = (np.diff(found.doc) != 0) | (np.diff(local) != 0)
-        at = np.flatnonzero(change)
-        self.doc, self.line = found.doc[at], local[at]
-        line = np.cumsum(change) - 1
-        weight = weights[(found.hash & np.uint64(COUNTERS - 1)).astype(np.int64)]
-        word = (weight << np.uint64(_HASH)) | (found.hash >> np.uint64(64 - _HASH))
-        words, owners = [], []
-        for some in range(0, len(at), _LINES):
-            a = at[some]
-            b = at[some + _LINES] if some + _LINES < len(at) else len(word)
-            packed = np.sort(((line[a:b] - some).astype(np.uint64) << np.uint64(_WORD)) | word[a:b])
-            packed = packed[np.append(True, packed[1:] != packed[:-1])] if len(packed) else packed
-            words.append(packed & _LOW)
+        found = Tokens(raw, starts, ends)
+        self.doc, self.line = found.doc, found.place
+        many = len(self.doc)
+        token = (weights[found.counter()] << np.uint64(_HASH)) | (found.hash >> np.uint64(64 - _HASH))
+        tokens, owners = [], []
+        for some in range(0, many, _LINES):
+            mine = slice(None)
+            if many > _LINES:
+                mine = np.flatnonzero((found.line >= some) & (found.line < some + _LINES))
+            packed = np.sort(((found.line[mine] - some).astype(np.uint64) << np.uint64(_WORD)) | token[mine])
+            packed = packed[np.append(True, packed[1:] != packed[:-1])]
+            tokens.append(packed & _LOW)
             owners.append((packed >> np.uint64(_WORD)).astype(np.int64) + some)
-        self.words = np.concatenate([np.zeros(0, np.uint64), *words])
+        self.tokens = np.concatenate([np.zeros(0, np.uint64), *tokens])
         owner = np.concatenate([np.zeros(0, np.int64), *owners])
-        self.first = np.searchsorted(owner, np.arange(len(at) + 1))
+        self.first = np.searchsorted(owner, np.arange(many + 1))
         self.n = np.diff(self.first)
-        sums = np.add.reduceat(mixed(self.words), self.first[:-1]) if len(at) else np.zeros(0, np.uint64)
+        sums = np.add.reduceat(mixed(self.tokens), self.first[:-1]) if many else np.zeros(0, np.uint64)
         self.number = mixed(sums + self.n.astype(np.uint64)).view(np.int64)
 
     def prefixes(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index of the line, place, word) of the first n - ceil(0.8 n) + 1 words of each."""
+        """(index of the line, place, token) of the first n - ceil(0.8 n) + 1 tokens of each."""
         size = self.n[chosen] // 5 + 1
         owner = np.repeat(chosen, size)
         place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        return owner, place, self.words[self.first[owner] + place]
+        return owner, place, self.tokens[self.first[owner] + place]
 
 
 def line_sets(column: pa.Array, weights: np.ndarray) -> Iterator[tuple[int, LineSets]]:
@@ -142,16 +166,16 @@ def index_lines(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                     names,
                 )
                 _, chosen = np.unique(sets.number, return_index=True)
-                # Up to three words only equal sets are alike.
+                # Up to three tokens only equal sets are alike.
                 chosen = chosen[(sets.n[chosen] > 3) & ~np.isin(sets.number[chosen], known)]
                 known = np.concatenate([known, sets.number[chosen]])
-                owner, place, word = sets.prefixes(chosen)
+                owner, place, token = sets.prefixes(chosen)
                 many = len(owner)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.ones(many, bool)), pa.nulls(many, ids.type), pa.nulls(many, pa.int64()),
                         pa.nulls(many, pa.int32()), pa.array(sets.number[owner]), pa.array(sets.n[owner].astype(np.int32)),
-                        pa.array(word.view(np.int64)), pa.array(place.astype(np.int32)),
+                        pa.array(token.view(np.int64)), pa.array(place.astype(np.int32)),
                     ],
                     names,
                 )
@@ -162,7 +186,7 @@ def index_lines(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 
 def wanted_sets(docs: DataFrame, weights: np.ndarray, wanted: DataFrame) -> DataFrame:
-    """(sid, words) of the sets in ``wanted`` (sid), each once."""
+    """(sid, tokens) of the sets in ``wanted`` (sid), each once."""
     rows = (
         wanted.groupBy(F.expr(f"CAST(pmod(sid, {FILTER_BITS}) DIV 64 AS INT)").alias("word"))
         .agg(F.expr(f"bit_or(shiftleft(1L, CAST(pmod(sid, {FILTER_BITS}) % 64 AS INT)))").alias("bits"))
@@ -178,12 +202,12 @@ def wanted_sets(docs: DataFrame, weights: np.ndarray, wanted: DataFrame) -> Data
                 at = sets.number & (FILTER_BITS - 1)
                 hit = np.flatnonzero((filled[at >> 6] >> (at & 63)) & 1)
                 hit = hit[np.unique(sets.number[hit], return_index=True)[1]]
-                words = [np.sort(sets.words[sets.first[k] : sets.first[k + 1]]).tobytes() for k in hit]
+                tokens = [np.sort(sets.tokens[sets.first[k] : sets.first[k + 1]]).tobytes() for k in hit]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sets.number[hit]), pa.array(words, pa.binary())], ["sid", "words"]
+                    [pa.array(sets.number[hit]), pa.array(tokens, pa.binary())], ["sid", "tokens"]
                 )
 
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(scan, "sid long, words binary")
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(scan, "sid long, tokens binary")
     return found.join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
 
 
@@ -200,48 +224,86 @@ def true_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     both = (
-        pairs.join(sets.select(F.col("sid").alias("a"), F.col("words").alias("left")), "a")
-        .join(sets.select(F.col("sid").alias("b"), F.col("words").alias("right")), "b")
+        pairs.join(sets.select(F.col("sid").alias("a"), F.col("tokens").alias("left")), "a")
+        .join(sets.select(F.col("sid").alias("b"), F.col("tokens").alias("right")), "b")
         .select("a", "b", "left", "right")
     )
     return both.mapInArrow(compare, "a long, b long")
 
 
-def _may_match(n: Column, i: Column, m: Column, j: Column) -> Column:
-    """Length and position filters for sets of n and m with a word at places i and j."""
-    room = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
-    return (F.least(n, m) * 10 >= F.greatest(n, m) * 8) & (18 * room >= 8 * (n + m))
+def _sizes_fit(n: Column, m: Column) -> Column:
+    return F.least(n, m) * 10 >= F.greatest(n, m) * 8
+
+
+def _is_found(n: Column, place: Column) -> Column:
+    """Whether no smaller sets find a set of n under its token at a place."""
+    return place < F.floor(n / 9) + 1
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """(later, earlier, meets) of the pairs of sets that can still be alike.
+
+    ``rows``: all tokens under which a set (sid, n, place, first) finds another.
+    """
+    n, m = F.min("n"), F.min("n2")
+    # After the last token they meet on, at most the shorter rest is common.
+    most = F.count(F.lit(1)) + F.least(n - F.max("place") - 1, m - F.max("place2") - 1)
+    swap = F.col("after")
+    return (
+        rows.where(_sizes_fit(F.col("n"), F.col("n2")))
+        .groupBy("sid", "sid2")
+        .agg(
+            (18 * most >= 8 * (n + m)).alias("may"), F.count(F.lit(1)).alias("meets"),
+            F.bool_or(F.col("first") > F.col("first2")).alias("after"),
+        )
+        .where("may")
+        .select(
+            F.when(swap, F.col("sid")).otherwise(F.col("sid2")).alias("later"),
+            F.when(swap, F.col("sid2")).otherwise(F.col("sid")).alias("earlier"),
+            "meets",
+        )
+    )
 
 
 def alike_to_earlier(docs: DataFrame, weights: np.ndarray, postings: DataFrame, classes: DataFrame) -> DataFrame:
     """(sid) of the sets whose first line is alike to an earlier one."""
-    shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    found = F.count_if(_is_found(F.col("n"), F.col("place")))
+    shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("m"), found.alias("found")).where("m > 1 AND found > 0")
     met = cut_lineage(
-        postings.join(shared.select("key").hint("shuffle_hash"), "key", "left_semi").join(
-            classes.select("sid", "first"), "sid"
-        )
+        postings.join(shared.select("key").hint("shuffle_hash"), "key", "left_semi").distinct()
+        .join(classes.select("sid", "first"), "sid")
     )
     sums = met.groupBy("key").agg(F.count(F.lit(1)).cast("double").alias("m"))
     pairs_there, entries = (x or 0 for x in sums.agg(F.sum(F.col("m") * (F.col("m") - 1)) / 2, F.sum("m")).first())
-    other = met.select("key", *[F.col(c).alias(f"{c}2") for c in ("sid", "n", "place", "first")])
-    may = _may_match(F.col("n"), F.col("place"), F.col("n2"), F.col("place2"))
+    columns = ("sid", "n", "place", "first")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = cut_lineage(pairs.select(F.col("sid").alias("a"), F.col("sid2").alias("b")).distinct())
+        """(later) of the true ones among pairs (later, earlier)."""
+        pairs = cut_lineage(pairs.select(F.col("later").alias("a"), F.col("earlier").alias("b")))
         named = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
         sets = cut_lineage(wanted_sets(docs, weights, named))
-        return cut_lineage(true_pairs(pairs, sets).select(F.col("a").alias("sid")).distinct())
+        return cut_lineage(true_pairs(pairs, sets).select(F.col("a").alias("later")).distinct())
 
-    settled = None
+    other = met.where(_is_found(F.col("n"), F.col("place"))).select("key", *[F.col(c).alias(f"{c}2") for c in columns])
+    longer = (F.col("n") > F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("sid") < F.col("sid2")))
+    rows = met.join(other, "key").where(longer)
+    settled = []
     if pairs_there > PAIRS_PER_KEY * entries:
-        earliest = met.groupBy("key").agg(F.min(F.struct("first", "sid", "n", "place")).alias("e"))
-        led = earliest.select("key", *[F.col(f"e.{c}").alias(f"{c}2") for c in ("first", "sid", "n", "place")])
-        settled = confirmed(met.join(led, "key").where((F.col("sid") != F.col("sid2")) & may))
-        left = met.join(settled, "sid", "left_anti")
-    else:
-        left = met
-    rest = confirmed(left.join(other, "key").where((F.col("first2") < F.col("first")) & may))
-    return rest if settled is None else rest.union(settled)
+        earliest = met.groupBy("key").agg(F.min(F.struct("first", "sid", "n")).alias("e"))
+        led = earliest.select("key", F.col("e.sid").alias("sid2"), F.col("e.n").alias("n2"))
+        pairs = met.join(led, "key").where((F.col("sid") != F.col("sid2")) & _sizes_fit(F.col("n"), F.col("n2")))
+        best = pairs.groupBy("sid", "sid2").agg(F.count(F.lit(1)).alias("meets"))
+        best = best.groupBy("sid").agg(F.max_by("sid2", F.struct("meets", "sid2")).alias("earlier"))
+        settled.append(confirmed(best.withColumnRenamed("sid", "later")))
+        # A pair whose later set is settled tells nothing more.
+        later = F.when(F.col("first") > F.col("first2"), F.col("sid")).otherwise(F.col("sid2"))
+        rows = rows.withColumn("later", later).join(settled[0], "later", "left_anti")
+    pairs = cut_lineage(_met(rows))
+    # Each set first meets the earlier one that it shares most tokens with, then, if need be, all.
+    best = pairs.groupBy("later").agg(F.max_by("earlier", F.struct("meets", "earlier")).alias("earlier"))
+    settled.append(confirmed(best))
+    settled.append(confirmed(pairs.join(settled[-1], "later", "left_anti")))
+    return functools.reduce(DataFrame.union, settled).withColumnRenamed("later", "sid")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -249,7 +311,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
     Only documents with a line that has words have a row; ``n_lines`` counts those lines.
     """
-    weights = rarity(count_words(docs))
+    weights = rarity(count_tokens(docs))
     index = cut_lineage(index_lines(docs, weights))
     lines = index.where("NOT posting").select("doc_id", "t", "line", "sid")
     classes = cut_lineage(
