@@ -1,12 +1,14 @@
 """Removal of repeated lines by an exact set-similarity join.
 
-A line's set is its distinct runs of five lower-cased words, its tokens; a line of fewer words has
-one token, all its words. Tokens are ordered by rarity: their occurrences are counted over all texts
-in ``COUNTERS`` counters that tokens hash to, and rarer counters come first (ties: by hash). Lines
-are alike from a Jaccard similarity of 0.8 on. A line of n tokens looks for others under its
-n - ceil(0.8 n) + 1 first tokens and is found by no smaller ones under n - ceil(8 n / 9) + 1: lines
-that are alike share one of them. Pairs that meet are dropped when their lengths, or what can still
-follow after the last token they meet on, do not allow 0.8; the others are verified on whole sets.
+A line's set is its tokens: its distinct runs of ``width`` lower-cased words, where a line of fewer
+words has one token, all its words. The query takes ``width`` 1, the distinct words themselves; in
+longer runs one edited word takes ``width`` tokens away, so far fewer lines are found. Tokens are
+ordered by rarity: their occurrences are counted over all texts in ``COUNTERS`` counters that tokens
+hash to, and rarer counters come first (ties: by hash). Lines are alike from a Jaccard similarity of
+0.8 on. A line of n tokens looks for others under its n - ceil(0.8 n) + 1 first tokens and is found
+by no smaller ones under n - ceil(8 n / 9) + 1: lines that are alike share one of them. Pairs that
+meet are dropped when their lengths, or what can still follow after the last token they meet on, do
+not allow 0.8; the others are verified on whole sets.
 
 Lines are ordered by (doc_id, hash of the text, line number). Of equal sets all but the first line
 are removed; so is a first line that is alike to any earlier line, whether that one stays or not.
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 from daytrail.llm.textscan import Words, mixed, pieces, utf8, windows
 from daytrail.session import cut_lineage
 
+#: Words of a token where a caller names no width.
 WIDTH = 5
 #: Counters of token occurrences; 8 bytes each are sent to the tasks.
 COUNTERS = 1 << 17
@@ -49,7 +52,7 @@ class Tokens:
     ``doc`` and ``place`` say which text and which of its lines, from 0, each of these is.
     """
 
-    def __init__(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    def __init__(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int):
         low, high = int(starts[0]), int(ends.max())
         words = Words(raw, starts, ends)
         feeds = np.flatnonzero(raw[low:high] == 10) + low
@@ -60,12 +63,12 @@ class Tokens:
         self.doc, self.place = words.doc[first], local[first]
         line = np.cumsum(change) - 1
         size = np.diff(np.append(first, len(line)))
-        runs = windows(words.hash, WIDTH)
-        inside = np.flatnonzero(line[: len(runs)] == line[WIDTH - 1 :]) if len(runs) else np.zeros(0, np.int64)
+        runs = windows(words.hash, width)
+        inside = np.flatnonzero(line[: len(runs)] == line[width - 1 :]) if len(runs) else np.zeros(0, np.int64)
         hashes, lines = [runs[inside]], [line[inside]]
-        for width in range(1, WIDTH):
-            short = np.flatnonzero(size == width)
-            hashes.append(windows(words.hash, width)[first[short]] if len(short) else np.zeros(0, np.uint64))
+        for few in range(1, width):
+            short = np.flatnonzero(size == few)
+            hashes.append(windows(words.hash, few)[first[short]] if len(short) else np.zeros(0, np.uint64))
             lines.append(short)
         self.hash, self.line = np.concatenate(hashes), np.concatenate(lines)
 
@@ -73,7 +76,7 @@ class Tokens:
         return (self.hash & np.uint64(COUNTERS - 1)).astype(np.int64)
 
 
-def count_tokens(docs: DataFrame) -> np.ndarray:
+def count_tokens(docs: DataFrame, width: int) -> np.ndarray:
     """Occurrences by counter, over all texts."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
@@ -81,7 +84,7 @@ def count_tokens(docs: DataFrame) -> np.ndarray:
             raw, starts, ends = utf8(batch.column("text"))
             for i, j in pieces(starts, ends):
                 if ends[i:j].max() > starts[i]:
-                    counts += np.bincount(Tokens(raw, starts[i:j], ends[i:j]).counter(), minlength=COUNTERS)
+                    counts += np.bincount(Tokens(raw, starts[i:j], ends[i:j], width).counter(), minlength=COUNTERS)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["counter", "n"])
 
@@ -104,8 +107,8 @@ class LineSets:
     bounds its tokens in ``tokens``, which are in order of rarity.
     """
 
-    def __init__(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np.ndarray):
-        found = Tokens(raw, starts, ends)
+    def __init__(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np.ndarray, width: int):
+        found = Tokens(raw, starts, ends, width)
         self.doc, self.line = found.doc, found.place
         many = len(self.doc)
         token = (weights[found.counter()] << np.uint64(_HASH)) | (found.hash >> np.uint64(64 - _HASH))
@@ -133,12 +136,12 @@ class LineSets:
         return owner, place, self.tokens[self.first[owner] + place]
 
 
-def line_sets(column: pa.Array, weights: np.ndarray) -> Iterator[tuple[int, LineSets]]:
+def line_sets(column: pa.Array, weights: np.ndarray, width: int) -> Iterator[tuple[int, LineSets]]:
     """The sets of a column's lines, with the number of the first text of each piece."""
     raw, starts, ends = utf8(column)
     for i, j in pieces(starts, ends):
         if ends[i:j].max() > starts[i]:
-            yield i, LineSets(raw, starts[i:j], ends[i:j], weights)
+            yield i, LineSets(raw, starts[i:j], ends[i:j], weights, width)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -146,7 +149,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(text).alias("t"), text.alias("text"))
 
 
-def index_lines(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+def index_lines(docs: DataFrame, weights: np.ndarray, width: int) -> DataFrame:
     """Lines (doc_id, t, line, sid, n) and, with null doc_id and t, postings (key, place, sid, n)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["posting", "doc_id", "t", "line", "sid", "n", "key", "place"]
@@ -155,7 +158,7 @@ def index_lines(docs: DataFrame, weights: np.ndarray) -> DataFrame:
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("t")
             known = np.zeros(0, np.int64)
-            for base, sets in line_sets(batch.column("text"), weights):
+            for base, sets in line_sets(batch.column("text"), weights, width):
                 rows, many = pa.array(sets.doc + base), len(sets.n)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -185,7 +188,7 @@ def index_lines(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     )
 
 
-def wanted_sets(docs: DataFrame, weights: np.ndarray, wanted: DataFrame) -> DataFrame:
+def wanted_sets(docs: DataFrame, weights: np.ndarray, width: int, wanted: DataFrame) -> DataFrame:
     """(sid, tokens) of the sets in ``wanted`` (sid), each once."""
     rows = (
         wanted.groupBy(F.expr(f"CAST(pmod(sid, {FILTER_BITS}) DIV 64 AS INT)").alias("word"))
@@ -198,7 +201,7 @@ def wanted_sets(docs: DataFrame, weights: np.ndarray, wanted: DataFrame) -> Data
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, sets in line_sets(batch.column("text"), weights):
+            for _, sets in line_sets(batch.column("text"), weights, width):
                 at = sets.number & (FILTER_BITS - 1)
                 hit = np.flatnonzero((filled[at >> 6] >> (at & 63)) & 1)
                 hit = hit[np.unique(sets.number[hit], return_index=True)[1]]
@@ -265,7 +268,9 @@ def _met(rows: DataFrame) -> DataFrame:
     )
 
 
-def alike_to_earlier(docs: DataFrame, weights: np.ndarray, postings: DataFrame, classes: DataFrame) -> DataFrame:
+def alike_to_earlier(
+    docs: DataFrame, weights: np.ndarray, width: int, postings: DataFrame, classes: DataFrame
+) -> DataFrame:
     """(sid) of the sets whose first line is alike to an earlier one."""
     found = F.count_if(_is_found(F.col("n"), F.col("place")))
     shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("m"), found.alias("found")).where("m > 1 AND found > 0")
@@ -281,7 +286,7 @@ def alike_to_earlier(docs: DataFrame, weights: np.ndarray, postings: DataFrame,
         """(later) of the true ones among pairs (later, earlier)."""
         pairs = cut_lineage(pairs.select(F.col("later").alias("a"), F.col("earlier").alias("b")))
         named = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
-        sets = cut_lineage(wanted_sets(docs, weights, named))
+        sets = cut_lineage(wanted_sets(docs, weights, width, named))
         return cut_lineage(true_pairs(pairs, sets).select(F.col("a").alias("later")).distinct())
 
     other = met.where(_is_found(F.col("n"), F.col("place"))).select("key", *[F.col(c).alias(f"{c}2") for c in columns])
@@ -306,19 +311,19 @@ def alike_to_earlier(docs: DataFrame, weights: np.ndarray, postings: DataFrame,
     return functools.reduce(DataFrame.union, settled).withColumnRenamed("later", "sid")
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, t, n_lines, removed): numbers (from 0) of the removed lines of each document.
 
     Only documents with a line that has words have a row; ``n_lines`` counts those lines.
     """
-    weights = rarity(count_tokens(docs))
-    index = cut_lineage(index_lines(docs, weights))
+    weights = rarity(count_tokens(docs, width))
+    index = cut_lineage(index_lines(docs, weights, width))
     lines = index.where("NOT posting").select("doc_id", "t", "line", "sid")
     classes = cut_lineage(
         lines.groupBy("sid").agg(F.min(F.struct("doc_id", "t", "line")).alias("first"))
     )
     postings = index.where("posting").select("key", "place", "sid", "n")
-    gone = alike_to_earlier(docs, weights, postings, classes)
+    gone = alike_to_earlier(docs, weights, width, postings, classes)
     decided = classes.join(gone.withColumn("gone", F.lit(True)), "sid", "left")
     flagged = lines.join(decided, "sid").withColumn(
         "out", F.coalesce("gone", F.lit(False)) | (F.struct("doc_id", "t", "line") != F.col("first"))
@@ -329,26 +334,26 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def _with_removed(docs: DataFrame, columns: list[str]) -> DataFrame:
-    removed = removed_lines(docs).withColumnRenamed("doc_id", "id").withColumnRenamed("t", "u")
+def _with_removed(docs: DataFrame, columns: list[str], width: int) -> DataFrame:
+    removed = removed_lines(docs, width).withColumnRenamed("doc_id", "id").withColumnRenamed("t", "u")
     rows = _keyed(docs).select("doc_id", "t", *columns)
     return rows.join(removed, rows["doc_id"].eqNullSafe(removed["id"]) & (rows["t"] == removed["u"]), "left")
 
 
-def line_report(docs: DataFrame) -> DataFrame:
+def line_report(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed), a row for each row of ``docs``.
 
     ``n_lines``: lines with words; ``removed``: their numbers in the text, from 0.
     """
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return _with_removed(docs, []).select(
+    return _with_removed(docs, [], width).select(
         "doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"),
         F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"),
     )
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, text), a row for each row of ``docs``; the text without its removed lines."""
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("removed", i))
     text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return _with_removed(docs, ["text"]).select("doc_id", text.alias("text"))
+    return _with_removed(docs, ["text"], width).select("doc_id", text.alias("text"))
