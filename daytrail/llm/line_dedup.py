@@ -41,7 +41,8 @@ WIDTH = 5
 COUNTERS = 1 << 17
 FILTER_BITS = 1 << 23
 PAIRS_PER_KEY = 4
-# A token in a line's set: 6 bits of rarity, 42 of hash. Above them, 16 bits number the line.
+# A token's place in the order and its key: 6 bits of rarity, 42 of hash. Above them, 16 bits number
+# the line. What sets have in common, and their numbers, are found on all 64 bits of the hashes.
 _HASH, _WORD, _LINES = 42, 48, 1 << 16
 _LOW = np.uint64((1 << _WORD) - 1)
 
@@ -104,7 +105,7 @@ class LineSets:
     """The sets of the lines of neighbouring texts, found together.
 
     ``doc`` and ``line`` name each line with words, ``number`` its set, ``n`` its size; ``first``
-    bounds its tokens in ``tokens``, which are in order of rarity.
+    bounds its tokens in ``tokens`` (keys) and ``hashes`` (whole), which are in order of rarity.
     """
 
     def __init__(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np.ndarray, width: int):
@@ -112,20 +113,28 @@ class LineSets:
         self.doc, self.line = found.doc, found.place
         many = len(self.doc)
         token = (weights[found.counter()] << np.uint64(_HASH)) | (found.hash >> np.uint64(64 - _HASH))
-        tokens, owners = [], []
+        tokens, hashes, owners = [], [], []
         for some in range(0, many, _LINES):
             mine = slice(None)
             if many > _LINES:
                 mine = np.flatnonzero((found.line >= some) & (found.line < some + _LINES))
-            packed = np.sort(((found.line[mine] - some).astype(np.uint64) << np.uint64(_WORD)) | token[mine])
-            packed = packed[np.append(True, packed[1:] != packed[:-1])]
+            packed, whole = ((found.line[mine] - some).astype(np.uint64) << np.uint64(_WORD)) | token[mine], found.hash[mine]
+            order = np.argsort(packed)
+            same = packed[order[1:]] == packed[order[:-1]]
+            if (same & (whole[order[1:]] != whole[order[:-1]])).any():  # unlike tokens of a line with one key
+                order = np.lexsort((whole, packed))
+            packed, whole = packed[order], whole[order]
+            new = np.append(True, (packed[1:] != packed[:-1]) | (whole[1:] != whole[:-1]))
+            packed = packed[new]
             tokens.append(packed & _LOW)
+            hashes.append(whole[new])
             owners.append((packed >> np.uint64(_WORD)).astype(np.int64) + some)
         self.tokens = np.concatenate([np.zeros(0, np.uint64), *tokens])
+        self.hashes = np.concatenate([np.zeros(0, np.uint64), *hashes])
         owner = np.concatenate([np.zeros(0, np.int64), *owners])
         self.first = np.searchsorted(owner, np.arange(many + 1))
         self.n = np.diff(self.first)
-        sums = np.add.reduceat(mixed(self.tokens), self.first[:-1]) if many else np.zeros(0, np.uint64)
+        sums = np.add.reduceat(mixed(self.hashes), self.first[:-1]) if many else np.zeros(0, np.uint64)
         self.number = mixed(sums + self.n.astype(np.uint64)).view(np.int64)
 
     def prefixes(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,7 +214,7 @@ def wanted_sets(docs: DataFrame, weights: np.ndarray, width: int, wanted: DataFr
                 at = sets.number & (FILTER_BITS - 1)
                 hit = np.flatnonzero((filled[at >> 6] >> (at & 63)) & 1)
                 hit = hit[np.unique(sets.number[hit], return_index=True)[1]]
-                tokens = [np.sort(sets.tokens[sets.first[k] : sets.first[k + 1]]).tobytes() for k in hit]
+                tokens = [np.sort(sets.hashes[sets.first[k] : sets.first[k + 1]]).tobytes() for k in hit]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(sets.number[hit]), pa.array(tokens, pa.binary())], ["sid", "tokens"]
                 )

@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 
 from daytrail.llm import line_dedup
@@ -45,3 +46,12 @@ def test_one_edited_word_in_a_line(spark, monkeypatch, pairs_per_key):
     expected = brute(rows)
     assert expected[20] == [1, 2] and expected[21] == [0] and expected[30] == [1]
     assert {r["doc_id"]: r["removed"] for r in line_dedup.line_report(docs, width=1).collect()} == expected
+
+
+def test_set_numbers_take_all_bits_of_a_hash(monkeypatch):
+    # Four bits of a hash in the key: many words share one, as some do among millions with 42.
+    monkeypatch.setattr(line_dedup, "_HASH", 4)
+    text = "\n".join([*(f"word{i}" for i in range(200)), " ".join(f"word{i}" for i in range(50)) + " word0 WORD7"]).encode()
+    raw, weights = np.frombuffer(text, np.uint8), np.zeros(line_dedup.COUNTERS, np.uint64)
+    sets = line_dedup.LineSets(raw, np.array([0]), np.array([len(text)]), weights, 1)
+    assert len(set(sets.number.tolist())) == 201 and sets.n.tolist() == [1] * 200 + [50]
