@@ -15,6 +15,10 @@ from daytrail.llm.columns import table
 from daytrail.session import cut_lineage, new_folder, prepare
 
 
+#: What the second stage takes for near duplicates; op4 has a rule of its own.
+NEAR = ngram_join.Rule(width=5, percent=80)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the network is sure of; texts without a letter go."""
     prepare(spark)
@@ -22,9 +26,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of 0.9 on 3-word shingles make."""
+    """One document of each group that links of 0.8 on 5-word shingles make."""
     prepare(spark)
-    return ngram_join.one_of_each(docs)
+    return ngram_join.one_of_each(docs, NEAR)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,19 +1,21 @@
 """Jaccard join over word n-grams, size-aware, and the groups its links make.
 
-A document's set holds the hashes of its distinct 3-word shingles. Two sets link when
-``100 * common >= 90 * union``; sets that differ in size by more than a tenth never do.
+A document's set holds the hashes of its distinct shingles of ``width`` words. Two sets link when
+``100 * common >= percent * union``; sets whose sizes differ by more never do. Both numbers are a
+:class:`Rule`, from which all depths below follow: op4 takes 3 words and 90, the pipeline 5 and 80.
 
 *Order.* Shingles are ordered by how often they occur, rare ones first, then by hash. Any fixed
 order gives right results; this one keeps common passages out of the keys. Counts are gathered
 over all documents (each batch reports the shingles that it saw more than once) and the
 ``HEAVY`` most common ones are ordered last.
 
-*Light and heavy sets.* A set of n may lack n // 10 of its shingles. Small sets give as keys all
-pairs among their n // 10 + 2 first shingles: linked sets share a pair, and a pair is rare. Large
-sets scan inverted lists of their n // 10 + m first shingles; in the lists are the sets of their
-size and smaller ones, under their n // 19 + m first shingles, since those may lack fewer. Linked
-sets meet on m lists, with m = n // 80 + 1 of the smaller set, so one passage that two documents
-share is not enough; what can still follow the last list they meet on must make up the overlap.
+*Light and heavy sets.* A set of n may lack s = n (100 - percent) // 100 of its shingles. Small sets
+give as keys all pairs among their s + 2 first shingles: linked sets share a pair, and a pair is
+rare. Large sets scan inverted lists of their s + m first shingles; in the lists are the sets of
+their size and smaller ones, under their n (100 - percent) // (100 + percent) + m first shingles,
+since those may lack fewer. Linked sets meet on m lists, with m = s // 8 + 1 of the smaller set, so
+one passage that two documents share is not enough; what can still follow the last list they meet
+on must make up the overlap.
 The size between small and large is the one at which both ways cost least, from measured sizes and
 list lengths (:func:`boundary`).
 
@@ -27,7 +29,7 @@ between groups is left out: the groups are those of the complete join.
 Every comparison uses whole sets. Set numbers are 64-bit hashes.
 
 Defined cases: a text without words, or null, has an empty set and is linked with nothing; with
-one or two words its whole sequence is the one shingle; rows with the same or no id are rows of
+fewer words than a shingle its whole sequence is the one shingle; rows with the same or no id are rows of
 their own; a group whose ids are all null has a null ``component_id``.
 """
 
@@ -35,6 +37,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +48,9 @@ from daytrail.llm.components import components
 from daytrail.llm.textscan import Words, mixed, pieces, utf8, windows
 from daytrail.session import cut_lineage
 
-WIDTH = 3
 #: Most common shingles that are ordered by count; 16 bytes each are sent to the tasks.
 HEAVY = 1 << 16
-#: Size classes (tenths of a set) told apart by the cost model; the last is open.
+#: Size classes (by how many shingles a set may lack) told apart by the cost model; the last is open.
 CLASSES = 64
 #: Bits of the filter that keeps sets which nothing asks for out of the comparison.
 FILTER_BITS = 1 << 23
@@ -60,7 +62,42 @@ LEADERS = 2
 ROUND_PAYS = 20
 
 
-def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
+@dataclass(frozen=True)
+class Rule:
+    """Words of a shingle, and the Jaccard similarity in percent from which sets link."""
+
+    width: int = 3
+    percent: int = 90
+
+    def slack(self, n: int) -> int:
+        """How many of its shingles a set of n may lack."""
+        return n * (100 - self.percent) // 100
+
+    def alone(self, n: int) -> bool:
+        """Whether a set of n links with equal sets only: one shingle more is too many."""
+        return n * (100 - self.percent) < self.percent
+
+    def sizes_fit(self, n: Column, m: Column) -> Column:
+        return F.least(n, m) * 100 >= F.greatest(n, m) * self.percent
+
+    def lists(self, n: Column) -> Column:
+        """On how many lists a set of n meets those it links with."""
+        return F.floor(n * (100 - self.percent) / 800) + 1
+
+    def in_list(self, n: Column, pos: Column) -> Column:
+        """Whether a key is one under which others of no smaller size find the set."""
+        return (pos < 0) | (pos < F.floor(n * (100 - self.percent) / (100 + self.percent)) + self.lists(n))
+
+    def enough(self, common: Column, both: Column) -> Column:
+        """Whether sets of ``both`` shingles together link if so many are common."""
+        return (100 + self.percent) * common >= self.percent * both
+
+
+#: The contract of op4.
+OP4 = Rule()
+
+
+def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     raw, starts, ends = utf8(column)
     for i, j in pieces(starts, ends):
@@ -68,12 +105,12 @@ def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
             yield from (np.zeros(0, np.uint64) for _ in range(i, j))
             continue
         words = Words(raw, starts[i:j], ends[i:j])
-        grams = windows(words.hash, WIDTH)
+        grams = windows(words.hash, width)
         first = words.first.tolist()
         for k in range(j - i):
             a, b = first[k], first[k + 1]
-            if b - a >= WIDTH:
-                yield np.unique(grams[a : b - WIDTH + 1])
+            if b - a >= width:
+                yield np.unique(grams[a : b - width + 1])
             else:
                 yield windows(words.hash[a:b], b - a) if b > a else np.zeros(0, np.uint64)
 
@@ -84,7 +121,7 @@ def set_number(tokens: np.ndarray) -> int:
     return int(mixed(np.array([total + np.uint64(len(tokens))], np.uint64)).view(np.int64)[0])
 
 
-def survey(docs: DataFrame) -> DataFrame:
+def survey(docs: DataFrame, rule: Rule) -> DataFrame:
     """One pass over the texts: (kind, doc_id, a, n).
 
     kind 0: a document, a = its set's number (null if empty), n = its size; kind 1: a shingle
@@ -94,7 +131,7 @@ def survey(docs: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(shingle_sets(batch.column("text")))
+            sets = list(shingle_sets(batch.column("text"), rule.width))
             numbers = [set_number(s) if len(s) else None for s in sets]
             one = {number: s for number, s in zip(numbers, sets, strict=True) if number is not None}
             tokens, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *one.values()]), return_counts=True)
@@ -119,25 +156,28 @@ def _survey_rows(kind_no: int, ids: pa.Array, a, n, kind: str) -> pa.RecordBatch
     )
 
 
-def boundary(classes: dict[int, int], list_length: float) -> int:
-    """The number of tenths up to which sets are small, -1 for none.
+def boundary(classes: dict[int, int], list_length: float, percent: int = 90) -> int:
+    """The slack up to which sets are small, -1 for none.
 
     A small set of class d costs (d + 2)(d + 1) / 2 keys; a large one d + d // 8 + 1 keys and as
-    many scans of lists of ``list_length``. Sets up to a tenth smaller than the boundary pay for both.
+    many scans of lists of ``list_length``. Sets that are smaller but can link with large ones pay for
+    both.
     """
+    step = 100 / (100 - percent)  # sizes in a class
+
     def cost(limit: int) -> float:
         total = 0.0
         for d, sets in classes.items():
             if d <= limit:
                 total += sets * (d + 2) * (d + 1) / 2
-            listed = min(1.0, max(0.0, (10 * d + 10 - 9 * (limit + 1)) / 10))
+            listed = min(1.0, max(0.0, (step * (d + 1) - (step - 1) * (limit + 1)) / step))
             total += sets * listed * (d + d // 8 + 1) * (1 + list_length)
         return total
 
     return min(range(-1, CLASSES - 1), key=cost)
 
 
-def set_keys(docs: DataFrame, heavy: np.ndarray, counts: np.ndarray, limit: int) -> DataFrame:
+def set_keys(docs: DataFrame, heavy: np.ndarray, counts: np.ndarray, limit: int, rule: Rule) -> DataFrame:
     """(key, sid, n, pos): the keys of every document's set.
 
     ``heavy`` is sorted, ``counts`` goes with it. Pair keys have pos -1.
@@ -163,15 +203,15 @@ def set_keys(docs: DataFrame, heavy: np.ndarray, counts: np.ndarray, limit: int)
                 return out
 
             waiting = 0
-            for tokens in shingle_sets(batch.column("text")):
+            for tokens in shingle_sets(batch.column("text"), rule.width):
                 n = len(tokens)
-                if n < 9:  # below, only equal sets link
+                if rule.alone(n):
                     continue
                 number = set_number(tokens)
                 if number in known:
                     continue
                 known.add(number)
-                slack = n // 10
+                slack = rule.slack(n)
                 listed = slack + slack // 8 + 1
                 if len(heavy):
                     at = np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)
@@ -186,7 +226,7 @@ def set_keys(docs: DataFrame, heavy: np.ndarray, counts: np.ndarray, limit: int)
                     numbers.append(number), sizes.append(n), places.append(np.full(len(i), -1, np.int32))
                     waiting += len(i)
                 # A set that some large one can link to is in the lists too.
-                if n * 10 >= 9 * (limit + 1) * 10:
+                if n * (100 - rule.percent) >= rule.percent * (limit + 1):
                     keys.append(mixed(order[:listed] ^ np.uint64(0xA24BAED4963EE407)))
                     numbers.append(number), sizes.append(n), places.append(np.arange(listed, dtype=np.int32))
                     waiting += listed
@@ -200,7 +240,7 @@ def set_keys(docs: DataFrame, heavy: np.ndarray, counts: np.ndarray, limit: int)
     )
 
 
-def wanted_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def wanted_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(sid, tokens) of the sets in ``wanted`` (sid, rep), each once.
 
     ``rep`` is the smallest id that has the set. A filter of ``FILTER_BITS`` bits over these ids,
@@ -223,7 +263,7 @@ def wanted_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             bits = batch.column("bit").to_numpy(zero_copy_only=False)
             hit = ((filled[bits >> 6] >> (bits & 63)) & 1).astype(bool)
-            sets = [s for s in shingle_sets(batch.column("text").filter(pa.array(hit))) if len(s)]
+            sets = [s for s in shingle_sets(batch.column("text").filter(pa.array(hit)), width) if len(s)]
             for i in range(0, len(sets), 256):
                 some = sets[i : i + 256]
                 yield pa.RecordBatch.from_arrays(
@@ -236,7 +276,7 @@ def wanted_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
 
 
-def true_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def true_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,7 +285,7 @@ def true_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for k in range(len(left)):
                 x, y = (np.frombuffer(side[k].as_buffer(), np.uint64) for side in (left, right))
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                keep[k] = 100 * common >= 90 * (len(x) + len(y) - common)
+                keep[k] = 100 * common >= percent * (len(x) + len(y) - common)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     both = (
@@ -256,21 +296,7 @@ def true_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long")
 
 
-def _sizes_fit(n: Column, m: Column) -> Column:
-    return F.least(n, m) * 10 >= F.greatest(n, m) * 9
-
-
-def _lists(n: Column) -> Column:
-    """On how many lists a set of n meets those it links with."""
-    return F.floor(n / 80) + 1
-
-
-def _in_list(n: Column, pos: Column) -> Column:
-    """Whether a key is one under which others of no smaller size find the set."""
-    return (pos < 0) | (pos < F.floor(n / 19) + _lists(n))
-
-
-def _met(rows: DataFrame) -> DataFrame:
+def _met(rows: DataFrame, rule: Rule) -> DataFrame:
     """(sid, sid2) of the pairs that meet on a pair key, or on lists as links do.
 
     ``rows``: all keys that a scanning set (sid, n, pos) shares with one in their lists.
@@ -281,17 +307,17 @@ def _met(rows: DataFrame) -> DataFrame:
     # After the last list they meet on, at most the shorter rest is common.
     most = meets + F.least(n - F.max("pos") - 1, m - F.max("pos2") - 1)
     return (
-        rows.where(_sizes_fit(F.col("n"), F.col("n2")))
+        rows.where(rule.sizes_fit(F.col("n"), F.col("n2")))
         .groupBy("sid", "sid2")
         .agg(
             (F.count_if(~on_list) > 0).alias("paired"),
-            ((meets >= _lists(F.least(n, m))) & (19 * most >= 9 * (n + m))).alias("listed"),
+            ((meets >= rule.lists(F.least(n, m))) & rule.enough(most, n + m)).alias("listed"),
         )
         .where("paired OR listed")
     )
 
 
-def link_groups(docs: DataFrame, keys: DataFrame, reps: DataFrame) -> DataFrame:
+def link_groups(docs: DataFrame, keys: DataFrame, reps: DataFrame, rule: Rule) -> DataFrame:
     """(node, root) of the groups that links make among the sets of ``keys`` (key, sid, n, pos).
 
     One leader round at least; more while pairs are many and a round still links a fair part of the
@@ -303,7 +329,7 @@ def link_groups(docs: DataFrame, keys: DataFrame, reps: DataFrame) -> DataFrame:
     links = met = 0
     for step in itertools.count():
         per_root = rooted.groupBy("key", "root").agg(
-            F.count(F.lit(1)).alias("m"), F.count_if(_in_list(F.col("n"), F.col("pos"))).alias("listed")
+            F.count(F.lit(1)).alias("m"), F.count_if(rule.in_list(F.col("n"), F.col("pos"))).alias("listed")
         )
         open_keys = cut_lineage(
             per_root.groupBy("key")
@@ -319,19 +345,19 @@ def link_groups(docs: DataFrame, keys: DataFrame, reps: DataFrame) -> DataFrame:
         last = step > 0 and (left <= PAIRS_PER_KEY * entries or links <= met / ROUND_PAYS)
         if last:
             rooted = cut_lineage(rooted)
-            other = rooted.where(_in_list(F.col("n"), F.col("pos"))).select(
+            other = rooted.where(rule.in_list(F.col("n"), F.col("pos"))).select(
                 "key", *[F.col(c).alias(f"{c}2") for c in ("sid", "n", "pos", "root")]
             )
             longer = (F.col("n") > F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("sid") < F.col("sid2")))
-            pairs = _met(rooted.join(other, "key").where(longer & (F.col("root") != F.col("root2"))))
+            pairs = _met(rooted.join(other, "key").where(longer & (F.col("root") != F.col("root2"))), rule)
         else:
             if step:
                 rooted = cut_lineage(rooted)
-            pairs = _led(rooted, step)
+            pairs = _led(rooted, step, rule)
         pairs = cut_lineage(pairs.select(F.col("sid").alias("a"), F.col("sid2").alias("b")))
         named = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-        sets = cut_lineage(wanted_sets(docs, cut_lineage(named.join(reps, "sid"))))
-        found = cut_lineage(true_links(pairs, sets))
+        sets = cut_lineage(wanted_sets(docs, cut_lineage(named.join(reps, "sid")), rule.width))
+        found = cut_lineage(true_links(pairs, sets, rule.percent))
         links, met = found.count(), sets.count()
         edges = edges.union(found)
         groups = components(edges)
@@ -344,7 +370,7 @@ def link_groups(docs: DataFrame, keys: DataFrame, reps: DataFrame) -> DataFrame:
         )
 
 
-def _led(rooted: DataFrame, step: int) -> DataFrame:
+def _led(rooted: DataFrame, step: int, rule: Rule) -> DataFrame:
     """(sid, sid2): each set and the one of its keys' leaders that it shares most keys with.
 
     A key has ``LEADERS`` leaders, the members with the smallest hashes under so many seeds; other
@@ -361,17 +387,17 @@ def _led(rooted: DataFrame, step: int) -> DataFrame:
     met = (
         rooted.join(leaders.select("key", each.alias("leaders")), "key")
         .select("sid", "n", "root", F.inline("leaders"))
-        .where((F.col("root") != F.col("root2")) & _sizes_fit(F.col("n"), F.col("n2")))
+        .where((F.col("root") != F.col("root2")) & rule.sizes_fit(F.col("n"), F.col("n2")))
         .groupBy("sid", "sid2")
-        .agg(F.count(F.lit(1)).alias("shared"), _lists(F.least(F.min("n"), F.min("n2"))).alias("least"))
+        .agg(F.count(F.lit(1)).alias("shared"), rule.lists(F.least(F.min("n"), F.min("n2"))).alias("least"))
         .where("shared >= least")
     )
     return met.groupBy("sid").agg(F.max_by("sid2", F.struct("shared", "sid2")).alias("sid2"))
 
 
-def join_documents(docs: DataFrame) -> DataFrame:
+def join_documents(docs: DataFrame, rule: Rule = OP4) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of ``docs``."""
-    seen = cut_lineage(survey(docs))
+    seen = cut_lineage(survey(docs, rule))
     found = seen.where("kind = 0").select("doc_id", F.col("a").alias("sid"), F.col("n").alias("n_shingles"))
     sets = cut_lineage(
         found.where("sid IS NOT NULL").groupBy("sid")
@@ -383,15 +409,15 @@ def join_documents(docs: DataFrame) -> DataFrame:
     )
     heavy = common["a"].to_numpy().view(np.uint64)
     by_hash = np.argsort(heavy)
-    classes = sets.groupBy(F.least(F.floor(F.col("n") / 10), F.lit(CLASSES - 1)).alias("d")).count().collect()
+    classes = sets.groupBy(F.least(F.floor(F.col("n") * (100 - rule.percent) / 100), F.lit(CLASSES - 1)).alias("d")).count().collect()
     others = F.sum(F.greatest(F.col("n") / 1000 - 1, F.lit(0))) * sum(r["count"] for r in classes) / F.sum("a")
     spread = seen.where("kind = 2 AND a > 0").agg(others).first()[0]
-    limit = boundary({r["d"]: r["count"] for r in classes}, 1 + (spread or 0.0))
-    keys = cut_lineage(set_keys(docs, heavy[by_hash], common["n"].to_numpy()[by_hash], limit))
-    listed = F.count_if(_in_list(F.col("n"), F.col("pos")))
+    limit = boundary({r["d"]: r["count"] for r in classes}, 1 + (spread or 0.0), rule.percent)
+    keys = cut_lineage(set_keys(docs, heavy[by_hash], common["n"].to_numpy()[by_hash], limit, rule))
+    listed = F.count_if(rule.in_list(F.col("n"), F.col("pos")))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), listed.alias("listed")).where("m > 1 AND listed > 0")
     keys = cut_lineage(keys.join(shared.select("key").hint("shuffle_hash"), "key", "left_semi").distinct())
-    groups = link_groups(docs, keys, sets.select("sid", "rep"))
+    groups = link_groups(docs, keys, sets.select("sid", "rep"), rule)
     grouped = cut_lineage(
         found.join(groups.withColumnRenamed("node", "sid"), "sid", "left")
         .withColumn("root", F.coalesce("root", "sid"))
@@ -401,7 +427,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
     return grouped.join(least, "root", "left").select("doc_id", "n_shingles", own.alias("component_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, rule: Rule = OP4) -> DataFrame:
     """Rows of ``docs``, with all their columns: of each group the document with the smallest id.
 
     Of equal ids the one with the smallest hash of its text stays, and of rows that are equal in
@@ -411,6 +437,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     keyed = docs.select(
         F.struct("*").alias("row"), F.struct("doc_id", F.xxhash64(text).alias("t")).alias("doc_id"), text.alias("text")
     )
-    groups = join_documents(keyed.select("doc_id", "text"))
+    groups = join_documents(keyed.select("doc_id", "text"), rule)
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     return keyed.select("doc_id", "row").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("row.*")
