@@ -1,11 +1,13 @@
 """License scans: a trained paragraph classifier whose findings a template confirms.
 
-A paragraph is a line. Its word 1- and 2-grams are hashed to a sparse vector, and a multinomial
-logistic regression gives probabilities of the licence families and of *unknown*. The regression
-is trained here: on the families' templates (whole, and in parts, since notices come cut and
-joined with other text) and, for *unknown*, on paragraphs of the corpus, a bounded sample by hash
-(``SAMPLE`` paragraphs of
-``SAMPLE_TEXTS`` texts). A second regression of one variable, fitted on training rows that the first one did
+A paragraph is a line; a line of more than ``WINDOW`` words is read in windows of so many, a new one
+every ``STEP`` words, so that of any notice in it one window holds 0.6 or is filled by it to 0.6. Its
+word 1- and 2-grams are hashed to a sparse vector, and a multinomial logistic regression gives
+probabilities of the licence families and of *unknown*. The regression is trained here: on the
+families' templates (whole, in parts, and set between sampled words up to the length of a window,
+since notices come cut and joined with other text) and, for *unknown*, on paragraphs of the corpus
+that no template would confirm, a bounded sample by hash (``SAMPLE`` paragraphs of ``SAMPLE_TEXTS``
+texts). A second regression of one variable, fitted on training rows that the first one did
 not see, turns the lead of the best family over *unknown* into a calibrated probability; below
 ``KNOWN`` a paragraph is unknown. What is left is compared with the templates of its family: the
 share of its distinct 2-grams that one template has, or of the template's that it has, must reach
@@ -32,6 +34,10 @@ from daytrail.session import cut_lineage
 FEATURES, SAMPLE, SAMPLE_TEXTS = 1 << 13, 3000, 500
 KNOWN, CONFIRMED = 0.5, 0.6
 UNKNOWN = "unknown"
+#: Words of a window of a long line, and from one window's start to the next.
+WINDOW, STEP = 64, 48
+#: Lengths to which sampled words fill templates up for training.
+LENGTHS = (16, 32, 48, WINDOW)
 
 # Notices of common licences, as their publishers word them.
 TEMPLATES = {
@@ -114,9 +120,12 @@ def features(rows: DataFrame) -> DataFrame:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(row, words) of the lines with a word; ``row`` is whatever ``docs`` names so."""
+    """(row, words) of the lines with a word, long ones in windows; ``row`` is whatever ``docs`` names so."""
     lines = docs.select("row", F.explode(F.split(F.col("text").cast("string"), "\n")).alias("line"))
-    return lines.select("row", words_of(F.col("line")).alias("words")).where(F.size("words") > 0)
+    whole = lines.select("row", words_of(F.col("line")).alias("words")).where(F.size("words") > 0)
+    starts = F.sequence(F.lit(1), F.size("words") - (WINDOW - STEP), F.lit(STEP))
+    cut = F.transform(starts, lambda start: F.slice("words", start, F.lit(WINDOW)))
+    return whole.select("row", F.explode(F.when(F.size("words") <= WINDOW, F.array("words")).otherwise(cut)).alias("words"))
 
 
 def template_rows(spark: SparkSession) -> DataFrame:
@@ -125,12 +134,24 @@ def template_rows(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "family string, line string").select("family", words_of(F.col("line")).alias("words"))
 
 
+def overlaps() -> Column:
+    """Of rows (pairs, templates): the share of the smaller side that each template has in common."""
+    mine = F.array_distinct("pairs")
+
+    def share(template: Column) -> Column:
+        common = F.size(F.array_intersect(mine, template))
+        return common / F.greatest(F.lit(1), F.least(F.size(mine), F.size(template)))
+
+    return F.transform("templates", share)
+
+
 def training_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(family, words): templates whole, without their first or last words, and joined with
-    sampled text; sampled paragraphs as *unknown*, but for those that look like a template."""
+    """(family, words): templates whole, without their first or last words, and set between
+    sampled words; sampled paragraphs as *unknown*, but for those that look like a template."""
     templates = template_rows(spark)
-    names = F.array_distinct(F.flatten(F.collect_list("pairs")))
-    known = NGram(n=2, inputCol="words", outputCol="pairs").transform(templates).agg(names.alias("known"))
+    known = NGram(n=2, inputCol="words", outputCol="pairs").transform(templates).agg(
+        F.collect_list(F.array_distinct("pairs")).alias("templates")
+    )
     h = F.xxhash64(F.col("text").cast("string"))
     # Texts by hash, each once; only the hashes of all texts are moved.
     texts = docs.where("text IS NOT NULL").select(h.alias("h")).distinct().orderBy("h").limit(SAMPLE_TEXTS)
@@ -145,8 +166,10 @@ def training_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
     plain = spark.createDataFrame([(x,) for x in PLAIN], "line string").select(words_of(F.col("line")).alias("words"))
     sample = cut_lineage(picked.select("words").union(plain).coalesce(1))
     pairs = NGram(n=2, inputCol="words", outputCol="pairs").transform(sample)
-    looks = F.size(F.array_intersect("pairs", "known")) >= CONFIRMED * F.size("pairs")
-    unknown = with_group_row(pairs, known).where(~looks).select(F.lit(UNKNOWN).alias("family"), "words")
+    looks = F.array_max(overlaps()) >= CONFIRMED
+    unknown = cut_lineage(
+        with_group_row(pairs, known).where(~looks).select(F.lit(UNKNOWN).alias("family"), "words").coalesce(1)
+    )
     parts = templates.select(
         "family", "words", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("cut")
     ).select(
@@ -160,7 +183,29 @@ def training_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
             )
         ).alias("words"),
     )
-    return parts.union(unknown)
+    # Words of some of the sample in one row, twice the longest length at least.
+    some = unknown.orderBy(F.xxhash64("words")).limit(SAMPLE // 10)
+    fill = some.agg(F.flatten(F.collect_list("words")).alias("fill")).withColumn(
+        "fill", F.flatten(F.array_repeat("fill", F.ceil(2 * WINDOW / F.size("fill")).cast("int")))
+    )
+    lengths, thirds = F.array(*[F.lit(x) for x in LENGTHS]), F.sequence(F.lit(0), F.lit(3))
+    placed = templates.select("family", "words", F.explode(lengths).alias("length")).select(
+        "*", F.explode(thirds).alias("third"), (F.col("length") - F.size("words")).alias("room")
+    ).where("room > 0")
+    begin = 1 + F.pmod(F.xxhash64("words", "length", "third"), F.size("fill") - WINDOW)
+    before = F.floor(F.col("room") * F.col("third") / 3)
+    set_in = (
+        with_group_row(placed, fill)
+        .withColumn("begin", begin.cast("int")).withColumn("before", before.cast("int"))
+        .select(
+            "family",
+            F.concat(
+                F.slice("fill", F.col("begin"), F.col("before")), "words",
+                F.slice("fill", F.col("begin") + F.col("before"), F.col("room") - F.col("before")),
+            ).alias("words"),
+        )
+    )
+    return parts.union(set_in).union(unknown)
 
 
 class Classifier:
@@ -213,16 +258,9 @@ def confirmed(found: DataFrame) -> DataFrame:
     spark = found.sparkSession
     templates = NGram(n=2, inputCol="words", outputCol="pairs").transform(template_rows(spark))
     by_family = templates.groupBy("family").agg(F.collect_list(F.array_distinct("pairs")).alias("templates"))
-    mine = F.array_distinct("pairs")
-
-    def share(template: Column) -> Column:
-        common = F.size(F.array_intersect(mine, template))
-        return common / F.greatest(F.lit(1), F.least(F.size(mine), F.size(template)))
-
-    overlap = F.array_max(F.transform("templates", share))
     return (
         found.join(F.broadcast(by_family), "family")  # one row a family
-        .withColumn("overlap", overlap)
+        .withColumn("overlap", F.array_max(overlaps()))
         .where(F.col("overlap") >= CONFIRMED)
         .drop("templates")
     )
