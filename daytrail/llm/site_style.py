@@ -1,16 +1,20 @@
 """Main text of web pages with site style trees.
 
-Pages of a host are merged into one tree: a node is a path of tags and classes below the root.
-Of each node is known on how many pages it stands, in how many presentations (the tags of its
-children) and with how many contents (its own text). Both give an entropy, scaled to 0..1 by the
-number of pages; a node's importance is their mix, content weighing less the more presentations
-there are. What is the same on every page (menus, notices) has an importance near 0, what differs
-(articles) near 1. Branches below ``LEAST`` are cut from each page.
-
-What a tag or class says goes before the statistics: ``article`` and ``main`` are content, and a
-page that has one is read inside it only; nav, header, footer, aside, form and the like, and
-classes that name menus, adverts, notices, sidebars or comments, are noise. Statistics decide
-about all other branches, on hosts with ``FEWEST`` pages or more.
+Pages of a host are merged into one tree, each distinct page once: a node is a path of tags and
+classes below the root that holds text of its own. Of each node is known on how many pages it
+stands, in how many presentations (the tags of its children) and with how many contents (its text).
+Both give an entropy, scaled to 0..1 by the number of pages. A node's importance is its content
+entropy, and what is missing to 1 is made up by its presentations, the less so the fewer there are.
+What is the same on every page (menus, notices) has an importance near 0, what differs (articles)
+near 1. On nodes below ``LEAST`` a text is cut if it stands there on a hundredth of the pages, and
+on two at least.
+
+The tree judges every block of hosts with ``FEWEST`` distinct pages or more, inside ``article`` and
+``main`` as outside. Names are a check after it: nav, header, footer, aside, form and the like, and
+classes that name menus, adverts, notices, sidebars or comments, are noise, but not ``html`` and
+``body``, nor branches around an article, nor, on pages without one, branches that hold most of the
+text by a class, id or role, or as a form. On hosts with fewer pages names alone decide: a page that
+has an ``article`` or ``main`` is read inside it only.
 
 Each page is parsed once, in Arrow batches. A host's pages never meet in a task: node statistics
 are counted with map-side combining.
@@ -34,13 +38,15 @@ from pyspark.sql import functions as F
 from daytrail.session import cut_lineage
 
 LEAST, FEWEST, DECAY, DEEPEST = 0.5, 4, 0.9, 64
+#: Texts that stand on fewer of a node's pages, in percent, are not cut: at most so many a node are.
+TEMPLATE = 1
 
 # Element names of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 CONTENT = frozenset("article main".split())
 NOISE = frozenset(
-    "nav header footer aside form script style noscript template head button select option textarea "
+    "nav header footer aside script style noscript template head button select option textarea "
     "iframe object svg canvas dialog menu title".split()
 )
 INLINE = frozenset(
@@ -70,18 +76,18 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 
 
 class Node:
-    __slots__ = ("tag", "path", "noise", "holds_content", "children", "text", "parent")
+    __slots__ = ("tag", "path", "noise", "named", "holds_content", "children", "text", "parent")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         self.tag, self.parent = tag, parent
-        self.noise, name = tag in NOISE, tag
+        self.noise, self.named, name = tag in NOISE, tag == "form", tag
         if attributes:
             for key, *values in _ATTRIBUTE.findall(attributes):
                 words = frozenset(re.split(r"[\s_-]+", "".join(values).lower()))
                 if key.lower() == "role":
-                    self.noise |= bool(words & NOISE_ROLES)
+                    self.named |= bool(words & NOISE_ROLES)
                     continue
-                self.noise |= bool(words & NOISE_WORDS)
+                self.named |= bool(words & NOISE_WORDS)
                 if key.lower() == "class":
                     name = f"{tag}.{'.'.join(sorted(words - {''}))}"
         if parent is None:
@@ -191,29 +197,39 @@ class Page:
 
 
 def verdicts(page: Page) -> list[tuple[str, str, bool]]:
-    """(path, text, sure) of the blocks that are not noise by their tags; sure: they are content."""
+    """(path, text, sure) of the blocks that are not noise by their names; sure: so far as names
+    tell, they are the page's content."""
     marked = page.root.holds_content
-    kept = []
+    below: dict[int, int] = {}  # length of the text below each node, but for what tags call noise
+    seen = []
     for node, text in page.blocks:
-        inside, noise, up = False, False, node
-        while up is not None:
-            inside |= up.tag in CONTENT
-            # A branch around the article is no noise whatever its name.
-            noise |= up.noise and not up.holds_content
-            up = up.parent
-        if not noise and (inside or not marked):
-            kept.append((node.path, text, inside))
-    return kept
-
-
-def node_rows(page: Page) -> list[tuple[str, int, int]]:
-    """(path, presentation, content) of each path, over all its nodes on the page."""
-    seen: dict[str, tuple[list[str], list[str]]] = {}
+        inside, line = False, []
+        while node is not None:
+            inside |= node.tag in CONTENT
+            line.append(node)
+            node = node.parent
+        # A branch around the article is no noise whatever its name.
+        if not any(up.noise and not up.holds_content for up in line):
+            seen.append((line, text, inside))
+            for up in line:
+                below[id(up)] = below.get(id(up), 0) + len(text)
+    most = below.get(id(page.root), 0) / 2
+    return [
+        (line[0].path, text, inside or not marked)
+        for line, text, inside in seen
+        if not any(up.named and not up.holds_content for up in line)
+    ]
+
+
+def node_rows(page: Page, blocks: list[tuple[str, str, bool]]) -> list[tuple[str, str, str]]:
+    """(path, presentation, content) of each path with blocks, over all its nodes on the page."""
+    seen: dict[str, tuple[list[str], list[str]]] = {path: ([], []) for path, _, _ in blocks}
     for node in page.nodes:
-        style, text = seen.setdefault(node.path, ([], []))
-        style.append(",".join(node.children))
-        text.append(" ".join("".join(node.text).split()))
-    return [(path, "|".join(style), "|".join(text)) for path, (style, text) in seen.items()]
+        if node.path in seen:
+            seen[node.path][0].append(",".join(node.children))
+    for path, text, _ in blocks:
+        seen[path][1].append(text)
+    return [(path, "|".join(style), "\n".join(text)) for path, (style, text) in seen.items()]
 
 
 def parse(pages: DataFrame) -> DataFrame:
@@ -227,8 +243,9 @@ def parse(pages: DataFrame) -> DataFrame:
             blocks, nodes = [], []
             for source in batch.column("html"):
                 page = Page(source.as_py() or "")
-                blocks.append([dict(zip(("path", "text", "sure"), b, strict=True)) for b in verdicts(page)])
-                nodes.append([dict(zip(("path", "style", "content"), x, strict=True)) for x in node_rows(page)])
+                found = verdicts(page)
+                blocks.append([dict(zip(("path", "text", "sure"), b, strict=True)) for b in found])
+                nodes.append([dict(zip(("path", "style", "content"), x, strict=True)) for x in node_rows(page, found)])
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(c) for c in ("page_id", "url", "host")),
@@ -253,21 +270,25 @@ def parse(pages: DataFrame) -> DataFrame:
     )
 
 
-def style_tree(parsed: DataFrame) -> DataFrame:
-    """(host, path, pages, styles, importance) of each node of each host's tree."""
-    nodes = parsed.where("host IS NOT NULL").select("host", F.explode("nodes").alias("n")).select("host", "n.*")
-
-    def entropy(what: str) -> DataFrame:
-        each = nodes.groupBy("host", "path", what).agg(F.count(F.lit(1)).alias("c"))
-        spread = F.log(F.sum("c")) - F.sum(F.col("c") * F.log("c")) / F.sum("c")
-        return each.groupBy("host", "path").agg(
-            F.sum("c").alias("pages"),
-            F.count(F.lit(1)).alias("variants"),
-            F.when(F.sum("c") > 1, spread / F.log(F.sum("c"))).otherwise(1.0).alias("h"),
-        )
-
-    styles = entropy("style").select("host", "path", "pages", F.col("variants").alias("styles"), F.col("h").alias("style_h"))
-    contents = entropy("content").select("host", "path", F.col("h").alias("content_h"))
+def distinct_pages(parsed: DataFrame) -> DataFrame:
+    """(host, nodes) of each page of a host."""
+    whole = parsed.where("host IS NOT NULL").select("host", F.xxhash64("blocks").alias("page"), "nodes")
+    return whole.select("host", "nodes")
+
+
+def _entropy(nodes: DataFrame, what: str) -> DataFrame:
+    each = nodes.groupBy("host", "path", what).agg(F.count(F.lit(1)).alias("c"))
+    spread = F.log(F.sum("c")) - F.sum(F.col("c") * F.log("c")) / F.sum("c")
+    return each.groupBy("host", "path").agg(
+        F.sum("c").alias("pages"),
+        F.count(F.lit(1)).alias("variants"),
+        F.when(F.sum("c") > 1, spread / F.log(F.sum("c"))).otherwise(1.0).alias("h"),
+    )
+
+
+def _tree(nodes: DataFrame) -> DataFrame:
+    styles = _entropy(nodes, "style").select("host", "path", "pages", F.col("variants").alias("styles"), F.col("h").alias("style_h"))
+    contents = _entropy(nodes, "content").select("host", "path", F.col("h").alias("content_h"))
     weight = F.pow(F.lit(DECAY), F.col("styles") - 1)
     return styles.join(contents, ["host", "path"]).select(
         "host", "path", "pages", "styles",
@@ -275,30 +296,43 @@ def style_tree(parsed: DataFrame) -> DataFrame:
     )
 
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars), a row for each row of ``pages``.
+def _opened(pages: DataFrame) -> DataFrame:
+    return pages.select("host", F.explode("nodes").alias("n")).select("host", "n.*")
 
-    Only pages with branches that tags leave open meet their host's tree.
-    """
+
+def style_tree(parsed: DataFrame) -> DataFrame:
+    """(host, path, pages, styles, importance) of each node of each host's tree."""
+    return _tree(_opened(distinct_pages(parsed)))
+
+
+def judgements(parsed: DataFrame) -> DataFrame:
+    """(host, cut) of the hosts with ``FEWEST`` distinct pages; cut: (path, content) that go, or null."""
+    pages = cut_lineage(distinct_pages(parsed))
+    nodes = _opened(pages)
+    low = _tree(nodes).where((F.col("pages") >= FEWEST) & (F.col("importance") < LEAST)).select("host", "path", "pages")
+    cut = (
+        nodes.groupBy("host", "path", "content").agg(F.count(F.lit(1)).alias("c"))
+        .join(low, ["host", "path"])
+        .where((F.col("c") >= 2) & (100 * F.col("c") >= TEMPLATE * F.col("pages")))
+        .groupBy("host").agg(F.collect_set(F.struct("path", "content")).alias("cut"))  # of one site's templates
+    )
+    known = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FEWEST).select("host")
+    return known.join(cut, "host", "left").withColumn("judged", F.lit(True))
+
+
+def main_text(pages: DataFrame) -> DataFrame:
+    """(page_id, url, text, n_chars), a row for each row of ``pages``."""
     parsed = cut_lineage(parse(pages))
-    low = (
-        style_tree(parsed)
-        .where((F.col("pages") >= FEWEST) & (F.col("importance") < LEAST))
-        .groupBy("host").agg(F.collect_set("path").alias("low"))  # nodes of one site's templates
+    met = parsed.join(cut_lineage(judgements(parsed)), "host", "left")
+    gone = F.transform(
+        F.filter("nodes", lambda n: F.coalesce(F.array_contains("cut", F.struct(n["path"].alias("path"), n["content"].alias("content"))), F.lit(False))),
+        lambda n: n["path"],
     )
-    is_open = F.exists("blocks", lambda b: ~b["sure"])
-    sure = parsed.where(~is_open).select("page_id", "url", "blocks")
-    judged = (
-        parsed.where(is_open).drop("nodes").join(low, "host", "left")
-        .select(
-            "page_id", "url",
-            F.filter(
-                "blocks",
-                lambda b: b["sure"] | ~F.coalesce(F.array_contains("low", b["path"]), F.lit(False)),
-            ).alias("blocks"),
-        )
+    kept = met.withColumn("gone", gone).select(
+        "page_id", "url",
+        F.filter(
+            "blocks", lambda b: F.when(F.col("judged"), ~F.array_contains("gone", b["path"])).otherwise(b["sure"])
+        ).alias("blocks"),
     )
     text = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n")
-    return sure.union(judged).select("page_id", "url", text.alias("text")).withColumn(
-        "n_chars", F.length("text").cast("long")
-    )
+    return kept.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
