@@ -90,6 +90,8 @@ class Node:
                 self.named |= bool(words & NOISE_WORDS)
                 if key.lower() == "class":
                     name = f"{tag}.{'.'.join(sorted(words - {''}))}"
+        if tag in ("html", "body"):
+            self.named = False
         if parent is None:
             self.path = ""
         else:
@@ -217,7 +219,7 @@ def verdicts(page: Page) -> list[tuple[str, str, bool]]:
     return [
         (line[0].path, text, inside or not marked)
         for line, text, inside in seen
-        if not any(up.named and not up.holds_content for up in line)
+        if not any(up.named and not up.holds_content and (marked or below[id(up)] <= most) for up in line)
     ]
 
 
@@ -271,9 +273,9 @@ def parse(pages: DataFrame) -> DataFrame:
 
 
 def distinct_pages(parsed: DataFrame) -> DataFrame:
-    """(host, nodes) of each page of a host."""
+    """(host, nodes) of each distinct page of a host; pages whose blocks are the same are one."""
     whole = parsed.where("host IS NOT NULL").select("host", F.xxhash64("blocks").alias("page"), "nodes")
-    return whole.select("host", "nodes")
+    return whole.dropDuplicates(["host", "page"]).select("host", "nodes")
 
 
 def _entropy(nodes: DataFrame, what: str) -> DataFrame:
@@ -292,7 +294,8 @@ def _tree(nodes: DataFrame) -> DataFrame:
     weight = F.pow(F.lit(DECAY), F.col("styles") - 1)
     return styles.join(contents, ["host", "path"]).select(
         "host", "path", "pages", "styles",
-        ((1 - weight) * F.col("style_h") + weight * F.col("content_h")).alias("importance"),
+        # Many presentations add importance; they never take from that of the contents.
+        F.greatest("content_h", (1 - weight) * F.col("style_h") + weight * F.col("content_h")).alias("importance"),
     )
 
 
