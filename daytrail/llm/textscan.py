@@ -63,6 +63,24 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return _all_powers(base, max(PIECE, 1 << (int(n) - 1).bit_length()))[:n]
 
 
+def span_hashes(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each span of ``text`` (A to Z lower-cased); starts and ends must not decrease."""
+    # A polynomial over the bytes, read off prefix sums: (P[end] - P[start]) / BASE**start.
+    # Spans of about PIECE bytes at a time, so that a very long text needs no more memory.
+    out = np.empty(len(start), np.uint64)
+    cuts = np.searchsorted(start, np.arange(PIECE, len(text), PIECE))
+    for i, j in zip([0, *cuts], [*cuts, len(out)], strict=True):
+        if i == j:
+            continue
+        low, high = start[i], end[j - 1]
+        powers, inverse = _powers(_BASE, high - low), _powers(_INVERSE, high - low)
+        prefix = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(_BYTE[text[low:high]] * powers, out=prefix[1:])
+        first, last = start[i:j] - low, end[i:j] - low
+        out[i:j] = mixed((prefix[last] - prefix[first]) * inverse[first] + (last - first).astype(np.uint64))
+    return out
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _PUNCTUATION = np.ones(128, bool)
@@ -98,20 +116,14 @@ class Words:
         self.end += low
 
     def _hashes(self, text: np.ndarray) -> np.ndarray:
-        # A polynomial over the bytes, read off prefix sums: (P[end] - P[start]) / BASE**start.
-        # Words of about PIECE bytes at a time, so that a very long text needs no more memory.
-        out = np.empty(len(self.start), np.uint64)
-        cuts = np.searchsorted(self.start, np.arange(PIECE, len(text), PIECE))
-        for i, j in zip([0, *cuts], [*cuts, len(out)], strict=True):
-            if i == j:
-                continue
-            low, high = self.start[i], self.end[j - 1]
-            powers, inverse = _powers(_BASE, high - low), _powers(_INVERSE, high - low)
-            prefix = np.zeros(high - low + 1, np.uint64)
-            np.cumsum(_BYTE[text[low:high]] * powers, out=prefix[1:])
-            begin, end = self.start[i:j] - low, self.end[i:j] - low
-            out[i:j] = mixed((prefix[end] - prefix[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
-        return out
+        return span_hashes(text, self.start, self.end)
+
+
+class Spans(Words):
+    """Words of neighbouring texts without their hashes."""
+
+    def _hashes(self, text: np.ndarray) -> np.ndarray:
+        return np.zeros(0, np.uint64)
 
 
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:

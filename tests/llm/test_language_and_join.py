@@ -132,7 +132,7 @@ def test_stages_on_a_table(spark, tmp_path):
             assert kept[-1].columns == docs.columns
     ids = [sorted(r["doc_id"] for r in d.select("doc_id").collect()) for d in kept]
     assert set(ids[1]) >= {r["doc_id"] for r in docs.where(F.length("text") > 200).select("doc_id").collect()}
-    groups = {i: g for i, _, g in ((r["doc_id"], 0, r["component_id"]) for r in ngram_join.join_documents(kept[1]).collect())}
+    groups = {i: g for i, _, g in ((r["doc_id"], 0, r["component_id"]) for r in ngram_join.join_documents(kept[1], corpus_pipeline.NEAR).collect())}
     assert ids[2] == sorted(set(groups.values()))
     marks = decontamination.contaminated(kept[2], spark.read.parquet(f"{sf}/benchmark.parquet"))
     assert ids[3] == sorted(r["doc_id"] for r in marks.where("NOT contaminated").collect())
