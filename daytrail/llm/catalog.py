@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from daytrail.llm import (
     decontamination,
     hamming,
+    importance,
     language,
     licenses,
     line_dedup,
@@ -161,3 +162,52 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_license_scan")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op12_importance",
+    r"""
+WITH tab AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+dw AS (
+  SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+de AS (SELECT doc_id, unnest(w) AS w FROM dw),
+be AS (
+  SELECT unnest(regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
+  FROM benchmark),
+x AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM de UNION SELECT w FROM be)),
+b AS (
+  SELECT w, xor(list_reduce(list_concat([4294967295::BIGINT],
+      list_transform(range(length(x) // 2), lambda k: ('0x' || substr(x, 2 * k + 1, 2))::BIGINT)),
+    lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM x CROSS JOIN tab),
+ds AS (SELECT doc_id, bucket FROM de JOIN b USING (w)),
+s AS (SELECT bucket, COUNT(*) AS s FROM ds GROUP BY 1),
+t AS (SELECT bucket, COUNT(*) AS t FROM be JOIN b USING (w) GROUP BY 1),
+g AS (
+  SELECT bucket, floor(1000 * ln((COALESCE(t, 0) + 1)::DOUBLE * ((SELECT COALESCE(SUM(s), 0) FROM s) + 10000)::DOUBLE
+    / ((s + 1)::DOUBLE * ((SELECT COALESCE(SUM(t), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (bucket)),
+f AS (SELECT doc_id, COUNT(*) AS n, SUM(gain) AS total FROM ds JOIN g USING (bucket) GROUP BY 1),
+w AS (
+  SELECT d.doc_id, COALESCE(n, 0)::BIGINT AS n_features,
+    CASE WHEN n IS NULL THEN 0 ELSE ((total - ((total % n) + n) % n) // n) END::BIGINT AS weight,
+    ('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT AS h
+  FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id),
+c AS (
+  SELECT doc_id, n_features, weight,
+    weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM w),
+r AS (
+  SELECT doc_id, ROW_NUMBER() OVER (ORDER BY score DESC, doc_id) AS rank, COUNT(*) OVER () AS able
+  FROM c WHERE n_features >= 20)
+SELECT c.doc_id, n_features, weight, score, CASE WHEN rank <= able * 10 // 100 THEN rank END::BIGINT AS rank
+FROM c LEFT JOIN r ON r.doc_id = c.doc_id
+""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
