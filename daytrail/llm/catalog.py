@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from daytrail.llm import (
     decontamination,
+    divergence,
     hamming,
     importance,
     language,
@@ -211,3 +212,45 @@ FROM c LEFT JOIN r ON r.doc_id = c.doc_id
 )
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op11_source_divergence",
+    r"""
+WITH d AS (
+  SELECT ROW_NUMBER() OVER () AS r, COALESCE(lang, '') AS lang, COALESCE(source, '') AS source,
+    regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+e AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (
+  SELECT lang, term, COUNT(*)::HUGEINT AS c FROM e GROUP BY 1, 2 HAVING COUNT(DISTINCT r) >= 30),
+v AS (SELECT lang, COUNT(*)::HUGEINT AS v, SUM(c)::HUGEINT AS total FROM k GROUP BY 1),
+c AS (
+  SELECT e.lang, e.source, e.term, COUNT(*)::HUGEINT AS c
+  FROM e JOIN k ON k.lang = e.lang AND k.term = e.term GROUP BY 1, 2, 3),
+g AS (
+  SELECT g.lang, g.source, COALESCE(SUM(c.c), 0)::HUGEINT AS total
+  FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY 1, 2),
+f AS (
+  SELECT g.lang, g.source, k.term, COALESCE(c.c, 0) AS c,
+    1 + (1000000000::HUGEINT * (COALESCE(c.c, 0) + 5)) // (g.total + 5 * v.v) AS p,
+    1 + (1000000000::HUGEINT * (k.c + 5)) // (v.total + 5 * v.v) AS q
+  FROM g JOIN v ON v.lang = g.lang JOIN k ON k.lang = g.lang
+    LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (
+  SELECT a.lang, a.source, b.source AS item, SUM(abs(a.p - b.p)) AS value
+  FROM f a JOIN f b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, COALESCE(s.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM f WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value,
+  ROW_NUMBER() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+FROM parts QUALIFY part = 'pair' OR rank <= 50
+""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
