@@ -19,6 +19,7 @@ from daytrail.llm import (
     ngram_join,
     sharding,
     site_style,
+    suffix_dedup,
     token_ledger,
 )
 from daytrail.llm.columns import table
@@ -254,3 +255,28 @@ FROM parts QUALIFY part = 'pair' OR rank <= 50
 )
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op13_suffix_dedup",
+    """
+WITH d AS (SELECT ROW_NUMBER() OVER () AS r, doc_id, hex(encode(COALESCE(text, ''))) AS x FROM documents),
+w AS (SELECT r, x, unnest(range(0, length(x) // 2 - 399)) AS i FROM d),
+h AS (SELECT r, i, md5(substr(x, 2 * i + 1, 800)) AS h FROM w),
+m AS (SELECT r, i FROM h QUALIFY COUNT(*) OVER (PARTITION BY h) > 1),
+n AS (SELECT r, i, CASE WHEN i - LAG(i) OVER (PARTITION BY r ORDER BY i) <= 400 THEN 0 ELSE 1 END AS new FROM m),
+g AS (SELECT r, i, SUM(new) OVER (PARTITION BY r ORDER BY i) AS g FROM n),
+s AS (SELECT r, MIN(i) AS b, MAX(i) + 400 AS e FROM g GROUP BY r, g),
+k AS (
+  SELECT r, b, e, e - b AS gone, COALESCE(LAG(e) OVER (PARTITION BY r ORDER BY b), 0) AS was FROM s),
+c AS (
+  SELECT d.r, COUNT(*) AS spans, SUM(gone) AS gone,
+    string_agg(substr(x, (2 * was + 1)::BIGINT, (2 * (b - was))::BIGINT), '' ORDER BY b) || substr(ANY_VALUE(x), (2 * MAX(e) + 1)::BIGINT) AS kept
+  FROM k JOIN d ON d.r = k.r GROUP BY d.r)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, COALESCE(gone, 0)::BIGINT AS n_removed,
+  COALESCE(spans, 0)::BIGINT AS n_spans, sha256(unhex(COALESCE(kept, x))) AS kept_sha256
+FROM d LEFT JOIN c ON c.r = d.r
+""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
