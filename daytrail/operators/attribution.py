@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daytrail.functions import sphere
+from daytrail.operators import covering
 from daytrail.plans.ranking import over
 from daytrail.session import cut_lineage
 
@@ -17,7 +18,6 @@ COAST_BUFFER_DEG = 0.05
 CITY_CANDIDATE_DEG = 0.4
 CITY_MAX_KM = 30
 CITY_CLUSTER_KM = 5
-ZONE_CELL_DEG = 0.5
 HIERARCHY = ("country", "region", "department", "arrondissement")
 
 
@@ -34,58 +34,35 @@ def _cell(x: Column, size: float) -> Column:
     return F.floor(x / F.lit(size)).cast("int")
 
 
-def _zone_cells(zones: DataFrame, pad: float) -> DataFrame:
-    """One row per polygon and grid cell its padded box touches, without the polygon."""
-    points = F.flatten("rings")
-    xs = F.transform(points, lambda p: p["x"])
-    ys = F.transform(points, lambda p: p["y"])
-    boxed = zones.select(
-        "zone_id",
-        (F.array_min(xs) - pad).alias("w"),
-        (F.array_max(xs) + pad).alias("e"),
-        (F.array_min(ys) - pad).alias("s"),
-        (F.array_max(ys) + pad).alias("n"),
-    )
-    return boxed.withColumn(
-        "cx", F.explode(F.sequence(_cell(F.col("w"), ZONE_CELL_DEG), _cell(F.col("e"), ZONE_CELL_DEG)))
-    ).withColumn(
-        "cy", F.explode(F.sequence(_cell(F.col("s"), ZONE_CELL_DEG), _cell(F.col("n"), ZONE_CELL_DEG)))
-    )
-
-
 def candidate_zones(
     positions: DataFrame,
     zones: DataFrame,
     pad: float = COAST_BUFFER_DEG,
     columns: Sequence[str] = ("level", "country_code", *HIERARCHY),
 ) -> DataFrame:
-    """Pairs of position and polygon whose padded box holds the position, with edges.
+    """Pairs of position and polygon that share a cell of its cover, judged on the cell's edges.
 
-    Grid cells make it an equi-join. No broadcast is forced: the cell table and the polygons
-    are broadcast by Spark only when their measured size allows it.
+    Adds ``inside`` and, where a pad is asked for, ``d``: 0 inside, else the distance to the
+    nearest edge of the cell, which is the nearest of all when it is within the pad. Grid cells
+    make it an equi-join. No broadcast is forced: covers are broadcast by Spark only when their
+    measured size allows it. Attributes join after the cell's edges are used up.
     """
-    pairs = (
-        positions.withColumns(
-            {"cx": _cell(F.col("lon_k"), ZONE_CELL_DEG), "cy": _cell(F.col("lat_k"), ZONE_CELL_DEG)}
-        )
-        .join(_zone_cells(zones, pad), ["cx", "cy"])
-        .filter(
-            F.col("lon_k").between(F.col("w"), F.col("e"))
-            & F.col("lat_k").between(F.col("s"), F.col("n"))
-        )
-        .select("lat_k", "lon_k", "zone_id")
-    )
-    shapes = zones.select(
-        "zone_id", *columns, sphere.edges_of(F.col("rings")).alias("edges")
+    x, y = F.col("lon_k"), F.col("lat_k")
+    pairs = positions.withColumns(covering.cells_of("lon_k", "lat_k")).join(
+        covering.cover(zones, pad), ["cx", "cy"]
+    ).withColumn("inside", covering.inside(x, y))
+    judged = {"inside": F.col("inside")}
+    if pad:
+        judged["d"] = F.when(F.col("inside"), F.lit(0.0)).otherwise(sphere.planar_distance(F.col("edges"), x, y))
+    near = pairs.select("lat_k", "lon_k", "zone_id", *[c.alias(n) for n, c in judged.items()]).filter(
+        F.col("inside") | ((F.col("d") <= pad) if pad else F.lit(False))
     )
-    return pairs.join(shapes, "zone_id")
+    return near.join(zones.select("zone_id", *columns), "zone_id")
 
 
 def containing_zone(positions: DataFrame, zones: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The polygon that contains each position; the lowest id wins."""
-    hits = candidate_zones(positions, zones, 0.0, columns).filter(
-        sphere.inside(F.col("edges"), F.col("lon_k"), F.col("lat_k"))
-    )
+    hits = candidate_zones(positions, zones, 0.0, columns)
     zone = F.struct("zone_id", *columns)
     return (
         hits.groupBy("lat_k", "lon_k")
@@ -102,13 +79,10 @@ def point_in_leaf(positions: DataFrame, zones: DataFrame) -> DataFrame:
 
 def coastal_buffer(misses: DataFrame, zones: DataFrame) -> DataFrame:
     """The nearest land polygon within the coastal margin."""
-    near = candidate_zones(misses, zones.filter(F.col("level") != "ocean")).withColumn(
-        "d", sphere.planar_distance(F.col("edges"), F.col("lon_k"), F.col("lat_k"))
-    )
+    near = candidate_zones(misses, zones.filter(F.col("level") != "ocean"))
     zone = F.struct("zone_id", "country_code", *HIERARCHY)
     return (
-        near.filter(F.col("d") <= COAST_BUFFER_DEG)
-        .groupBy("lat_k", "lon_k")
+        near.groupBy("lat_k", "lon_k")
         .agg(F.min_by(zone, F.struct("d", "zone_id")).alias("z"))
         .select("lat_k", "lon_k", "z.*")
     )
@@ -127,16 +101,12 @@ def resolve_zones(positions: DataFrame, zones: DataFrame) -> DataFrame:
     (stage, distance, id) per position wins. This equals running the stages one after the
     other on what the stage before missed, without the anti-joins.
     """
-    pairs = candidate_zones(positions, zones)
-    x, y, edges = F.col("lon_k"), F.col("lat_k"), F.col("edges")
-    judged = pairs.withColumn("_in", sphere.inside(edges, x, y))
+    judged = candidate_zones(positions, zones)
     ocean = F.col("level") == "ocean"
-    distance = F.when(F.col("_in"), F.lit(0.0)).when(~ocean, sphere.planar_distance(edges, x, y))
-    judged = judged.withColumn("_d", distance)
     stage = (
-        F.when(ocean, F.when(F.col("_in"), F.lit(2)))
-        .when(F.col("_in"), F.lit(0))
-        .when(F.col("_d") <= COAST_BUFFER_DEG, F.lit(1))
+        F.when(ocean, F.when(F.col("inside"), F.lit(2)))
+        .when(F.col("inside"), F.lit(0))
+        .otherwise(F.lit(1))
     )
     zone = F.struct(
         "country_code",
@@ -147,7 +117,7 @@ def resolve_zones(positions: DataFrame, zones: DataFrame) -> DataFrame:
         judged.withColumn("_stage", stage)
         .filter(F.col("_stage").isNotNull())
         .groupBy("lat_k", "lon_k")
-        .agg(F.min_by(zone, F.struct("_stage", "_d", "zone_id")).alias("z"))
+        .agg(F.min_by(zone, F.struct("_stage", "d", "zone_id")).alias("z"))
         .select("lat_k", "lon_k", "z.*")
     )
     return positions.join(best, ["lat_k", "lon_k"], "left")
