@@ -8,6 +8,7 @@ from daytrail.catalog.movement import distance, rounded
 from daytrail.catalog.registry import VIEWS, register
 from daytrail.operators import attribution, zones
 from daytrail.plans import adapters
+from daytrail.session import cut_lineage
 from daytrail.sources import places
 
 # The synthetic map: (id, level, code, country, region, department, arrondissement, box).
@@ -431,3 +432,44 @@ def assembled_zones(spark, sf_dir):
         {"code": "N0", "name": "Split"},
     )
     return leaves.select("level", "country_code", "country", "region", "department", "arrondissement")
+
+
+@register(
+    "split_departments",
+    """WITH d AS (SELECT c_custkey AS k, c_name AS name, c_custkey % 3 AS kind FROM customer WHERE c_custkey % 10 = 0),
+         p AS (SELECT name, kind, k, unnest([1, 3]) AS i, unnest([3, 1]) AS j FROM d UNION ALL
+               SELECT name, kind, k, unnest([1, 3]), unnest([1, 3]) FROM d)
+       SELECT name AS department, ROUND(k + i / 8.0, 4) AS lon_k, ROUND(50 + j / 8.0, 4) AS lat_k,
+         CASE WHEN kind = 0 OR (kind = 1 AND i = 1 AND j = 1) OR (kind = 2 AND i = 3) THEN 'arrondissement' ELSE 'department' END AS level
+       FROM p""",
+)
+def split_departments(spark, sf_dir):
+    """Positions on both sides of the cut: customers as departments, wholly, by a quarter or by half covered."""
+    k = F.col("c_custkey").cast("double")
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey % 10 = 0").select(
+        "c_custkey", F.col("c_name").alias("department"), k.alias("x"), (F.col("c_custkey") % 3).alias("kind")
+    )
+    box = lambda df, w, s, e, n: box_polygons(df.withColumns({"w": w, "s": s, "e": e, "n": n})).drop("w", "s", "e", "n")
+    x = F.col("x")
+    departments = box(customers, x, F.lit(50.0), x + 0.5, F.lit(50.5))
+    # The half reaches beyond the department; the whole is two neighbours that share an edge.
+    parts = customers.withColumn("side", F.explode(F.when(F.col("kind") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(2)))))
+    west = F.when(F.col("side") == 0, x).when(F.col("side") == 1, x + 0.25).when(F.col("kind") == 1, x).otherwise(x + 0.25)
+    east = F.when(F.col("side") == 0, x + 0.25).when(F.col("side") == 1, x + 0.5).when(F.col("kind") == 1, x + 0.25).otherwise(x + 0.7)
+    north = F.when(F.col("kind") == 1, F.lit(50.25)).otherwise(F.lit(50.5))
+    cut = box(parts.withColumns({"west": west, "east": east, "north": north}), F.col("west"), F.lit(50.0), F.col("east"), F.col("north"))
+    nowhere = box(customers.limit(0), x, x, x, x)
+    leaves = places.assemble_zones(
+        nowhere.select(F.lit("").alias("country_code"), F.lit("").alias("region"), "rings", "outer"),
+        nowhere.select(F.lit("").alias("country_code"), F.lit("").alias("country"), "rings", "outer"),
+        departments,
+        nowhere.select(F.lit("").alias("region"), "rings", "outer"),
+        cut.select(F.lit("R").alias("region"), "department", F.concat_ws(" ", "department", "side").alias("arrondissement"), "rings", "outer"),
+        {"code": "N0", "name": "Split"},
+    )
+    spots = customers.select(
+        "department", F.explode(F.array(*[F.struct((x + i / 8).alias("lon"), F.lit(50 + j / 8).alias("lat")) for i in (1, 3) for j in (1, 3)])).alias("p")
+    ).select("department", F.round("p.lat", 4).alias("lat_k"), F.round("p.lon", 4).alias("lon_k"))
+    # The layer is built once and kept, as any use of it does.
+    held = attribution.containing_zone(spots.select("lat_k", "lon_k"), cut_lineage(leaves), ["level"])
+    return spots.join(held, ["lat_k", "lon_k"], "left").select("department", "lon_k", "lat_k", "level")

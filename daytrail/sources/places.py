@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from daytrail.operators import overlay
 from daytrail.operators.attribution import containing_zone
 
 # Zone columns, and the feature codes of city parts and abandoned places.
 ZONE_COLUMNS = ("level", "country_code", "country", "region", "department", "arrondissement")
+LEAST_REMAINDER = 0.0005  # square degrees
 DISTRICT_CODES = ("PPLX", "PPLH", "PPLQ", "PPLW")
 GAZETTEER_FIELDS = {"name": 1, "lat": 4, "lon": 5, "feature_code": 7, "iso2": 8, "population": 14}
 
@@ -102,7 +104,8 @@ def assemble_zones(
 
     World regions (except in the country given by ``split_country``: code and name), outlines
     of countries without regions, departments with their region found by containment, and
-    arrondissements. A department that has arrondissements is represented by them.
+    arrondissements. A department that has arrondissements is represented by them and by what
+    they leave of it, unless that is smaller than ``LEAST_REMAINDER``.
     """
     code, name = split_country["code"], split_country["name"]
     none = F.lit(None).cast("string")
@@ -116,7 +119,7 @@ def assemble_zones(
     outlines = countries.select("country_code", F.col("country").alias("_country"))
     world = regions.filter(F.col("country_code") != code).join(outlines, "country_code", "left")
     whole = countries.join(regions.select("country_code").distinct(), "country_code", "left_anti")
-    split = departments.join(arrondissements.select("department").distinct(), "department", "left_anti")
+    cut = arrondissements.select("department").distinct()
 
     # A point inside each department: its largest ring's vertex mean is enough for the
     # compact shapes this layer has.
@@ -124,12 +127,16 @@ def assemble_zones(
     mean = lambda axis: F.aggregate(
         ring, F.lit(0.0), lambda acc, p: acc + p[axis]
     ) / F.size(ring)
-    points = split.withColumns({"lon_k": mean("x"), "lat_k": mean("y")})
+    points = departments.withColumns({"lon_k": mean("x"), "lat_k": mean("y")})
     holders = department_regions.select(
         F.xxhash64("region").alias("zone_id"), F.col("region").alias("_region"), "rings"
     )
     found = containing_zone(points.select("lat_k", "lon_k").distinct(), holders, ["_region"])
-    parts = points.join(found.drop("zone_id"), ["lat_k", "lon_k"], "left")
+    placed = points.join(found.drop("zone_id"), ["lat_k", "lon_k"], "left")
+    parts = placed.join(cut, "department", "left_anti")
+    parts = parts.select("department", "_region", "rings", "outer").unionByName(
+        remainders(placed.join(cut, "department", "left_semi"), arrondissements)
+    )
     fixed = {"country_code": F.lit(code), "country": F.lit(name)}
     layers = [
         leaf(world, "region", country_code=F.col("country_code"), country=F.col("_country"), region=F.col("region")),
@@ -144,3 +151,19 @@ def assemble_zones(
     for layer in layers[1:]:
         out = out.unionByName(layer)
     return out.withColumn("zone_id", F.xxhash64(*ZONE_COLUMNS, F.to_json("rings")))
+
+
+def remainders(departments: DataFrame, arrondissements: DataFrame) -> DataFrame:
+    """(department, _region, rings, outer): departments without the arrondissements in them."""
+    shapes = departments.withColumn("shape", F.xxhash64("department", F.to_json("rings")))
+    cutters = arrondissements.select("department", F.col("rings").alias("cut")).join(
+        shapes.select("shape", "department"), "department"
+    )
+    left = overlay.difference(
+        shapes.select("shape", "rings"),
+        cutters.select("shape", F.to_json("cut").alias("part"), F.col("cut").alias("rings")),
+        "shape", "part",
+    ).filter(F.col("area") > LEAST_REMAINDER)
+    return left.drop("area").join(shapes.select("shape", "department", "_region"), "shape").select(
+        "department", "_region", "rings", "outer"
+    )
