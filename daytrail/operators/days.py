@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from daytrail.functions import dates, labels, sphere
 from daytrail.functions.numbers import count_where, sum_where
 from daytrail.operators.attribution import nearest_site
-from daytrail.plans.ordered import ms_hour_chunk, ordered_pass
-from daytrail.plans.ranking import exact_quantiles, small, top_k, with_group_row
+from daytrail.plans.ordered import ms_hour_chunk
+from daytrail.plans.ranking import exact_quantiles, over, small, top_k, with_group_row
 from daytrail.session import cut_lineage
 
 # Fixed values.
@@ -113,45 +113,67 @@ def position_samples(segs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def anchors(segs: DataFrame, by: Sequence[str] = (), extra: int = 1) -> DataFrame:
-    """The 04:00 instants from the first day to the last, gaps included, and ``extra`` more."""
-    span = segs.groupBy(*by).agg(
-        F.min("day").alias("_a"), dates.logical_day_from_ms(F.max("end_ms")).alias("_b"),
-        dates.logical_day_from_ms(F.max("start_ms")).alias("_c"),
+def sample_days(segs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row per person and stretch from one 04:00 to the next: what its samples begin and end with.
+
+    A sample at 04:00 itself closes the stretch before it. Everything a start position needs
+    follows from these rows, which combine map-side, so segments are neither sorted nor joined.
+    """
+    order = F.struct("t", "start_ms", "seg_id", "part", "lat", "lon")
+    visit = F.when(
+        F.col("still") & (F.col("part") == 0), F.struct("t", "start_ms", "seg_id", "end_ms", "lat", "lon")
+    )
+    end_day = dates.logical_day_from_ms(F.greatest("end_ms", "start_ms"))
+    return (
+        position_samples(segs, by)
+        .groupBy(*by, dates.logical_day_from_ms(F.col("t") - 1).alias("stretch"))
+        .agg(
+            F.min(order).alias("first"),
+            F.max(order).alias("last"),
+            F.max(visit).alias("visit"),
+            F.min(dates.logical_day_from_ms(F.col("start_ms"))).alias("from_day"),
+            F.max(end_day).alias("to_day"),
+        )
     )
-    last = F.date_add(F.greatest("_b", "_c"), extra)
-    return span.select(
-        *by, F.explode(F.sequence("_a", last, F.expr("INTERVAL '1' DAY"))).alias("day"),
-    ).withColumn("t", dates.anchor_ms(F.col("day")))
 
 
 def start_positions(segs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Position at each 04:00 and how it was found.
 
     A visit that spans the instant, else a point between the samples around it, else the
-    nearest end of the data. Anchors and samples are merged into one series and the
-    neighbours come from an ordered pass, so there is no range join.
+    nearest end of the data. The days of a person, empty ones and one more included, are laid
+    out between the rows of :func:`sample_days`; windows run over those rows only.
     """
-    none = {"lat": "double", "lon": "double", "start_ms": "long", "end_ms": "long", "seg_id": "long", "still": "boolean", "part": "int"}
-    marks = anchors(segs, by).select(
-        *by, "t", "day", F.lit(1).alias("rank"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()]
-    )
-    series = position_samples(segs, by).select(
-        *by, "t", F.lit(None).cast("date").alias("day"), F.lit(0).alias("rank"), *none
-    ).unionByName(marks)
-    is_sample = F.col("rank") == 0
-    sample = F.when(is_sample, F.struct("t", "lat", "lon"))
-    visit = F.when(
-        is_sample & F.col("still") & (F.col("part") == 0), F.struct("end_ms", "lat", "lon")
-    )
-    seen = ordered_pass(
-        series,
-        keys=by,
-        order=[F.col("t"), F.col("rank"), F.col("start_ms"), F.col("seg_id"), F.col("part")],
-        chunk=ms_hour_chunk(F.col("t")),
-        last={"before": sample, "visit": visit},
-        next_={"after": sample},
-    ).filter(F.col("rank") == 1)
+    return _starts(segs, by).drop("within", "next_lat", "next_lon")
+
+
+def _starts(segs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Start positions, the next day's, and whether the day is ``within`` the data."""
+    # A row per day of a person goes through each of these windows.
+    person, along = over(by), over(by, F.col("stretch"))
+    laid = sample_days(segs, by).select(
+        *by, "stretch", "first", "last",
+        F.last("visit", ignorenulls=True).over(along).alias("visit"),
+        F.lead("stretch").over(along).alias("next_stretch"),
+        F.lead("first").over(along).alias("next_first"),
+        F.lag("stretch").over(along).isNull().alias("opens"),
+        F.min("from_day").over(person).alias("from_day"),
+        F.max("to_day").over(person).alias("to_day"),
+    )
+    day_range = lambda a, b: F.when(a <= b, F.sequence(a, b, F.expr("INTERVAL '1' DAY")))
+    until = F.coalesce("next_stretch", F.date_add("to_day", 1))
+    none = lambda c: F.lit(None).cast(laid.schema[c].dataType)
+    # Days up to the first stretch have nothing before them.
+    opening = F.transform(
+        F.when(F.col("opens"), day_range(F.col("from_day"), F.col("stretch"))),
+        lambda d: F.struct(d.alias("day"), none("last").alias("before"), F.col("first").alias("after"), none("visit").alias("visit")),
+    )
+    following = F.transform(
+        day_range(F.date_add("stretch", 1), until),
+        lambda d: F.struct(d.alias("day"), F.col("last").alias("before"), F.col("next_first").alias("after"), F.col("visit").alias("visit")),
+    )
+    each = F.flatten(F.array_compact(F.array(opening, following)))
+    seen = laid.select(*by, "to_day", F.inline(each)).withColumn("t", dates.anchor_ms(F.col("day")))
     b, a, v, t = F.col("before"), F.col("after"), F.col("visit"), F.col("t")
     share = (t - b["t"]).cast("double") / (a["t"] - b["t"]).cast("double")
 
@@ -168,76 +190,114 @@ def start_positions(segs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         .when(b.isNotNull() & ((b["t"] == t) | a.isNotNull()), F.lit("interpolated"))
         .otherwise(F.lit("edge"))
     )
-    return seen.select(
+    starts = seen.select(
         *by,
         "day",
         F.col("t").alias("anchor_ms"),
         F.when(spanning, v["lat"]).otherwise(between("lat")).alias("start_lat"),
         F.when(spanning, v["lon"]).otherwise(between("lon")).alias("start_lon"),
         fill.alias("start_fill"),
+        (F.col("day") <= F.col("to_day")).alias("within"),
     )
+    return _with_next(starts, by)
 
 
-def day_totals(segs: DataFrame, starts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Distance, time, visits and reach per day."""
-    joined = segs.join(starts.select(*by, "day", "start_lat", "start_lon"), [*by, "day"])
-    away = sphere.haversine_m(F.col("start_lat"), F.col("start_lon"), F.col("lat"), F.col("lon"))
-    moving, parked = F.col("moving"), ~F.col("moving")
-    return joined.groupBy(*by, "day").agg(
-        F.coalesce(sum_where(F.col("distance_meters") / 1000.0, moving), F.lit(0.0)).alias("km_traveled"),
-        (F.max(away) / 1000.0).alias("max_dist_from_start_km"),
-        F.countDistinct(F.when(parked, F.col("place_id"))).alias("distinct_places"),
-        count_where(parked).alias("visit_count"),
-        F.coalesce(sum_where(F.col("duration_seconds") / 60.0, moving), F.lit(0.0)).alias("moving_minutes"),
-        F.coalesce(sum_where(F.col("duration_seconds") / 60.0, parked), F.lit(0.0)).alias("stationary_minutes"),
-        F.count(F.lit(1)).alias("segment_count"),
-    )
+def _with_next(starts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Adds the next day's start position; days have no gaps."""
+    onward = over(by, F.col("day"))
+    return starts.withColumns({f"next_{c}": F.lead(f"start_{c}").over(onward) for c in ("lat", "lon")})
 
 
-def departure_return(segs: DataFrame, starts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """When the morning place was left, and when the next night's place was reached again.
+def day_summaries(segs: DataFrame, starts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Totals, reach, departure and return of each day with samples, from one pass over segments.
 
-    Return is the sample right after the last one far from the next morning's position.
+    A summary is built per hour and hours combine: sums add up, the first departure and the last
+    far sample are extremes, and the first sample after that one is the hour's own or the first of
+    a later hour. So a day takes one shuffle, and no task holds more than an hour's samples.
     """
-    samples = position_samples(segs, by).withColumn("day", dates.logical_day_from_ms(F.col("t")))
-    tomorrow = starts.select(
-        *by,
-        F.date_sub("day", 1).alias("day"),
-        F.col("start_lat").alias("next_lat"),
-        F.col("start_lon").alias("next_lon"),
+    ends = starts if "next_lat" in starts.columns else _with_next(starts, by)
+    ends = ends.select(*by, "day", "start_lat", "start_lon", "next_lat", "next_lon")
+    lasting = F.col("still") & (F.col("end_ms") > F.col("start_ms"))
+    points = F.array(
+        F.struct(F.col("start_ms").alias("t"), F.lit(0).alias("part")),
+        F.when(lasting, F.struct(F.col("end_ms").alias("t"), F.lit(1).alias("part"))),
+    )
+    samples = segs.drop("day").select("*", F.inline(F.array_compact(points))).withColumns(
+        {"day": dates.logical_day_from_ms(F.col("t")), "hour": ms_hour_chunk(F.col("t"))}
     )
-    ends = starts.select(*by, "day", "start_lat", "start_lon").join(tomorrow, [*by, "day"], "left")
-    far_from = lambda lat, lon: (
-        sphere.haversine_m(F.col(lat), F.col(lon), F.col("lat"), F.col("lon")) > AWAY_RADIUS_M
+    metres = lambda lat, lon: sphere.haversine_m(F.col(lat), F.col(lon), F.col("lat"), F.col("lon"))
+    placed = samples.join(ends, [*by, "day"]).withColumns(
+        {"away": metres("start_lat", "start_lon"), "to_next": metres("next_lat", "next_lon")}
+    ).withColumns({"gone": F.col("away") > AWAY_RADIUS_M}).withColumns(
+        {"far": F.coalesce(F.col("to_next") > AWAY_RADIUS_M, F.col("gone"))}
     )
+    begins = F.col("part") == 0
+    moving, parked = begins & F.col("moving"), begins & ~F.col("moving")
     spot = F.struct("t", "start_ms", "seg_id", "part")
-    placed = samples.join(ends, [*by, "day"]).select(
-        *by,
-        "day",
-        "t",
-        spot.alias("spot"),
-        far_from("start_lat", "start_lon").alias("left"),
-        F.coalesce(far_from("next_lat", "next_lon"), far_from("start_lat", "start_lon")).alias("far"),
-    )
-    edges = placed.groupBy(*by, "day").agg(
-        F.min(F.when(F.col("left"), F.col("t"))).alias("departure_ms"),
-        F.max(F.when(F.col("far"), F.col("spot"))).alias("last_far"),
-    )
-    back = (
-        placed.join(edges.select(*by, "day", "last_far"), [*by, "day"])
-        .filter(F.col("spot") > F.col("last_far"))
-        .groupBy(*by, "day")
-        .agg(F.min("spot")["t"].alias("return_ms"))
-    )
-    both = edges.join(back, [*by, "day"], "left")
+    hours = placed.groupBy(*by, "day", "hour").agg(
+        sum_where(F.col("distance_meters") / 1000.0, moving).alias("km"),
+        F.max(F.when(begins, F.col("away"))).alias("reach"),
+        F.collect_set(F.when(parked, F.col("place_id"))).alias("places"),
+        count_where(parked).alias("visits"),
+        sum_where(F.col("duration_seconds") / 60.0, moving).alias("moving"),
+        sum_where(F.col("duration_seconds") / 60.0, parked).alias("parked"),
+        count_where(begins).alias("n"),
+        F.min(F.when(F.col("gone"), F.col("t"))).alias("departure_ms"),
+        F.min(spot).alias("first"),
+        F.max(F.when(F.col("far"), spot)).alias("last_far"),
+        F.collect_list(F.when(~F.col("far"), spot)).alias("near"),
+    )
+    after = F.array_min(F.filter("near", lambda s: s > F.col("last_far")))
+    whole = hours.withColumn("hour_of", F.struct("first", "last_far", after.alias("after"))).groupBy(*by, "day").agg(
+        *[F.sum(c).alias(c) for c in ("km", "visits", "moving", "parked", "n")],
+        F.max("reach").alias("reach"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"),
+        F.min("departure_ms").alias("departure_ms"),
+        F.max("last_far").alias("last_far"),
+        F.collect_list("hour_of").alias("hours"),  # 24 at most
+    )
+    later = F.array_min(F.concat(
+        F.transform(F.filter("hours", lambda h: h["last_far"] == F.col("last_far")), lambda h: h["after"]),
+        F.transform(F.filter("hours", lambda h: h["first"] > F.col("last_far")), lambda h: h["first"]),
+    ))
+    return whole.select(
+        *by, "day", "km", "reach", "places", "visits", "moving", "parked", "n", "departure_ms",
+        later["t"].alias("return_ms"),
+    )
+
+
+def _totals() -> list[Column]:
+    return [
+        F.coalesce("km", F.lit(0.0)).alias("km_traveled"),
+        (F.col("reach") / 1000.0).alias("max_dist_from_start_km"),
+        F.col("places").cast("long").alias("distinct_places"),
+        F.col("visits").alias("visit_count"),
+        F.coalesce("moving", F.lit(0.0)).alias("moving_minutes"),
+        F.coalesce("parked", F.lit(0.0)).alias("stationary_minutes"),
+        F.col("n").alias("segment_count"),
+    ]
+
+
+def _outing() -> list[Column]:
     gone, home = F.col("departure_ms"), F.col("return_ms")
-    return both.select(
-        *by,
-        "day",
+    return [
         dates.wall_hour(gone).alias("departure_hour"),
         dates.wall_hour(home).alias("return_hour"),
         F.when(home >= gone, (home - gone) / 3_600_000.0).alias("amplitude_hours"),
-    )
+    ]
+
+
+def day_totals(segs: DataFrame, starts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Distance, time, visits and reach per day in which a segment starts."""
+    return day_summaries(segs, starts, by).filter("n > 0").select(*by, "day", *_totals())
+
+
+def departure_return(segs: DataFrame, starts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """When the morning place was left, and when the next night's place was reached again.
+
+    Return is the sample right after the last one far from the next morning's position.
+    """
+    return day_summaries(segs, starts, by).select(*by, "day", *_outing())
 
 
 def novel_days(segs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -260,11 +320,10 @@ def days(segments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     key = [*by, "day"]
     # Both are far smaller than the segments (a row per person and day, or place) and are
     # read by several branches.
-    starts = cut_lineage(start_positions(segs, by))
+    starts = cut_lineage(_starts(segs, by))
     places = cut_lineage(known_places(segs, by))
     # The extra anchor only serves the last day's return.
-    span = anchors(segs, by, extra=0).select(*key)
-    begun = starts.join(span, key, "left_semi")
+    begun = starts.filter("within")
     queries = begun.select(*key, F.col("start_lat").alias("lat"), F.col("start_lon").alias("lon"))
     sites = places.select(*by, F.col("place_id").alias("site_id"), "lat", "lon")
     snapped = nearest_site(queries, sites, "day", by).withColumnRenamed("site_id", "place_id")
@@ -281,8 +340,7 @@ def days(segments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     novel = novel_days(segs, by).withColumn("discovered_new", F.lit(True))
     wide = (
         begun.join(named, key, "left")
-        .join(day_totals(segs, starts, by), key, "left")
-        .join(departure_return(segs, starts, by), key, "left")
+        .join(day_summaries(segs, starts, by).select(*key, *_totals(), *_outing()), key, "left")
         .join(novel, key, "left")
     )
     zero = F.lit(0.0)
