@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from daytrail.functions import sphere
 from daytrail.plans.ordered import hour_chunk, ms_hour_chunk, ordered_pass
+from daytrail.plans.ranking import over
+from daytrail.session import cut_lineage
 from daytrail.sources.files import raw_fields, raw_items, read_contents, with_owner
 
 # The shape of a timeline entry.
@@ -21,6 +23,7 @@ ENTRY_DDL = (
 )
 GEO_TEXT = r"^geo:(-?\d+(?:\.\d+)?),(-?\d+(?:\.\d+)?)$"
 UTC_OFFSET = r"([+-])(\d{2}):(\d{2})$"
+OFFSET_SPAN_MS = 32 * 86_400_000  # about a month
 ENTRY_FIELDS = ("startTime", "endTime", "visit", "activity", "timelinePath")
 SEGMENT_COLUMNS = (
     "timestamp", "date", "end_timestamp", "duration_seconds", "lat", "lon", "segment_type",
@@ -89,6 +92,10 @@ def carry_offset(entries: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
     Entries without an offset of their own take the last one seen before them in time;
     leading ones take the first of the timeline; a timeline without any is in UTC.
+
+    Offsets change seldom, so the changes are a small table of their own, written once. Entries
+    look theirs up by person and span of time; they are not sorted, and do not move as long as
+    Spark finds the table small enough to broadcast.
     """
 
     def ms(name: str) -> Column:
@@ -101,20 +108,54 @@ def carry_offset(entries: DataFrame, by: Sequence[str] = ()) -> DataFrame:
             "_own": offset_minutes(F.col("startTime")),
         }
     ).filter(F.col("start_ms").isNotNull())
-    # The tie-break keeps entries of one instant in a fixed order. An entry before the first
-    # known offset finds it as the next one, so one pass answers both cases.
-    own = own.withColumn("_tie", F.xxhash64(*[F.col(c) for c in entries.columns]))
-    carried = ordered_pass(
-        own,
+    # The tie-break keeps entries of one instant in a fixed order.
+    own = own.withColumn("_tie", F.xxhash64(*[F.col(c) for c in entries.columns])).withColumn(
+        "_span", _offset_span(F.col("start_ms"))
+    )
+    slim = cut_lineage(own.select(*by, "start_ms", "_tie", "_own"))
+    spans = cut_lineage(offset_spans(slim, by))
+    here = F.struct("start_ms", "_tie")
+    passed = F.filter("_steps", lambda s: F.struct(s["start_ms"], s["_tie"]) <= here)
+    offset = F.coalesce(F.try_element_at(passed, F.lit(-1))["_own"], F.col("_base"), F.lit(0))
+    found = own.join(spans, [*by, "_span"], "left").withColumn("offset_min", offset)
+    return found.select(*entries.columns, "start_ms", "end_ms", "offset_min")
+
+
+def _offset_span(ms: Column) -> Column:
+    return F.floor(ms / F.lit(OFFSET_SPAN_MS)).cast("long")
+
+
+def offset_changes(slim: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, start_ms, _tie, _own): the entries at which a person's offset becomes another."""
+    told = ordered_pass(
+        slim.filter(F.col("_own").isNotNull()),
         keys=by,
         order=[F.col("start_ms"), F.col("_tie")],
         chunk=ms_hour_chunk(F.col("start_ms")),
-        last={"_seen": F.col("_own")},
-        next_={"_ahead": F.col("_own")},
+        lag={"_was": F.col("_own")},
+    )
+    return told.filter(F.col("_was").isNull() | (F.col("_was") != F.col("_own"))).drop("_was")
+
+
+def offset_spans(slim: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, _span, _base, _steps): the offset a span of time begins with, and its changes in order.
+
+    Spans without an entry have no row. ``slim``: by, start_ms, _tie, _own.
+    """
+    span = _offset_span(F.col("start_ms")).alias("_span")
+    changed = (
+        offset_changes(slim, by)
+        .groupBy(*by, span)
+        .agg(F.array_sort(F.collect_list(F.struct("start_ms", "_tie", "_own"))).alias("_steps"))
     )
-    return carried.withColumn("offset_min", F.coalesce("_seen", "_ahead", F.lit(0))).drop(
-        "_own", "_seen", "_ahead", "_tie"
+    rows = slim.select(*by, span).distinct().join(changed, [*by, "_span"], "left").withColumns(
+        {"_first": F.col("_steps")[0]["_own"], "_last": F.element_at("_steps", -1)["_own"]}
     )
+    # A row per person and span.
+    along = over(by, F.col("_span"))
+    before = F.last("_last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    ahead = F.first("_first", ignorenulls=True).over(along.rowsBetween(0, Window.unboundedFollowing))
+    return rows.select(*by, "_span", F.coalesce(before, ahead).alias("_base"), "_steps")
 
 
 def _local(ms: Column) -> Column:
