@@ -273,12 +273,14 @@ register(
 )
 register(
     "segment_ids",
-    f"""WITH {TIMELINE.strip()}, u AS (SELECT DISTINCT * REPLACE ({SEG_ROUND}) FROM seg)
-        SELECT COUNT(*) AS rows, COUNT(*) AS ids, CAST(0 AS BIGINT) AS first_id, COUNT(*) - 1 AS last_id FROM u""",
+    f"""WITH {TIMELINE.strip()}, u AS (SELECT DISTINCT * REPLACE ({SEG_ROUND}) FROM seg),
+        n AS (SELECT timestamp, ROW_NUMBER() OVER (ORDER BY timestamp) - 1 AS seg_id FROM u)
+        SELECT timestamp, COUNT(*) AS rows, COUNT(DISTINCT seg_id) AS ids, MIN(seg_id) AS first_id, MAX(seg_id) AS last_id
+        FROM n GROUP BY 1""",
 )(
     lambda spark, d: timeline.stored_segments(
         rounded5(timeline.segments_from_timeline(raw_timeline(spark, d), ["owner"]))
-    ).agg(
+    ).groupBy("timestamp").agg(
         F.count(F.lit(1)).alias("rows"),
         F.countDistinct("seg_id").alias("ids"),
         F.min("seg_id").alias("first_id"),

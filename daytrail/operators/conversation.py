@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daytrail.functions import dates, text
-from daytrail.plans.ordered import hour_chunk, ordered_pass
+from daytrail.plans.ordered import hour_chunk, ordered_pass, range_chunk
 from daytrail.plans.ranking import over, with_group_row
 
 # When a follow-up counts as a double text, and when a session ends.
@@ -189,7 +189,7 @@ def message_index(messages: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         messages,
         keys=by,
         order=plain,
-        chunk=hour_chunk(F.col("timestamp")),
+        chunk=range_chunk(messages, plain),
         running={"msg_index": F.lit(1).cast("long")},
     )
     return numbered.withColumn("msg_index", F.col("msg_index") - 1)
@@ -198,11 +198,12 @@ def message_index(messages: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def first_hearing(plays: DataFrame, title: Column, by: Sequence[str] = ()) -> DataFrame:
     """Running play count per title, and whether a play is the first."""
     keyed = plays.withColumn("_title", title)
+    order = [F.col("timestamp"), F.col("play_id")]
     counted = ordered_pass(
         keyed,
         keys=[*by, "_title"],
-        order=[F.col("timestamp"), F.col("play_id")],
-        chunk=hour_chunk(F.col("timestamp")),
+        order=order,
+        chunk=range_chunk(plays, order),
         running={"play_count": F.lit(1)},
     )
     return counted.drop("_title").withColumn("is_first_play", F.col("play_count") == 1)

@@ -3,8 +3,12 @@
 A plain window sorts a whole key in one task; one person holding a third of all rows
 would then be one task. Here a key is cut into chunks along its order column. Windows
 run inside (key, chunk); a small table with one row per chunk carries first rows, last
-rows and totals across the borders and is joined back on (key, chunk). The number of
-chunks per key is bounded by the calendar when chunks are hours or days.
+rows and totals across the borders and is joined back on (key, chunk).
+
+Chunks are ranges of the whole order between sampled splitters (:func:`range_chunk`), as many
+as there are shuffle partitions: rows that fall into one hour, or have no time at all, spread
+over tasks like any others, and the chunk table stays small. Where neighbours in time are known
+to be spread out, calendar hours serve without a sample.
 """
 
 from __future__ import annotations
@@ -25,6 +29,48 @@ def ms_hour_chunk(ms: Column) -> Column:
     return F.floor(ms / F.lit(3_600_000)).cast("long")
 
 
+def sort_key(order: Sequence[Column], kinds: Sequence[str]) -> Column:
+    """A string whose order in bytes is that of the columns, nulls first.
+
+    Numbers become 16 hexadecimal digits, so they must be whole; strings end in two zero
+    characters, with a zero character in them followed by a greater one.
+    """
+    parts = []
+    for column, kind in zip(order, kinds, strict=True):
+        if kind == "string":
+            text = F.concat(F.replace(column, F.lit("\0"), F.lit("\0\u00ff")), F.lit("\0\0"))
+        else:
+            number = F.unix_micros(column.cast("timestamp")) if kind.startswith(("timestamp", "date")) else column.cast("long")
+            text = F.lpad(F.hex(number.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+        parts.append(F.coalesce(F.concat(F.lit("1"), text), F.lit("0")))
+    return F.concat(*parts)
+
+
+def range_chunk(df: DataFrame, order: Sequence[Column], parts: int | None = None) -> Column:
+    """The number of the range of ``order`` that a row falls into, for :func:`ordered_pass`.
+
+    Splitters come from the rows with the least hashes of their place in the order, a sample of
+    eight rows a range; the sample is the same on every run.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = [f.dataType.simpleString() for f in df.select(*order).schema]
+    key = sort_key(order, kinds)
+    sample = df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(8 * parts).collect()
+    found = sorted({r["k"] for r in sample}, key=lambda k: k.encode())
+    cuts = [found[len(found) * i // parts] for i in range(1, parts)] if found else []
+    cuts = sorted(set(cuts), key=lambda k: k.encode())
+    if not cuts:
+        return F.lit(0)
+    steps = [1 << i for i in reversed(range(len(cuts).bit_length()))]
+    ranges = F.lit(cuts)
+    # The last splitter at or before the row, found by halving.
+    return F.aggregate(
+        F.lit(steps),
+        F.lit(0),
+        lambda at, step: at + F.when(F.coalesce(F.try_element_at(ranges, at + step) <= key, F.lit(False)), step).otherwise(0),
+    )
+
+
 def ordered_pass(
     df: DataFrame,
     *,

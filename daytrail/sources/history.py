@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from daytrail.functions import labels
-from daytrail.plans.ordered import hour_chunk, ordered_pass
+from daytrail.plans.ordered import ordered_pass, range_chunk
 from daytrail.sources.files import raw_fields, raw_items, read_contents, typed, with_owner
 
 # The field names of the export.
@@ -106,8 +106,9 @@ def clean_platform(raw: Column) -> Column:
 def plays_from_raw(raw: DataFrame, time_zone: str = "UTC", by: Sequence[str] = ()) -> DataFrame:
     """Typed plays: podcast fields folded in, skips recomputed, hearings numbered.
 
-    ``play_count`` numbers the hearings of one title and artist in order of time. It is an
-    ordered pass in hourly chunks, so a title heard all the time is not one task.
+    ``play_count`` numbers the hearings of one title and artist in order of time, those without
+    a readable time first. It is an ordered pass over sampled ranges of that order, so a title
+    heard all the time, or never at a known time, is not one task.
     """
     podcast = F.coalesce(F.col("episode_name") != "", F.lit(False))
 
@@ -128,11 +129,12 @@ def plays_from_raw(raw: DataFrame, time_zone: str = "UTC", by: Sequence[str] = (
     prepared = raw.withColumns(
         {"_instant": instant, "_title": title, "_tie": F.xxhash64(*[F.col(c) for c in raw.columns])}
     )
+    order = [F.col("_instant"), F.col("_tie")]
     counted = ordered_pass(
         prepared,
         keys=[*by, "_title"],
-        order=[F.col("_instant"), F.col("_tie")],
-        chunk=F.coalesce(hour_chunk(F.col("_instant")), F.lit(0)),
+        order=order,
+        chunk=range_chunk(prepared, order),
         running={"_count": F.lit(1)},
     )
     local = F.from_utc_timestamp("_instant", time_zone).cast("timestamp_ntz")

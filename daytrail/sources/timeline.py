@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from daytrail.functions import sphere
-from daytrail.plans.ordered import hour_chunk, ms_hour_chunk, ordered_pass
+from daytrail.plans.ordered import ms_hour_chunk, ordered_pass, range_chunk
 from daytrail.plans.ranking import over
 from daytrail.session import cut_lineage
 from daytrail.sources.files import raw_fields, raw_items, read_contents, with_owner
@@ -287,17 +287,17 @@ def segments_from_timeline(entries: DataFrame, by: Sequence[str] = ()) -> DataFr
 def stored_segments(segments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Distinct segments with empty zone columns and a stable id.
 
-    The id is the position in order of time (then of a hash of the row), numbered in hourly
-    chunks; the same rows always get the same ids.
+    The id is the position in order of time (then of a hash of the row), numbered in sampled
+    ranges of that order; the same rows always get the same ids.
     """
-    unique = segments.distinct().withColumn(
-        "_tie", F.xxhash64(*[F.col(c) for c in segments.columns])
-    )
+    tie = F.xxhash64(*[F.col(c) for c in segments.columns])
+    unique = segments.distinct().withColumn("_tie", tie)
+    order = [F.col("timestamp"), F.col("_tie")]
     numbered = ordered_pass(
         unique,
         keys=by,
-        order=[F.col("timestamp"), F.col("_tie")],
-        chunk=hour_chunk(F.col("timestamp")),
+        order=order,
+        chunk=range_chunk(segments.withColumn("_tie", tie), order),
         running={"seg_id": F.lit(1).cast("long")},
     )
     return numbered.drop("_tie").withColumns(
