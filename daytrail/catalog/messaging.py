@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from daytrail.catalog.registry import messages_query, talk_query
-from daytrail.operators import conversation, messages, sequence
+from daytrail.catalog.registry import messages_query, register, talk_query
+from daytrail.operators import conversation, messages, sequence, sessions
+from daytrail.plans import adapters
+from daytrail.session import new_folder
 
 OWNER = ["owner"]
 REPLY = "reply_delay_seconds IS NOT NULL AND NOT is_session_start"
@@ -197,3 +199,24 @@ messages_query(
        ORDER BY length DESC, start LIMIT 1""",
     lambda m: sequence.longest_streak(m),
 )
+
+
+@register(
+    "sessions_kept_up",
+    """SELECT msg_id, thread, ROUND(gap_seconds, 3) AS gap_seconds, ROUND(reply_delay_seconds, 3) AS reply_delay_seconds,
+         is_double_text, is_session_start, session_id FROM talk""",
+    "talk",
+)
+def sessions_kept_up(spark, sf_dir):
+    """Stored sessions after two lots of late messages, one of them sent twice."""
+    every, path = adapters.messages(spark, sf_dir), new_folder(spark)
+    lot = lambda *rest: every.filter((F.col("msg_id") % 10).isin(*rest))
+    sessions.store_sessions(lot(0, 1, 2, 3, 4, 5), path)
+    for late in (lot(6, 7), lot(7, 8, 9)):
+        sessions.add_late_messages(spark, path, late)
+    got = sessions.stored_sessions(spark, path)
+    return got.select(
+        "msg_id", "thread", F.round("gap_seconds", 3).alias("gap_seconds"),
+        F.round("reply_delay_seconds", 3).alias("reply_delay_seconds"),
+        "is_double_text", "is_session_start", "session_id",
+    )
