@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from daytrail.catalog.registry import messages_query, register, talk_query
 from daytrail.operators import conversation, messages, sequence, sessions
 from daytrail.plans import adapters
-from daytrail.session import new_folder
+from daytrail.session import cut_lineage, new_folder
 
 OWNER = ["owner"]
 REPLY = "reply_delay_seconds IS NOT NULL AND NOT is_session_start"
@@ -62,6 +62,7 @@ talk_query(
     lambda m: messages.message_macro_stats(m).withColumns(
         {c: F.round(c, 7) for c in ("my_median_seconds", "their_median_seconds")}
     ),
+    stored=True,
 )
 MONTHLY = """SELECT CAST(date_trunc('month', timestamp) AS DATE) AS month, contact AS name,
                COUNT(*) AS messages FROM messages GROUP BY 1, 2"""
@@ -105,13 +106,14 @@ def rounded_replies(m, least):
     )
 
 
-talk_query("reply_times", REPLIES.format(5), lambda m: rounded_replies(m, 5))
+talk_query("reply_times", REPLIES.format(5), lambda m: rounded_replies(m, 5), stored=True)
 talk_query(
     "reply_quadrant",
     f"""SELECT contact, GREATEST(1.0, my_median_seconds) AS mine, GREATEST(1.0, their_median_seconds) AS theirs,
           messages, ROW_NUMBER() OVER (ORDER BY messages DESC, contact) <= 12 AS labelled
         FROM ({REPLIES.format(1)})""",
-    lambda m: messages.reply_quadrant(rounded_replies(m, 1)),
+    lambda m: messages.reply_quadrant(cut_lineage(rounded_replies(m, 1))),
+    stored=True,
 )
 # The messages lie in one month; a day standing in for a month exercises the zero-filled grid.
 SPREAD = """(SELECT * REPLACE (CAST(DATE '2020-01-01' + to_months(CAST(2 * date_diff('day', DATE '2024-01-01', date) AS INTEGER))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from daytrail.plans import adapters
-from daytrail.session import prepare
+from daytrail.session import cut_lineage, prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,12 +74,13 @@ def messages_query(name: str, sql: str | None, make: Callable[[DataFrame], DataF
     register(name, sql, "messages")(lambda spark, d: make(adapters.messages(spark, d)))
 
 
-def talk_query(name: str, sql: str | None, make: Callable[[DataFrame], DataFrame]) -> None:
-    """Over messages with their conversation columns."""
+def talk_query(name: str, sql: str | None, make: Callable[[DataFrame], DataFrame], stored: bool = False) -> None:
+    """Over messages with their conversation columns, which are a stored table where much is asked."""
     from daytrail.operators.conversation import conversation_columns
 
+    keep = cut_lineage if stored else lambda talk: talk
     register(name, sql, "talk")(
-        lambda spark, d: make(conversation_columns(adapters.messages(spark, d)))
+        lambda spark, d: make(keep(conversation_columns(adapters.messages(spark, d))))
     )
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from daytrail.functions import dates, labels
 from daytrail.functions.numbers import count_where, half_up, ratio, sum_where
 from daytrail.plans.filters import require
-from daytrail.plans.ranking import exact_quantiles, over, small, top_k, with_group_row
+from daytrail.plans.ranking import over, quantiles_of_counts, small, top_k, with_group_row
+from daytrail.session import cut_lineage
 
 
 def sent() -> Column:
@@ -36,13 +37,19 @@ def network_summary(messages: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def _reply_medians(messages: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return exact_quantiles(
-        messages.filter(is_reply()),
-        F.col("reply_delay_seconds"),
-        {"my_median_seconds": (0.5, sent()), "their_median_seconds": (0.5, received())},
-        by=keys,
+def _reply_counts(messages: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Messages by reply delay (null where it is no reply) and who replied; written once, read often."""
+    counts = messages.groupBy(*keys, F.when(is_reply(), F.col("reply_delay_seconds").cast("double")).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_all"),
+        count_where(is_reply() & sent()).alias("_n_my_median_seconds"),
+        count_where(is_reply() & received()).alias("_n_their_median_seconds"),
     )
+    return cut_lineage(counts)
+
+
+def _reply_medians(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    wanted = {"my_median_seconds": 0.5, "their_median_seconds": 0.5}
+    return quantiles_of_counts(counts.filter(F.col("_v").isNotNull()).drop("_all"), wanted, by=keys)
 
 
 def message_macro_stats(messages: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -76,7 +83,7 @@ def message_macro_stats(messages: DataFrame, by: Sequence[str] = ()) -> DataFram
         F.min("date").alias("first_day"),
         F.max("date").alias("last_day"),
     )
-    medians = _reply_medians(messages, by)
+    medians = _reply_medians(_reply_counts(messages, by), by)
     return with_group_row(counts, medians, by, "left")
 
 
@@ -144,16 +151,17 @@ def reply_times(messages: DataFrame, min_replies: int = 5, by: Sequence[str] = (
     """Median reply delay per side, for contacts with enough replies on both."""
     least = max(1, int(min_replies))
     keys = [*by, "contact"]
+    counted = _reply_counts(messages, keys)
     counts = (
-        messages.groupBy(*keys)
+        counted.groupBy(*keys)
         .agg(
-            F.count(F.lit(1)).alias("messages"),
-            count_where(is_reply() & sent()).alias("my_replies"),
-            count_where(is_reply() & received()).alias("their_replies"),
+            F.sum("_all").alias("messages"),
+            F.sum("_n_my_median_seconds").alias("my_replies"),
+            F.sum("_n_their_median_seconds").alias("their_replies"),
         )
         .filter((F.col("my_replies") >= least) & (F.col("their_replies") >= least))
     )
-    return counts.join(_reply_medians(messages, keys), keys)
+    return counts.join(_reply_medians(counted, keys), keys)
 
 
 def top_contact_months(messages: DataFrame, top: int = 15, by: Sequence[str] = ()) -> DataFrame:

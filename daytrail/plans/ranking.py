@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from daytrail.session import cut_lineage
+
 
 def keys_of(by: Sequence[str]) -> list[Column]:
     return [F.col(c) for c in by]
@@ -56,9 +58,9 @@ def with_group_row(
 
 
 def _value_bin(value: Column) -> Column:
-    """A coarse bin that grows with the value: about 200 bins per factor e."""
+    """A coarse bin that grows with the value: about 200 bins per factor e; NaN comes last, as it sorts."""
     magnitude = F.floor(F.log1p(F.abs(value)) * 200).cast("long")
-    return F.when(value < 0, -magnitude - 1).otherwise(magnitude)
+    return F.when(F.isnan(value), F.lit((1 << 63) - 1)).when(value < 0, -magnitude - 1).otherwise(magnitude)
 
 
 def exact_quantiles(
@@ -72,11 +74,8 @@ def exact_quantiles(
     """Exact quantiles per group, one column per entry of ``wanted``.
 
     ``wanted`` maps an output name to (probability, condition). Rows are first counted
-    per distinct value, then per coarse bin; only the bins that hold a wanted rank are
-    opened, cut into ``PARTS`` even parts between their least and largest value, and of these
-    again only those that hold the rank. So values that lie close together, as instants of some
-    years do, are not one task either.
-    With ``interpolate=False`` the lower order statistic at ``floor(p * (n - 1))`` is taken.
+    per distinct value. The counts are written once (see :func:`quantiles_of_counts`), so that the
+    rows are read once.
     """
     names = list(wanted)
     rows = df.select(
@@ -87,11 +86,23 @@ def exact_quantiles(
             for n, (_, cond) in wanted.items()
         ],
     ).filter(F.col("_v").isNotNull())
-    counts = (
-        rows.groupBy(*by, "_v")
-        .agg(*[F.count_if(F.col(f"_c_{n}")).alias(f"_n_{n}") for n in names])
-        .withColumn("_bin", _value_bin(F.col("_v")))
-    )
+    counts = rows.groupBy(*by, "_v").agg(*[F.count_if(F.col(f"_c_{n}")).alias(f"_n_{n}") for n in names])
+    return quantiles_of_counts(cut_lineage(counts), {n: p for n, (p, _) in wanted.items()}, by=by, interpolate=interpolate)
+
+
+def quantiles_of_counts(
+    counts: DataFrame, wanted: Mapping[str, float], *, by: Sequence[str] = (), interpolate: bool = True
+) -> DataFrame:
+    """Exact quantiles of values ``_v`` (double, not null) that occur ``_n_{name}`` times.
+
+    ``counts`` is read for several steps: a stored table serves best. Values are summed per coarse
+    bin; only the bins that hold a wanted rank are opened, cut into ``PARTS`` even parts between their least and largest value, and of these
+    again only those that hold the rank. So values that lie close together, as instants of some
+    years do, are not one task either.
+    With ``interpolate=False`` the lower order statistic at ``floor(p * (n - 1))`` is taken.
+    """
+    names = list(wanted)
+    counts = counts.withColumn("_bin", _value_bin(F.col("_v")))
     before = over(by, F.col("_bin")).rowsBetween(Window.unboundedPreceding, -1)
     bins = counts.groupBy(*by, "_bin").agg(
         *[F.sum(f"_n_{n}").alias(f"_b_{n}") for n in names], F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
@@ -99,7 +110,7 @@ def exact_quantiles(
     for n in names:
         bins = bins.withColumn(f"_t_{n}", F.sum(f"_b_{n}").over(over(by)))
         bins = bins.withColumn(f"_p_{n}", F.coalesce(F.sum(f"_b_{n}").over(before), F.lit(0)))
-        p = float(wanted[n][0])
+        p = float(wanted[n])
         position = F.lit(p) * (F.col(f"_t_{n}") - 1)
         bins = bins.withColumn(f"_pos_{n}", position)
     hit = F.lit(False)
