@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daytrail.functions import dates
-from daytrail.plans.ranking import top_k
+from daytrail.plans.ranking import over, top_k
 
 Selection = Mapping[str, Iterable[str]]
 
@@ -97,24 +97,29 @@ def slices(
 ) -> DataFrame:
     """The ``top`` values of each dimension by ``weight``, the rest as 'Other'.
 
-    'Other' appears only when its weight exceeds ``least_other``. The kept values are found
-    with a rank filter that is pushed below the shuffle. The rest is summed itself, not taken as a
-    difference, in which the rounding of doubles would leave a residue; no task holds all values
-    of a dimension.
+    'Other' appears only when its weight exceeds ``least_other``. Values are dealt to ``SALTS``
+    parts of their dimension; each part keeps its leading values and sums the others, and what is
+    left of all parts, some hundred rows a dimension, is ranked and summed again. So the totals are
+    worked out once and no task holds all values of a dimension.
     """
     group = [*by, "dimension"]
-    kept = top_k(totals, top, F.desc(weight), F.asc("value"), by=group)
-    named = F.struct("value").alias("_value")  # a null value is kept like any other
-    rest = (
-        totals.select("*", named)
-        .join(kept.select(*group, named), [*group, "_value"], "left_anti")
-        .groupBy(*group)
-        .agg(*[F.sum(m).alias(m) for m in measures])
-        .select(*group, F.lit("Other").alias("value"), *measures, F.lit(True).alias("is_other"))
-        .filter(F.col(weight) > least_other)
+    sums = [F.sum(m).alias(m) for m in measures]
+    leads = lambda keys: F.row_number().over(
+        over(keys, F.col("_value").isNull(), F.desc(weight), F.col("_value"))
     )
-    return kept.select(*group, "value", *measures, F.lit(False).alias("is_other")).unionByName(rest)
+    named = F.struct("value")  # a null value is kept like any other; the rest has no name
+    rows = totals.withColumns({"_value": named, "_salt": F.pmod(F.xxhash64("value"), F.lit(SALTS))})
+    for keys in ([*group, "_salt"], group):
+        ranked = rows.withColumn("_value", F.when(leads(keys) <= top, F.col("_value")))
+        rows = ranked.groupBy(*keys, "_value").agg(*sums)
+    other = F.col("_value").isNull()
+    return rows.filter(~other | (F.col(weight) > least_other)).select(
+        *group, F.when(other, F.lit("Other")).otherwise(F.col("_value.value")).alias("value"), *measures, other.alias("is_other")
+    )
+
 
+#: Parts that the values of a dimension are dealt to before they are ranked.
+SALTS = 16
 
 PLAY_DIMENSIONS = (
     "ip", "platform", "country", "dow", "media_type",
