@@ -25,15 +25,14 @@ def as_plays(events: DataFrame) -> DataFrame:
 
 
 def drained(stream: DataFrame) -> DataFrame:
-    """The complete result of a streaming aggregate once its input is used up."""
+    """What a stream has appended once its input is used up and the watermark stands."""
     spark, folder = stream.sparkSession, new_folder(stream.sparkSession)
+    jobs.run_available(jobs.append_to_folder(stream, folder))
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out").drop("batch")
 
-    def save(batch: DataFrame, _id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out")
 
-    writer = stream.writeStream.outputMode("complete").foreachBatch(save)
-    jobs.run_available(writer.option("checkpointLocation", f"{folder}/state"))
-    return spark.read.parquet(f"{folder}/out")
+#: The watermark after the last message, in microseconds: whole milliseconds less the delay.
+MARK = "(SELECT epoch_us(MAX(ts)) // 1000 * 1000 - {} * 1000000::BIGINT FROM events)"
 
 
 @register(
@@ -55,8 +54,9 @@ def stream_appended_messages(spark, sf_dir):
 
 @register(
     "stream_sessions",
-    """SELECT thread, MIN(timestamp) AS session_start, MAX(timestamp) AS last_message, COUNT(*) AS messages
-       FROM talk GROUP BY thread, session_id""",
+    f"""SELECT thread, MIN(timestamp) AS session_start, MAX(timestamp) AS last_message, COUNT(*) AS messages
+       FROM talk GROUP BY thread, session_id
+       HAVING epoch_us(MAX(timestamp)) + 21600000000 <= {MARK.format(3600)}""",
     "talk",
 )
 def stream_sessions(spark, sf_dir):
@@ -66,8 +66,22 @@ def stream_sessions(spark, sf_dir):
 
 @register(
     "stream_weekly_volume",
-    "SELECT CAST(date_trunc('week', timestamp) AS DATE) AS week_start, COUNT(*) AS plays FROM plays GROUP BY 1",
+    f"""SELECT CAST(date_trunc('week', timestamp) AS DATE) AS week_start, COUNT(*) AS plays FROM plays GROUP BY 1
+        HAVING epoch_us(CAST(week_start + 7 AS TIMESTAMP)) <= {MARK.format(86400)}""",
     "plays",
 )
 def stream_weekly_volume(spark, sf_dir):
     return drained(jobs.stream_weekly_volume(as_plays(event_stream(spark, sf_dir))))
+
+
+@register(
+    "stream_message_gaps",
+    f"""SELECT thread, msg_id, timestamp, sender, ROUND(gap_seconds, 3) AS gap_seconds,
+          ROUND(reply_delay_seconds, 3) AS reply_delay_seconds, is_double_text, is_session_start
+        FROM talk WHERE epoch_ms(timestamp) * 1000 <= {MARK.format(3600)}""",
+    "talk",
+)
+def stream_message_gaps(spark, sf_dir):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.STATE_STORE)
+    got = drained(jobs.stream_message_gaps(as_messages(event_stream(spark, sf_dir))))
+    return got.withColumns({c: F.round(c, 3) for c in ("gap_seconds", "reply_delay_seconds")})

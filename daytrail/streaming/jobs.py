@@ -7,12 +7,14 @@ not accept, so event time is cast to TIMESTAMP under a UTC session.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
+from daytrail.operators.conversation import DOUBLE_TEXT_AFTER_S, SESSION_GAP_S
 from daytrail.sources.chats import NATURAL_KEY, append_messages
 
 # The epoch was a Thursday, so Monday weeks start four days later.
@@ -79,6 +81,102 @@ def stream_weekly_volume(
     )
 
 
+GAP_COLUMNS = "gap_seconds double, reply_delay_seconds double, is_double_text boolean, is_session_start boolean"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class MessageGaps(StatefulProcessor):
+    """The columns that a message gets from the one before it in its thread.
+
+    Messages wait in the state until the watermark says that none can come before them; a timer at
+    the earliest of them then hands them out in order. Of those handed out only the last one stays,
+    so a thread keeps one message and those of the last ``delay``.
+    """
+
+    def __init__(self, keys: Sequence[str]):
+        self._keys = list(keys)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._waiting = handle.getListState("waiting", "us bigint, id bigint, sender string")
+        self._last = handle.getValueState("last", "us bigint, id bigint, sender string")
+
+    def _wait(self, rows: list[tuple]) -> None:
+        if rows:
+            self._waiting.put(rows)
+            self._handle.registerTimer(min(r[0] for r in rows) // 1000)
+        else:
+            self._waiting.clear()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        waiting = [tuple(r) for r in self._waiting.get()] if self._waiting.exists() else []
+        due = tuple(self._last.get())[:2] if self._last.exists() else None
+        for part in rows:
+            for us, msg_id, sender in zip(part["us"], part["msg_id"], part["sender"], strict=True):
+                row = (int(us), int(msg_id), sender)
+                if due is None or row[:2] > due:  # what is earlier came too late
+                    waiting.append(row)
+        self._wait(waiting)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        mark = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted(tuple(r) for r in self._waiting.get()) if self._waiting.exists() else []
+        last = tuple(self._last.get()) if self._last.exists() else None
+        out, kept = [], []
+        for us, msg_id, sender in waiting:
+            if us // 1000 > mark:
+                kept.append((us, msg_id, sender))
+                continue
+            gap = None if last is None else (us - last[0]) / 1_000_000
+            same = last is not None and sender == last[2]
+            out.append((
+                *key, us, msg_id, sender, gap, gap if last is not None and not same else None,
+                same and gap > DOUBLE_TEXT_AFTER_S, gap is None or gap > SESSION_GAP_S,
+            ))
+            last = (us, msg_id, sender)
+        if out:
+            self._last.update(last)
+        self._wait(kept)
+        columns = [*self._keys, "us", "msg_id", "sender", "gap_seconds", "reply_delay_seconds", "is_double_text", "is_session_start"]
+        frame = pd.DataFrame(out, columns=columns).astype({"gap_seconds": "float64", "reply_delay_seconds": "float64"})
+        yield frame
+
+    def close(self) -> None:
+        pass
+
+
+def stream_message_gaps(incoming: DataFrame, delay: str = "1 hour", keys: Sequence[str] = ("thread",)) -> DataFrame:
+    """Messages in order of time with gap, reply delay, double text and session start, each once.
+
+    A message comes out when the watermark has passed it; one that arrives later than ``delay`` is
+    left out. Appends only: nothing that came out changes. The session must use the state store that
+    :data:`STATE_STORE` names.
+    """
+    timed = incoming.withColumn("event_time", F.col("timestamp").cast("timestamp"))
+    slim = timed.withWatermark("event_time", delay).select(
+        *keys, "event_time", F.unix_micros("event_time").alias("us"), F.col("msg_id").cast("long").alias("msg_id"), "sender"
+    )
+    kinds = ", ".join(f"`{k}` {incoming.schema[k].dataType.simpleString()}" for k in keys)
+    out = slim.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=MessageGaps(keys),
+        outputStructType=f"{kinds}, us bigint, msg_id bigint, sender string, {GAP_COLUMNS}",
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+    # pandas has no missing number but NaN.
+    missing = {c: F.when(~F.isnan(c), F.col(c)) for c in ("gap_seconds", "reply_delay_seconds")}
+    return out.withColumns(missing).withColumn("timestamp", F.timestamp_micros("us").cast("timestamp_ntz")).drop("us")
+
+
+def append_to_folder(stream: DataFrame, folder: str) -> DataStreamWriter:
+    """Appends what a stream gives, a subfolder a batch, so that a batch sent again replaces itself."""
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+
+    return stream.writeStream.outputMode("append").foreachBatch(save).option("checkpointLocation", f"{folder}/state")
+
+
 def run_available(writer: DataStreamWriter, timeout_s: float | None = None) -> None:
     """Processes everything that is there, however long it takes; raises what the stream raised.
 
