@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from daytrail.functions import text as words
 from daytrail.operators.conversation import message_index
 from daytrail.plans.ranking import over, with_group_row
+from daytrail.sources import batches
 from daytrail.sources.files import raw_fields, raw_items, read_contents, read_lines, with_owner
 
 # Formats, markers, layouts and field names of the exports.
@@ -644,27 +645,28 @@ def append_messages(
     dedupe_within: bool = False,
     by: Sequence[str] = (),
     batch: str | None = None,
-) -> None:
-    """Appends what is new; importing the same archive again changes nothing.
+) -> list[str]:
+    """Appends what is new; importing the same archive again changes nothing. Returns what was opened.
 
     Rows lie under the name of their batch. A batch that is sent again, because it broke off half
-    way, is compared with the other batches and written over its own rows.
+    way, is compared with the other batches and written over its own rows. Which of a month's
+    batches can hold a message is known from a filter of their keys (:mod:`batches`), so only those
+    are opened, and a month's batches are merged before there are many.
     """
     batch = batch or uuid.uuid4().hex
-    rows = incoming.withColumn("month", F.date_format("date", "yyyy-MM"))
-    if _exists(spark, path):
-        # Only months that occur in the batch can hold twins: partitions are pruned by a join.
-        stored = spark.read.parquet(path).filter(F.col("batch") != batch).select(*by, *NATURAL_KEY, "text", "month")
-        months = rows.select("month").distinct()
-        rows = new_messages(rows, stored.join(months, "month", "left_semi"), dedupe_within, by)
+    keys = [*by, *NATURAL_KEY, "text"]
+    rows = incoming.withColumn("month", F.coalesce(F.date_format("date", "yyyy-MM"), F.lit("none")))
+    months = [r["month"] for r in rows.select("month").distinct().collect()]  # as many as the calendar has
+    opened = batches.may_hold(spark, path, rows, keys, months, batch)
+    if opened:
+        rows = new_messages(rows, spark.read.parquet(*opened).select(*keys), dedupe_within, by)
     elif dedupe_within:
-        rows = rows.dropDuplicates([*by, *NATURAL_KEY, "text"])
+        rows = rows.dropDuplicates(keys)
     rows.write.mode("overwrite").partitionBy("month").parquet(f"{path}/batch={batch}")
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+    batches.commit(spark, path, batch, keys)
+    for month in months:
+        batches.merge(spark, path, month, keys)
+    return opened
 
 
 def stored_messages(spark: SparkSession, path: str, by: Sequence[str] = ()) -> DataFrame:
