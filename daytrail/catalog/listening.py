@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from daytrail.catalog.registry import plays_query
+import datetime
+
+from daytrail.catalog.registry import plays_query, register
 from daytrail.operators import artists, behaviour, discovery, hierarchy, sequence, temporal, tracks
 from daytrail.operators.conversation import first_hearing
+from daytrail.plans import adapters, sketches
 from daytrail.plans.filters import DateRange
+from daytrail.session import cut_lineage
 from pyspark.sql import functions as F
 
 JANUARY = DateRange("2024-01-08", "2024-01-21")
@@ -420,3 +424,31 @@ plays_query(
         top=5,
     ).withColumn("value", F.round("value", 4)),
 )
+
+
+@register(
+    "sketched_days",
+    """SELECT media_type, COUNT(ms_played) AS n, TRUE AS median_in_bounds, TRUE AS p95_in_bounds, TRUE AS tracks_in_bounds
+       FROM plays WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-01-24' GROUP BY 1""",
+    "plays",
+)
+def sketched_days(spark, sf_dir):
+    """Daily sketches merged over a range of days, held against the rows of those days."""
+    plays, by = adapters.plays(spark, sf_dir), ["media_type"]
+    wanted = {"median": 0.5, "p95": 0.95}
+    daily = cut_lineage(sketches.daily_sketches(plays, "date", F.col("ms_played"), F.col("track_name"), by))
+    first, last = datetime.date(2024, 1, 5), datetime.date(2024, 1, 24)
+    told = sketches.merged_days(daily, "date", wanted, by, first, last)
+    rows = plays.filter(F.col("date").between(first, last)).join(F.broadcast(told), by)  # two rows
+    checks = rows.groupBy(*by, "n", "distinct").agg(
+        F.countDistinct("track_name").alias("tracks"),
+        *[F.count_if(F.col("ms_played") < F.col(c)).alias(f"below_{c}") for c in wanted],
+        *[F.count_if(F.col("ms_played") <= F.col(c)).alias(f"upto_{c}") for c in wanted],
+    )
+    slack = 2 * sketches.rank_error()
+    inside = {
+        f"{c}_in_bounds": (F.col(f"below_{c}") / F.col("n") <= p + slack) & (F.col(f"upto_{c}") / F.col("n") >= p - slack)
+        for c, p in wanted.items()
+    }
+    off = F.abs(F.col("distinct") - F.col("tracks")) <= sketches.distinct_error() * F.col("tracks") + 1
+    return checks.select(*by, "n", *[v.alias(c) for c, v in inside.items()], off.alias("tracks_in_bounds"))

@@ -12,6 +12,7 @@ from daytrail.functions.numbers import half_up, ratio
 from daytrail.plans.filters import require
 from daytrail.plans.ordered import hour_chunk, ordered_pass
 from daytrail.plans.ranking import exact_quantiles, with_group_row
+from daytrail.plans.sketches import sketched_quantiles
 
 # Fixed values.
 SPEED_TOP_KMH = 300
@@ -50,11 +51,12 @@ def speed_histogram(segments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return grid.join(counts, [*by, "bin"], "left").withColumn("legs", F.coalesce("legs", F.lit(0)))
 
 
-def speed_summary(segments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Median speed and number of legs."""
+def speed_summary(segments: DataFrame, by: Sequence[str] = (), sketched: bool = False) -> DataFrame:
+    """Median speed and number of legs. ``sketched`` takes the median from a sketch, within its error."""
     speeds = _measured_speeds(segments)
     total = speeds.groupBy(*by).agg(F.count(F.lit(1)).alias("total_legs"))
-    median = exact_quantiles(speeds, F.col("speed_kmh"), {"median_kmh": (0.5, None)}, by=by)
+    quantiles = sketched_quantiles if sketched else exact_quantiles
+    median = quantiles(speeds, F.col("speed_kmh"), {"median_kmh": (0.5, None)}, by=by)
     return with_group_row(total, median, by, "left")
 
 
@@ -200,13 +202,17 @@ def percentile_box(
     high: float = 0.98,
     pad: float = 0.1,
     by: Sequence[str] = (),
+    sketched: bool = False,
 ) -> DataFrame:
-    """A frame that a few far points cannot blow up: outer quantiles plus a margin."""
-    lon = exact_quantiles(
-        points, F.col("lon"), {"_w": (low, None), "_e": (high, None)}, by=by, interpolate=False
-    )
-    lat = exact_quantiles(
-        points, F.col("lat"), {"_s": (low, None), "_n": (high, None)}, by=by, interpolate=False
+    """A frame that a few far points cannot blow up: outer quantiles plus a margin.
+
+    ``sketched`` takes the quantiles from sketches, within their error, in one pass.
+    """
+    sides = {"lon": {"_w": (low, None), "_e": (high, None)}, "lat": {"_s": (low, None), "_n": (high, None)}}
+    lon, lat = (
+        sketched_quantiles(points, F.col(axis), wanted, by=by) if sketched
+        else exact_quantiles(points, F.col(axis), wanted, by=by, interpolate=False)
+        for axis, wanted in sides.items()
     )
     both = with_group_row(lon, lat, by)
     wide, tall = (F.col("_e") - F.col("_w")) * pad, (F.col("_n") - F.col("_s")) * pad

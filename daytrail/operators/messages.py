@@ -11,6 +11,7 @@ from daytrail.functions import dates, labels
 from daytrail.functions.numbers import count_where, half_up, ratio, sum_where
 from daytrail.plans.filters import require
 from daytrail.plans.ranking import over, quantiles_of_counts, small, top_k, with_group_row
+from daytrail.plans.sketches import sketched_count, sketched_quantiles
 from daytrail.session import cut_lineage
 
 
@@ -52,8 +53,12 @@ def _reply_medians(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return quantiles_of_counts(counts.filter(F.col("_v").isNotNull()).drop("_all"), wanted, by=keys)
 
 
-def message_macro_stats(messages: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Sixteen headline figures. A reaction on a message I sent is one I received."""
+def message_macro_stats(messages: DataFrame, by: Sequence[str] = (), sketched: bool = False) -> DataFrame:
+    """Sixteen headline figures. A reaction on a message I sent is one I received.
+
+    ``sketched`` takes distinct counts and medians from sketches, within their error.
+    """
+    many = sketched_count if sketched else F.countDistinct
     # First per contact, session and day: the distinct counts then expand few rows.
     ones = messages.groupBy(*by, "contact", "session_id", "date").agg(
         F.count(F.lit(1)).alias("all"),
@@ -71,9 +76,11 @@ def message_macro_stats(messages: DataFrame, by: Sequence[str] = ()) -> DataFram
         total("all", "total_messages"),
         total("sent", "sent_messages"),
         total("received", "received_messages"),
-        F.countDistinct("contact").alias("contacts"),
-        F.countDistinct("date").alias("active_days"),
-        F.countDistinct("contact", "session_id").alias("conversations"),
+        many(F.col("contact")).alias("contacts"),
+        many(F.when(F.col("date").isNotNull(), F.xxhash64("date")) if sketched else F.col("date")).alias("active_days"),
+        # As in the exact count, sessions without a contact do not count.
+        many(F.when(F.col("contact").isNotNull() & F.col("session_id").isNotNull(), F.xxhash64("contact", "session_id")))
+        .alias("conversations") if sketched else F.countDistinct("contact", "session_id").alias("conversations"),
         total("words", "words"),
         total("chars", "characters"),
         total("media", "media_messages"),
@@ -83,7 +90,11 @@ def message_macro_stats(messages: DataFrame, by: Sequence[str] = ()) -> DataFram
         F.min("date").alias("first_day"),
         F.max("date").alias("last_day"),
     )
-    medians = _reply_medians(_reply_counts(messages, by), by)
+    if sketched:
+        sides = {"my_median_seconds": (0.5, is_reply() & sent()), "their_median_seconds": (0.5, is_reply() & received())}
+        medians = sketched_quantiles(messages, F.col("reply_delay_seconds"), sides, by=by)
+    else:
+        medians = _reply_medians(_reply_counts(messages, by), by)
     return with_group_row(counts, medians, by, "left")
 
 

@@ -12,6 +12,7 @@ from daytrail.functions.numbers import count_where, half_up, hours, minutes, per
 from daytrail.operators.artists import keep_leaders
 from daytrail.plans.filters import DateRange, require
 from daytrail.plans.ranking import exact_quantiles, small, top_k, with_group_row
+from daytrail.plans.sketches import sketched_quantiles
 
 
 def top_tracks(
@@ -121,7 +122,7 @@ def track_months(
     )
 
 
-def track_lengths(plays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def track_lengths(plays: DataFrame, by: Sequence[str] = (), sketched: bool = False) -> DataFrame:
     """The length a full play of each track is assumed to have.
 
     The 85th percentile of completed plays when there are three, else the 95th of all
@@ -132,7 +133,7 @@ def track_lengths(plays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.col("skipped"), F.lit(False)
     )
     keys = [*by, "track_uri"]
-    quantiles = exact_quantiles(
+    quantiles = (sketched_quantiles if sketched else exact_quantiles)(
         plays, ms, {"_full85": (0.85, full), "_all95": (0.95, None)}, by=keys
     )
     stats = plays.groupBy(*keys).agg(
@@ -149,14 +150,17 @@ def track_lengths(plays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def listening_progress(
-    plays: DataFrame, dates_wanted: DateRange | None = None, by: Sequence[str] = ()
+    plays: DataFrame, dates_wanted: DateRange | None = None, by: Sequence[str] = (), sketched: bool = False
 ) -> DataFrame:
-    """How much of its track each play covered, between 0 and 1."""
+    """How much of its track each play covered, between 0 and 1.
+
+    ``sketched`` takes track lengths from sketches, within their error.
+    """
     base = require(plays, "timestamp", "track_uri", "ms_played", dates_wanted=dates_wanted).filter(
         F.col("ms_played") > 0
     )
     ms, ref = F.col("ms_played").cast("double"), F.col("ref_duration_ms")
-    return base.join(track_lengths(base, by), [*by, "track_uri"]).select(
+    return base.join(track_lengths(base, by, sketched), [*by, "track_uri"]).select(
         *by,
         F.col("timestamp").cast("date").alias("date"),
         F.when(ref <= 0, F.lit(0.0))
