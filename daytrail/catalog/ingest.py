@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from daytrail.catalog.movement import distance
 from daytrail.catalog.registry import VIEWS, messages_query, register
 from daytrail.functions import sphere, text
 from daytrail.operators import conversation
+from daytrail.session import new_folder
 from daytrail.sources import chats, files, history, timeline
 
 # --- streaming history -----------------------------------------------------------------
@@ -129,6 +131,37 @@ def history_entries(spark, sf_dir):
     )
 
 
+@register(
+    "big_history_entries",
+    """SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, CAST(FLOOR(value * 1000) AS BIGINT) AS ms_played,
+         'a]"},{"b' || event_id % 97 || '\\' AS master_metadata_track_name, event_id % 2 = 0 AS shuffle
+       FROM events""",
+)
+def big_history_entries(spark, sf_dir):
+    """Arrays on one line each, with brackets and escapes in their texts, read in blocks."""
+    def bracketed(batches):
+        opened = False
+        for batch in batches:
+            if len(batch):
+                marks = ["," if opened else "["] + [","] * (len(batch) - 1)
+                opened = True
+                yield pd.DataFrame({"value": pd.Series(marks) + batch["value"].reset_index(drop=True)})
+        yield pd.DataFrame({"value": ["]" if opened else "[]"]})
+
+    folder = new_folder(spark)
+    title = F.concat(F.lit('a]"},{"b'), (F.col("event_id") % 97).cast("string"), F.lit("\\"))
+    entry = F.to_json(F.struct(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), F.floor(F.col("value") * 1000).alias("ms_played"),
+        title.alias("master_metadata_track_name"), (F.col("event_id") % 2 == 0).alias("shuffle"),
+    ))
+    spark.read.parquet(f"{sf_dir}/events.parquet").select(entry.alias("value")).mapInPandas(bracketed, "value string").write.option(
+        "lineSep", " "
+    ).text(folder)
+    return history.read_big_history(spark, folder).select(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), "ms_played", "master_metadata_track_name", "shuffle"
+    )
+
+
 # --- timeline --------------------------------------------------------------------------
 
 

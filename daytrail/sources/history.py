@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from daytrail.functions import labels
 from daytrail.plans.ordered import ordered_pass, range_chunk
+from daytrail.sources import big_arrays
 from daytrail.sources.files import raw_fields, raw_items, read_contents, typed, with_owner
 
 # The field names of the export.
@@ -54,8 +55,12 @@ def entries_from_contents(contents: DataFrame, by: Sequence[str] = ()) -> DataFr
     A value of an odd type is read as far as it goes and is null else; an entry stays whatever its
     other values are. Only an entry without ``ts`` is none. A file that is no array gives nothing.
     """
-    entry = F.explode(raw_items(F.col("content"))).alias("_entry")
-    fields = contents.select(*by, F.element_at(F.split("path", "/"), -1).alias("source_file"), entry).select(
+    return _typed_entries(contents.select(*by, "path", F.explode(raw_items(F.col("content"))).alias("_entry")), by)
+
+
+def _typed_entries(entries: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Texts of entries (``by``, path, _entry) as columns."""
+    fields = entries.select(*by, F.element_at(F.split("path", "/"), -1).alias("source_file"), "_entry").select(
         *by, "source_file", raw_fields(F.col("_entry")).alias("_f")
     )
     values = [typed(F.col("_f")[x.name], x.dataType.simpleString()).alias(x.name) for x in RAW_SCHEMA]
@@ -73,6 +78,16 @@ def read_streaming_history(spark: SparkSession, paths: str | Sequence[str], owne
     return entries_from_contents(files, by).drop("source_file")
 
 
+def read_big_history(spark: SparkSession, paths: str | Sequence[str], owner: str | None = None, **options: object) -> DataFrame:
+    """As :func:`with_source_file`, for files too big for one task: each is read in blocks by many.
+
+    Hidden files are left out, and a file counts by its brackets (see :mod:`big_arrays`).
+    """
+    files, by = with_owner(big_arrays.array_entries(spark, paths, **options), owner)
+    entries = _typed_entries(files.withColumnRenamed("entry", "_entry"), by)
+    return entries.withColumn("ts", F.col("ts").try_cast("timestamp"))
+
+
 def with_source_file(spark: SparkSession, paths: str | Sequence[str], owner: str | None = None) -> DataFrame:
     """Entries tagged with the name of the file they came from."""
     files, by = with_owner(read_contents(spark, paths), owner)

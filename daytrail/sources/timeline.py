@@ -12,6 +12,7 @@ from daytrail.functions import sphere
 from daytrail.plans.ordered import ms_hour_chunk, ordered_pass, range_chunk
 from daytrail.plans.ranking import over
 from daytrail.session import cut_lineage
+from daytrail.sources import big_arrays
 from daytrail.sources.files import raw_fields, raw_items, read_contents, with_owner
 
 # The shape of a timeline entry.
@@ -42,8 +43,11 @@ def entries_from_contents(contents: DataFrame, by: Sequence[str] = ()) -> DataFr
     """
     content = F.col("content")
     inner = raw_fields(F.regexp_replace(content, "^\\x{FEFF}", ""))["semanticSegments"]
-    entry = F.explode(F.coalesce(raw_items(content), raw_items(inner))).alias("_entry")
-    fields = contents.select(*by, entry).select(*by, raw_fields(F.col("_entry")).alias("_f")).filter("_f IS NOT NULL")
+    return _typed_entries(contents.select(*by, F.explode(F.coalesce(raw_items(content), raw_items(inner))).alias("_entry")), by)
+
+
+def _typed_entries(entries: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    fields = entries.select(*by, raw_fields(F.col("_entry")).alias("_f")).filter("_f IS NOT NULL")
 
     def field(x: T.StructField) -> Column:
         raw = F.col("_f")[x.name]
@@ -58,6 +62,12 @@ def read_timeline(spark: SparkSession, paths: str | Sequence[str], owner: str |
     return entries_from_contents(files, by)
 
 
+def read_big_timeline(spark: SparkSession, paths: str | Sequence[str], owner: str | None = None, **options: object) -> DataFrame:
+    """As :func:`read_timeline`, for root arrays too big for one task: each is read in blocks by many."""
+    files, by = with_owner(big_arrays.array_entries(spark, paths, **options), owner)
+    return _typed_entries(files.withColumnRenamed("entry", "_entry"), by)
+
+
 def parse_geo(text: Column) -> Column:
     """``geo:lat,lon`` as a struct, null when malformed."""
     good = F.coalesce(text.rlike(GEO_TEXT), F.lit(False))
