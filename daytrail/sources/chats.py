@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from daytrail.functions import text as words
 from daytrail.operators.conversation import message_index
-from daytrail.plans.ranking import over, with_group_row
+from daytrail.plans.ranking import over, top_k, with_group_row
 from daytrail.sources import batches
 from daytrail.sources.files import raw_fields, raw_items, read_contents, read_lines, with_owner
 
@@ -164,6 +164,10 @@ def score_normalized(path: Column, head: Column) -> Column:
     ).otherwise(F.lit(0.0))
 
 
+#: Fixed value: so many lines of a text file tell whether it is a transcript.
+HEAD_LINES = 40
+
+
 def transcript_score(path: Column, headers: Column, lines: Column) -> Column:
     """Share of header lines, with a bonus for the usual names; 0 without a header."""
     name = file_name(path)
@@ -180,7 +184,7 @@ def transcript_score(path: Column, headers: Column, lines: Column) -> Column:
 
 def score_chat_text(path: Column, head: Column) -> Column:
     """:func:`transcript_score` of a text in one value."""
-    lines = F.split(F.regexp_replace(head, INVISIBLE, ""), r"\r?\n")
+    lines = F.slice(F.split(F.regexp_replace(head, INVISIBLE, ""), r"\r?\n"), 1, HEAD_LINES)
     return transcript_score(path, F.size(F.filter(lines, lambda line: line.rlike(HEADER))), F.size(lines))
 
 
@@ -566,9 +570,10 @@ def json_head(content: Column) -> Column:
 
 
 def transcript_head(lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(``by``, path, headers, lines) of each transcript; whole files count, no line is moved."""
+    """(``by``, path, headers, lines) of the first lines of each text file; only those are moved."""
     clean = F.regexp_replace("line", INVISIBLE, "")
-    return lines.groupBy(*by, "path").agg(
+    first = top_k(lines.filter("seq.block = 0"), HEAD_LINES, F.col("seq.pos"), by=[*by, "path"])
+    return first.groupBy(*by, "path").agg(
         F.count_if(clean.rlike(HEADER)).alias("headers"), F.count(F.lit(1)).alias("lines")
     )
 

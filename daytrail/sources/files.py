@@ -157,14 +157,24 @@ def raw_items(text: Column) -> Column:
 
 
 def raw_fields(text: Column) -> Column:
-    """The fields of a JSON object as a map of texts; null when the text is no object."""
-    return F.when(text.rlike(r"(?s)^\s*\{"), F.from_json(text, "map<string,string>"))
+    """The fields of a JSON object as a map of texts; null when the text is no object.
+
+    Of repeated names the last one counts.
+    """
+    fields = F.from_json(text, "map<string,string>")
+    names = F.map_keys(fields)
+    once = F.array_distinct(names)
+    last = lambda name: F.element_at(F.filter(F.map_entries(fields), lambda e: e["key"] == name), -1)["value"]
+    unique = F.when(F.size(names) == F.size(once), fields).otherwise(F.map_from_arrays(once, F.transform(once, last)))
+    return F.when(text.rlike(r"(?s)^\s*\{"), unique)
 
 
 def typed(raw: Column, kind: str) -> Column:
-    """A raw value as a type, null when it does not fit. Whole numbers may be written as 1000.0."""
+    """A raw value as a type, null when it does not fit. Whole numbers may be written as 1000.0; a
+    fraction is no whole number, so it is null."""
     if kind in ("bigint", "int"):
-        return raw.try_cast("double").try_cast(kind)
+        number = raw.try_cast("double")
+        return F.when(number == F.floor(number), number.try_cast(kind))
     return raw.try_cast(kind)
 
 
