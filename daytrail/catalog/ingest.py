@@ -6,11 +6,11 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from daytrail.catalog.movement import distance
-from daytrail.catalog.registry import VIEWS, messages_query, register
+from daytrail.catalog.registry import ORACLES, VIEWS, messages_query, register
 from daytrail.functions import sphere, text
 from daytrail.operators import conversation
 from daytrail.session import new_folder
-from daytrail.sources import chats, files, history, timeline
+from daytrail.sources import chats, files, history, places, timeline
 
 # --- streaming history -----------------------------------------------------------------
 
@@ -131,14 +131,8 @@ def history_entries(spark, sf_dir):
     )
 
 
-@register(
-    "big_history_entries",
-    """SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, CAST(FLOOR(value * 1000) AS BIGINT) AS ms_played,
-         'a]"},{"b' || event_id % 97 || '\\' AS master_metadata_track_name, event_id % 2 = 0 AS shuffle
-       FROM events""",
-)
-def big_history_entries(spark, sf_dir):
-    """Arrays on one line each, with brackets and escapes in their texts, read in blocks."""
+def write_arrays(texts, folder) -> None:
+    """Each partition of ``value`` texts as one JSON array on one line."""
     def bracketed(batches):
         opened = False
         for batch in batches:
@@ -148,15 +142,24 @@ def big_history_entries(spark, sf_dir):
                 yield pd.DataFrame({"value": pd.Series(marks) + batch["value"].reset_index(drop=True)})
         yield pd.DataFrame({"value": ["]" if opened else "[]"]})
 
+    texts.mapInPandas(bracketed, "value string").write.option("lineSep", " ").text(folder)
+
+
+@register(
+    "big_history_entries",
+    """SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, CAST(FLOOR(value * 1000) AS BIGINT) AS ms_played,
+         'a]"},{"b' || event_id % 97 || '\\' AS master_metadata_track_name, event_id % 2 = 0 AS shuffle
+       FROM events""",
+)
+def big_history_entries(spark, sf_dir):
+    """Arrays on one line each, with brackets and escapes in their texts, read in blocks."""
     folder = new_folder(spark)
     title = F.concat(F.lit('a]"},{"b'), (F.col("event_id") % 97).cast("string"), F.lit("\\"))
     entry = F.to_json(F.struct(
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), F.floor(F.col("value") * 1000).alias("ms_played"),
         title.alias("master_metadata_track_name"), (F.col("event_id") % 2 == 0).alias("shuffle"),
     ))
-    spark.read.parquet(f"{sf_dir}/events.parquet").select(entry.alias("value")).mapInPandas(bracketed, "value string").write.option(
-        "lineSep", " "
-    ).text(folder)
+    write_arrays(spark.read.parquet(f"{sf_dir}/events.parquet").select(entry.alias("value")), folder)
     return history.read_big_history(spark, folder).select(
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), "ms_played", "master_metadata_track_name", "shuffle"
     )
@@ -699,3 +702,58 @@ messages_query(
         ),
     ).select("msg_id"),
 )
+
+
+@register("stored_plays", f"SELECT DISTINCT * FROM ({ORACLES['plays_from_raw']})")
+def stored_plays(spark, sf_dir):
+    """The plays table as it is written and read again; a second import replaces it."""
+    folder = new_folder(spark)
+    for _ in (1, 2):
+        history.write_plays(history.plays_from_raw(raw_history(spark, sf_dir)), folder)
+    return spark.read.parquet(folder).drop("year")
+
+
+@register(
+    "loaded_cities",
+    """SELECT s_name AS name, 'N' || s_nationkey AS country_code, CAST(s_suppkey * 1000 AS INTEGER) AS population,
+         40 + s_suppkey / 8.0::DOUBLE AS lat, s_nationkey / 4.0::DOUBLE AS lon FROM supplier""",
+)
+def loaded_cities(spark, sf_dir):
+    """City files read back: suppliers as cities."""
+    folder, n = new_folder(spark), F.col("s_nationkey")
+    city = F.to_json(F.struct(
+        F.col("s_name").alias("name"), F.concat(F.lit("N"), n.cast("string")).alias("country_code"),
+        (F.col("s_suppkey") * 1000).alias("population"), (40 + F.col("s_suppkey") / 8).alias("lat"), (n / 4).alias("lon"),
+    ))
+    write_arrays(spark.read.parquet(f"{sf_dir}/supplier.parquet").select(city.alias("value")), folder)
+    return places.load_cities(spark, folder)
+
+
+@register(
+    "loaded_zones",
+    """SELECT 'region' AS level, 'N' || c_nationkey AS country_code, c_name AS region,
+         CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 2 END AS polygons, CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 2 END AS rings,
+         c_custkey::DOUBLE AS west FROM customer""",
+)
+def loaded_zones(spark, sf_dir):
+    """Zone features read back, one a line: customers as squares with a hole, or as two squares."""
+    folder, x = new_folder(spark), F.col("c_custkey")
+    ring = lambda at, side: F.concat(*[
+        part for i, (dx, dy) in enumerate(((0, 0), (side, 0), (side, side), (0, 0)))
+        for part in (F.lit("[" if i == 0 else ","), F.lit("["), (at + dx).cast("string"), F.lit(f",{dy}]"))
+    ], F.lit("]"))
+    hole = F.concat(F.lit("["), ring(x, 4), F.lit(","), ring(x + 1, 1), F.lit("]"))
+    two = F.concat(F.lit("[["), ring(x, 1), F.lit("],["), ring(x + 2, 1), F.lit("]]"))
+    even = x % 2 == 0
+    feature = F.concat(
+        F.lit('{"type":"Feature","properties":{"level":"region","country_code":"N'), F.col("c_nationkey").cast("string"),
+        F.lit('","region":'), F.get_json_object(F.to_json(F.struct(F.to_json(F.array("c_name")).alias("n"))), "$.n").substr(F.lit(2), F.length("c_name") + 2),
+        F.lit('},"geometry":{"type":'), F.when(even, F.lit('"Polygon"')).otherwise(F.lit('"MultiPolygon"')),
+        F.lit(',"coordinates":'), F.when(even, hole).otherwise(two), F.lit("}}"),
+    )
+    spark.read.parquet(f"{sf_dir}/customer.parquet").select(feature.alias("value")).write.text(folder)
+    zones = places.load_zones(spark, folder, multi_line=False)
+    return zones.select(
+        "level", "country_code", "region", F.size("outer").alias("polygons"), F.size("rings").alias("rings"),
+        F.col("rings")[0][0]["x"].alias("west"),
+    )
