@@ -170,11 +170,10 @@ def raw_fields(text: Column) -> Column:
 
 
 def typed(raw: Column, kind: str) -> Column:
-    """A raw value as a type, null when it does not fit. Whole numbers may be written as 1000.0; a
-    fraction is no whole number, so it is null."""
+    """A raw value as a type, null when it does not fit. Whole numbers may be written as 1000.0, and
+    of a number with a fraction the whole part is taken."""
     if kind in ("bigint", "int"):
-        number = raw.try_cast("double")
-        return F.when(number == F.floor(number), number.try_cast(kind))
+        return raw.try_cast("double").try_cast(kind)
     return raw.try_cast(kind)
 
 

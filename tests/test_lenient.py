@@ -11,7 +11,7 @@ def test_the_last_of_repeated_names_counts(spark):
     assert tuple(got)[:2] == ("2", "x") and got["b"]
     assert spark.range(1).select(files.raw_fields(F.lit("[1]")).alias("m")).first()["m"] is None
     rows = spark.createDataFrame([("f.json", '[{"ts": "2024-01-01T00:00:00Z", "ms_played": 9.5}, {"ts": "t", "ms_played": 1000.0, "ms_played": 7.0}]')], "path string, content string")
-    assert [r["ms_played"] for r in history.entries_from_contents(rows).orderBy("ts").collect()] == [None, 7]
+    assert [r["ms_played"] for r in history.entries_from_contents(rows).orderBy("ts").collect()] == [9, 7]
 
 
 def test_prose_with_a_header_far_down_is_no_transcript(spark, tmp_path):
