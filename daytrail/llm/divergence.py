@@ -40,7 +40,7 @@ LEAST_DOCS = 30
 TOP_TERMS = 50
 FIRST = 4
 FILTER_BITS = 1 << 23
-CELLS = 1 << 18
+CELLS = 1 << 14
 
 _NOT_LETTER = np.ones(256, bool)
 _NOT_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
