@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from daytrail.functions import sphere
 from daytrail.operators import covering
-from daytrail.plans.ranking import over
+from daytrail.plans.ranking import large, over
 from daytrail.session import cut_lineage
 
 # Fixed values.
@@ -223,8 +223,10 @@ def nearest_site(
     be is final. What is left descends a grid, from 72 cells of 30 degrees to one-degree cells
     to sites. On each level a cell's centre and radius bound the distance of its sites from
     below, any one of them from above; only cells that can hold the answer are opened. All
-    joins are on cells, and no level pairs a point with more than a fixed number of them.
+    joins are on cells, and no level pairs a point with more than a fixed number of them. With
+    ``by`` either side grows with its keys, so neither is broadcast.
     """
+    grown = large if by else lambda df: df
     fine = _grid(F.col("lat"), F.col("lon"), FINE_CELL_DEG)
     columns = int(round(360 / FINE_CELL_DEG))
     spread = F.array(F.lit(-1), F.lit(0), F.lit(1))
@@ -242,14 +244,14 @@ def nearest_site(
     distance = sphere.haversine_m(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon"))
     best = F.min(F.struct(F.col("m"), F.col("site_id")))
     close = (
-        around.join(located, [*by, "gx", "gy"])
+        around.join(grown(located), [*by, "gx", "gy"])
         .withColumn("m", distance)
         .groupBy(*by, query_key)
         .agg(best.alias("b"))
     )
     # A row per query; read by both branches below.
     first = cut_lineage(
-        queries.join(close, [*by, query_key], "left").select(*by, query_key, "lat", "lon", "b")
+        queries.join(grown(close), [*by, query_key], "left").select(*by, query_key, "lat", "lon", "b")
     )
     clear = F.col("b.m") < sphere.meridian_clearance_m(F.col("lat"), FINE_CELL_DEG)
     done = first.filter(F.coalesce(clear, F.lit(False))).select(*by, query_key, "b.site_id", "b.m")
@@ -264,13 +266,13 @@ def nearest_site(
     )
     wide_ids = F.sequence(F.lit(0), F.lit(int(180 / WIDE_CELL_DEG * 360 / WIDE_CELL_DEG) - 1))
     asked = open_.withColumn("wide", F.explode(wide_ids))
-    wide = _promising(asked.join(_cell_summary(placed, [*by, "wide"]), [*by, "wide"]), [*by, query_key])
+    wide = _promising(asked.join(grown(_cell_summary(placed, [*by, "wide"])), [*by, "wide"]), [*by, query_key])
     asked = wide.select(*by, query_key, "lat", "lon", "m0", "wide")
     summary = _cell_summary(placed, [*by, "wide", "coarse"])
-    near = _promising(asked.join(summary, [*by, "wide"]), [*by, query_key])
+    near = _promising(asked.join(grown(summary), [*by, "wide"]), [*by, query_key])
     far = (
         near.select(*by, query_key, "lat", "lon", "coarse")
-        .join(placed.drop("wide"), [*by, "coarse"])
+        .join(grown(placed.drop("wide")), [*by, "coarse"])
         .withColumn("m", distance)
         .groupBy(*by, query_key)
         .agg(best.alias("b"))

@@ -11,7 +11,7 @@ from daytrail.functions import dates, labels, sphere
 from daytrail.functions.numbers import count_where, sum_where
 from daytrail.operators.attribution import nearest_site
 from daytrail.plans.ordered import ms_hour_chunk
-from daytrail.plans.ranking import exact_quantiles, over, small, top_k, with_group_row
+from daytrail.plans.ranking import exact_quantiles, large, over, small, top_k, with_group_row
 from daytrail.session import cut_lineage
 
 # Fixed values.
@@ -216,7 +216,7 @@ def day_summaries(segs: DataFrame, starts: DataFrame, by: Sequence[str] = ()) ->
     a later hour. So a day takes one shuffle, and no task holds more than an hour's samples.
     """
     ends = starts if "next_lat" in starts.columns else _with_next(starts, by)
-    ends = ends.select(*by, "day", "start_lat", "start_lon", "next_lat", "next_lon")
+    ends = _per_key(ends.select(*by, "day", "start_lat", "start_lon", "next_lat", "next_lon"), by)
     lasting = F.col("still") & (F.col("end_ms") > F.col("start_ms"))
     points = F.array(
         F.struct(F.col("start_ms").alias("t"), F.lit(0).alias("part")),
@@ -314,6 +314,11 @@ def novel_days(segs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def _per_key(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows per day, or place, of each key: without keys there are as many as the calendar has."""
+    return large(df) if by else df
+
+
 def days(segments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The per-day table, empty days included."""
     segs = day_segments(segments, by)
@@ -328,7 +333,7 @@ def days(segments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     sites = places.select(*by, F.col("place_id").alias("site_id"), "lat", "lon")
     snapped = nearest_site(queries, sites, "day", by).withColumnRenamed("site_id", "place_id")
     named = snapped.join(
-        places.select(*by, "place_id", "semantic_type", "city", "country"), [*by, "place_id"]
+        _per_key(places.select(*by, "place_id", "semantic_type", "city", "country"), by), [*by, "place_id"]
     ).select(
         *key,
         F.col("place_id").alias("start_place_id"),
@@ -338,10 +343,11 @@ def days(segments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         (F.col("m") / 1000.0).alias("start_place_km"),
     )
     novel = novel_days(segs, by).withColumn("discovered_new", F.lit(True))
+    summaries = day_summaries(segs, starts, by).select(*key, *_totals(), *_outing())
     wide = (
-        begun.join(named, key, "left")
-        .join(day_summaries(segs, starts, by).select(*key, *_totals(), *_outing()), key, "left")
-        .join(novel, key, "left")
+        begun.join(_per_key(named, by), key, "left")
+        .join(_per_key(summaries, by), key, "left")
+        .join(_per_key(novel, by), key, "left")
     )
     zero = F.lit(0.0)
     return wide.select(

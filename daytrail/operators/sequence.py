@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from daytrail.functions import dates
 from daytrail.plans.ordered import ordered_pass
-from daytrail.plans.ranking import over, top_k
+from daytrail.plans.ranking import large, over, top_k
 
 # Fixed values.
 RACE_TOP = 15
@@ -156,7 +156,7 @@ def day_keyframes(rows: DataFrame, days: DataFrame, by: Sequence[str] = ()) -> D
     key = [*by, "day"]
     seeds = days.select(*key, "start_lat", "start_lon")
     # Whether the day exists and where it starts come from one join.
-    located = rows.withColumn("day", dates.logical_day_from_ms(F.col("start_ms"))).join(seeds, key)
+    located = rows.withColumn("day", dates.logical_day_from_ms(F.col("start_ms"))).join(large(seeds) if by else seeds, key)
     anchor = dates.anchor_ms(F.col("day"))
 
     def clock(ms: Column) -> Column:
