@@ -7,7 +7,7 @@ not accept, so event time is cast to TIMESTAMP under a UTC session.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +21,8 @@ from daytrail.sources.chats import NATURAL_KEY, append_messages
 WEEK = "7 days"
 MONDAY = "4 days"
 SESSION_GAP = "6 hours"
+# After all that a stream can hold; the row that ends a stream has this time.
+END = "9999-01-01"
 
 
 def stream_append_messages(
@@ -191,6 +193,25 @@ def run_available(writer: DataStreamWriter, timeout_s: float | None = None) -> N
         raise TimeoutError(f"the stream was not done after {timeout_s} seconds")
 
 
+def run_to_end(make: Callable[[DataFrame], DataFrame], incoming: DataFrame, folder: str, time: str = "timestamp") -> None:
+    """Appends all that ``make`` gives for a stream that has ended, what its watermark holds back included.
+
+    First everything that is there is processed. Then a row of nulls at :data:`END` moves the watermark
+    past all others, which closes their sessions and windows; its own is never closed. Nothing can
+    follow it, so the folder and its checkpoint are for this one run.
+    """
+    spark, ends = incoming.sparkSession, f"{folder}/end"
+    last = spark.range(1).select(
+        *[F.lit(END if f.name == time else None).cast(f.dataType).alias(f.name) for f in incoming.schema]
+    )
+    last.limit(0).write.parquet(ends)
+    for ended in (False, True):
+        if ended:
+            last.write.mode("append").parquet(ends)
+        both = incoming.unionByName(spark.readStream.schema(last.schema).parquet(ends))
+        run_available(append_to_folder(make(both), folder))
+
+
 def read_message_stream(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """A stream over a folder of Parquet files with the schema of ``like``."""
     return spark.readStream.schema(like.schema).parquet(path)

@@ -91,3 +91,28 @@ def test_sessions_close_once_and_leave_the_state(spark, tmp_path):
     # No message in the data is exactly six hours after another of its thread.
     assert sorted((r["thread"], naive(r["session_start"]), naive(r["last_message"]), r["messages"]) for r in got) == closed
     assert len(closed) > 20 and max(held) <= len(sessions) - len(closed) + 3
+
+
+def test_an_ended_stream_gives_its_open_sessions_and_weeks(spark, tmp_path):
+    data, _ = lots()
+    source, every = str(tmp_path / "in"), [r for lot in data for r in lot]
+    for rows in data:
+        land(spark, rows, source)
+    like = spark.createDataFrame([], MESSAGE)
+    stream = spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    talk = conversation_columns(spark.createDataFrame(every, MESSAGE)).collect()
+    sessions, weeks = {}, {}
+    for r in talk:
+        at = r["timestamp"]
+        sessions.setdefault((r["thread"], r["session_id"]), []).append(at)
+        monday = at.date() - dt.timedelta(days=at.weekday())
+        weeks[monday] = weeks.get(monday, 0) + 1
+    naive = lambda t: t.replace(tzinfo=None)
+    jobs.run_to_end(jobs.stream_sessions, stream, str(tmp_path / "sessions"))
+    got = spark.read.parquet(str(tmp_path / "sessions/out")).collect()
+    assert sorted((r["thread"], naive(r["session_start"]), naive(r["last_message"]), r["messages"]) for r in got) == sorted(
+        (t, min(at), max(at), len(at)) for (t, _), at in sessions.items()
+    )
+    jobs.run_to_end(jobs.stream_weekly_volume, stream, str(tmp_path / "weeks"))
+    got = spark.read.parquet(str(tmp_path / "weeks/out")).collect()
+    assert sorted((r["week_start"], r["plays"]) for r in got) == sorted(weeks.items())
