@@ -33,6 +33,8 @@ PICTOGRAPHIC = (
     r"\x{1F8AE}-\x{1F8FF}\x{1F90C}-\x{1F93A}\x{1F93C}-\x{1F945}\x{1F947}-\x{1FAFF}"
     r"\x{1FC00}-\x{1FFFD}]"
 )
+# Few ranges that hold all of these.
+PICTOGRAPHIC_HULL = r"\x{A9}\x{AE}\x{203C}-\x{3299}\x{1F000}-\x{1FFFD}"
 
 
 def fix_mojibake(text: Column) -> Column:
@@ -59,9 +61,11 @@ def utf16_length(text: Column) -> Column:
 
 
 def count_words(text: Column) -> Column:
-    # "+\S" runs count words without building an array.
-    return F.regexp_count(text, F.lit(r"[^\s\x{A0}\x{FEFF}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1680}]+"))
+    # Plain characters are told by the first range, before all kinds of space are tried.
+    space = r"\s\x{A0}\x{FEFF}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1680}"
+    return F.regexp_count(text, F.lit(rf"[\x{{21}}-\x{{7E}}[^{space}]]+"))
 
 
 def count_emoji(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(PICTOGRAPHIC))
+    # Most characters lie outside the hull and need not be tried against every range.
+    return F.regexp_count(text, F.lit(f"[{PICTOGRAPHIC_HULL}&&{PICTOGRAPHIC}]"))
