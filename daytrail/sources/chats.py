@@ -166,17 +166,18 @@ def score_normalized(path: Column, head: Column) -> Column:
 
 #: Fixed value: so many lines of a text file tell whether it is a transcript.
 HEAD_LINES = 40
+#: Names under which transcripts are exported.
+CHAT_NAMES = (r"(?i)^_?chat\.txt$", r"(?i)^WhatsApp Chat")
 
 
 def transcript_score(path: Column, headers: Column, lines: Column) -> Column:
     """Share of header lines, with a bonus for the usual names; 0 without a header."""
-    name = file_name(path)
     bonus = F.lit(NAME_ADD)
     score = (
         F.lit(TRANSCRIPT_SCORE)
         + F.least(F.lit(HEADERS_MOST), headers / F.greatest(F.lit(1), lines) * HEADERS_ADD)
-        + F.when(name.rlike(r"(?i)^_?chat\.txt$"), bonus).otherwise(F.lit(0.0))
-        + F.when(name.rlike(r"(?i)^WhatsApp Chat"), bonus).otherwise(F.lit(0.0))
+        + F.when(file_name(path).rlike(CHAT_NAMES[0]), bonus).otherwise(F.lit(0.0))
+        + F.when(file_name(path).rlike(CHAT_NAMES[1]), bonus).otherwise(F.lit(0.0))
     )
     readable = path.rlike(r"(?i)\.txt$") & (headers > 0)
     return F.when(readable, F.least(F.lit(1.0), score)).otherwise(F.lit(0.0))
@@ -570,12 +571,19 @@ def json_head(content: Column) -> Column:
 
 
 def transcript_head(lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(``by``, path, headers, lines) of the first lines of each text file; only those are moved."""
-    clean = F.regexp_replace("line", INVISIBLE, "")
-    first = top_k(lines.filter("seq.block = 0"), HEAD_LINES, F.col("seq.pos"), by=[*by, "path"])
-    return first.groupBy(*by, "path").agg(
-        F.count_if(clean.rlike(HEADER)).alias("headers"), F.count(F.lit(1)).alias("lines")
-    )
+    """(``by``, path, headers, lines) of the first lines of each text file; only those are moved.
+
+    Where the name is a transcript's, a header further down counts as one among them.
+    """
+    is_header = F.regexp_replace("line", INVISIBLE, "").rlike(HEADER)
+    key = [*by, "path"]
+    first = top_k(lines.filter("seq.block = 0"), HEAD_LINES, F.col("seq.pos"), by=key)
+    heads = first.groupBy(*key).agg(F.count_if(is_header).alias("headers"), F.count(F.lit(1)).alias("lines"))
+    name = file_name(F.col("path"))
+    named = lines.filter(name.rlike(CHAT_NAMES[0]) | name.rlike(CHAT_NAMES[1]))
+    anywhere = named.groupBy("path").agg(F.max(is_header.cast("long")).alias("_any"))
+    headers = F.greatest(F.col("headers"), F.coalesce("_any", F.lit(0)))
+    return heads.join(anywhere, "path", "left").select(*key, headers.alias("headers"), "lines")
 
 
 def read_messages(
