@@ -87,12 +87,17 @@ GAP_COLUMNS = "gap_seconds double, reply_delay_seconds double, is_double_text bo
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Fixed value: threads share so many keyed states. A call for a state costs far more than a row in it,
+#: so many short threads cost no more calls than this, and a state holds a small share of the rows.
+GAP_BUCKETS = 4096
+
+
 class MessageGaps(StatefulProcessor):
     """The columns that a message gets from the one before it in its thread.
 
-    Messages wait in the state until the watermark says that none can come before them; a timer at
-    the earliest of them then hands them out in order. Of those handed out only the last one stays,
-    so a thread keeps one message and those of the last ``delay``.
+    A key is a bucket of threads. Messages wait in the state until the watermark says that none can come
+    before them; a timer at the earliest of them then hands them out in order. Of those handed out only
+    the last one of each thread stays, so a thread keeps one message and those of the last ``delay``.
     """
 
     def __init__(self, keys: Sequence[str]):
@@ -100,49 +105,57 @@ class MessageGaps(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._waiting = handle.getListState("waiting", "us bigint, id bigint, sender string")
-        self._last = handle.getValueState("last", "us bigint, id bigint, sender string")
+        schema = "".join(f"`{k}` string, " for k in self._keys) + "us bigint, id bigint, sender string"
+        self._waiting = handle.getListState("waiting", schema)
+        self._last = handle.getListState("last", schema)
 
-    def _wait(self, rows: list[tuple]) -> None:
-        if rows:
-            self._waiting.put(rows)
-            self._handle.registerTimer(min(r[0] for r in rows) // 1000)
-        else:
-            self._waiting.clear()
+    def _last_of_each(self) -> dict[tuple, tuple]:
+        n = len(self._keys)
+        return {r[:n]: r[n:] for r in map(tuple, self._last.get())} if self._last.exists() else {}
+
+    def _due_at(self, rows: list[tuple]) -> None:
+        self._handle.registerTimer(min(r[-3] for r in rows) // 1000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        waiting = [tuple(r) for r in self._waiting.get()] if self._waiting.exists() else []
-        due = tuple(self._last.get())[:2] if self._last.exists() else None
+        n, due, fresh = len(self._keys), self._last_of_each(), []
         for part in rows:
-            for us, msg_id, sender in zip(part["us"], part["msg_id"], part["sender"], strict=True):
-                row = (int(us), int(msg_id), sender)
-                if due is None or row[:2] > due:  # what is earlier came too late
-                    waiting.append(row)
-        self._wait(waiting)
+            threads = zip(*(part[k] for k in self._keys), strict=True)
+            for thread, us, msg_id, sender in zip(threads, part["us"], part["msg_id"], part["sender"], strict=True):
+                row = (*thread, int(us), int(msg_id), sender)
+                if thread not in due or row[n:-1] > due[thread][:2]:  # what is earlier came too late
+                    fresh.append(row)
+        if fresh:
+            self._waiting.appendList(fresh)
+            self._due_at(fresh)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        mark = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(tuple(r) for r in self._waiting.get()) if self._waiting.exists() else []
-        last = tuple(self._last.get()) if self._last.exists() else None
-        out, kept = [], []
-        for us, msg_id, sender in waiting:
-            if us // 1000 > mark:
-                kept.append((us, msg_id, sender))
-                continue
+        mark, n = timerValues.getCurrentWatermarkInMs(), len(self._keys)
+        ready, kept, out = [], [], []
+        for row in map(tuple, self._waiting.get()) if self._waiting.exists() else ():
+            (kept if row[-3] // 1000 > mark else ready).append(row)
+        if not ready:
+            return
+        ready.sort(key=lambda r: (*r[n:-1], r[-1] is not None, r[-1] or ""))
+        lasts = self._last_of_each()
+        for row in ready:
+            thread, (us, msg_id, sender) = row[:n], row[n:]
+            last = lasts.get(thread)
             gap = None if last is None else (us - last[0]) / 1_000_000
             same = last is not None and sender == last[2]
             out.append((
-                *key, us, msg_id, sender, gap, gap if last is not None and not same else None,
+                *row, gap, gap if last is not None and not same else None,
                 same and gap > DOUBLE_TEXT_AFTER_S, gap is None or gap > SESSION_GAP_S,
             ))
-            last = (us, msg_id, sender)
-        if out:
-            self._last.update(last)
-        self._wait(kept)
+            lasts[thread] = (us, msg_id, sender)
+        self._last.put([(*thread, *last) for thread, last in lasts.items()])
+        if kept:
+            self._waiting.put(kept)
+            self._due_at(kept)
+        else:
+            self._waiting.clear()
         columns = [*self._keys, "us", "msg_id", "sender", "gap_seconds", "reply_delay_seconds", "is_double_text", "is_session_start"]
-        frame = pd.DataFrame(out, columns=columns).astype({"gap_seconds": "float64", "reply_delay_seconds": "float64"})
-        yield frame
+        yield pd.DataFrame(out, columns=columns).astype({"gap_seconds": "float64", "reply_delay_seconds": "float64"})
 
     def close(self) -> None:
         pass
@@ -156,19 +169,21 @@ def stream_message_gaps(incoming: DataFrame, delay: str = "1 hour", keys: Sequen
     :data:`STATE_STORE` names.
     """
     timed = incoming.withColumn("event_time", F.col("timestamp").cast("timestamp"))
+    # Keys travel as text: pandas has no missing number but NaN.
     slim = timed.withWatermark("event_time", delay).select(
-        *keys, "event_time", F.unix_micros("event_time").alias("us"), F.col("msg_id").cast("long").alias("msg_id"), "sender"
+        F.pmod(F.xxhash64(*keys), F.lit(GAP_BUCKETS)).alias("_bucket"), *[F.col(k).cast("string").alias(k) for k in keys],
+        "event_time", F.unix_micros("event_time").alias("us"), F.col("msg_id").cast("long").alias("msg_id"), "sender"
     )
-    kinds = ", ".join(f"`{k}` {incoming.schema[k].dataType.simpleString()}" for k in keys)
-    out = slim.groupBy(*keys).transformWithStateInPandas(
+    kinds = ", ".join(f"`{k}` string" for k in keys)
+    out = slim.groupBy("_bucket").transformWithStateInPandas(
         statefulProcessor=MessageGaps(keys),
         outputStructType=f"{kinds}, us bigint, msg_id bigint, sender string, {GAP_COLUMNS}",
         outputMode="Append",
         timeMode="EventTime",
     )
-    # pandas has no missing number but NaN.
+    typed = {k: F.col(k).cast(incoming.schema[k].dataType) for k in keys}
     missing = {c: F.when(~F.isnan(c), F.col(c)) for c in ("gap_seconds", "reply_delay_seconds")}
-    return out.withColumns(missing).withColumn("timestamp", F.timestamp_micros("us").cast("timestamp_ntz")).drop("us")
+    return out.withColumns(typed | missing).withColumn("timestamp", F.timestamp_micros("us").cast("timestamp_ntz")).drop("us")
 
 
 def append_to_folder(stream: DataFrame, folder: str) -> DataStreamWriter:

@@ -116,3 +116,28 @@ def test_an_ended_stream_gives_its_open_sessions_and_weeks(spark, tmp_path):
     jobs.run_to_end(jobs.stream_weekly_volume, stream, str(tmp_path / "weeks"))
     got = spark.read.parquet(str(tmp_path / "weeks/out")).collect()
     assert sorted((r["week_start"], r["plays"]) for r in got) == sorted(weeks.items())
+
+
+def test_many_short_threads_share_few_states(spark, tmp_path, state_store, monkeypatch):
+    """A state holds a bucket of threads, each with its own last message; keys may be numbers or null."""
+    monkeypatch.setattr(jobs, "GAP_BUCKETS", 2)
+    kind = "owner long, thread string, msg_id long, timestamp timestamp_ntz, sender string"
+    rng, source, folder = random.Random(4), str(tmp_path / "in"), str(tmp_path / "work")
+    every = []
+    for lot in range(2):
+        at = [START + dt.timedelta(days=lot, minutes=rng.randrange(1200)) for _ in range(120)]
+        owners = [1, 2, 2**60 + 1, None]
+        rows = [(owners[i % 4], "abcde"[i % 5], 1000 * lot + i, t, rng.choice("xy")) for i, t in enumerate(at)]
+        every += rows
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(spark.createDataFrame([], kind).schema).parquet(source)
+        jobs.run_available(jobs.append_to_folder(jobs.stream_message_gaps(stream, keys=["owner", "thread"]), folder), 240)
+    mark = max(r[3] for r in every) - dt.timedelta(hours=1)
+    want, last = [], {}
+    for owner, thread, msg_id, at, sender in sorted(every, key=lambda r: (r[3], r[2])):
+        before = last.get((owner, thread))
+        if at <= mark:
+            want.append((owner, thread, msg_id, sender, (at - before).total_seconds() if before else None))
+        last[owner, thread] = at
+    got = spark.read.parquet(f"{folder}/out").select("owner", "thread", "msg_id", "sender", "gap_seconds").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
