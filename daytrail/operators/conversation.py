@@ -21,6 +21,7 @@ def conversation_columns(
     messages: DataFrame,
     thread_keys: Sequence[str] = ("thread",),
     order: Sequence[Column] | None = None,
+    start: str | None = None,
 ) -> DataFrame:
     """Adds gap, reply delay, double text and session columns along each thread.
 
@@ -28,7 +29,8 @@ def conversation_columns(
     chunks by a table with one row per thread and hour. That row holds the chunk's first and
     last message and how many sessions open inside it, so one pass yields both the neighbour
     of a chunk's first message and the running session number. ``order`` must be total within
-    a thread; it defaults to ``timestamp`` and ``msg_id``.
+    a thread; it defaults to ``timestamp`` and ``msg_id``. ``start`` names one more column: when the
+    message's session starts, in microseconds.
     """
     order = list(order or [F.col("timestamp"), F.col("msg_id")])
     cut = [*thread_keys, "_chunk"]
@@ -50,6 +52,15 @@ def conversation_columns(
 
     place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
     across = over(thread_keys, F.col("_chunk"))
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    # Instants grow along a thread, so the last opener is the greatest. Heads are told between chunks.
+    opener = F.when(F.col("_prev_us").isNotNull() & (F.col("_opens") == 1), F.col("_us"))
+    opened, carried = [], []
+    if start:
+        inside = inside.withColumn("_open_us", F.max(opener).over(local.rowsBetween(Window.unboundedPreceding, 0)))
+        opened = [F.max("_open_us").alias("_last_open")]
+        newest = F.coalesce("_last_open", F.when(F.col("_fresh"), F.col("_first_us")))
+        carried = [F.when(F.col("_fresh"), F.col("_first_us")).otherwise(F.max(newest).over(earlier)).alias("_base_open")]
     chunks = (
         inside.groupBy(*cut)
         .agg(
@@ -57,6 +68,7 @@ def conversation_columns(
             F.max("_us").alias("_last_us"),
             F.max_by("sender", place).alias("_last_sender"),
             F.sum("_opens").alias("_sessions"),
+            *opened,
         )
         .withColumns(
             {
@@ -68,9 +80,9 @@ def conversation_columns(
         .withColumn("_own", F.col("_sessions") - F.when(F.col("_fresh"), 0).otherwise(1))
         .withColumn(
             "_base",
-            F.coalesce(F.sum("_own").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+            F.coalesce(F.sum("_own").over(earlier), F.lit(0)),
         )
-        .select(*cut, "_from_us", "_from_sender", "_fresh", "_base")
+        .select(*cut, "_from_us", "_from_sender", "_fresh", "_base", *carried)
     )
     joined = inside.join(chunks, cut, "left")
     head = F.col("_prev_us").isNull()
@@ -88,6 +100,7 @@ def conversation_columns(
         F.coalesce(same & (gap > DOUBLE_TEXT_AFTER_S), F.lit(False)).alias("is_double_text"),
         starts.alias("is_session_start"),
         number.alias("session_id"),
+        *([F.coalesce("_open_us", "_base_open").alias(start)] if start else []),
     )
 
 

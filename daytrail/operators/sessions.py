@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from daytrail.functions import dates
 from daytrail.operators.conversation import SESSION_GAP_S, conversation_columns
-from daytrail.plans.ranking import over
+from daytrail.plans.ranking import large, over
 from daytrail.session import cut_lineage
 
 COLUMNS = ("gap_seconds", "reply_delay_seconds", "is_double_text", "is_session_start", "session_id")
@@ -33,9 +33,9 @@ def _month(us: Column) -> Column:
 
 def with_session_start(messages: DataFrame, keys: Sequence[str], id: str = "msg_id") -> DataFrame:
     """Session columns, and ``session_us``: when the session of a message starts."""
-    talk = conversation_columns(messages, keys, [F.col("timestamp"), F.col(id)])
-    starts = talk.filter("is_session_start").select(*keys, "session_id", dates.epoch_micros(F.col("timestamp")).alias("session_us"))
-    return talk.join(starts, [*keys, "session_id"])
+    talk = conversation_columns(messages, keys, [F.col("timestamp"), F.col(id)], "session_us")
+    # Messages without a time or a thread are in no session.
+    return talk.filter(F.col("session_id").isNotNull())
 
 
 def session_table(rows: DataFrame, keys: Sequence[str], id: str = "msg_id") -> DataFrame:
@@ -66,7 +66,7 @@ def stored_sessions(spark: SparkSession, path: str, keys: Sequence[str] = ("thre
     # A thread has four sessions a day at most.
     number = F.row_number().over(over(keys, F.col("session_us"))).cast("long")
     numbered = sessions.select(*keys, "session_us", number.alias("session_id"))
-    return rows.join(numbered, [*keys, "session_us"]).drop("session_us")
+    return rows.join(large(numbered), [*keys, "session_us"]).drop("session_us")
 
 
 def affected(sessions: DataFrame, late: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -112,12 +112,12 @@ def add_late_messages(
     columns = [c for c in rows.columns if c not in (*COLUMNS, "session_us", "month")]
     months = _months(late, us)
     stored = rows.filter(F.col("month").isin(months)).select(*keys, id)
-    fresh = cut_lineage(late.select(*columns).dropDuplicates([*keys, id]).join(stored, [*keys, id], "left_anti"))
+    fresh = cut_lineage(late.select(*columns).dropDuplicates([*keys, id]).join(large(stored), [*keys, id], "left_anti"))
     if fresh.isEmpty():
         return
     own = session_table(with_session_start(fresh, keys, id), keys, id)
     met = cut_lineage(affected(sessions, own, keys))
-    again = met.filter("role = 'again'").select(*keys, "session_us")
+    again = large(met.filter("role = 'again'").select(*keys, "session_us"))
     months = sorted({*_months(met.filter("role = 'again'"), F.col("session_us"), F.col("end_us")), *_months(fresh, us)})
     here = rows.filter(F.col("month").isin(months))
     touched = here.join(again, [*keys, "session_us"], "left_semi").select(*columns)

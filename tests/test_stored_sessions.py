@@ -62,3 +62,19 @@ def test_only_touched_months_are_written(spark, tmp_path):
     sessions.add_late_messages(spark, path, spark.createDataFrame([], MESSAGE), KEYS)
     want = conversation_columns(spark.createDataFrame(data + late + other, MESSAGE), KEYS)
     assert state(sessions.stored_sessions(spark, path, KEYS)) == state(want)
+
+
+def test_session_starts_need_no_second_pass(spark):
+    df = spark.createDataFrame(
+        [*messages(), (1, 9001, "a", None, "x", "no time"), (1, 9002, None, dt.datetime(2024, 1, 20), "x", "no thread")], MESSAGE
+    )
+    got = sessions.with_session_start(df, KEYS)
+    # Hours are joined to their messages; nothing else is, and the pass is made once.
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    first = {}
+    rows = got.select("thread", "session_id", "is_session_start", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("us"), "session_us").collect()
+    for r in rows:
+        if r["is_session_start"]:
+            assert (r["thread"], r["session_id"]) not in first
+            first[r["thread"], r["session_id"]] = r["us"]
+    assert len(rows) == len(messages()) and all(r["session_us"] == first[r["thread"], r["session_id"]] for r in rows)
