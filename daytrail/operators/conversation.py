@@ -46,19 +46,18 @@ def conversation_columns(
 
     # A chunk's first message counts as an opener here; what it is follows between chunks.
     inside = inside.withColumn("_opens", opens(F.col("_prev_us"), F.col("_us")).cast("long"))
-    inside = inside.withColumn(
-        "_run", F.sum("_opens").over(local.rowsBetween(Window.unboundedPreceding, 0))
-    )
+    upto = local.rowsBetween(Window.unboundedPreceding, 0)
+    # Instants grow along a thread, so the last opener is the greatest. Heads are told between chunks.
+    opener = F.when(F.col("_prev_us").isNotNull() & (F.col("_opens") == 1), F.col("_us"))
+    running = {"_run": F.sum("_opens").over(upto)} | ({"_open_us": F.max(opener).over(upto)} if start else {})
+    inside = inside.withColumns(running)
 
     place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
     across = over(thread_keys, F.col("_chunk"))
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
-    # Instants grow along a thread, so the last opener is the greatest. Heads are told between chunks.
-    opener = F.when(F.col("_prev_us").isNotNull() & (F.col("_opens") == 1), F.col("_us"))
     opened, carried = [], []
     if start:
-        inside = inside.withColumn("_open_us", F.max(opener).over(local.rowsBetween(Window.unboundedPreceding, 0)))
-        opened = [F.max("_open_us").alias("_last_open")]
+        opened = [F.max(opener).alias("_last_open")]
         newest = F.coalesce("_last_open", F.when(F.col("_fresh"), F.col("_first_us")))
         carried = [F.when(F.col("_fresh"), F.col("_first_us")).otherwise(F.max(newest).over(earlier)).alias("_base_open")]
     chunks = (
