@@ -332,18 +332,22 @@ def days(segments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     queries = begun.select(*key, F.col("start_lat").alias("lat"), F.col("start_lon").alias("lon"))
     sites = places.select(*by, F.col("place_id").alias("site_id"), "lat", "lon")
     snapped = nearest_site(queries, sites, "day", by).withColumnRenamed("site_id", "place_id")
-    named = snapped.join(
-        _per_key(places.select(*by, "place_id", "semantic_type", "city", "country"), by), [*by, "place_id"]
-    ).select(
-        *key,
-        F.col("place_id").alias("start_place_id"),
-        F.col("semantic_type").alias("start_semantic_type"),
-        F.col("city").alias("start_city"),
-        F.col("country").alias("start_country"),
-        (F.col("m") / 1000.0).alias("start_place_km"),
-    )
-    novel = novel_days(segs, by).withColumn("discovered_new", F.lit(True))
-    summaries = day_summaries(segs, starts, by).select(*key, *_totals(), *_outing())
+    # Each part is a row per day and is written by a plan of its own: the driver keeps every
+    # version that adaptive execution makes of a plan, so one plan of all parts costs it the most.
+    named = cut_lineage(
+        snapped.join(
+            _per_key(places.select(*by, "place_id", "semantic_type", "city", "country"), by), [*by, "place_id"]
+        ).select(
+            *key,
+            F.col("place_id").alias("start_place_id"),
+            F.col("semantic_type").alias("start_semantic_type"),
+            F.col("city").alias("start_city"),
+            F.col("country").alias("start_country"),
+            (F.col("m") / 1000.0).alias("start_place_km"),
+        )
+    )
+    novel = cut_lineage(novel_days(segs, by).withColumn("discovered_new", F.lit(True)))
+    summaries = cut_lineage(day_summaries(segs, starts, by).select(*key, *_totals(), *_outing()))
     wide = (
         begun.join(_per_key(named, by), key, "left")
         .join(_per_key(summaries, by), key, "left")

@@ -7,6 +7,7 @@ import random
 import pytest
 
 from daytrail.operators import days
+from daytrail.plans import adapters
 
 HOUR = 3_600_000
 SEGMENT = (
@@ -131,3 +132,9 @@ def test_no_segments(spark):
     segs = days.day_segments(spark.createDataFrame([], SEGMENT), ["owner"])
     starts = days.start_positions(segs, ["owner"])
     assert starts.collect() == [] and days.day_summaries(segs, starts, ["owner"]).collect() == []
+
+
+def test_days_end_in_a_plan_of_few_shuffles(spark):
+    """The driver keeps every version of a plan: the parts of the table are written by plans of their own."""
+    table = days.days(adapters.segments(spark, "/root/testdata/sf0.001"), ["owner"])
+    assert table._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 8
