@@ -26,6 +26,13 @@ group are done, since they can tell nothing more about groups; when they are few
 of different groups that are left on a key are compared. No pair within a group is made, and none
 between groups is left out: the groups are those of the complete join.
 
+*Crowded keys.* Near copies just below the threshold share nearly all their rare shingles. A key of
+many sets is therefore split by what they differ in from its leader L: with A and B what x and y differ
+in from L, x and y differ in a + b - 2 |A & B|. Where x or y does not link with L, a + b alone is more
+than links allow, so A and B have shingles in common, as many as :func:`differences` derives from sizes, and meet
+under their first ones; where both link with L, they are one group. Shingles that are not in L
+come first: edits are rarely the same. What is still crowded is split again, by other leaders.
+
 Every comparison uses whole sets. Set numbers are 64-bit hashes.
 
 Defined cases: a text without words, or null, has an empty set and is linked with nothing; with
@@ -60,6 +67,10 @@ PAIRS_PER_KEY = 4
 LEADERS = 2
 #: A further round pays while one set of this many gets a link.
 ROUND_PAYS = 20
+#: A key with more pairs than this for each of its sets is split.
+CROWD = 16
+#: How often; keys that are crowded after that are joined as they are.
+SPLITS = 3
 
 
 @dataclass(frozen=True)
@@ -296,14 +307,116 @@ def true_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long")
 
 
+def differences(led: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """(lead, sid, n, root, role, token): what each set of ``led`` (lead, sid, n, root) differs in from its leader.
+
+    Role -1: it links with the leader (one row); 0: the first shingles under which such a set meets
+    those that don't; 1: of a set that doesn't, those under which it meets others that don't; 2: further
+    ones under which only those of role 0 find it.
+    """
+    share = (100 - rule.percent) / (100 + rule.percent)  # of both sizes, that linked sets may differ in
+
+    def at_least(common: float) -> int:
+        return max(1, int(np.ceil(common - 1e-9)))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = batch.column("left"), batch.column("right")
+            rows, roles, tokens = [], [], [np.zeros(0, np.uint64)]
+            for k in range(len(left)):
+                x, y = (np.frombuffer(side[k].as_buffer(), np.uint64) for side in (left, right))
+                own, lost = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+                a, both = len(own) + len(lost), len(x) + len(y)
+                linked = a * (100 + rule.percent) <= (100 - rule.percent) * both
+                # The other one differs from the leader in more than links allow, which bounds its part of the sum.
+                first = a - at_least((a + share * (len(y) - len(x))) / 2) + 1
+                if linked:
+                    role = np.append(-1, np.zeros(first, np.int32))
+                    tokens.append(np.zeros(1, np.uint64))
+                else:
+                    # One that links may differ from the leader in no more than the two have in common.
+                    most = max(first, a - at_least((a - share * both) / (1 + share)) + 1)
+                    role = (np.arange(most) >= first) + 1
+                tokens.append(np.concatenate([own, lost])[: len(role) - linked])
+                rows.append(np.full(len(role), k))
+                roles.append(role)
+            rows = pa.array(np.concatenate([np.zeros(0, np.int64), *rows]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[batch.column(c).take(rows) for c in ("lead", "sid", "n", "root")],
+                    pa.array(np.concatenate([np.zeros(0, np.int32), *roles]).astype(np.int32)),
+                    pa.array(np.concatenate(tokens).view(np.int64)),
+                ],
+                ["lead", "sid", "n", "root", "role", "token"],
+            )
+
+    whole = (
+        led.join(sets.select("sid", F.col("tokens").alias("left")), "sid")
+        .join(sets.select(F.col("sid").alias("lead"), F.col("tokens").alias("right")), "lead")
+        .select("lead", "sid", "n", "root", "left", "right")
+    )
+    return whole.mapInArrow(compare, "lead long, sid long, n int, root long, role int, token long")
+
+
+def split_crowds(docs: DataFrame, members: DataFrame, reps: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) and pairs (sid, sid2) to compare, of the sets that share a key in ``members``.
+
+    ``members``: (key, sid, n, root, role), see :func:`differences`; here 1 for sets that others find
+    and 0 for the rest, as a pair needs one that is found. Every link between groups is among the links
+    or the pairs, or its sets link with one leader.
+    """
+    named = cut_lineage(members.select("sid").distinct().join(reps, "sid"))
+    sets = cut_lineage(wanted_sets(docs, named, rule.width))
+    links = members.sparkSession.createDataFrame([], "a long, b long")
+    pairs = members.sparkSession.createDataFrame([], "sid long, sid2 long")
+    role = F.col("role")
+    for turn in range(SPLITS + 1):
+        crowded = members.select("key").distinct()
+        if turn:
+            left, found, rest = (F.count_if(role == r).cast("double") for r in range(3))
+            many = found * (found - 1) / 2 + left * (found + rest)
+            sizes = cut_lineage(
+                members.groupBy("key")
+                .agg(F.min("root").alias("lo"), F.max("root").alias("hi"), many.alias("pairs"), F.count(F.lit(1)).alias("m"))
+                .where("lo < hi AND pairs > 0").select("key", (F.col("pairs") > CROWD * F.col("m")).alias("crowd"))
+            )
+            last = turn == SPLITS
+            calm = members.join(sizes.where(F.lit(last) | ~F.col("crowd")), "key", "left_semi")
+            other = calm.where("role > 0").select("key", *[F.col(c).alias(f"{c}2") for c in ("sid", "n", "root", "role")])
+            # Two that don't link with the leader meet once.
+            once = (role == 0) | ((F.col("role2") == 1) & (F.col("sid") < F.col("sid2")))
+            fit = (F.col("root") != F.col("root2")) & rule.sizes_fit(F.col("n"), F.col("n2"))
+            met = calm.where("role < 2").join(other, "key").where(once & fit)
+            pairs = pairs.union(met.select(F.least("sid", "sid2").alias("sid"), F.greatest("sid", "sid2").alias("sid2")))
+            crowded = sizes.where("crowd").select("key")
+            if last or crowded.isEmpty():
+                break
+        members = members.join(crowded, "key", "left_semi")
+        leaders = members.groupBy("key").agg(F.min_by("sid", F.xxhash64("sid", F.lit(-1 - turn))).alias("lead"))
+        led = members.join(leaders, "key").where("sid <> lead").select("lead", "sid", "n", "root").distinct()
+        differing = cut_lineage(differences(led, sets, rule))
+        links = links.union(differing.where("role < 0").select(F.col("sid").alias("a"), F.col("lead").alias("b")))
+        members = differing.where("role >= 0").select(F.xxhash64("lead", "token").alias("key"), "sid", "n", "root", "role")
+    return links, pairs.distinct()
+
+
+def _meeting(rooted: DataFrame, rule: Rule) -> DataFrame:
+    """Rows of the sets with a pair key, or with as many open keys as lists that links of theirs meet on."""
+    # The smaller set of a link has at least ``percent`` of the larger one's size.
+    least = F.expr(f"CAST(max(n) AS LONG) * {rule.percent * (100 - rule.percent)} DIV 80000") + 1
+    enough = rooted.groupBy("sid").agg(F.count_if(F.col("pos") < 0).alias("paired"), F.count(F.lit(1)).alias("open"), least.alias("least"))
+    return rooted.join(enough.where("paired > 0 OR open >= least").select("sid"), "sid", "left_semi").select(*rooted.columns)
+
+
 def _met(rows: DataFrame, rule: Rule) -> DataFrame:
     """(sid, sid2) of the pairs that meet on a pair key, or on lists as links do.
 
-    ``rows``: all keys that a scanning set (sid, n, pos) shares with one in their lists.
+    ``rows``: the keys that a scanning set (sid, n, pos, hot) shares with one in their lists, but for
+    the crowded ones, of which each set has ``hot`` lists.
     """
     on_list = F.col("pos") >= 0
     n, m = F.min("n"), F.min("n2")
-    meets = F.count_if(on_list)
+    meets, others = F.count_if(on_list), F.least(F.min("hot"), F.min("hot2"))
     # After the last list they meet on, at most the shorter rest is common.
     most = meets + F.least(n - F.max("pos") - 1, m - F.max("pos2") - 1)
     return (
@@ -311,7 +424,7 @@ def _met(rows: DataFrame, rule: Rule) -> DataFrame:
         .groupBy("sid", "sid2")
         .agg(
             (F.count_if(~on_list) > 0).alias("paired"),
-            ((meets >= rule.lists(F.least(n, m))) & rule.enough(most, n + m)).alias("listed"),
+            ((meets + others >= rule.lists(F.least(n, m))) & ((others > 0) | rule.enough(most, n + m))).alias("listed"),
         )
         .where("paired OR listed")
     )
@@ -344,12 +457,22 @@ def link_groups(docs: DataFrame, keys: DataFrame, reps: DataFrame, rule: Rule) -
         rooted = rooted.join(open_keys.select("key").hint("shuffle_hash"), "key", "left_semi")
         last = step > 0 and (left <= PAIRS_PER_KEY * entries or links <= met / ROUND_PAYS)
         if last:
-            rooted = cut_lineage(rooted)
-            other = rooted.where(rule.in_list(F.col("n"), F.col("pos"))).select(
-                "key", *[F.col(c).alias(f"{c}2") for c in ("sid", "n", "pos", "root")]
+            rooted = cut_lineage(_meeting(rooted, rule))
+            is_found = rule.in_list(F.col("n"), F.col("pos"))
+            crowded = cut_lineage(rooted.groupBy("key").agg(F.count_if(is_found).alias("listed")).where(F.col("listed") > 2 * CROWD).select("key"))
+            hot = cut_lineage(rooted.join(crowded, "key", "left_semi"))
+            apart = hot.where("pos >= 0").groupBy("sid").agg(F.count(F.lit(1)).alias("hot"))
+            calm = rooted.join(crowded, "key", "left_anti").join(apart, "sid", "left").fillna(0, ["hot"])
+            other = calm.where(is_found).select(
+                "key", *[F.col(c).alias(f"{c}2") for c in ("sid", "n", "pos", "root", "hot")]
             )
             longer = (F.col("n") > F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("sid") < F.col("sid2")))
-            pairs = _met(rooted.join(other, "key").where(longer & (F.col("root") != F.col("root2"))), rule)
+            pairs = _met(calm.join(other, "key").where(longer & (F.col("root") != F.col("root2"))), rule).select("sid", "sid2")
+            # What is left are pairs that meet on crowded keys alone, or on a crowded pair key.
+            members = cut_lineage(_meeting(hot, rule).select("key", "sid", "n", "root", is_found.cast("int").alias("role")))
+            if not members.isEmpty():
+                told, more = split_crowds(docs, members, reps, rule)
+                edges, pairs = edges.union(told), pairs.union(more).distinct()
         else:
             if step:
                 rooted = cut_lineage(rooted)
