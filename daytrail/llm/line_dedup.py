@@ -7,8 +7,8 @@ ordered by rarity: their occurrences are counted over all texts in ``COUNTERS``
 hash to, and rarer counters come first (ties: by hash). Lines are alike from a Jaccard similarity of
 0.8 on. A line of n tokens looks for others under its n - ceil(0.8 n) + 1 first tokens and is found
 by no smaller ones under n - ceil(8 n / 9) + 1: lines that are alike share one of them. Pairs that
-meet are dropped when their lengths, or what can still follow after the last token they meet on, do
-not allow 0.8; the others are verified on whole sets.
+meet are dropped when their lengths, what can still follow after the last token they meet on, or the
+bits in which their parities differ, do not allow 0.8; the others are verified on whole sets.
 
 Lines are ordered by (doc_id, hash of the text, line number). Of equal sets all but the first line
 are removed; so is a first line that is alike to any earlier line, whether that one stays or not.
@@ -32,14 +32,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daytrail.llm.textscan import Words, mixed, pieces, utf8, windows
-from daytrail.session import cut_lineage
+from daytrail.llm.columns import bits_apart
+from daytrail.llm.textscan import Words, mixed, parity_bits, pieces, utf8, windows
+from daytrail.session import cut_lineage, discard
 
 #: Words of a token where a caller names no width.
 WIDTH = 5
 #: Counters of token occurrences; 8 bytes each are sent to the tasks.
 COUNTERS = 1 << 17
 FILTER_BITS = 1 << 23
+#: Parity bits of a set, which tell most pairs that are not alike without their words.
+PARITY_BITS = 256
 PAIRS_PER_KEY = 4
 # A token's place in the order and its key: 6 bits of rarity, 42 of hash. Above them, 16 bits number
 # the line. What sets have in common, and their numbers, are found on all 64 bits of the hashes.
@@ -137,6 +140,9 @@ class LineSets:
         sums = np.add.reduceat(mixed(self.hashes), self.first[:-1]) if many else np.zeros(0, np.uint64)
         self.number = mixed(sums + self.n.astype(np.uint64)).view(np.int64)
 
+    def parities(self) -> np.ndarray:
+        return parity_bits(self.hashes, self.first, PARITY_BITS)
+
     def prefixes(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index of the line, place, token) of the first n - ceil(0.8 n) + 1 tokens of each."""
         size = self.n[chosen] // 5 + 1
@@ -159,9 +165,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def index_lines(docs: DataFrame, weights: np.ndarray, width: int) -> DataFrame:
-    """Lines (doc_id, t, line, sid, n) and, with null doc_id and t, postings (key, place, sid, n)."""
+    """Lines (doc_id, t, line, sid, n, bits) and, with null doc_id and t, postings (key, place, sid, n)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["posting", "doc_id", "t", "line", "sid", "n", "key", "place"]
+    names = ["posting", "doc_id", "t", "line", "sid", "n", "key", "place", "bits"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,7 +179,7 @@ def index_lines(docs: DataFrame, weights: np.ndarray, width: int) -> DataFrame:
                     [
                         pa.array(np.zeros(many, bool)), ids.take(rows), texts.take(rows),
                         pa.array(sets.line.astype(np.int32)), pa.array(sets.number), pa.array(sets.n.astype(np.int32)),
-                        pa.nulls(many, pa.int64()), pa.nulls(many, pa.int32()),
+                        pa.nulls(many, pa.int64()), pa.nulls(many, pa.int32()), _lists(sets.parities()),
                     ],
                     names,
                 )
@@ -187,16 +193,21 @@ def index_lines(docs: DataFrame, weights: np.ndarray, width: int) -> DataFrame:
                     [
                         pa.array(np.ones(many, bool)), pa.nulls(many, ids.type), pa.nulls(many, pa.int64()),
                         pa.nulls(many, pa.int32()), pa.array(sets.number[owner]), pa.array(sets.n[owner].astype(np.int32)),
-                        pa.array(token.view(np.int64)), pa.array(place.astype(np.int32)),
+                        pa.array(token.view(np.int64)), pa.array(place.astype(np.int32)), pa.nulls(many, pa.list_(pa.int64())),
                     ],
                     names,
                 )
 
     return _keyed(docs).mapInArrow(
-        scan, f"posting boolean, doc_id {kind}, t long, line int, sid long, n int, key long, place int"
+        scan, f"posting boolean, doc_id {kind}, t long, line int, sid long, n int, key long, place int, bits array<long>"
     )
 
 
+def _lists(words: np.ndarray) -> pa.Array:
+    many, width = words.shape
+    return pa.ListArray.from_arrays(np.arange(many + 1, dtype=np.int32) * width, pa.array(words.view(np.int64).ravel()))
+
+
 def wanted_sets(docs: DataFrame, weights: np.ndarray, width: int, wanted: DataFrame) -> DataFrame:
     """(sid, tokens) of the sets in ``wanted`` (sid), each once."""
     rows = (
@@ -278,25 +289,42 @@ def _met(rows: DataFrame) -> DataFrame:
 
 
 def alike_to_earlier(
-    docs: DataFrame, weights: np.ndarray, width: int, postings: DataFrame, classes: DataFrame
+    docs: DataFrame, weights: np.ndarray, width: int, index: DataFrame, classes: DataFrame
 ) -> DataFrame:
-    """(sid) of the sets whose first line is alike to an earlier one."""
+    """(sid) of the sets whose first line is alike to an earlier one. ``index`` is not needed after it."""
+    postings = index.where("posting").select("key", "place", "sid", "n")
+    parities = cut_lineage(
+        index.where("NOT posting AND n > 3").groupBy("sid").agg(F.max("n").alias("n"), F.any_value("bits").alias("bits"))
+    )
     found = F.count_if(_is_found(F.col("n"), F.col("place")))
-    shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("m"), found.alias("found")).where("m > 1 AND found > 0")
+    # Counts, the join with them and the removal of repeats share one shuffle.
+    by_key = postings.repartition("key").distinct()
+    shared = by_key.groupBy("key").agg(F.count(F.lit(1)).alias("m"), found.alias("found")).where("m > 1 AND found > 0")
     met = cut_lineage(
-        postings.join(shared.select("key").hint("shuffle_hash"), "key", "left_semi").distinct()
+        by_key.join(shared.select("key").hint("shuffle_hash"), "key", "left_semi")
         .join(classes.select("sid", "first"), "sid")
     )
+    discard(index)
     sums = met.groupBy("key").agg(F.count(F.lit(1)).cast("double").alias("m"))
     pairs_there, entries = (x or 0 for x in sums.agg(F.sum(F.col("m") * (F.col("m") - 1)) / 2, F.sum("m")).first())
     columns = ("sid", "n", "place", "first")
 
+    def possible(pairs: DataFrame, a: str, b: str) -> DataFrame:
+        """The rows whose sets in columns a and b can be alike by their parity bits."""
+        for c in (a, b):
+            own = parities.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+            pairs = pairs.join(own, c)
+        can = 9 * bits_apart(f"bits_{a}", f"bits_{b}") <= F.col(f"n_{a}") + F.col(f"n_{b}")
+        return pairs.where(can).drop(*[f"{x}_{c}" for x in ("n", "bits") for c in (a, b)])
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         """(later) of the true ones among pairs (later, earlier)."""
         pairs = cut_lineage(pairs.select(F.col("later").alias("a"), F.col("earlier").alias("b")))
         named = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
         sets = cut_lineage(wanted_sets(docs, weights, width, named))
-        return cut_lineage(true_pairs(pairs, sets).select(F.col("a").alias("later")).distinct())
+        true = cut_lineage(true_pairs(pairs, sets).select(F.col("a").alias("later")).distinct())
+        discard(pairs, named, sets)
+        return true
 
     other = met.where(_is_found(F.col("n"), F.col("place"))).select("key", *[F.col(c).alias(f"{c}2") for c in columns])
     longer = (F.col("n") > F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("sid") < F.col("sid2")))
@@ -306,13 +334,14 @@ def alike_to_earlier(
         earliest = met.groupBy("key").agg(F.min(F.struct("first", "sid", "n")).alias("e"))
         led = earliest.select("key", F.col("e.sid").alias("sid2"), F.col("e.n").alias("n2"))
         pairs = met.join(led, "key").where((F.col("sid") != F.col("sid2")) & _sizes_fit(F.col("n"), F.col("n2")))
-        best = pairs.groupBy("sid", "sid2").agg(F.count(F.lit(1)).alias("meets"))
+        best = possible(pairs.groupBy("sid", "sid2").agg(F.count(F.lit(1)).alias("meets")), "sid", "sid2")
         best = best.groupBy("sid").agg(F.max_by("sid2", F.struct("meets", "sid2")).alias("earlier"))
         settled.append(confirmed(best.withColumnRenamed("sid", "later")))
         # A pair whose later set is settled tells nothing more.
         later = F.when(F.col("first") > F.col("first2"), F.col("sid")).otherwise(F.col("sid2"))
         rows = rows.withColumn("later", later).join(settled[0], "later", "left_anti")
-    pairs = cut_lineage(_met(rows))
+    pairs = cut_lineage(possible(cut_lineage(_met(rows)), "later", "earlier"))
+    discard(met, parities)
     # Each set first meets the earlier one that it shares most tokens with, then, if need be, all.
     best = pairs.groupBy("later").agg(F.max_by("earlier", F.struct("meets", "earlier")).alias("earlier"))
     settled.append(confirmed(best))
@@ -327,12 +356,11 @@ def removed_lines(docs: DataFrame, width: int) -> DataFrame:
     """
     weights = rarity(count_tokens(docs, width))
     index = cut_lineage(index_lines(docs, weights, width))
-    lines = index.where("NOT posting").select("doc_id", "t", "line", "sid")
+    lines = cut_lineage(index.where("NOT posting").select("doc_id", "t", "line", "sid"))
     classes = cut_lineage(
         lines.groupBy("sid").agg(F.min(F.struct("doc_id", "t", "line")).alias("first"))
     )
-    postings = index.where("posting").select("key", "place", "sid", "n")
-    gone = alike_to_earlier(docs, weights, width, postings, classes)
+    gone = alike_to_earlier(docs, weights, width, index, classes)
     decided = classes.join(gone.withColumn("gone", F.lit(True)), "sid", "left")
     flagged = lines.join(decided, "sid").withColumn(
         "out", F.coalesce("gone", F.lit(False)) | (F.struct("doc_id", "t", "line") != F.col("first"))
