@@ -29,9 +29,10 @@ between groups is left out: the groups are those of the complete join.
 *Crowded keys.* Near copies just below the threshold share nearly all their rare shingles. A key of
 many sets is therefore split by what they differ in from its leader L: with A and B what x and y differ
 in from L, x and y differ in a + b - 2 |A & B|. Where x or y does not link with L, a + b alone is more
-than links allow, so A and B have shingles in common, as many as :func:`differences` derives from sizes, and meet
-under their first ones; where both link with L, they are one group. Shingles that are not in L
-come first: edits are rarely the same. What is still crowded is split again, by other leaders.
+than links allow, so A and B have shingles in common, as many as :func:`differences` derives from sizes; where
+both link with L, they are one group. Shingles that only one set of L differs in are not in common: most sets
+are out when these go, as edits are rarely the same. The others meet under up to three of their common shingles
+at once (:func:`difference_keys`). What is still crowded is split again, by other leaders.
 
 Every comparison uses whole sets. Set numbers are 64-bit hashes.
 
@@ -52,8 +53,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daytrail.llm.components import components
-from daytrail.llm.textscan import Words, mixed, pieces, utf8, windows
-from daytrail.session import cut_lineage
+from daytrail.llm.columns import bits_apart
+from daytrail.llm.textscan import Words, mixed, parity_bits, pieces, utf8, windows
+from daytrail.session import cut_lineage, discard
 
 #: Most common shingles that are ordered by count; 16 bytes each are sent to the tasks.
 HEAVY = 1 << 16
@@ -61,6 +63,8 @@ HEAVY = 1 << 16
 CLASSES = 64
 #: Bits of the filter that keeps sets which nothing asks for out of the comparison.
 FILTER_BITS = 1 << 23
+#: Parity bits of a set, which tell most pairs that do not link without their shingles.
+PARITY_BITS = 512
 #: Leader rounds end when fewer pairs than this are left for each key of a set.
 PAIRS_PER_KEY = 4
 #: Leaders of a key in a round.
@@ -69,7 +73,9 @@ LEADERS = 2
 ROUND_PAYS = 20
 #: A key with more pairs than this for each of its sets is split.
 CROWD = 16
-#: How often; keys that are crowded after that are joined as they are.
+#: Keys that a crowd's sets may have each, on average, for meeting under two or three shingles at once.
+KEYS = 32
+#: How often crowded keys are split; keys that are crowded after that are joined as they are.
 SPLITS = 3
 
 
@@ -252,7 +258,7 @@ def set_keys(docs: DataFrame, heavy: np.ndarray, counts: np.ndarray, limit: int,
 
 
 def wanted_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(sid, tokens) of the sets in ``wanted`` (sid, rep), each once.
+    """(sid, tokens, n, bits) of the sets in ``wanted`` (sid, rep), each once.
 
     ``rep`` is the smallest id that has the set. A filter of ``FILTER_BITS`` bits over these ids,
     gathered as at most ``FILTER_BITS / 64`` numbers, spares most other texts the way; the join
@@ -277,13 +283,18 @@ def wanted_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             sets = [s for s in shingle_sets(batch.column("text").filter(pa.array(hit)), width) if len(s)]
             for i in range(0, len(sets), 256):
                 some = sets[i : i + 256]
+                sizes = np.array([len(s) for s in some])
+                bits = parity_bits(np.concatenate(some), np.append(0, np.cumsum(sizes)), PARITY_BITS).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([set_number(s) for s in some], pa.int64()), pa.array([s.tobytes() for s in some], pa.binary())],
-                    ["sid", "tokens"],
+                    [
+                        pa.array([set_number(s) for s in some], pa.int64()), pa.array([s.tobytes() for s in some], pa.binary()),
+                        pa.array(sizes, pa.int32()), pa.array(list(bits), pa.list_(pa.int64())),
+                    ],
+                    ["sid", "tokens", "n", "bits"],
                 )
 
     rows = docs.select(bit("doc_id").cast("long").alias("bit"), F.col("text").cast("string").alias("text"))
-    found = rows.mapInArrow(scan, "sid long, tokens binary")
+    found = rows.mapInArrow(scan, "sid long, tokens binary, n int, bits array<long>")
     return found.join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
 
 
@@ -299,6 +310,11 @@ def true_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep[k] = 100 * common >= percent * (len(x) + len(y) - common)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
+    for c in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")), c)
+    # Sets differ in as many shingles as bits at least.
+    can = (100 + percent) * bits_apart("bits_a", "bits_b") <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
+    pairs = cut_lineage(pairs.where(can).select("a", "b"))
     both = (
         pairs.join(sets.select(F.col("sid").alias("a"), F.col("tokens").alias("left")), "a")
         .join(sets.select(F.col("sid").alias("b"), F.col("tokens").alias("right")), "b")
@@ -308,11 +324,10 @@ def true_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def differences(led: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """(lead, sid, n, root, role, token): what each set of ``led`` (lead, sid, n, root) differs in from its leader.
+    """(lead, sid, n, root, linked, need, less, tokens): what each set of ``led`` (lead, sid, n, root) differs in from its leader.
 
-    Role -1: it links with the leader (one row); 0: the first shingles under which such a set meets
-    those that don't; 1: of a set that doesn't, those under which it meets others that don't; 2: further
-    ones under which only those of role 0 find it.
+    Whether it links with the leader, and how many of these shingles it has at least in common with sets that it
+    links with: ``need`` with those that don't link with the leader, ``less`` with those that do.
     """
     share = (100 - rule.percent) / (100 + rule.percent)  # of both sizes, that linked sets may differ in
 
@@ -322,32 +337,24 @@ def differences(led: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = batch.column("left"), batch.column("right")
-            rows, roles, tokens = [], [], [np.zeros(0, np.uint64)]
+            linked, need, less, tokens = [], [], [], []
             for k in range(len(left)):
                 x, y = (np.frombuffer(side[k].as_buffer(), np.uint64) for side in (left, right))
-                own, lost = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
-                a, both = len(own) + len(lost), len(x) + len(y)
-                linked = a * (100 + rule.percent) <= (100 - rule.percent) * both
+                own = np.setxor1d(x, y, assume_unique=True)
+                a, both = len(own), len(x) + len(y)
+                linked.append(a * (100 + rule.percent) <= (100 - rule.percent) * both)
                 # The other one differs from the leader in more than links allow, which bounds its part of the sum.
-                first = a - at_least((a + share * (len(y) - len(x))) / 2) + 1
-                if linked:
-                    role = np.append(-1, np.zeros(first, np.int32))
-                    tokens.append(np.zeros(1, np.uint64))
-                else:
-                    # One that links may differ from the leader in no more than the two have in common.
-                    most = max(first, a - at_least((a - share * both) / (1 + share)) + 1)
-                    role = (np.arange(most) >= first) + 1
-                tokens.append(np.concatenate([own, lost])[: len(role) - linked])
-                rows.append(np.full(len(role), k))
-                roles.append(role)
-            rows = pa.array(np.concatenate([np.zeros(0, np.int64), *rows]))
+                need.append(at_least((a + share * (len(y) - len(x))) / 2))
+                # One that links may differ from the leader in no more than the two have in common.
+                less.append(min(need[-1], at_least((a - share * both) / (1 + share))))
+                tokens.append(own.view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
-                    *[batch.column(c).take(rows) for c in ("lead", "sid", "n", "root")],
-                    pa.array(np.concatenate([np.zeros(0, np.int32), *roles]).astype(np.int32)),
-                    pa.array(np.concatenate(tokens).view(np.int64)),
+                    *[batch.column(c) for c in ("lead", "sid", "n", "root")],
+                    pa.array(linked, pa.bool_()), pa.array(need, pa.int32()), pa.array(less, pa.int32()),
+                    pa.array(tokens, pa.list_(pa.int64())),
                 ],
-                ["lead", "sid", "n", "root", "role", "token"],
+                ["lead", "sid", "n", "root", "linked", "need", "less", "tokens"],
             )
 
     whole = (
@@ -355,13 +362,87 @@ def differences(led: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
         .join(sets.select(F.col("sid").alias("lead"), F.col("tokens").alias("right")), "lead")
         .select("lead", "sid", "n", "root", "left", "right")
     )
-    return whole.mapInArrow(compare, "lead long, sid long, n int, root long, role int, token long")
+    return whole.mapInArrow(
+        compare, "lead long, sid long, n int, root long, linked boolean, need int, less int, tokens array<long>"
+    )
+
+
+def difference_keys(differing: DataFrame) -> DataFrame:
+    """(key, sid, n, root, role): the keys under which the sets of :func:`differences` meet.
+
+    Role 0: a set that links with its leader, and so meets those that don't; 1: one that doesn't, under
+    keys on which it meets others that don't; 2: under further ones, on which only those of role 0 find it.
+
+    Shingles that one set of a leader differs in alone can't be in common and go; the rest is in order of rarity.
+    Sets that have ``need`` in common share all choices of ``level`` of their first common ones, which lie
+    among their first ``len - need + level``. A leader's sets have the highest level, 3 at most, that gives them few
+    keys; where neither of two need so many, they meet under single shingles.
+    """
+    single = differing.select("lead", "sid", F.explode("tokens").alias("token"))
+    often = single.groupBy("lead", "token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    ordered = (
+        single.join(often, ["lead", "token"]).groupBy("lead", "sid")
+        .agg(F.array_sort(F.collect_list(F.struct("m", "token"))).alias("common"))  # of one set
+    )
+    met = cut_lineage(
+        differing.drop("tokens").join(ordered, ["lead", "sid"])
+        .withColumn("common", F.col("common.token"))
+        .withColumn("least", F.when(F.col("linked"), F.col("need")).otherwise(F.col("less")))
+        .where("least <= size(common)")
+    )
+
+    def choices(level: int) -> Column:
+        rest = (F.size("common") - F.greatest("least", F.lit(level))).cast("double")
+        ways = F.lit(1.0)
+        for i in range(1, level + 1):
+            ways = ways * (rest + i) / i
+        return F.sum(F.when(rest >= 0, ways).otherwise(0.0))
+
+    few = F.count(F.lit(1)) * KEYS
+    level = F.when(choices(3) <= few, 3).when(choices(2) <= few, 2).otherwise(1)
+    levels = met.groupBy("lead").agg(level.alias("level"))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
+            at = pa.array([f[0] for f in found], pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [
+                    *[batch.column(c).take(at) for c in ("lead", "sid", "n", "root")],
+                    pa.array([f[1] for f in found], pa.int32()),
+                    pa.array([f[2] for f in found], pa.list_(pa.int64())),
+                ],
+                ["lead", "sid", "n", "root", "role", "chosen"],
+            )
+
+        for batch in batches:
+            found = []
+            columns = [batch.column(c).to_pylist() for c in ("linked", "need", "less", "level", "common")]
+            for k, (linked, need, less, top, common) in enumerate(zip(*columns, strict=True)):
+                least = need if linked else less
+                for level in {top, 1} if least < top else {top}:
+                    rest, inner = (len(common) - max(c, level) for c in (least, need))
+                    # On single shingles meet those that both need fewer than ``top``.
+                    if level < top and need >= top:
+                        inner = -level - 1
+                    if rest < 0:
+                        continue
+                    for chosen in itertools.combinations(range(rest + level), level):
+                        role = 0 if linked else 1 if chosen[-1] < inner + level else 2
+                        found.append((k, role, [common[i] for i in chosen]))
+                    if len(found) > 100_000:
+                        yield rows(batch, found)
+                        found = []
+            yield rows(batch, found)
+
+    keyed = met.join(levels, "lead").select("lead", "sid", "n", "root", "linked", "need", "less", "level", "common")
+    made = keyed.mapInArrow(make, "lead long, sid long, n int, root long, role int, chosen array<long>")
+    return made.select(F.xxhash64("lead", "chosen").alias("key"), "sid", "n", "root", "role")
 
 
 def split_crowds(docs: DataFrame, members: DataFrame, reps: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) and pairs (sid, sid2) to compare, of the sets that share a key in ``members``.
 
-    ``members``: (key, sid, n, root, role), see :func:`differences`; here 1 for sets that others find
+    ``members``: (key, sid, n, root, role), see :func:`difference_keys`; here 1 for sets that others find
     and 0 for the rest, as a pair needs one that is found. Every link between groups is among the links
     or the pairs, or its sets link with one leader.
     """
@@ -395,17 +476,18 @@ def split_crowds(docs: DataFrame, members: DataFrame, reps: DataFrame, rule: Rul
         leaders = members.groupBy("key").agg(F.min_by("sid", F.xxhash64("sid", F.lit(-1 - turn))).alias("lead"))
         led = members.join(leaders, "key").where("sid <> lead").select("lead", "sid", "n", "root").distinct()
         differing = cut_lineage(differences(led, sets, rule))
-        links = links.union(differing.where("role < 0").select(F.col("sid").alias("a"), F.col("lead").alias("b")))
-        members = differing.where("role >= 0").select(F.xxhash64("lead", "token").alias("key"), "sid", "n", "root", "role")
+        links = links.union(differing.where("linked").select(F.col("sid").alias("a"), F.col("lead").alias("b")))
+        members = cut_lineage(difference_keys(differing))
     return links, pairs.distinct()
 
 
 def _meeting(rooted: DataFrame, rule: Rule) -> DataFrame:
-    """Rows of the sets with a pair key, or with as many open keys as lists that links of theirs meet on."""
+    """The pair keys, and the lists of the sets that stand in as many open ones as links of theirs meet on."""
     # The smaller set of a link has at least ``percent`` of the larger one's size.
     least = F.expr(f"CAST(max(n) AS LONG) * {rule.percent * (100 - rule.percent)} DIV 80000") + 1
-    enough = rooted.groupBy("sid").agg(F.count_if(F.col("pos") < 0).alias("paired"), F.count(F.lit(1)).alias("open"), least.alias("least"))
-    return rooted.join(enough.where("paired > 0 OR open >= least").select("sid"), "sid", "left_semi").select(*rooted.columns)
+    lists = rooted.where("pos >= 0")
+    enough = lists.groupBy("sid").agg(F.count(F.lit(1)).alias("open"), least.alias("least"))
+    return lists.join(enough.where("open >= least").select("sid"), "sid", "left_semi").select(*rooted.columns).union(rooted.where("pos < 0"))
 
 
 def _met(rows: DataFrame, rule: Rule) -> DataFrame:
@@ -474,14 +556,14 @@ def link_groups(docs: DataFrame, keys: DataFrame, reps: DataFrame, rule: Rule) -
                 told, more = split_crowds(docs, members, reps, rule)
                 edges, pairs = edges.union(told), pairs.union(more).distinct()
         else:
-            if step:
-                rooted = cut_lineage(rooted)
+            rooted = cut_lineage(_meeting(rooted, rule))
             pairs = _led(rooted, step, rule)
         pairs = cut_lineage(pairs.select(F.col("sid").alias("a"), F.col("sid2").alias("b")))
         named = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
         sets = cut_lineage(wanted_sets(docs, cut_lineage(named.join(reps, "sid")), rule.width))
         found = cut_lineage(true_links(pairs, sets, rule.percent))
         links, met = found.count(), sets.count()
+        discard(open_keys, pairs, sets)
         edges = edges.union(found)
         groups = components(edges)
         if last:
@@ -538,9 +620,14 @@ def join_documents(docs: DataFrame, rule: Rule = OP4) -> DataFrame:
     limit = boundary({r["d"]: r["count"] for r in classes}, 1 + (spread or 0.0), rule.percent)
     keys = cut_lineage(set_keys(docs, heavy[by_hash], common["n"].to_numpy()[by_hash], limit, rule))
     listed = F.count_if(rule.in_list(F.col("n"), F.col("pos")))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), listed.alias("listed")).where("m > 1 AND listed > 0")
-    keys = cut_lineage(keys.join(shared.select("key").hint("shuffle_hash"), "key", "left_semi").distinct())
+    # Counts, the join with them and the removal of repeats share one shuffle.
+    by_key = keys.repartition("key").distinct()
+    shared = by_key.groupBy("key").agg(F.count(F.lit(1)).alias("m"), listed.alias("listed")).where("m > 1 AND listed > 0")
+    every = keys
+    keys = cut_lineage(by_key.join(shared.select("key").hint("shuffle_hash"), "key", "left_semi"))
+    discard(every)
     groups = link_groups(docs, keys, sets.select("sid", "rep"), rule)
+    discard(keys)
     grouped = cut_lineage(
         found.join(groups.withColumnRenamed("node", "sid"), "sid", "left")
         .withColumn("root", F.coalesce("root", "sid"))
