@@ -29,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daytrail.llm.columns import bits_apart
+from daytrail.llm.meeting import bits_between, group_ends, meetings, whole_groups
 from daytrail.llm.textscan import Words, mixed, parity_bits, pieces, utf8, windows
 from daytrail.session import cut_lineage, discard
 
@@ -42,12 +42,22 @@ WIDTH = 5
 COUNTERS = 1 << 17
 FILTER_BITS = 1 << 23
 #: Parity bits of a set, which tell most pairs that are not alike without their words.
-PARITY_BITS = 256
-PAIRS_PER_KEY = 4
+PARITY_BITS = 128
+#: So many of the few sets that are not settled by the nearest earlier one.
+MORE_BITS = 1024
+#: While more pairs than this meet for each key of a set, sets meet one earlier set at a time, so often at most.
+PAIRS_PER_KEY, ROUNDS = 4, 3
+#: Parts that keys are dealt to, and postings that a task gathers before it sends them there.
+BUCKETS, WAITING = 1 << 12, 1 << 20
+#: A token is hot from so many occurrences of its counter on, and from so many times the mean.
+HOT, HOT_TIMES = 1 << 12, 32
 # A token's place in the order and its key: 6 bits of rarity, 42 of hash. Above them, 16 bits number
 # the line. What sets have in common, and their numbers, are found on all 64 bits of the hashes.
 _HASH, _WORD, _LINES = 42, 48, 1 << 16
 _LOW = np.uint64((1 << _WORD) - 1)
+# What is sent of a set under one of its keys: the key and, in 16 bits below it, the place.
+_MOST = (1 << 64 - _WORD) - 1
+_POSTING = np.dtype([("key", np.uint64), ("sid", np.int64), ("bits", np.uint64, PARITY_BITS // 64), ("n", np.int32)])
 
 
 class Tokens:
@@ -93,7 +103,9 @@ def count_tokens(docs: DataFrame, width: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["counter", "n"])
 
     found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(scan, "counter long, n long")
-    table = found.groupBy("counter").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
+    sums = cut_lineage(found.groupBy("counter").agg(F.sum("n").alias("n")))
+    table = sums.toArrow()  # COUNTERS rows at most
+    discard(sums)
     counts = np.zeros(COUNTERS, np.int64)
     counts[table["counter"].to_numpy()] = table["n"].to_numpy()
     return counts
@@ -104,6 +116,11 @@ def rarity(counts: np.ndarray) -> np.ndarray:
     return np.minimum(63, np.ceil(2 * np.log2(np.maximum(counts, 1))).astype(np.int64)).astype(np.uint64)
 
 
+def hot_class(counts: np.ndarray) -> int:
+    """The class (see :func:`rarity`) from which on tokens are hot."""
+    return int(np.ceil(2 * np.log2(max(HOT, HOT_TIMES * counts.mean()))))
+
+
 class LineSets:
     """The sets of the lines of neighbouring texts, found together.
 
@@ -143,12 +160,28 @@ class LineSets:
     def parities(self) -> np.ndarray:
         return parity_bits(self.hashes, self.first, PARITY_BITS)
 
-    def prefixes(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index of the line, place, token) of the first n - ceil(0.8 n) + 1 tokens of each."""
+    def prefixes(self, chosen: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index of the line, place, key) of the first n - ceil(0.8 n) + 1 tokens of each.
+
+        A token of class ``hot`` is no key, but it and each one after it up to the next place beyond are;
+        their place is that of the second less 1. Lines that are alike have two tokens in common at least,
+        and the second of these lies one place further at most.
+        """
         size = self.n[chosen] // 5 + 1
-        owner = np.repeat(chosen, size)
-        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        return owner, place, self.tokens[self.first[owner] + place]
+        owner, size = np.repeat(chosen, size), np.repeat(size, size)
+        place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        token = self.tokens[self.first[owner] + place]
+        common = token >> np.uint64(_HASH) >= np.uint64(hot)
+        rare, common = np.flatnonzero(~common), np.flatnonzero(common)
+        many = size[common] - place[common]
+        one = np.repeat(common, many)
+        second = place[one] + 1 + np.arange(len(one)) - np.repeat(np.cumsum(many) - many, many)
+        both = mixed(token[one] * np.uint64(0x9E3779B97F4A7C15) + self.tokens[self.first[owner[one]] + second]) & _LOW
+        return (
+            np.concatenate([owner[rare], owner[one]]),
+            np.concatenate([place[rare], second - 1]),
+            np.concatenate([token[rare], both]),
+        )
 
 
 def line_sets(column: pa.Array, weights: np.ndarray, width: int) -> Iterator[tuple[int, LineSets]]:
@@ -164,42 +197,124 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(text).alias("t"), text.alias("text"))
 
 
-def index_lines(docs: DataFrame, weights: np.ndarray, width: int) -> DataFrame:
-    """Lines (doc_id, t, line, sid, n, bits) and, with null doc_id and t, postings (key, place, sid, n)."""
+def index_lines(docs: DataFrame, weights: np.ndarray, hot: int, width: int) -> DataFrame:
+    """(bucket, doc_id, t, places, sids, postings): documents, and, with nulls, sets under their keys.
+
+    A document's lines with words have ``places`` and set numbers. ``postings``: rows of ``_POSTING``
+    of one bucket of keys.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["posting", "doc_id", "t", "line", "sid", "n", "key", "place", "bits"]
+    names = ["bucket", "doc_id", "t", "places", "sids", "postings"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[np.ndarray] = []
+
+        def dealt(ids: pa.DataType) -> pa.RecordBatch:
+            rows = np.concatenate([np.zeros(0, _POSTING), *waiting])
+            waiting.clear()
+            bucket = (rows["key"] >> np.uint64(64 - _WORD)) & np.uint64(BUCKETS - 1)
+            rows = rows[np.argsort(bucket, kind="stable")]
+            sizes = np.bincount(bucket.astype(np.int64), minlength=BUCKETS)
+            used = np.flatnonzero(sizes)
+            bounds = np.append(0, np.cumsum(sizes[used])) * _POSTING.itemsize
+            parts = pa.Array.from_buffers(
+                pa.binary(), len(used), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(rows.tobytes())]
+            )
+            nothing = [pa.nulls(len(used), x) for x in (ids, pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *nothing, parts], names)
+
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("t")
             known = np.zeros(0, np.int64)
             for base, sets in line_sets(batch.column("text"), weights, width):
-                rows, many = pa.array(sets.doc + base), len(sets.n)
+                if not len(sets.n):
+                    continue
+                rows, first = np.unique(sets.doc, return_index=True)
+                bounds, rows = pa.array(np.append(first, len(sets.n)).astype(np.int32)), rows + base
+                own = texts.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.zeros(many, bool)), ids.take(rows), texts.take(rows),
-                        pa.array(sets.line.astype(np.int32)), pa.array(sets.number), pa.array(sets.n.astype(np.int32)),
-                        pa.nulls(many, pa.int64()), pa.nulls(many, pa.int32()), _lists(sets.parities()),
+                        pa.array((own.to_numpy(zero_copy_only=False) & (BUCKETS - 1)).astype(np.int32)), ids.take(pa.array(rows)), own,
+                        pa.ListArray.from_arrays(bounds, pa.array(sets.line.astype(np.int32))),
+                        pa.ListArray.from_arrays(bounds, pa.array(sets.number)), pa.nulls(len(rows), pa.binary()),
                     ],
                     names,
                 )
                 _, chosen = np.unique(sets.number, return_index=True)
                 # Up to three tokens only equal sets are alike.
-                chosen = chosen[(sets.n[chosen] > 3) & ~np.isin(sets.number[chosen], known)]
+                chosen = np.sort(chosen[(sets.n[chosen] > 3) & ~np.isin(sets.number[chosen], known)])
                 known = np.concatenate([known, sets.number[chosen]])
-                owner, place, token = sets.prefixes(chosen)
-                many = len(owner)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.ones(many, bool)), pa.nulls(many, ids.type), pa.nulls(many, pa.int64()),
-                        pa.nulls(many, pa.int32()), pa.array(sets.number[owner]), pa.array(sets.n[owner].astype(np.int32)),
-                        pa.array(token.view(np.int64)), pa.array(place.astype(np.int32)), pa.nulls(many, pa.list_(pa.int64())),
-                    ],
-                    names,
-                )
+                owner, place, key = sets.prefixes(chosen, hot)
+                postings = np.zeros(len(owner), _POSTING)
+                postings["key"] = (key << np.uint64(64 - _WORD)) | np.minimum(place, _MOST).astype(np.uint64)
+                postings["sid"], postings["n"], postings["bits"] = sets.number[owner], sets.n[owner], sets.parities()[owner]
+                waiting.append(postings)
+                if sum(map(len, waiting)) > WAITING:
+                    yield dealt(ids.type)
+            if waiting and sum(map(len, waiting)) > WAITING // 2:
+                yield dealt(ids.type)
+            left = ids.type
+        if waiting:
+            yield dealt(left)
 
     return _keyed(docs).mapInArrow(
-        scan, f"posting boolean, doc_id {kind}, t long, line int, sid long, n int, key long, place int, bits array<long>"
+        scan, f"bucket int, doc_id {kind}, t long, places array<int>, sids array<long>, postings binary"
+    )
+
+
+def _possible(n: np.ndarray, place: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether sets i and j that meet on a token can be alike; in how many bits of their parities they differ."""
+    both, apart = n[i] + n[j], bits_between(bits, i, j)
+    # Before the token and from it on at most the shorter part is common.
+    most = np.minimum(place[i], place[j]) + np.minimum(n[i] - place[i], n[j] - place[j])
+    far = np.maximum(place[i], place[j]) >= _MOST  # places are known so far
+    return (9 * apart <= both) & ((18 * most >= 8 * both) | far), apart
+
+
+def _are_found(n: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Those that no smaller sets find under a key."""
+    return np.flatnonzero(place < n // 9 + 1)
+
+
+def close_sets(index: DataFrame) -> DataFrame:
+    """The documents of ``index`` (doc_id, t, places, sids) and, with nulls, the sets that meet one they can be alike to.
+
+    These have (key, sid, n, place, bits), a row for each key on which they do.
+    """
+    kind = index.schema["doc_id"].dataType.simpleString()
+    documents = ["doc_id", "t", "places", "sids"]
+    found = {"key": pa.int64(), "sid": pa.int64(), "n": pa.int32(), "place": pa.int32(), "bits": pa.list_(pa.int64())}
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "bucket"):
+            for some in table.filter(table["sids"].is_valid()).select(documents).to_batches():
+                nothing = [pa.nulls(some.num_rows, x) for x in found.values()]
+                yield pa.RecordBatch.from_arrays([*some.columns, *nothing], [*documents, *found])
+            rows = _postings(table["postings"])
+            key = rows["key"] >> np.uint64(64 - _WORD)
+            order = np.argsort(key)
+            ends = group_ends(key[order])
+            order = order[(ends - np.searchsorted(ends, ends)) > 1]  # keys that one row has tell nothing
+            order = order[np.lexsort((rows["sid"][order], rows["n"][order], key[order]))]
+            rows, key = rows[order], key[order]
+            once = np.append(np.ones(min(1, len(key)), bool), (key[1:] != key[:-1]) | (rows["sid"][1:] != rows["sid"][:-1]))
+            rows, key = rows[once], key[once]
+            n, place = rows["n"].astype(np.int64), (rows["key"] & np.uint64(_MOST)).astype(np.int64)
+            bits, met = np.ascontiguousarray(rows["bits"]), np.zeros(len(rows), bool)
+            for i, j in meetings(group_ends(key), _are_found(n, place), lambda i, j: 10 * n[i] >= 8 * n[j]):
+                new = ~(met[i] & met[j])
+                i, j = i[new], j[new]
+                can, _ = _possible(n, place, bits, i, j)
+                met[i[can]] = met[j[can]] = True
+            at = np.flatnonzero(met)
+            ids = table.schema.field("doc_id").type
+            nothing = [pa.nulls(len(at), x) for x in (ids, pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))]
+            own = [pa.array(x) for x in (key[at].view(np.int64), rows["sid"][at], rows["n"][at], place[at].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*nothing, *own, _lists(bits[at])], [*documents, *found])
+
+    return index.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+        compare,
+        f"doc_id {kind}, t long, places array<int>, sids array<long>, key long, sid long, n int, place int, bits array<long>",
     )
 
 
@@ -208,32 +323,125 @@ def _lists(words: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(np.arange(many + 1, dtype=np.int32) * width, pa.array(words.view(np.int64).ravel()))
 
 
-def wanted_sets(docs: DataFrame, weights: np.ndarray, width: int, wanted: DataFrame) -> DataFrame:
-    """(sid, tokens) of the sets in ``wanted`` (sid), each once."""
-    rows = (
-        wanted.groupBy(F.expr(f"CAST(pmod(sid, {FILTER_BITS}) DIV 64 AS INT)").alias("word"))
-        .agg(F.expr(f"bit_or(shiftleft(1L, CAST(pmod(sid, {FILTER_BITS}) % 64 AS INT)))").alias("bits"))
-        .collect()  # FILTER_BITS / 64 rows at most
-    )
-    filled = np.zeros(FILTER_BITS // 64, np.int64)
+def _postings(column: pa.ChunkedArray) -> np.ndarray:
+    """The rows of all parts of a column."""
+    rows = [np.zeros(0, _POSTING)]
+    for part in column.drop_null().chunks:
+        if len(part):
+            _, offsets, data = part.buffers()
+            bounds = np.frombuffer(offsets, np.int32)[[part.offset, part.offset + len(part)]]
+            rows.append(np.frombuffer(data, np.uint8)[bounds[0] : bounds[1]].view(_POSTING))
+    return np.concatenate(rows)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(key, sid) of neighbouring keys, and an iterator over the pairs that meet there.
+
+    Each turn has (row of the later set, row of the earlier one, share), an array naming a row once: the share of
+    bits of both sets' size in which they differ. Pairs not beyond what ``members`` has ``past`` are left out.
+    """
+    def pairs(rank, sid, n, place, bits, past, past_sid, ends):
+        for i, j in meetings(ends, _are_found(n, place), lambda i, j: 10 * n[i] >= 8 * n[j]):
+            later = np.where(rank[i] > rank[j], i, j)
+            some = past[later] < np.inf
+            i, j = i[some], j[some]
+            may, apart = _possible(n, place, bits, i, j)
+            i, j, share = i[may], j[may], apart[may] / (n[i[may]] + n[j[may]])
+            for x, y in ((i, j), (j, i)):
+                new = (rank[x] > rank[y]) & ((share > past[x]) | ((share == past[x]) & (sid[y] > past_sid[x])))
+                yield x[new], y[new], share[new]
+
+    for table in whole_groups(batches, "key"):
+        key, sid, n, place, rank, past, past_sid = (
+            table[c].to_numpy() for c in ("key", "sid", "n", "place", "rank", "past", "past_sid")
+        )
+        bits = table["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(key), -1)
+        yield key, sid, pairs(rank, sid, n.astype(np.int64), place.astype(np.int64), bits, past, past_sid, group_ends(key))
+
+
+def nearest_earlier(members: DataFrame) -> DataFrame:
+    """(key, later, earlier, share, many): for each key and set the earlier set nearest by parity bits, of how many.
+
+    ``members``: (key, sid, n, place, bits) as :func:`close_sets` gives them, ``rank``, lower for earlier
+    ones, and (past, past_sid): the share and the number of the last set that was compared, infinite if no more are wanted.
+    """
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, sid, pairs in _met(batches):
+            best, least, many = np.zeros(len(sid), np.int64), np.full(len(sid), np.inf), np.zeros(len(sid), np.int64)
+            for x, y, share in pairs:
+                many[x] += 1
+                less = (share < least[x]) | ((share == least[x]) & (sid[y] < best[x]))
+                least[x[less]], best[x[less]] = share[less], sid[y[less]]
+            found = np.flatnonzero(many)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x[found]) for x in (key, sid, best, least, many)], ["key", "later", "earlier", "share", "many"]
+            )
+
+    return _by_key(members).mapInArrow(compare, "key long, later long, earlier long, share double, many long")
+
+
+def every_earlier(members: DataFrame) -> DataFrame:
+    """(later, earlier): all earlier sets that sets meet, of ``members`` as in :func:`nearest_earlier`."""
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sid, pairs in _met(batches):
+            for x, y, _ in pairs:
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(sid[x]), pa.array(sid[y])], ["later", "earlier"])
+
+    return _by_key(members).mapInArrow(compare, "later long, earlier long").distinct()
+
+
+def _by_key(members: DataFrame) -> DataFrame:
+    return members.repartition("key").sortWithinPartitions("key", "n", "sid")
+
+
+def _filter(keys: DataFrame) -> np.ndarray:
+    """``FILTER_BITS`` bits, set for the values of the first column."""
+    at = F.pmod(F.col(keys.columns[0]), F.lit(FILTER_BITS))
+    bit = F.expr(f"shiftleft(1L, CAST(pmod({keys.columns[0]}, {FILTER_BITS}) % 64 AS INT))")
+    rows = keys.groupBy(F.floor(at / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).collect()
+    filled = np.zeros(FILTER_BITS // 64, np.int64)  # as many rows at most
     for row in rows:
         filled[row["word"]] = row["bits"]
+    return filled
+
+
+def _has(filled: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = values & (FILTER_BITS - 1)
+    return ((filled[at >> 6] >> (at & 63)) & 1).astype(bool)
+
+
+def wanted_sets(docs: DataFrame, weights: np.ndarray, width: int, wanted: DataFrame) -> DataFrame:
+    """(sid, tokens) of the sets in ``wanted`` (sid, t), each once; ``t``: the hash of a text that has the set."""
+    texts, numbers = _filter(wanted.select("t")), _filter(wanted.select("sid"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, sets in line_sets(batch.column("text"), weights, width):
-                at = sets.number & (FILTER_BITS - 1)
-                hit = np.flatnonzero((filled[at >> 6] >> (at & 63)) & 1)
+            some = _has(texts, batch.column("t").to_numpy(zero_copy_only=False))
+            for _, sets in line_sets(batch.column("text").filter(pa.array(some)), weights, width):
+                hit = np.flatnonzero(_has(numbers, sets.number))
                 hit = hit[np.unique(sets.number[hit], return_index=True)[1]]
                 tokens = [np.sort(sets.hashes[sets.first[k] : sets.first[k + 1]]).tobytes() for k in hit]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(sets.number[hit]), pa.array(tokens, pa.binary())], ["sid", "tokens"]
                 )
 
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(scan, "sid long, tokens binary")
+    found = _keyed(docs).select("t", "text").mapInArrow(scan, "sid long, tokens binary")
     return found.join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
 
 
+def more_bits(sets: DataFrame) -> DataFrame:
+    """(sid, bits): ``MORE_BITS`` parity bits of the sets."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("tokens")]
+            first = np.append(0, np.cumsum([len(x) for x in hashes])).astype(np.int64)
+            bits = parity_bits(np.concatenate([np.zeros(0, np.uint64), *hashes]), first, MORE_BITS)
+            yield pa.RecordBatch.from_arrays([batch.column("sid"), _lists(bits)], ["sid", "bits"])
+
+    return sets.select("sid", "tokens").mapInArrow(count, "sid long, bits array<long>")
+
+
 def true_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets have a Jaccard similarity of 0.8 or more."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,98 +462,46 @@ def true_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long")
 
 
-def _sizes_fit(n: Column, m: Column) -> Column:
-    return F.least(n, m) * 10 >= F.greatest(n, m) * 8
-
-
-def _is_found(n: Column, place: Column) -> Column:
-    """Whether no smaller sets find a set of n under its token at a place."""
-    return place < F.floor(n / 9) + 1
-
-
-def _met(rows: DataFrame) -> DataFrame:
-    """(later, earlier, meets) of the pairs of sets that can still be alike.
-
-    ``rows``: all tokens under which a set (sid, n, place, first) finds another.
-    """
-    n, m = F.min("n"), F.min("n2")
-    # After the last token they meet on, at most the shorter rest is common.
-    most = F.count(F.lit(1)) + F.least(n - F.max("place") - 1, m - F.max("place2") - 1)
-    swap = F.col("after")
-    return (
-        rows.where(_sizes_fit(F.col("n"), F.col("n2")))
-        .groupBy("sid", "sid2")
-        .agg(
-            (18 * most >= 8 * (n + m)).alias("may"), F.count(F.lit(1)).alias("meets"),
-            F.bool_or(F.col("first") > F.col("first2")).alias("after"),
-        )
-        .where("may")
-        .select(
-            F.when(swap, F.col("sid")).otherwise(F.col("sid2")).alias("later"),
-            F.when(swap, F.col("sid2")).otherwise(F.col("sid")).alias("earlier"),
-            "meets",
-        )
-    )
-
-
-def alike_to_earlier(
-    docs: DataFrame, weights: np.ndarray, width: int, index: DataFrame, classes: DataFrame
-) -> DataFrame:
-    """(sid) of the sets whose first line is alike to an earlier one. ``index`` is not needed after it."""
-    postings = index.where("posting").select("key", "place", "sid", "n")
-    parities = cut_lineage(
-        index.where("NOT posting AND n > 3").groupBy("sid").agg(F.max("n").alias("n"), F.any_value("bits").alias("bits"))
-    )
-    found = F.count_if(_is_found(F.col("n"), F.col("place")))
-    # Counts, the join with them and the removal of repeats share one shuffle.
-    by_key = postings.repartition("key").distinct()
-    shared = by_key.groupBy("key").agg(F.count(F.lit(1)).alias("m"), found.alias("found")).where("m > 1 AND found > 0")
-    met = cut_lineage(
-        by_key.join(shared.select("key").hint("shuffle_hash"), "key", "left_semi")
-        .join(classes.select("sid", "first"), "sid")
-    )
-    discard(index)
-    sums = met.groupBy("key").agg(F.count(F.lit(1)).cast("double").alias("m"))
-    pairs_there, entries = (x or 0 for x in sums.agg(F.sum(F.col("m") * (F.col("m") - 1)) / 2, F.sum("m")).first())
-    columns = ("sid", "n", "place", "first")
-
-    def possible(pairs: DataFrame, a: str, b: str) -> DataFrame:
-        """The rows whose sets in columns a and b can be alike by their parity bits."""
-        for c in (a, b):
-            own = parities.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-            pairs = pairs.join(own, c)
-        can = 9 * bits_apart(f"bits_{a}", f"bits_{b}") <= F.col(f"n_{a}") + F.col(f"n_{b}")
-        return pairs.where(can).drop(*[f"{x}_{c}" for x in ("n", "bits") for c in (a, b)])
+def alike_to_earlier(docs: DataFrame, weights: np.ndarray, width: int, close: DataFrame, classes: DataFrame) -> DataFrame:
+    """(sid) of the sets of ``close`` (see :func:`close_sets`) whose first line is alike to an earlier one."""
+    named = cut_lineage(classes.join(close.select("sid").distinct(), "sid", "left_semi"))
+    # Parts of a sorted table are numbered in its order.
+    ranks = cut_lineage(named.orderBy("first").select("sid", F.monotonically_increasing_id().alias("rank")))
+    members = cut_lineage(close.join(ranks, "sid"))
+    sets = cut_lineage(wanted_sets(docs, weights, width, named.select("sid", F.col("first.t").alias("t"))))
+    discard(named, ranks)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """(later) of the true ones among pairs (later, earlier)."""
-        pairs = cut_lineage(pairs.select(F.col("later").alias("a"), F.col("earlier").alias("b")))
-        named = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
-        sets = cut_lineage(wanted_sets(docs, weights, width, named))
-        true = cut_lineage(true_pairs(pairs, sets).select(F.col("a").alias("later")).distinct())
-        discard(pairs, named, sets)
-        return true
-
-    other = met.where(_is_found(F.col("n"), F.col("place"))).select("key", *[F.col(c).alias(f"{c}2") for c in columns])
-    longer = (F.col("n") > F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("sid") < F.col("sid2")))
-    rows = met.join(other, "key").where(longer)
+        pairs = pairs.select(F.col("later").alias("a"), F.col("earlier").alias("b"))
+        return cut_lineage(true_pairs(pairs, sets).select(F.col("a").alias("later")).distinct())
+
     settled = []
-    if pairs_there > PAIRS_PER_KEY * entries:
-        earliest = met.groupBy("key").agg(F.min(F.struct("first", "sid", "n")).alias("e"))
-        led = earliest.select("key", F.col("e.sid").alias("sid2"), F.col("e.n").alias("n2"))
-        pairs = met.join(led, "key").where((F.col("sid") != F.col("sid2")) & _sizes_fit(F.col("n"), F.col("n2")))
-        best = possible(pairs.groupBy("sid", "sid2").agg(F.count(F.lit(1)).alias("meets")), "sid", "sid2")
-        best = best.groupBy("sid").agg(F.max_by("sid2", F.struct("meets", "sid2")).alias("earlier"))
-        settled.append(confirmed(best.withColumnRenamed("sid", "later")))
-        # A pair whose later set is settled tells nothing more.
-        later = F.when(F.col("first") > F.col("first2"), F.col("sid")).otherwise(F.col("sid2"))
-        rows = rows.withColumn("later", later).join(settled[0], "later", "left_anti")
-    pairs = cut_lineage(possible(cut_lineage(_met(rows)), "later", "earlier"))
-    discard(met, parities)
-    # Each set first meets the earlier one that it shares most tokens with, then, if need be, all.
-    best = pairs.groupBy("later").agg(F.max_by("earlier", F.struct("meets", "earlier")).alias("earlier"))
-    settled.append(confirmed(best))
-    settled.append(confirmed(pairs.join(settled[-1], "later", "left_anti")))
+    members = members.withColumns({"past": F.lit(-1.0), "past_sid": F.lit(0).cast("long")})
+    for turn in range(ROUNDS):
+        near = cut_lineage(nearest_earlier(members))
+        meets, pairs = near.agg(F.count(F.lit(1)), F.sum("many")).first()
+        if not meets or turn and pairs <= PAIRS_PER_KEY * meets:
+            break
+        best = cut_lineage(near.groupBy("later").agg(F.min(F.struct("share", "earlier")).alias("best")))
+        settled.append(confirmed(best.select("later", "best.earlier")))
+        # A pair whose later set is settled tells nothing more, nor does a key on which only the best met.
+        still = cut_lineage(best.join(settled[-1], "later", "left_anti"))
+        more = near.join(still, "later").where("many > 1 OR earlier <> best.earlier").select("key").distinct()
+        past = still.select(F.col("later").alias("sid"), F.col("best.share").alias("share"), F.col("best.earlier").alias("earlier"))
+        rows = members.join(more, "key", "left_semi").drop("past", "past_sid").join(past, "sid", "left")
+        if not turn:
+            # From now on with more bits, which see other shares.
+            rows = rows.drop("bits").join(more_bits(sets), "sid").withColumns(
+                {"share": F.when(F.col("share").isNotNull(), F.lit(-1.0)), "earlier": F.lit(0).cast("long")}
+            )
+        rows = rows.withColumns(
+            {"past": F.coalesce("share", F.lit(float("inf"))), "past_sid": F.coalesce("earlier", F.lit(0).cast("long"))}
+        )
+        every, members = members, cut_lineage(rows.select(*members.columns))
+        discard(every, near, best, still)
+    settled.append(confirmed(cut_lineage(every_earlier(members))))
+    discard(members, sets)
     return functools.reduce(DataFrame.union, settled).withColumnRenamed("later", "sid")
 
 
@@ -354,17 +510,24 @@ def removed_lines(docs: DataFrame, width: int) -> DataFrame:
 
     Only documents with a line that has words have a row; ``n_lines`` counts those lines.
     """
-    weights = rarity(count_tokens(docs, width))
-    index = cut_lineage(index_lines(docs, weights, width))
-    lines = cut_lineage(index.where("NOT posting").select("doc_id", "t", "line", "sid"))
+    counts = count_tokens(docs, width)
+    weights = rarity(counts)
+    met = cut_lineage(close_sets(index_lines(docs, weights, hot_class(counts), width)))
+    lines = (
+        met.where("sids IS NOT NULL")
+        .select("doc_id", "t", F.inline(F.arrays_zip(F.col("places").alias("line"), F.col("sids").alias("sid"))))
+    )
     classes = cut_lineage(
-        lines.groupBy("sid").agg(F.min(F.struct("doc_id", "t", "line")).alias("first"))
+        lines.groupBy("sid").agg(F.min(F.struct("doc_id", "t", "line")).alias("first"), F.count(F.lit(1)).alias("m"))
     )
-    gone = alike_to_earlier(docs, weights, width, index, classes)
-    decided = classes.join(gone.withColumn("gone", F.lit(True)), "sid", "left")
-    flagged = lines.join(decided, "sid").withColumn(
-        "out", F.coalesce("gone", F.lit(False)) | (F.struct("doc_id", "t", "line") != F.col("first"))
+    close = met.where("sids IS NULL").select("key", "sid", "n", "place", "bits")
+    gone = alike_to_earlier(docs, weights, width, close, classes.select("sid", "first"))
+    decided = (
+        classes.join(gone.withColumn("gone", F.lit(True)), "sid", "left")
+        .where("m > 1 OR gone").select("sid", "first", "gone")
     )
+    out = F.coalesce("gone", F.lit(False)) | (F.struct("doc_id", "t", "line") != F.col("first"))
+    flagged = lines.join(decided, "sid", "left").withColumn("out", F.coalesce(out, F.lit(False)))
     return flagged.groupBy("doc_id", "t").agg(
         F.count_distinct("line").alias("n_lines"),
         F.array_sort(F.collect_set(F.when(F.col("out"), F.col("line")))).alias("removed"),  # of one document
