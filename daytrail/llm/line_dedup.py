@@ -293,9 +293,10 @@ def close_sets(index: DataFrame) -> DataFrame:
             rows = _postings(table["postings"])
             key = rows["key"] >> np.uint64(64 - _WORD)
             order = np.argsort(key)
-            ends = group_ends(key[order])
-            order = order[(ends - np.searchsorted(ends, ends)) > 1]  # keys that one row has tell nothing
-            order = order[np.lexsort((rows["sid"][order], rows["n"][order], key[order]))]
+            shared = key[order[1:]] == key[order[:-1]]
+            order = order[np.append(False, shared) | np.append(shared, False)] if len(order) else order  # one row alone tells nothing
+            rows, key = rows[order], key[order]
+            order = np.lexsort((rows["sid"], rows["n"], key))
             rows, key = rows[order], key[order]
             once = np.append(np.ones(min(1, len(key)), bool), (key[1:] != key[:-1]) | (rows["sid"][1:] != rows["sid"][:-1]))
             rows, key = rows[once], key[once]
@@ -513,12 +514,11 @@ def removed_lines(docs: DataFrame, width: int) -> DataFrame:
     counts = count_tokens(docs, width)
     weights = rarity(counts)
     met = cut_lineage(close_sets(index_lines(docs, weights, hot_class(counts), width)))
-    lines = (
-        met.where("sids IS NOT NULL")
-        .select("doc_id", "t", F.inline(F.arrays_zip(F.col("places").alias("line"), F.col("sids").alias("sid"))))
-    )
+    documents = met.where("sids IS NOT NULL")
+    lines = documents.select("doc_id", "t", F.inline(F.arrays_zip(F.col("places").alias("line"), F.col("sids").alias("sid"))))
     classes = cut_lineage(
-        lines.groupBy("sid").agg(F.min(F.struct("doc_id", "t", "line")).alias("first"), F.count(F.lit(1)).alias("m"))
+        lines.repartition("sid").groupBy("sid")  # most have one line
+        .agg(F.min(F.struct("doc_id", "t", "line")).alias("first"), F.count(F.lit(1)).alias("m"))
     )
     close = met.where("sids IS NULL").select("key", "sid", "n", "place", "bits")
     gone = alike_to_earlier(docs, weights, width, close, classes.select("sid", "first"))
@@ -526,11 +526,11 @@ def removed_lines(docs: DataFrame, width: int) -> DataFrame:
         classes.join(gone.withColumn("gone", F.lit(True)), "sid", "left")
         .where("m > 1 OR gone").select("sid", "first", "gone")
     )
-    out = F.coalesce("gone", F.lit(False)) | (F.struct("doc_id", "t", "line") != F.col("first"))
-    flagged = lines.join(decided, "sid", "left").withColumn("out", F.coalesce(out, F.lit(False)))
-    return flagged.groupBy("doc_id", "t").agg(
-        F.count_distinct("line").alias("n_lines"),
-        F.array_sort(F.collect_set(F.when(F.col("out"), F.col("line")))).alias("removed"),  # of one document
+    out = lines.join(decided, "sid").where(F.coalesce("gone", F.lit(False)) | (F.struct("doc_id", "t", "line") != F.col("first")))
+    sizes = documents.select("doc_id", "t", F.size("sids").cast("long").alias("n_lines"), F.lit(None).cast("int").alias("line"))
+    every = sizes.union(out.select("doc_id", "t", F.lit(None).cast("long"), "line"))
+    return every.groupBy("doc_id", "t").agg(
+        F.max("n_lines").alias("n_lines"), F.array_sort(F.collect_set("line")).alias("removed")  # of one document
     )
 
 

@@ -13,20 +13,20 @@ over all documents (each batch reports the shingles that it saw more than once)
 give as keys all pairs among their s + 2 first shingles: linked sets share a pair, and a pair is
 rare. Large sets scan inverted lists of their s + m first shingles; in the lists are the sets of
 their size and smaller ones, under their n (100 - percent) // (100 + percent) + m first shingles,
-since those may lack fewer. Linked sets meet on m lists, with m = s // 8 + 1 of the smaller set, so
-one passage that two documents share is not enough; what can still follow the last list they meet
-on must make up the overlap.
+since those may lack fewer. Linked sets meet on m lists, with m = s // 8 + 1 of the smaller set, so sets
+that have fewer lists with others are out.
 The size between small and large is the one at which both ways cost least, from measured sizes and
 list lengths (:func:`boundary`).
 
 *Keys to links.* Equal sets are one set with one number, so copies cost nothing. A key that only
-one set has is dropped. Then sets first meet the leader of their keys: each round compares every
-set with one leader, exactly, and joins what links into groups. Keys whose sets are all in one
-group are done, since they can tell nothing more about groups; when they are few, all pairs of sets
-of different groups that are left on a key are compared. No pair within a group is made, and none
-between groups is left out: the groups are those of the complete join.
-
-*Crowded keys.* Near copies just below the threshold share nearly all their rare shingles. A key of
+one set has is dropped. The task that has a key compares its sets in place by their sizes and parity
+bits; those that have one to link to meet again in further rounds, the rest is done. In a round every
+set is compared exactly with the nearest by those bits alone, and what links is joined into groups.
+Keys whose sets are all in one group are done, since they can tell nothing more about groups; when
+pairs are few, all that are left between sets of different groups are compared. No pair within a group
+is compared, and none between groups is left out: the groups are those of the complete join.
+
+*Crowded keys.* Pairs of so many sets are too many even to be looked at. Near copies just below the threshold share nearly all their rare shingles. A key of
 many sets is therefore split by what they differ in from its leader L: with A and B what x and y differ
 in from L, x and y differ in a + b - 2 |A & B|. Where x or y does not link with L, a + b alone is more
 than links allow, so A and B have shingles in common, as many as :func:`differences` derives from sizes; where
@@ -54,6 +54,7 @@ from pyspark.sql import functions as F
 
 from daytrail.llm.components import components
 from daytrail.llm.columns import bits_apart
+from daytrail.llm.meeting import bits_between, group_ends, meetings, whole_groups
 from daytrail.llm.textscan import Words, mixed, parity_bits, pieces, utf8, windows
 from daytrail.session import cut_lineage, discard
 
@@ -63,16 +64,14 @@ HEAVY = 1 << 16
 CLASSES = 64
 #: Bits of the filter that keeps sets which nothing asks for out of the comparison.
 FILTER_BITS = 1 << 23
-#: Parity bits of a set, which tell most pairs that do not link without their shingles.
-PARITY_BITS = 512
-#: Leader rounds end when fewer pairs than this are left for each key of a set.
+#: Parity bits of a set, which tell most pairs that do not link without their shingles; more where sets may lack more.
+PARITY_BITS, MOST_BITS = 512, 1 << 14
+#: Rounds end when fewer pairs than this are left for each key of a set.
 PAIRS_PER_KEY = 4
-#: Leaders of a key in a round.
-LEADERS = 2
 #: A further round pays while one set of this many gets a link.
 ROUND_PAYS = 20
-#: A key with more pairs than this for each of its sets is split.
-CROWD = 16
+#: A key with more pairs than this for each of its sets is split; a task compares so many by parity bits in place.
+CROWD = 2048
 #: Keys that a crowd's sets may have each, on average, for meeting under two or three shingles at once.
 KEYS = 32
 #: How often crowded keys are split; keys that are crowded after that are joined as they are.
@@ -94,6 +93,15 @@ class Rule:
         """Whether a set of n links with equal sets only: one shingle more is too many."""
         return n * (100 - self.percent) < self.percent
 
+    @property
+    def bits(self) -> int:
+        """Parity bits of a set; those that may differ must be few among them."""
+        return PARITY_BITS << (max(0, (100 - self.percent - 1) // 10)).bit_length()
+
+    def bits_of(self, n: int) -> int:
+        """And of a set of n, which may differ in more."""
+        return min(MOST_BITS, max(self.bits, 1 << (n * (100 - self.percent) // 40).bit_length()))
+
     def sizes_fit(self, n: Column, m: Column) -> Column:
         return F.least(n, m) * 100 >= F.greatest(n, m) * self.percent
 
@@ -139,9 +147,9 @@ def set_number(tokens: np.ndarray) -> int:
 
 
 def survey(docs: DataFrame, rule: Rule) -> DataFrame:
-    """One pass over the texts: (kind, doc_id, a, n).
+    """One pass over the texts: (kind, doc_id, a, n, bits).
 
-    kind 0: a document, a = its set's number (null if empty), n = its size; kind 1: a shingle
+    kind 0: a document, a = its set's number (null if empty), n = its size, with parity bits; kind 1: a shingle
     seen n times in a batch; kind 2: one row a batch with the sums the cost model needs.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -153,26 +161,72 @@ def survey(docs: DataFrame, rule: Rule) -> DataFrame:
             one = {number: s for number, s in zip(numbers, sets, strict=True) if number is not None}
             tokens, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *one.values()]), return_counts=True)
             often = counts > 2
-            yield _survey_rows(0, batch.column("doc_id"), numbers, [len(s) for s in sets], kind)
+            sizes = [len(s) for s in sets]
+            for i in range(0, len(sets), 256):
+                own = slice(i, i + 256)
+                yield _survey_rows(0, batch.column("doc_id")[own], numbers[own], sizes[own], _set_bits(sets[own], [rule.bits_of(n) for n in sizes[own]]))
             for kind_no, a, n in (
                 (1, tokens[often].view(np.int64), counts[often]),
                 (2, [len(one)], [int((counts[~often] ** 2).sum() * 1000 // max(1, counts[~often].sum()))]),
             ):
                 nulls = pa.nulls(len(a), batch.schema.field("doc_id").type)
-                yield _survey_rows(kind_no, nulls, a, n, kind)
+                yield _survey_rows(kind_no, nulls, a, n, pa.nulls(len(a), pa.list_(pa.int64())))
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        scan, f"kind int, doc_id {kind}, a long, n long"
+        scan, f"kind int, doc_id {kind}, a long, n long, bits array<long>"
     )
 
 
-def _survey_rows(kind_no: int, ids: pa.Array, a, n, kind: str) -> pa.RecordBatch:
+def _survey_rows(kind_no: int, ids: pa.Array, a, n, bits: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(ids), kind_no, np.int32)), ids, pa.array(a, pa.int64()), pa.array(n, pa.int64())],
-        ["kind", "doc_id", "a", "n"],
+        [pa.array(np.full(len(ids), kind_no, np.int32)), ids, pa.array(a, pa.int64()), pa.array(n, pa.int64()), bits],
+        ["kind", "doc_id", "a", "n", "bits"],
     )
 
 
+def _set_bits(sets: list[np.ndarray], many: list[int]) -> pa.Array:
+    """Parity bits of each set, ``many`` of them; null for an empty one."""
+    out: list = [None] * len(sets)
+    for width in set(many):
+        used = [k for k, s in enumerate(sets) if len(s) and many[k] == width]
+        first = np.append(0, np.cumsum([len(sets[k]) for k in used])).astype(np.int64)
+        words = parity_bits(np.concatenate([np.zeros(0, np.uint64), *(sets[k] for k in used)]), first, width)
+        for k, row in zip(used, words.view(np.int64), strict=True):
+            out[k] = row
+    return pa.array(out, pa.list_(pa.int64()))
+
+
+class Parities:
+    """Parity bits of the rows of a list column, of which some may have more than others."""
+
+    def __init__(self, column: pa.Array):
+        words = column.flatten().to_numpy().view(np.uint64)
+        self.width = np.diff(column.offsets.to_numpy()).astype(np.int64)
+        start = np.cumsum(self.width) - self.width
+        self.words, self.place = {}, {}
+        wider, rows = None, np.zeros(0, np.int64)
+        for width in sorted(set(self.width.tolist()), reverse=True):
+            own = np.flatnonzero(self.width == width)
+            mine = words[start[own][:, None] + np.arange(width)]
+            if wider is not None:
+                # Bit b of fewer ones is the parity of all those that are b modulo their number.
+                wider = np.bitwise_xor.reduce(wider.reshape(len(rows), -1, width), axis=1)
+                mine = np.concatenate([wider, mine])
+            wider, rows = mine, np.concatenate([rows, own])
+            self.words[width] = wider
+            self.place[width] = np.zeros(len(self.width), np.int64)
+            self.place[width][rows] = np.arange(len(rows))
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """In how many bits rows differ, by as many as the one with fewer has."""
+        out, width = np.zeros(len(i), np.int64), np.minimum(self.width[i], self.width[j])
+        for w in self.words:
+            at = np.flatnonzero(width == w)
+            if len(at):
+                out[at] = bits_between(self.words[w], self.place[w][i[at]], self.place[w][j[at]])
+        return out
+
+
 def boundary(classes: dict[int, int], list_length: float, percent: int = 90) -> int:
     """The slack up to which sets are small, -1 for none.
 
@@ -257,7 +311,7 @@ def set_keys(docs: DataFrame, heavy: np.ndarray, counts: np.ndarray, limit: int,
     )
 
 
-def wanted_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+def wanted_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     """(sid, tokens, n, bits) of the sets in ``wanted`` (sid, rep), each once.
 
     ``rep`` is the smallest id that has the set. A filter of ``FILTER_BITS`` bits over these ids,
@@ -280,15 +334,13 @@ def wanted_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             bits = batch.column("bit").to_numpy(zero_copy_only=False)
             hit = ((filled[bits >> 6] >> (bits & 63)) & 1).astype(bool)
-            sets = [s for s in shingle_sets(batch.column("text").filter(pa.array(hit)), width) if len(s)]
+            sets = [s for s in shingle_sets(batch.column("text").filter(pa.array(hit)), rule.width) if len(s)]
             for i in range(0, len(sets), 256):
                 some = sets[i : i + 256]
-                sizes = np.array([len(s) for s in some])
-                bits = parity_bits(np.concatenate(some), np.append(0, np.cumsum(sizes)), PARITY_BITS).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([set_number(s) for s in some], pa.int64()), pa.array([s.tobytes() for s in some], pa.binary()),
-                        pa.array(sizes, pa.int32()), pa.array(list(bits), pa.list_(pa.int64())),
+                        pa.array([len(s) for s in some], pa.int32()), _set_bits(some, [rule.bits] * len(some)),
                     ],
                     ["sid", "tokens", "n", "bits"],
                 )
@@ -310,11 +362,6 @@ def true_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep[k] = 100 * common >= percent * (len(x) + len(y) - common)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    for c in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")), c)
-    # Sets differ in as many shingles as bits at least.
-    can = (100 + percent) * bits_apart("bits_a", "bits_b") <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
-    pairs = cut_lineage(pairs.where(can).select("a", "b"))
     both = (
         pairs.join(sets.select(F.col("sid").alias("a"), F.col("tokens").alias("left")), "a")
         .join(sets.select(F.col("sid").alias("b"), F.col("tokens").alias("right")), "b")
@@ -323,6 +370,14 @@ def true_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long")
 
 
+def possible(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) that can link by their parity bits: sets differ in as many shingles as bits at least."""
+    for c in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")), c)
+    can = (100 + rule.percent) * bits_apart("bits_a", "bits_b") <= (100 - rule.percent) * (F.col("n_a") + F.col("n_b"))
+    return cut_lineage(pairs.where(can).select("a", "b"))
+
+
 def differences(led: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """(lead, sid, n, root, linked, need, less, tokens): what each set of ``led`` (lead, sid, n, root) differs in from its leader.
 
@@ -447,7 +502,7 @@ def split_crowds(docs: DataFrame, members: DataFrame, reps: DataFrame, rule: Rul
     or the pairs, or its sets link with one leader.
     """
     named = cut_lineage(members.select("sid").distinct().join(reps, "sid"))
-    sets = cut_lineage(wanted_sets(docs, named, rule.width))
+    sets = cut_lineage(wanted_sets(docs, named, rule))
     links = members.sparkSession.createDataFrame([], "a long, b long")
     pairs = members.sparkSession.createDataFrame([], "sid long, sid2 long")
     role = F.col("role")
@@ -490,123 +545,136 @@ def _meeting(rooted: DataFrame, rule: Rule) -> DataFrame:
     return lists.join(enough.where("open >= least").select("sid"), "sid", "left_semi").select(*rooted.columns).union(rooted.where("pos < 0"))
 
 
-def _met(rows: DataFrame, rule: Rule) -> DataFrame:
-    """(sid, sid2) of the pairs that meet on a pair key, or on lists as links do.
+def _close(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[tuple]:
+    """(table, pairs) of neighbouring keys; ``pairs``: an iterator over those that can link, of different groups.
 
-    ``rows``: the keys that a scanning set (sid, n, pos, hot) shares with one in their lists, but for
-    the crowded ones, of which each set has ``hot`` lists.
+    Each turn has (row, row, share), an array naming a row once: the share of both sets' size that parity bits differ in.
     """
-    on_list = F.col("pos") >= 0
-    n, m = F.min("n"), F.min("n2")
-    meets, others = F.count_if(on_list), F.least(F.min("hot"), F.min("hot2"))
-    # After the last list they meet on, at most the shorter rest is common.
-    most = meets + F.least(n - F.max("pos") - 1, m - F.max("pos2") - 1)
-    return (
-        rows.where(rule.sizes_fit(F.col("n"), F.col("n2")))
-        .groupBy("sid", "sid2")
-        .agg(
-            (F.count_if(~on_list) > 0).alias("paired"),
-            ((meets + others >= rule.lists(F.least(n, m))) & ((others > 0) | rule.enough(most, n + m))).alias("listed"),
-        )
-        .where("paired OR listed")
-    )
+    def pairs(n, pos, root, bits, ends):
+        low = n * (100 - rule.percent) // (100 + rule.percent) + n * (100 - rule.percent) // 800 + 1  # see in_list
+        for i, j in meetings(ends, np.flatnonzero(pos < low), lambda i, j: 100 * n[i] >= rule.percent * n[j]):
+            apart = root[i] != root[j]
+            i, j = i[apart], j[apart]
+            both, apart = n[i] + n[j], bits.apart(i, j)
+            can = (100 + rule.percent) * apart <= (100 - rule.percent) * both
+            yield i[can], j[can], apart[can] / both[can]
+
+    for table in whole_groups(batches, "key"):
+        key, n, pos, root = (table[c].to_numpy() for c in ("key", "n", "pos", "root"))
+        bits = Parities(table["bits"].combine_chunks())
+        yield table, pairs(n.astype(np.int64), pos, root, bits, group_ends(key))
+
+
+def _by_key(rooted: DataFrame) -> DataFrame:
+    return rooted.repartition("key").sortWithinPartitions("key", "n", "sid")
+
+
+def nearest(rooted: DataFrame, rule: Rule) -> DataFrame:
+    """(key, sid, n, pos, other, share, many): of each key the sets that meet one of another group that they can link to.
+
+    ``rooted``: (key, sid, n, pos, root, bits); ``other``: the one nearest by parity bits, of how many.
+    """
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, pairs in _close(batches, rule):
+            sid = table["sid"].to_numpy()
+            best, least, many = np.zeros(len(sid), np.int64), np.full(len(sid), np.inf), np.zeros(len(sid), np.int64)
+            for i, j, share in pairs:
+                for x, y in ((i, j), (j, i)):
+                    many[x] += 1
+                    less = (share < least[x]) | ((share == least[x]) & (sid[y] < best[x]))
+                    least[x[less]], best[x[less]] = share[less], sid[y[less]]
+            at = np.flatnonzero(many)
+            own = [table[c].to_numpy()[at] for c in ("key", "sid", "n", "pos")]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (*own, best[at], least[at], many[at])], ["key", "sid", "n", "pos", "other", "share", "many"]
+            )
+
+    return _by_key(rooted).mapInArrow(compare, "key long, sid long, n int, pos int, other long, share double, many long")
+
+
+def all_close(rooted: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): all pairs of sets of different groups that meet and can link, of ``rooted`` as in :func:`nearest`."""
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, pairs in _close(batches, rule):
+            sid = table["sid"].to_numpy()
+            for i, j, _ in pairs:
+                if len(i):
+                    a, b = np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return _by_key(rooted).mapInArrow(compare, "a long, b long").distinct()
 
 
 def link_groups(docs: DataFrame, keys: DataFrame, reps: DataFrame, rule: Rule) -> DataFrame:
     """(node, root) of the groups that links make among the sets of ``keys`` (key, sid, n, pos).
 
-    One leader round at least; more while pairs are many and a round still links a fair part of the
-    sets that it compares. Only sets
-    that stand in a pair are fetched: ``reps`` (sid, rep) names a document for each.
+    One round at least in which each set is compared with the nearest of another group alone; more while
+    pairs are many and a round still links a fair part of the sets that it compares. Only sets
+    that stand in a pair are fetched: ``reps`` (sid, rep, bits) names a document for each.
     """
     edges = keys.sparkSession.createDataFrame([], "a long, b long")
-    rooted = keys.withColumn("root", F.col("sid"))
+    named_by = reps.select("sid", "rep")
+    is_found = rule.in_list(F.col("n"), F.col("pos"))
+    keys = cut_lineage(_meeting(keys, rule))
+    crowded = cut_lineage(keys.groupBy("key").agg(F.count_if(is_found).alias("listed")).where(F.col("listed") > 2 * CROWD).select("key"))
+    some_crowded = not crowded.isEmpty()
+    calm = keys.join(crowded, "key", "left_anti") if some_crowded else keys
+    rooted = calm.withColumn("root", F.col("sid")).join(reps.select("sid", "bits"), "sid")
+
+    def linked(pairs: DataFrame, known: bool) -> tuple[DataFrame, int, int]:
+        """The true links among pairs, their number and that of the sets in pairs; ``known``: whether they can link by their bits."""
+        pairs = cut_lineage(pairs)
+        named = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        sets = cut_lineage(wanted_sets(docs, cut_lineage(named.join(named_by, "sid")), rule))
+        found = cut_lineage(true_links(pairs if known else possible(pairs, sets, rule), sets, rule.percent))
+        links, met = found.count(), sets.count()
+        discard(pairs, sets)
+        return found, links, met
+
     links = met = 0
     for step in itertools.count():
-        per_root = rooted.groupBy("key", "root").agg(
-            F.count(F.lit(1)).alias("m"), F.count_if(rule.in_list(F.col("n"), F.col("pos"))).alias("listed")
-        )
-        open_keys = cut_lineage(
-            per_root.groupBy("key")
-            .agg(
-                F.sum("m").alias("all"), F.sum("listed").alias("listed"),
-                F.min("root").alias("lo"), F.max("root").alias("hi"),
-            )
-            .where("lo < hi AND listed > 0")
-        )
-        pairs_left = F.sum(F.col("all").cast("double") * F.col("listed")) / 2
-        left, entries = (x or 0 for x in open_keys.agg(pairs_left, F.sum("all")).first())
-        rooted = rooted.join(open_keys.select("key").hint("shuffle_hash"), "key", "left_semi")
+        near = cut_lineage(nearest(rooted, rule))
+        entries, left = near.agg(F.count(F.lit(1)), F.sum("many") / 2).first()
+        if step and not entries:
+            break
         last = step > 0 and (left <= PAIRS_PER_KEY * entries or links <= met / ROUND_PAYS)
         if last:
-            rooted = cut_lineage(_meeting(rooted, rule))
-            is_found = rule.in_list(F.col("n"), F.col("pos"))
-            crowded = cut_lineage(rooted.groupBy("key").agg(F.count_if(is_found).alias("listed")).where(F.col("listed") > 2 * CROWD).select("key"))
-            hot = cut_lineage(rooted.join(crowded, "key", "left_semi"))
-            apart = hot.where("pos >= 0").groupBy("sid").agg(F.count(F.lit(1)).alias("hot"))
-            calm = rooted.join(crowded, "key", "left_anti").join(apart, "sid", "left").fillna(0, ["hot"])
-            other = calm.where(is_found).select(
-                "key", *[F.col(c).alias(f"{c}2") for c in ("sid", "n", "pos", "root", "hot")]
-            )
-            longer = (F.col("n") > F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("sid") < F.col("sid2")))
-            pairs = _met(calm.join(other, "key").where(longer & (F.col("root") != F.col("root2"))), rule).select("sid", "sid2")
-            # What is left are pairs that meet on crowded keys alone, or on a crowded pair key.
-            members = cut_lineage(_meeting(hot, rule).select("key", "sid", "n", "root", is_found.cast("int").alias("role")))
-            if not members.isEmpty():
-                told, more = split_crowds(docs, members, reps, rule)
-                edges, pairs = edges.union(told), pairs.union(more).distinct()
+            pairs = all_close(rooted, rule)
         else:
-            rooted = cut_lineage(_meeting(rooted, rule))
-            pairs = _led(rooted, step, rule)
-        pairs = cut_lineage(pairs.select(F.col("sid").alias("a"), F.col("sid2").alias("b")))
-        named = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-        sets = cut_lineage(wanted_sets(docs, cut_lineage(named.join(reps, "sid")), rule.width))
-        found = cut_lineage(true_links(pairs, sets, rule.percent))
-        links, met = found.count(), sets.count()
-        discard(open_keys, pairs, sets)
+            best = near.groupBy("sid").agg(F.min(F.struct("share", "other")).alias("best")).select("sid", "best.other")
+            pairs = best.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
+        found, links, met = linked(pairs, True)
         edges = edges.union(found)
         groups = components(edges)
         if last:
-            return groups
-        rooted = (
-            rooted.drop("root")
-            .join(groups.withColumnRenamed("node", "sid"), "sid", "left")
+            break
+        # Sets that meet none they can link to are done, and keys of one group tell nothing more about groups.
+        rooted = cut_lineage(
+            near.select("key", "sid", "n", "pos").join(groups.withColumnRenamed("node", "sid"), "sid", "left")
+            .withColumn("root", F.coalesce("root", "sid")).join(reps.select("sid", "bits"), "sid")
+        )
+        open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+        rooted = rooted.join(open_keys, "key", "left_semi")
+    if some_crowded:
+        # What is left are pairs that meet on crowded keys alone.
+        hot = (
+            keys.join(crowded, "key", "left_semi").join(groups.withColumnRenamed("node", "sid"), "sid", "left")
             .withColumn("root", F.coalesce("root", "sid"))
         )
-
-
-def _led(rooted: DataFrame, step: int, rule: Rule) -> DataFrame:
-    """(sid, sid2): each set and the one of its keys' leaders that it shares most keys with.
-
-    A key has ``LEADERS`` leaders, the members with the smallest hashes under so many seeds; other
-    seeds in each round. A leader that shares fewer keys than links do is left to the last step.
-    """
-    turns = [F.xxhash64("sid", F.lit(step * LEADERS + i)) for i in range(LEADERS)]
-    columns = ("sid", "n", "root")
-    leaders = rooted.groupBy("key").agg(
-        *[F.min_by(c, turn).alias(f"{c}_{i}") for i, turn in enumerate(turns) for c in columns]
-    )
-    each = F.array_distinct(
-        F.array(*[F.struct(*[F.col(f"{c}_{i}").alias(f"{c}2") for c in columns]) for i in range(LEADERS)])
-    )
-    met = (
-        rooted.join(leaders.select("key", each.alias("leaders")), "key")
-        .select("sid", "n", "root", F.inline("leaders"))
-        .where((F.col("root") != F.col("root2")) & rule.sizes_fit(F.col("n"), F.col("n2")))
-        .groupBy("sid", "sid2")
-        .agg(F.count(F.lit(1)).alias("shared"), rule.lists(F.least(F.min("n"), F.min("n2"))).alias("least"))
-        .where("shared >= least")
-    )
-    return met.groupBy("sid").agg(F.max_by("sid2", F.struct("shared", "sid2")).alias("sid2"))
+        members = cut_lineage(_meeting(hot.select(*keys.columns, "root"), rule).select("key", "sid", "n", "root", is_found.cast("int").alias("role")))
+        told, more = split_crowds(docs, members, named_by, rule)
+        found, _, _ = linked(more.select(F.col("sid").alias("a"), F.col("sid2").alias("b")), False)
+        groups = components(edges.union(told).union(found))
+    return groups
 
 
 def join_documents(docs: DataFrame, rule: Rule = OP4) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of ``docs``."""
     seen = cut_lineage(survey(docs, rule))
-    found = seen.where("kind = 0").select("doc_id", F.col("a").alias("sid"), F.col("n").alias("n_shingles"))
+    found = seen.where("kind = 0").select("doc_id", F.col("a").alias("sid"), F.col("n").alias("n_shingles"), "bits")
     sets = cut_lineage(
         found.where("sid IS NOT NULL").groupBy("sid")
-        .agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
+        .agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.any_value("bits").alias("bits"))
     )
     common = (
         seen.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n"))
@@ -626,10 +694,10 @@ def join_documents(docs: DataFrame, rule: Rule = OP4) -> DataFrame:
     every = keys
     keys = cut_lineage(by_key.join(shared.select("key").hint("shuffle_hash"), "key", "left_semi"))
     discard(every)
-    groups = link_groups(docs, keys, sets.select("sid", "rep"), rule)
+    groups = link_groups(docs, keys, sets.select("sid", "rep", "bits"), rule)
     discard(keys)
     grouped = cut_lineage(
-        found.join(groups.withColumnRenamed("node", "sid"), "sid", "left")
+        found.drop("bits").join(groups.withColumnRenamed("node", "sid"), "sid", "left")
         .withColumn("root", F.coalesce("root", "sid"))
     )
     least = grouped.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
